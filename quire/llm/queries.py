@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, quality, secret_scan, simhash, url_filter
+from quire.llm import bpe, quality, secret_scan, simhash, substring, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op9_urls": op9_urls}
+QUERIES = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_bpe": op8_bpe, "op9_urls": op9_urls}
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, quality, secret_scan, simhash, substring, url_filter
+from quire.llm import bpe, quality, secret_scan, simhash, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     base = F.filter("secret_spans", lambda x: x["k"] < 3)
@@ -40,5 +46,5 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_bpe": op8_bpe, "op9_urls": op9_urls}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_bpe": op8_bpe, "op9_urls": op9_urls}
 ORACLE: dict[str, str] = {}

@@ -29,5 +29,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of this run in the shared folder, read back (columnar, compressed, prunable)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

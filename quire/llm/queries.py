@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, packing, quality, secret_scan, simhash, substring, toxicity, url_filter
+from quire.llm import bpe, flac, packing, quality, rans, secret_scan, simhash, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("secret_spans")).alias("spans"))
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_bpe": op8_bpe, "op9_urls": op9_urls}
+def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_flac": op4_flac, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_bpe": op8_bpe, "op9_urls": op9_urls, "op10_rans": op10_rans}
 ORACLE: dict[str, str] = {}

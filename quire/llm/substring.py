@@ -14,11 +14,13 @@ grouping that follows, so that a filter that is too small costs shuffle, never r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +110,17 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, key, text) cut into stretches of about ``most`` bytes of text, which bounds a worker's memory."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most)))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
     for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
         yield doc, key, word_hashes(split_words(text.as_py()))
@@ -117,13 +130,13 @@ def _joined(parts: list[np.ndarray], dtype=np.uint64) -> np.ndarray:
     return np.concatenate(parts).astype(dtype, copy=False) if parts else np.zeros(0, dtype)
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 28) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 27) -> DataFrame:
     """docs (doc_id, key, text) -> (key, at): starts of windows whose words also start in a document with a smaller id."""
     spark, block = docs.sparkSession, window // 2
     docs = docs.select("doc_id", "key", "text")
 
     def aligned(batches):
-        for b in batches:
+        for b in _slices(batches):
             parts = []
             for _, _, h in _per_text(b):
                 if len(h) >= window:
@@ -133,7 +146,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 28) -> DataF
     index = build_filter(spark, docs.mapInArrow(aligned, "h long"), bits)
 
     def probed(batches):
-        for b in batches:
+        for b in _slices(batches):
             hashes, ids = [], []
             for doc, _, h in _per_text(b):
                 if len(h) >= window and doc is not None:
@@ -152,7 +165,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 28) -> DataF
     anchors = build_filter(spark, shared, bits)
 
     def extended(batches):
-        for b in batches:
+        for b in _slices(batches):
             hashes, ids, keys, at = [], [], [], []
             for doc, key, h in _per_text(b):
                 if len(h) < window or doc is None:
@@ -182,37 +195,34 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with (n_words, n_removed, kept_text): every word covered by a repeated window is taken out.
-
-    A window is repeated if its words also start in a document with a smaller id, judged on the
-    input. kept_text is the remaining words joined by one space, or the text as it is (null: empty)
-    where nothing goes. A null or short text keeps all words; rows with a null id neither lose words
-    nor count as earlier documents; repeated rows are judged alike. Existing columns stay.
-    """
+def _applied(docs: DataFrame, window: int, bits: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
+    """docs with (n_words, n_removed, kept): the kept text, or with digest the SHA-256 of its single-spaced words."""
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     docs = docs.select(*names, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"))
     starts = repeated_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__key").alias("key"), F.col(text_col).alias("text")), window, bits)
-    # runs of consecutive starts are one range
-    ranges = cut(starts.distinct().groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at")))
+    ranges = cut(starts.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at")))
     some = build_filter(spark, ranges.select(F.xxhash64("key").alias("h")), min(bits, 26))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(some.value.has(h.to_numpy().view(np.uint64)))
 
-    @F.pandas_udf("n_words long, n_removed long, kept_text string")
+    @F.pandas_udf("n_words long, n_removed long, kept string")
     def apply(texts: pd.Series, at: pd.Series) -> pd.DataFrame:
         rows = []
         for text, starts_ in zip(texts, at):
-            words = split_words(text)
-            if starts_ is None or not len(starts_):
-                rows.append((len(words), 0, text or ""))
-            else:
+            words, removed = split_words(text), 0
+            if starts_ is not None and len(starts_):
                 gone = covered(np.asarray(starts_, np.int64), len(words), window)
-                rows.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
+                removed, kept = int(gone.sum()), [w for w, g in zip(words, gone.tolist()) if not g]
+            else:
+                kept = words
+            if digest:
+                rows.append((len(words), removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
+            else:
+                rows.append((len(words), removed, b" ".join(kept).decode("utf-8", "surrogatepass") if removed else text or ""))
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
     # texts that surely keep all their words are not shuffled
     flagged = docs.withColumn("__maybe", maybe(F.xxhash64("__key")))
@@ -222,12 +232,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 28, id_col: st
     return every.withColumn("__r", apply(F.col(text_col), F.col("__at"))).select(*names, "__r.*")
 
 
-def digests(docs: DataFrame, window: int = 50, bits: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256) of :func:`remove_repeats`, kept words joined by one space."""
-    clean = remove_repeats(docs.select(id_col, text_col), window, bits, id_col, text_col)
+def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with (n_words, n_removed, kept): every word covered by a repeated window is taken out.
 
-    @F.pandas_udf("string")
-    def single_spaced(texts: pd.Series) -> pd.Series:
-        return pd.Series([b" ".join(split_words(t)).decode("utf-8", "surrogatepass") for t in texts])
+    A window is repeated if its words also start in a document with a smaller id, judged on the
+    input. kept is the remaining words joined by one space, or the text as it is (null: empty)
+    where nothing goes. A null or short text keeps all words; rows with a null id neither lose words
+    nor count as earlier documents; repeated rows are judged alike. Existing columns stay, except
+    those that are named like the new ones.
+    """
+    return _applied(docs, window, bits, id_col, text_col, False)
 
-    return clean.select(id_col, "n_words", "n_removed", F.sha2(single_spaced("kept_text"), 256).alias("kept_sha256"))
+
+def digests(docs: DataFrame, window: int = 50, bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256) of :func:`remove_repeats`, kept words joined by one space."""
+    found = _applied(docs.select(id_col, text_col), window, bits, id_col, text_col, True)
+    return found.select(id_col, "n_words", "n_removed", F.col("kept").alias("kept_sha256"))

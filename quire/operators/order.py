@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import mirrored, required_side, side
 
-BY = Window.partitionBy("documentid").orderBy("sortorder", "id")
+
+def by():
+    """A document's pages in order."""
+    return Window.partitionBy("documentid").orderBy("sortorder", "id")
 
 
 def reading_order(pages: DataFrame, staged: bool = False) -> DataFrame:
     """Pages of the documents (or of the import area) with their 1-based position."""
-    return pages.where(F.col("staged") == staged).withColumn("position", F.row_number().over(BY).cast("long"))
+    return pages.where(F.col("staged") == staged).withColumn("position", F.row_number().over(by()).cast("long"))
 
 
 def kept_pages(pages: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
@@ -33,13 +36,13 @@ def rebalance(pages: DataFrame, documents: DataFrame, overlays: DataFrame | None
     firsts = documents.select(F.col("id").alias("documentid"), "firstpageright")
     kept = kept_pages(pages, overlays).where("NOT staged").join(firsts, "documentid")
     required = required_side(F.col("spreadside"), F.col("pinside"))
-    d = kept.withColumn("k", F.row_number().over(BY).cast("long")).withColumn("required", required)
+    d = kept.withColumn("k", F.row_number().over(by()).cast("long")).withColumn("required", required)
     d = d.withColumn("par", F.when(F.col("required").isNotNull(), F.when((F.col("required") == "right") == F.col("firstpageright"), 1).otherwise(0)).cast("long"))
-    before = BY.rowsBetween(Window.unboundedPreceding, -1)
+    before = by().rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("v", F.max(2 * F.col("k") + F.col("par")).over(before))
     natural = F.when(F.col("v").isNull(), F.col("k") % 2).otherwise((F.col("v") % 2 + F.col("k") - F.floor(F.col("v") / 2)) % 2)
     d = d.withColumn("blank_before", F.coalesce(natural != F.col("par"), F.lit(False)))
-    d = d.withColumn("position", F.col("k") + F.sum(F.col("blank_before").cast("long")).over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("position", F.col("k") + F.sum(F.col("blank_before").cast("long")).over(by().rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn("side", side(F.col("position"), F.col("firstpageright"))).drop("v", "par", "k")
 
 
@@ -49,7 +52,7 @@ def balanced_pages(pages: DataFrame, documents: DataFrame, overlays: DataFrame |
     blanks = d.where("blank_before").select("documentid", (F.col("position") - 1).alias("position"))
     blanks = blanks.withColumn("i", F.row_number().over(Window.partitionBy("documentid").orderBy("position")))
     pool = pages.where("NOT staged").join(kept_pages(pages, overlays).select("id"), "id", "left_anti")
-    pool = pool.select("documentid", "id", F.row_number().over(BY).alias("i"))
+    pool = pool.select("documentid", "id", F.row_number().over(by()).alias("i"))
     filled = blanks.join(pool, ["documentid", "i"], "left").select("documentid", "position", "id", F.lit(True).alias("filler"))
     return d.select("documentid", "position", "id", F.lit(False).alias("filler")).unionByName(filled)
 
@@ -77,7 +80,7 @@ def layout_issues(pages: DataFrame, documents: DataFrame) -> DataFrame:
 def can_link(pages: DataFrame) -> DataFrame:
     """(documentid, id, next_id): ordinary pages that are in no spread, followed by another such page."""
     d = pages.where("NOT staged AND NOT filler")
-    nxt = d.withColumn("next_id", F.lead("id").over(BY)).withColumn("next_spread", F.lead("spreadid").over(BY))
+    nxt = d.withColumn("next_id", F.lead("id").over(by())).withColumn("next_spread", F.lead("spreadid").over(by()))
     return nxt.where("spreadid IS NULL AND next_spread IS NULL AND next_id IS NOT NULL").select("documentid", "id", "next_id")
 
 

@@ -68,8 +68,8 @@ for _layout, (_slots, _sides) in _GRID.items():
     else:
         _o = "o" if _slots > 1 else "0"
         _at = f"select documentid, (position - 1 + {_o}) // {_slots} as side_no, (position - 1 + {_o}) % {_slots} as slot_no, position from s"
-    _put(f"impose_{_layout}", _PD, f"select g.documentid, g.side_no, g.slot_no, coalesce(a.position, 0) as position from grid g left join at a on a.documentid = g.documentid and a.side_no = g.side_no and a.slot_no = g.slot_no",
-    _RANGES + f""", s as (select *, case when firstpageright then 1 else 0 end as o from published), at as ({_at}),
+    _put(f"impose_{_layout}", _PD, f"select g.documentid, g.side_no, g.slot_no, coalesce(a.position, 0) as position from grid g left join slotted a on a.documentid = g.documentid and a.side_no = g.side_no and a.slot_no = g.slot_no",
+    _RANGES + f""", s as (select *, case when firstpageright then 1 else 0 end as o from published), slotted as ({_at}),
 grid as (select documentid, side_no, unnest(range(0, {_slots})) as slot_no from (select documentid, unnest(range(0, cast({_sides} as bigint))) as side_no from (select distinct documentid, c, o from s) x) y)""")
 _put("print_plan", _PD, """select documentid, side_no, slot_no, id, round(slot_no * 148.5 + 5 + (138.5 - width * z) / 2, 2) as x, round(5 + (196 - height * z) / 2, 2) as y, round(width * z, 2) as w, round(height * z, 2) as h from
 (select *, q - 1 as side_no, case when (q % 2 = 1) = (pp = q) then 1 else 0 end as slot_no, least(138.5 / width, cast(196 as double) / height) as z from (select *, least(pp, 4 * cast(ceil((c + 1 - o) / 4.0) as bigint) + 1 - pp) as q from (select *, position + 1 - o as pp from s) a) b) e""",

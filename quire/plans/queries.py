@@ -22,7 +22,11 @@ from quire.plans.fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-NOW = F.lit("2024-01-15 00:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2024-01-15 00:00:00").cast("timestamp")
+
 
 
 def query(*views: str):
@@ -179,12 +183,12 @@ def glossary_lookup(part, g):
 
 @query("fx_job")
 def recent_jobs(j):
-    return P.recent_jobs(j, NOW).select("documentid", "id", "rank")
+    return P.recent_jobs(j, now()).select("documentid", "id", "rank")
 
 
 @query("fx_job")
 def stale_jobs(j):
-    return P.stale_jobs(j, NOW).select("id")
+    return P.stale_jobs(j, now()).select("id")
 
 
 @query("fx_job")

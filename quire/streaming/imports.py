@@ -48,12 +48,12 @@ def job_states(events: DataFrame) -> DataFrame:
 
 def first_views(views: DataFrame, late: str = "1 hour") -> DataFrame:
     """views (user_id, documentid, ts): the first event of each user and document within the watermark."""
-    return views.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "documentid"])
+    return views.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "documentid"])
 
 
 def view_counts(views: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(documentid, window start, views) per time window."""
-    n = views.withWatermark("ts", late).groupBy("documentid", F.window("ts", window)).agg(F.count("*").alias("views"))
+    n = views.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("documentid", F.window("ts", window)).agg(F.count("*").alias("views"))
     return n.select("documentid", F.col("window.start").alias("start"), "views")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 
 import numpy as np
@@ -10,7 +11,22 @@ import public_tokenizers
 
 from quire.llm.bpe import VOCABULARY, byte_letters, pieces
 
-KEPT = 400_000  # pieces that a worker remembers
+KEPT = 500_000  # pieces that a worker remembers
+
+
+class _Pieces(dict):
+    """Ids of pieces; a piece that isn't known yet goes to the library."""
+
+    def __init__(self, model, code: str):
+        self.model, self.code, self.letters = model, code, dict(enumerate(byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", self.letters[32])
+        else:
+            spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = self[piece] = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return ids
 
 
 class LibraryEncoder:
@@ -24,29 +40,17 @@ class LibraryEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        self.model = self.whole.model
-        self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, bytes] = {}
-        self.width = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-
-    def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], self.width).tobytes()
+        small = self.whole.get_vocab_size() <= 1 << 16
+        self.width = np.dtype(np.uint16 if small else np.uint32)
+        self.known = _Pieces(self.whole.model, "H" if small else "I")
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian integers of self.width."""
+        """Ids as integers of self.width."""
         if any(s in text for s in self.special):  # the library finds special tokens before the pattern does
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        out = []
-        for p in pieces(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = known[p] = self._piece(p)
-            out.append(ids)
-        return b"".join(out)
+        if len(self.known) > KEPT:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, pieces(text)))
 
 
 @cache

@@ -127,3 +127,18 @@ def natural_key(name: Column) -> Column:
     """Sort key of natural, case-insensitive file name order."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(r"^\d+$")), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def split_text(text: Column, budget: Column | int) -> Column:
+    """struct<head, tail>: text cut at the last space before a budget of characters (20 at least); no space, no cut."""
+    most = F.greatest(F.lit(20), F.lit(budget) if isinstance(budget, int) else budget)
+    head = F.regexp_extract(F.substr(text, F.lit(1), most), r"^(.*) ", 1)
+    short = F.length(text) <= most
+    return F.struct(F.when(short | (head == ""), text).otherwise(head).alias("head"), F.when(short | (head == ""), "").otherwise(F.substr(text, F.length(head) + 2)).alias("tail"))
+
+
+def portable_links(text: Column, base: str) -> Column:
+    """Links to documents of this site (``base`` followed by an id) as tokens that another site can read."""
+    import re
+
+    return F.regexp_replace(text, re.escape(base) + r"(\d+)", "@@DOC*$1@@")

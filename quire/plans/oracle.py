@@ -144,3 +144,10 @@ _put("text_columns", (), """select page, row_number() over (partition by page or
 (select page, min(x) as first, max(x) as last from (select page, x, x - row_number() over (partition by page order by x) as g from profile where ink >= 0.08) a group by page, g) r) s) t group by page, g) u where last - first + 1 > 6.4) v where c >= 2""", _PROFILE)
 _put("border_box", (), "select page, least(coalesce(min(case when ink < 0.1 then x end), 0), 12) as first, greatest(coalesce(max(case when ink < 0.1 then x end), 63), 51) as last from profile group by page", _PROFILE)
 _put("row_profile", (), "select doc_id as page, i - 1 as y, round(1 - length(regexp_replace(s, '[^ ]', '', 'g')) / cast(length(s) as double), 6) as ink from (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) t where length(s) > 0")
+
+_put("visible_pages", _PD, """select id % 10 as userid, pid as id, masked from (select d.id, p.id as pid, false as masked from fx_document d join fx_page p on p.documentid = d.id where not p.staged and d.id % 3 = 0 union all
+select d.id, u.id, d.id % 2 <> 0 from fx_document d join published u on u.documentid = d.id where d.id % 3 <> 0) t""", _RANGES)
+_put("layout_pages", ("fx_line",), f"""select a.documentid, coalesce(segment, 0) + 1 as page_no, coalesce(content, '') as content from (select distinct documentid from fx_line) a left join (select documentid, segment, string_agg(line, chr(10) order by line_no) as content from
+(select documentid, line_no, line, dense_rank() over (partition by documentid order by s) - 1 as segment from (select *, {_BRK} as brk, sum(case when {_BRK} then 1 else 0 end) over (partition by documentid order by line_no rows between unbounded preceding and current row) as s from fx_line) t where not brk) u group by all) b on b.documentid = a.documentid""")
+_put("split_passages", (), """select doc_id, case when length(t) <= 200 or h = '' then t else h end as head, case when length(t) <= 200 or h = '' then 0 else length(t) - length(h) - 1 end as rest from (select doc_id, t, regexp_extract(left(t, 200), '^(.*) ', 1) as h from (select doc_id, replace(text, chr(10), ' ') as t from documents) a) b""")
+_put("image_texts", (), "select p_partkey as id, o.src is not null as found, case when o.src is null then '[' || coalesce(nullif(case when p_size % 3 = 0 then '' else p_brand end, ''), p_name) || ']' else '-' end as fallback from part left join (select distinct o_orderkey * 2 as src from orders) o on o.src = p_partkey")

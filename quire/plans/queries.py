@@ -16,6 +16,7 @@ from quire.operators import impose as I
 from quire.operators import order as O
 from quire.operators import overlay as V
 from quire.operators import provenance as P
+from quire.operators import publish as PU
 from quire.operators import raster as RA
 from quire.operators import transfer as TR
 from quire.plans.fixtures import view
@@ -448,3 +449,27 @@ def _cells(d):
 @query("documents")
 def row_profile(d):
     return RA.row_profile(_cells(d)).select("page", "y", F.round("ink", 6).alias("ink"))
+
+
+# publishing
+@query("fx_page", "fx_document")
+def visible_pages(p, d):
+    grants = d.select((F.col("id") % 10).alias("userid"), F.col("id").alias("documentid"), (F.col("id") % 3 == 0).alias("edit"), (F.col("id") % 2 == 0).alias("viewsolutions"))
+    return PU.visible_pages(p, d, grants)
+
+
+@query("fx_line")
+def layout_pages(x):
+    return PU.layout_pages(x)
+
+
+@query("documents")
+def split_passages(d):
+    s = d.select("doc_id", T.split_text(F.replace("text", F.lit("\n"), F.lit(" ")), 200).alias("s"))
+    return s.select("doc_id", "s.head", F.length("s.tail").alias("rest"))
+
+
+@query("part", "orders")
+def image_texts(part, orders):
+    refs = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("src"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand")).alias("alt"), F.col("p_name").alias("caption"))
+    return PU.image_texts(refs, orders.select((F.col("o_orderkey") * 2).alias("src"))).select("id", "found", F.coalesce("fallback", F.lit("-")).alias("fallback"))

@@ -174,3 +174,21 @@ def test_glossary_alias(spark):
 def test_job_result(spark):
     f = spark.createDataFrame([(1, 1, 1, None), (1, 2, 0, "bad.txt"), (2, 1, 0, "x.txt")], "job long, file_no int, pages int, error string")
     assert sorted(tuple(r) for r in provenance.job_result(f).collect()) == [(1, 1, "bad.txt", "done"), (2, 0, "x.txt", "failed")]
+
+
+def test_publishing_edits(spark):
+    from quire.operators import publish
+
+    d = spark.createDataFrame([(1, "see http://s/d?id=5 and http://s/d?id=6")], "id long, text string").withColumn("text", T.portable_links(F.col("text"), "http://s/d?id="))
+    assert d.first().text == "see @@DOC*5@@ and @@DOC*6@@"
+    assert publish.decoded_links(d, spark.createDataFrame([(5, 50)], "old long, new long")).first().text == "see 50 and "
+    b = spark.createDataFrame([(1, 0, "a.png", bytearray(b"x")), (1, 1, None, None)], "sourceid long, block_index int, filename string, data binary")
+    rows, media = publish.split_media(b)
+    assert [bytes(r.data) for r in publish.joined_media(rows, media).orderBy("block_index").collect()] == [b"x", b""]
+    s = spark.createDataFrame([(1, "lines", 99, False), (2, "magic", 0, True)], "id long, template string, count int, landscape boolean")
+    got = publish.worksheet_lines(s).groupBy("id").agg(F.countDistinct("page_no").alias("p"), F.count("*").alias("n")).collect()
+    assert [(r.id, r.p, r.n) for r in got] == [(1, 50, 50 * 33)]
+    o = spark.createDataFrame([(1, 1, "mask", 0.1, 0.1, 0.1, 0.1, "a", 3)], "id long, pageid long, overlaytype string, x double, y double, w double, h double, data string, sortorder int")
+    c = spark.createDataFrame([(1, 2, "audio", 0.5, None, None, None, None), (9, 1, "mask", 0.0, 0.0, 1.0, 1.0, "n")], "id long, pageid long, overlaytype string, x double, y double, w double, h double, data string")
+    r = publish.upsert_overlays(o, c).orderBy("id").collect()
+    assert (r[0].pageid, r[0].overlaytype, r[0].x, r[0].y, r[0].data) == (2, "mask", 0.5, 0.1, "a") and r[1].id == 9

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import cut, written
+from quire.llm.substring import byte_slices
 from quire.llm.tokens import library_encoder
 
 DIMS = 4
@@ -78,7 +79,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, end: int, path: str |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_encoder(path)
         tail = np.array([end], coder.width).tobytes()
-        for b in batches:
+        for b in byte_slices(batches, 1):
             blobs = [coder.encode(t.as_py() or "") + tail for t in b.column(1)]
             n = np.array([len(x) // coder.width.itemsize for x in blobs], np.int64)
             p = project(np.frombuffer(b"".join(blobs), coder.width), n) if len(n) else np.zeros((0, DIMS), np.float32)

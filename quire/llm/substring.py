@@ -110,10 +110,10 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Batches (doc_id, key, text) cut into stretches of about ``most`` bytes of text, which bounds a worker's memory."""
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut into stretches with about ``most`` bytes in a text column, which bounds a worker's memory."""
     for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < b.num_rows:
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most)))
@@ -136,7 +136,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 27) -> DataF
     docs = docs.select("doc_id", "key", "text")
 
     def aligned(batches):
-        for b in _slices(batches):
+        for b in byte_slices(batches, 2):
             parts = []
             for _, _, h in _per_text(b):
                 if len(h) >= window:
@@ -146,7 +146,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 27) -> DataF
     index = build_filter(spark, docs.mapInArrow(aligned, "h long"), bits)
 
     def probed(batches):
-        for b in _slices(batches):
+        for b in byte_slices(batches, 2):
             hashes, ids = [], []
             for doc, _, h in _per_text(b):
                 if len(h) >= window and doc is not None:
@@ -165,7 +165,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 27) -> DataF
     anchors = build_filter(spark, shared, bits)
 
     def extended(batches):
-        for b in _slices(batches):
+        for b in byte_slices(batches, 2):
             hashes, ids, keys, at = [], [], [], []
             for doc, key, h in _per_text(b):
                 if len(h) < window or doc is None:

@@ -11,7 +11,7 @@ import public_tokenizers
 
 from quire.llm.bpe import VOCABULARY, byte_letters, pieces
 
-KEPT = 500_000  # pieces that a worker remembers
+KEPT = 350_000  # pieces that a worker remembers
 
 
 class _Pieces(dict):

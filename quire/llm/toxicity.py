@@ -125,7 +125,7 @@ class Decoder:
         """A suspicious stretch between white space, restored; a run of single letters also gives the endings of what it spells."""
         out = self.known.get(run)
         if out is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             parts = [run[i : i + 200] for i in range(0, len(run), 200)]  # a path through a very long run is found piece by piece
             out = " ".join(map(self.restore, parts)) if len(parts) > 1 else self.restore(run)

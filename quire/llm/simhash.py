@@ -26,6 +26,8 @@ from quire.llm.store import cut
 SMALL = 24  # groups up to this size are compared by shifting, all groups of a batch at once
 TILE = 512
 WIDE = 4  # words of a wide fingerprint
+HALF = 52  # bits in which the first two of four words may differ; 24 are expected at most at a similarity of 0.8, with a deviation of 4.4
+CHUNK = 1_000_000  # shingles of a cluster that are compared at once with as many others
 
 
 def text_fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
@@ -45,15 +47,21 @@ def text_fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, ngram: int = 5) -> tuple[int, np.ndarray]:
-    """(distinct shingles, 256-bit SimHash of them as four words); the words of short texts are one shingle, no words none."""
+def shingles(text: str | None, ngram: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; the words of short texts are one shingle, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     hashed, join = xxhash.xxh64_intdigest, b" ".join
     some = zip(*(words[i:] for i in range(ngram))) if len(words) >= ngram else [words]
-    h = np.unique(np.fromiter((hashed(join(x), 42) for x in some), np.uint64))
-    out = np.zeros(WIDE, np.uint64)
+    return np.unique(np.fromiter((hashed(join(x), 42) for x in some), np.uint64))
+
+
+def wide_fingerprint(text: str | None, ngram: int = 5) -> tuple[int, np.ndarray]:
+    """(distinct shingles, 256-bit SimHash of them as four words)."""
+    h, out = shingles(text, ngram), np.zeros(WIDE, np.uint64)
+    if not len(h):
+        return 0, out
     for k in range(WIDE):
         x = h * np.uint64(2 * k + 1)  # another mix of the bits for each word
         x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
@@ -93,11 +101,11 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs of fingerprints (last axis: words) differ in at most radius bits; later words only where the first two allow it."""
+    """Which pairs of fingerprints (last axis: words) differ in at most radius bits; later words only where the first two differ in HALF at most."""
     d = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.uint16)
     if a.shape[-1] > 1:
         d += np.bitwise_count(a[..., 1] ^ b[..., 1])
-    near = d <= radius
+    near = d <= (min(radius, HALF) if a.shape[-1] > 2 else radius)
     if a.shape[-1] > 2 and near.any():
         at = np.nonzero(near)
         x, y = np.broadcast_arrays(a, b)
@@ -200,14 +208,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fingerprint").select(F.col("doc_id").alias(id_col), "fingerprint", "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 44, ngram: int = 5, tile_rows: int = 8192) -> DataFrame:
-    """(id, component_id) of documents whose five-word shingle sets have a similarity of about 0.8 or more.
+def _similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, root) that span all pairs of sets with a Jaccard similarity of 0.8 or more; sets in order of size."""
+    size, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    ends = np.cumsum(size)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(flat.max()) + 1, np.int32)
+    top = np.searchsorted(size, size * 5 // 4, "right")  # larger sets can't reach 0.8
+    for i in range(len(sets)):
+        other = i + 1 + np.flatnonzero(label[i + 1 : top[i]] != label[i])
+        if not len(other):
+            continue
+        own = flat[ends[i] - size[i] : ends[i]]
+        mark[own] = 1
+        if len(other) == top[i] - i - 1:
+            inside = mark[flat[ends[i] : ends[top[i] - 1]]]
+        else:
+            inside = mark[np.concatenate([flat[ends[j] - size[j] : ends[j]] for j in other])]
+        both = np.add.reduceat(inside, np.r_[0, np.cumsum(size[other])[:-1]])
+        mark[own] = 0
+        hit = other[9 * both.astype(np.int64) >= 4 * (size[i] + size[other])]
+        label = _settle(label, np.full(len(hit), i), hit)
+    member = np.flatnonzero(label != np.arange(len(sets)))
+    return member, label[member]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (cluster, lo, hi, node, n, shingles) -> links of nodes whose sets are similar; one group is held at a time."""
+    key, nodes, sets = None, [], []
+
+    def out() -> pa.RecordBatch:
+        a, b = _similar(sets)
+        at = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_pydict({"a": at[a], "b": at[b]})
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+        for k, node, blob in zip(keys, batch.column("node").to_pylist(), batch.column("shingles")):
+            if k != key:
+                if len(sets) > 1:
+                    yield out()
+                key, nodes, sets = k, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(blob.as_py(), np.uint64))
+    if len(sets) > 1:
+        yield out()
+
+
+def _exact_links(docs: DataFrame, clusters: DataFrame, ngram: int, chunk: int) -> DataFrame:
+    """(doc_id, text) and (node, component, n) -> links (a, b) that span the pairs of a component with a similarity of 0.8 or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [shingles(t.as_py(), ngram) for t in part.column("text")]
+                yield pa.RecordBatch.from_pydict({"cluster": part.column("component"), "g": part.column("g"), "node": part.column("node"), "n": pa.array([len(h) for h in found], pa.int64()), "shingles": pa.array([h.tobytes() for h in found], pa.binary())})
+
+    grid = clusters.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("long").alias("g"))
+    wanted = clusters.select("node", "component").distinct().join(grid, "component")
+    rows = docs.join(wanted, F.col("doc_id") == F.col("node")).select("component", "g", "node", "text")
+    rows = rows.mapInArrow(sets, "cluster long, g long, node long, n long, shingles binary").where("n > 0").withColumn("c", F.pmod(F.xxhash64("node"), "g"))
+    pairs = F.explode(F.expr("transform(sequence(0L, g - 1), j -> struct(least(c, j) as lo, greatest(c, j) as hi))"))
+    dealt = rows.select("cluster", "node", "n", "shingles", pairs.alias("p")).select("cluster", "p.lo", "p.hi", "node", "n", "shingles")
+    dealt = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "n", "node")
+    return dealt.mapInArrow(_verified, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 80, ngram: int = 5, tile_rows: int = 8192, chunk: int = CHUNK) -> DataFrame:
+    """(id, component_id) of documents; links are the pairs whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Wide fingerprints (256 bits over distinct shingles) leave little doubt about the similarity: at
-    0.8 they differ in 39 bits on average, unrelated texts in 128. A pair of 0.8 has sizes within a
-    factor of 1.25, so texts meet in bands of that width and the next, and in a band they are
-    compared tile against tile like the narrow ones. Rows with null ids or without words keep to
-    themselves (component: the id); equal ids share a component; an empty table gives no rows.
+    Wide fingerprints (256 bits over distinct shingles) give candidates only: at 0.8 they differ in
+    39 bits on average (48 for 4 shingles against 5, with a deviation of 6), unrelated texts in 128.
+    A pair of 0.8 has sizes within a factor of 1.25, so texts meet in bands of that width and the
+    next, and in a band they are compared tile against tile like the narrow ones. Sets under 4
+    shingles have equal partners only. Inside a cluster of candidates the sets themselves are
+    compared, and only pairs of 0.8 or more are linked. Rows with null ids or without words keep to
+    themselves (component: the id); equal texts share a component; an empty table gives no rows.
     """
 
     @F.pandas_udf("n long, fingerprint array<long>")
@@ -215,10 +292,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = [wide_fingerprint(t, ngram) for t in texts]
         return pd.DataFrame({"n": [n for n, _ in found], "fingerprint": [w.view(np.int64) for _, w in found]})
 
-    fps = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), wide(F.col(text_col)).alias("w")).select("doc_id", "w.*"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = cut(docs.select("doc_id", wide("text").alias("w")).select("doc_id", "w.*"))
     classes = cut(fps.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "fingerprint").agg(F.min("doc_id").alias("rep")))
     band = F.floor(F.log("n") / np.log(1.25)).cast("long")
-    keyed = classes.select("rep", "fingerprint", F.posexplode(F.array(band, band + 1)).alias("t", "v")).withColumn("t", F.lit(0))
-    found = components(_compared(keyed, radius, tile_rows))
+    keyed = classes.where("n > 3").select("rep", "fingerprint", F.posexplode(F.array(band, band + 1)).alias("t", "v")).withColumn("t", F.lit(0))
+    clusters = classes.join(components(_compared(keyed, radius, tile_rows)), F.col("rep") == F.col("node")).select("node", "component", "n")
+    found = components(_exact_links(docs, cut(clusters), ngram, chunk))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "fingerprint", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, ["n", "fingerprint"], "left").select(F.col("doc_id").alias(id_col), F.coalesce("component_id", "doc_id").alias("component_id"))

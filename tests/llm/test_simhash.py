@@ -87,3 +87,17 @@ def test_near_copies_edges(edge, empty):
     by = dict(got)
     assert len(got) == edge.count() and by[1] == 1 and by[2] == 2 and by[5] == 4 and by[11] == 6 and by[None] is None
     assert simhash.near_copies(empty).count() == 0
+
+
+def test_near_copies_equal_brute_force_around_the_threshold(spark):
+    rnd, rows, pairs = random.Random(8), [], []
+    for n, extra in [(4, 1), (6, 1), (5, 2), (50, 12), (50, 13), (50, 20), (90, 16), (90, 30), (200, 50), (200, 51), (200, 85)] * 40:  # the longer text has extra shingles
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(n + extra + 4)]
+        i = len(rows)
+        rows += [(i, " ".join(w[: n + 4])), (i + 1, " ".join(w))]
+        pairs.append((i, 5 * n >= 4 * (n + extra)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"chunk": 200}):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(d, **options).collect()}
+        assert [(got[i + 1] == i) for i, _ in pairs] == [near for _, near in pairs]
+        assert len(got) == len(rows)

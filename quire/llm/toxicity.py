@@ -1,7 +1,7 @@
 """Toxicity scores of deobfuscated text.
 
 A noisy channel writes letters as look-alike signs, puts spaces or dots between them or repeats
-them. Each suspicious run becomes a lattice of the letters it may stand for, and the Viterbi path
+them. Each suspicious run (words that mix letters with signs, repeat a letter or are spelled out) becomes a lattice of the letters it may stand for, and the Viterbi path
 under a character trigram model of the whole corpus restores it. The restored text is scored by a
 logistic regression over word beginnings and words that training documents of label 1 favour.
 """
@@ -26,7 +26,7 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 GAPS = " .-_*"
 EDGE = "!|+(*"  # signs that are often plain punctuation at the edge of a word
 A = 64  # characters of the model: 0 no letter, 1-26 a-z, 27-62 other letters by code point, 63 digits
-SIGN_COST, GAP_COST, WORD_COST, REPEAT_COST, KEEP_COST, EDGE_COST = 1.0, 0.3, 4.0, 0.7, 6.0, 6.0
+SIGN_COST, GAP_COST, WORD_COST, REPEAT_COST, DOUBLE_COST, LONE_COST, KEEP_COST, EDGE_COST = 1.0, 0.3, 4.0, 0.7, 5.0, 10.0, 6.0, 6.0
 
 _SIGN = re.escape("".join(SIGNS))
 _ONE = rf"(?:[^\W\d_]|[{_SIGN}])"
@@ -53,6 +53,11 @@ def _codes() -> np.ndarray:
     return np.array([code(chr(i).lower()[0]) for i in range(0x10000)], np.int64)
 
 
+@lru_cache(1)
+def _lower() -> np.ndarray:
+    return np.array([ord(chr(i).lower()[0]) for i in range(0x10000)], np.uint32)
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the model's trigrams in all texts of a partition."""
     counts = np.zeros(A**3, np.int64)
@@ -92,6 +97,9 @@ class Decoder:
     def restore(self, run: str) -> str:
         """The likeliest letters behind a run; states are the last two characters written."""
         low, cost = run.lower(), self.cost
+        plain = [i for i, c in enumerate(low) if c.isalnum() or c in SIGNS and c not in EDGE]
+        lo, hi = (plain[0], plain[-1]) if plain else (0, -1)  # signs of EDGE outside are likely punctuation
+        doubled = DOUBLE_COST if sum(x == y and x.isalpha() for x, y in zip(low, low[1:])) > 1 else LONE_COST  # one is common spelling
         states = {("", ""): (0.0, "")}
         for i, c in enumerate(low):
             inner, arcs = 0 < i < len(low) - 1, []  # (what is written, channel cost)
@@ -102,8 +110,9 @@ class Decoder:
                 if c in GAPS and inner:
                     arcs += [("", GAP_COST), (" ", WORD_COST)]
                 else:
-                    arcs.append((" ", 0.0 if c not in SIGNS or c in EDGE and not inner else KEEP_COST if inner else EDGE_COST))
+                    arcs.append((" ", 0.0 if c not in SIGNS or c in EDGE and not lo < i < hi else KEEP_COST if inner else EDGE_COST))
             thrice = i > 0 and c == low[i - 1] and (low[i + 1 : i + 2] == c or low[i - 2 : i - 1] == c and i > 1)
+            twice = i > 0 and not thrice and c == low[i - 1] and c.isalpha()
             new: dict = {}
             for (p, q), (so_far, text) in states.items():
                 for x, extra in arcs:
@@ -114,9 +123,10 @@ class Decoder:
                         key, out = (q, x), text + x
                     if key not in new or so_far + step < new[key][0]:
                         new[key] = (so_far + step, out)
-                if thrice and q and q != " ":  # a repeated sign may write nothing
-                    if (p, q) not in new or so_far + REPEAT_COST < new[p, q][0]:
-                        new[p, q] = (so_far + REPEAT_COST, text)
+                if (thrice and q and q != " ") or (twice and q == c):  # a repeated sign may write nothing
+                    again = so_far + (REPEAT_COST if thrice else doubled)
+                    if (p, q) not in new or again < new[p, q][0]:
+                        new[p, q] = (again, text)
             states = new
         end = min(states.items(), key=lambda s: s[1][0] + float(cost[code(s[0][0]) if s[0][0] else 0, code(s[0][1]) if s[0][1] else 0, 0]))
         return end[1][1]
@@ -129,6 +139,8 @@ class Decoder:
                 self.known.clear()
             parts = [run[i : i + 200] for i in range(0, len(run), 200)]  # a path through a very long run is found piece by piece
             out = " ".join(map(self.restore, parts)) if len(parts) > 1 else self.restore(run)
+            if word_line(out) == word_line(run.lower()):  # its letters stay, so its punctuation does
+                out = run.lower()
             if len(run) <= 200 and GAPPED.fullmatch(run):
                 spelled = NOT_LETTERS.sub("", out)
                 out += "".join(" " + spelled[k:] for k in range(1, len(spelled) - 3))
@@ -143,8 +155,11 @@ class Decoder:
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter, sign, gap, space = (kind & k > 0 for k in (1, 2, 4, 8))
         hit = np.zeros(len(cp), bool)
-        hit[1:] |= sign[:-1] & letter[1:]  # a sign before a letter
-        hit[2:] |= letter[2:] & (cp[2:] == cp[1:-1]) & (cp[2:] == cp[:-2])
+        low = _lower()[np.minimum(cp, 0xFFFF)]
+        hit[1:] |= letter[1:] & (low[1:] == low[:-1]) & (cp[1:] < 0x10000)  # a letter twice
+        word = np.cumsum(space)  # number of each character's word
+        mixed = np.bincount(word[letter], minlength=word[-1] + 1).astype(bool) & np.bincount(word[sign], minlength=word[-1] + 1).astype(bool)
+        hit |= (letter | sign) & mixed[word]
         one = letter | sign
         if len(cp) >= 5:  # a letter between gaps, twice in a row
             hit[4:] |= one[4:] & gap[3:-1] & one[2:-2] & gap[1:-3] & one[:-4]

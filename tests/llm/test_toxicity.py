@@ -14,6 +14,15 @@ def test_decoding(model, written):
     assert meant in toxicity.Decoder(model).text(f"the {written} of and").split()
 
 
+@pytest.mark.parametrize("written, meant", [("idio7", "idiot"), ("worthle55", "worthless"), ("worthle$$", "worthless"), ("disgustin9", "disgusting"), ("IdiOoOt", "idiot"), ("idiioott", "idiot"), ("ssttuuppiidd", "stupid"), ("cloown", "clown")])
+def test_decoding_of_signs_at_the_end_and_of_doubled_letters(model, written, meant):
+    assert meant in toxicity.Decoder(model).text(f"the {written} of and").split()
+
+
+def test_punctuation_and_single_doublings_stay(model):
+    assert toxicity.word_line(toxicity.Decoder(model).text("the idiot!! worthless and")).split() == ["the", "idiot", "worthless", "and"]
+
+
 def test_plain_text_stays(model):
     t = "The price was 20 euros, e-mail me at noon.\nThanks 100%"
     assert toxicity.Decoder(model).text(t) == t.lower()

@@ -24,6 +24,7 @@ from quire.llm.store import cut
 # Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "aeiou"}
 GAPS = " .-_*"
+SPELLED = 64  # letters that are read on from each letter of a spelled-out run; more than a feature has
 EDGE = "!|+(*"  # signs that are often plain punctuation at the edge of a word
 A = 64  # characters of the model: 0 no letter, 1-26 a-z, 27-62 other letters by code point, 63 digits
 SIGN_COST, GAP_COST, WORD_COST, REPEAT_COST, DOUBLE_COST, LONE_COST, KEEP_COST, EDGE_COST = 1.0, 0.3, 4.0, 0.7, 5.0, 10.0, 6.0, 6.0
@@ -100,7 +101,7 @@ class Decoder:
         plain = [i for i, c in enumerate(low) if c.isalnum() or c in SIGNS and c not in EDGE]
         lo, hi = (plain[0], plain[-1]) if plain else (0, -1)  # signs of EDGE outside are likely punctuation
         doubled = DOUBLE_COST if sum(x == y and x.isalpha() for x, y in zip(low, low[1:])) > 1 else LONE_COST  # one is common spelling
-        states = {("", ""): (0.0, "")}
+        states = {("", ""): (0.0, None)}
         for i, c in enumerate(low):
             inner, arcs = 0 < i < len(low) - 1, []  # (what is written, channel cost)
             if c.isalpha():
@@ -120,7 +121,7 @@ class Decoder:
                         step, key, out = extra, (p, q), text
                     else:
                         step = extra + float(cost[code(p) if p else 0, code(q) if q else 0, code(x)])
-                        key, out = (q, x), text + x
+                        key, out = (q, x), (x, text)  # what is written, what was written before
                     if key not in new or so_far + step < new[key][0]:
                         new[key] = (so_far + step, out)
                 if (thrice and q and q != " ") or (twice and q == c):  # a repeated sign may write nothing
@@ -129,7 +130,11 @@ class Decoder:
                         new[p, q] = (again, text)
             states = new
         end = min(states.items(), key=lambda s: s[1][0] + float(cost[code(s[0][0]) if s[0][0] else 0, code(s[0][1]) if s[0][1] else 0, 0]))
-        return end[1][1]
+        written, at = [], end[1][1]
+        while at is not None:
+            x, at = at
+            written.append(x)
+        return "".join(reversed(written))
 
     def run(self, run: str) -> str:
         """A suspicious stretch between white space, restored; a run of single letters also gives the endings of what it spells."""
@@ -137,14 +142,14 @@ class Decoder:
         if out is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            parts = [run[i : i + 200] for i in range(0, len(run), 200)]  # a path through a very long run is found piece by piece
-            out = " ".join(map(self.restore, parts)) if len(parts) > 1 else self.restore(run)
+            out = self.restore(run)
             if word_line(out) == word_line(run.lower()):  # its letters stay, so its punctuation does
                 out = run.lower()
-            if len(run) <= 200 and GAPPED.fullmatch(run):
+            if GAPPED.fullmatch(run):
                 spelled = NOT_LETTERS.sub("", out)
-                out += "".join(" " + spelled[k:] for k in range(1, len(spelled) - 3))
-            self.known[run] = out
+                out += "".join(" " + spelled[k : k + SPELLED] for k in range(1, len(spelled) - 3))
+            if len(run) <= 200:  # only what is remembered depends on the length
+                self.known[run] = out
         return out
 
     def text(self, text: str) -> str:

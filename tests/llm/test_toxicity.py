@@ -28,6 +28,13 @@ def test_plain_text_stays(model):
     assert toxicity.Decoder(model).text(t) == t.lower()
 
 
+def test_long_runs_are_decoded_whole(model):
+    meant = "thisisanidiotand" * 30
+    for gap in " .":
+        assert toxicity.Decoder(model).text(gap.join(meant)).count(" idiotand") >= 30
+    assert toxicity.Decoder(model).text("x" * 196 + "/w0rthl3ss/x").split()[-2] == "worthless"
+
+
 def test_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).where(toxicity.held_out()).join(labels, "doc_id").select("toxic", "predicted").collect()

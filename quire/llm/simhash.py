@@ -1,17 +1,21 @@
-"""SimHash near-duplicates: 64-bit fingerprints, compared exactly in tiles.
-
-Fingerprints are cut into ``radius + agree`` blocks; two fingerprints within the radius agree on
-at least ``agree`` whole blocks, so only fingerprints that share such a key meet. Inside a key the
-rows lie in order of their population counts and are compared tile against tile with numpy
-exclusive-or and bit counts; a tile pair whose population counts differ by more than the radius is
-skipped. Keys with more than ``tile_rows`` fingerprints are dealt out as a grid of chunk pairs, so
-no task ever holds an unbounded key, and every pair still meets once at least.
+"""SimHash near-duplicates: fingerprints compared exactly in tiles.
+
+Narrow fingerprints (64 bits) are cut into ``radius + 1`` blocks; two within the radius agree on
+one whole block at least, so only fingerprints that share a block meet. A block value that too many
+fingerprints have is cut further: what is left of them is again dealt by ``radius + 1`` blocks, and
+so on, so that every pair still meets, rows grow by a constant factor and no task holds more than
+``tile_rows`` of them. Inside a group the rows lie in order of their population counts and are
+compared tile against tile with numpy exclusive-or and bit counts; a tile pair is skipped if its
+population counts differ by more than the radius, or if all its rows are linked already.
+
+Near copies (Jaccard similarity of five-word shingles) meet under bands of minimum hashes, are
+compared in the same tiles by wide fingerprints, and what is near there is verified by its sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,13 +25,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.store import cut
+from quire.llm.store import cut, written
+from quire.llm.substring import build_filter, byte_slices
 
 SMALL = 24  # groups up to this size are compared by shifting, all groups of a batch at once
 TILE = 512
 WIDE = 4  # words of a wide fingerprint
 HALF = 52  # bits in which the first two of four words may differ; 24 are expected at most at a similarity of 0.8, with a deviation of 4.4
-CHUNK = 1_000_000  # shingles of a cluster that are compared at once with as many others
+RADIUS = 72  # bits of a wide fingerprint; of 400 pairs each at a similarity of 0.8 the furthest were 65 (4 shingles against 5) and 51 apart
+BANDS, ROWS = 20, 4  # minimum hashes
+CHUNK = 1 << 21  # shingles of a cluster that are compared at once
+MASK = (1 << 64) - 1
 
 
 def text_fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
@@ -57,12 +65,10 @@ def shingles(text: str | None, ngram: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((hashed(join(x), 42) for x in some), np.uint64))
 
 
-def wide_fingerprint(text: str | None, ngram: int = 5) -> tuple[int, np.ndarray]:
-    """(distinct shingles, 256-bit SimHash of them as four words)."""
-    h, out = shingles(text, ngram), np.zeros(WIDE, np.uint64)
-    if not len(h):
-        return 0, out
-    for k in range(WIDE):
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of distinct shingle hashes as four words."""
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(WIDE if len(h) else 0):
         x = h * np.uint64(2 * k + 1)  # another mix of the bits for each word
         x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
         x ^= x >> np.uint64(32)
@@ -70,7 +76,22 @@ def wide_fingerprint(text: str | None, ngram: int = 5) -> tuple[int, np.ndarray]
         for at in range(0, len(x), 1 << 14):
             ones += np.unpackbits(x[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[k] = np.packbits(ones * 2 > len(x), bitorder="little").view("<u8")[0]
-    return len(h), out
+    return out
+
+
+_SALTS = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of distinct shingle hashes, each of ROWS minimum hashes: sets of a similarity j share a given key with a chance of j ** ROWS."""
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(h), 1 << 10):
+        np.minimum(low, ((h[at : at + (1 << 10), None] ^ _SALTS[0]) * _SALTS[1]).min(axis=0), out=low)
+    key = np.zeros(BANDS, np.uint64)
+    for part in low.reshape(BANDS, ROWS).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key
 
 
 def fingerprint(text: Column, ngram: int = 3, seed: int = 42) -> Column:
@@ -128,72 +149,87 @@ def _forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
         hit = small[_near(fp[small], fp[small + d], radius)]
         label = _settle(label, hit, hit + d)
     for s, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        for i in range(s, s + size, TILE):
-            ie = min(i + TILE, s + size)
-            for j in range(i, s + size, TILE):
-                if count[j] - count[ie - 1] > radius:  # sorted: all later tiles are further off
+        own, x, ones = np.arange(size), fp[s : s + size], count[s : s + size]
+        for i in range(0, size, TILE):
+            ie = min(i + TILE, size)
+            for j in range(i, size, TILE):
+                if ones[j] - ones[ie - 1] > radius:  # sorted: all later tiles are further off
                     break
-                a, b = np.nonzero(_near(fp[i:ie, None], fp[None, j : min(j + TILE, s + size)], radius))
-                label = _settle(label, a + i, b + j)
+                je = min(j + TILE, size)
+                if (own[i:ie] == own[i]).all() and (own[j:je] == own[i]).all():  # one component already
+                    continue
+                a, b = np.nonzero(_near(x[i:ie, None], x[None, j:je], radius))
+                own = _settle(own, a + i, b + j)
+        label[s : s + size] = own + s
     member = np.flatnonzero(label != np.arange(n))
     return member, label[member]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (key columns, fingerprint, rep) -> forest links; a key that spans batches is held until it ends."""
+    """Sorted rows (k, c, node, words ...) -> forest links (a, b); a group (k, c) that spans batches is held until it ends."""
     held = None
-    keys = ("t", "v", "lo", "hi")
 
-    def out(x: pd.DataFrame, group: np.ndarray) -> pa.RecordBatch:
-        fp = x["fingerprint"].to_numpy()
-        fp = np.stack(fp).astype(np.int64) if fp.dtype == object else fp[:, None]
-        a, b = _forest(group, fp.view(np.uint64), radius)
-        rep = x["rep"].to_numpy()
-        return pa.RecordBatch.from_pydict({"a": rep[a], "b": rep[b]})
+    def out(x: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        a, b = _forest(group, np.ascontiguousarray(x[3:].T).view(np.uint64), radius)
+        return pa.RecordBatch.from_pydict({"a": x[2, a], "b": x[2, b]})
 
-    def grouped(x: pd.DataFrame) -> np.ndarray:
-        k = x[list(keys)].to_numpy()
-        return np.cumsum(np.r_[0, (k[1:] != k[:-1]).any(axis=1)]) if len(k) else np.zeros(0, int)
+    def grouped(x: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.r_[0, (x[:2, 1:] != x[:2, :-1]).any(axis=0)])
 
     for batch in batches:
-        x = batch.to_pandas()
-        x = x if held is None else pd.concat([held, x], ignore_index=True)
-        group = grouped(x)
-        if not len(x):
+        if not batch.num_rows:
             continue
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns])
+        x = x if held is None else np.concatenate([held, x], axis=1)
+        group = grouped(x)
         last = int(np.searchsorted(group, group[-1]))
-        held = x.iloc[last:].reset_index(drop=True)
+        held = x[:, last:]
         if last:
-            yield out(x.iloc[:last], group[:last])
-    if held is not None and len(held):
+            yield out(x[:, :last], group[:last])
+    if held is not None:
         yield out(held, grouped(held))
 
 
-def near_links(classes: DataFrame, radius: int = 3, agree: int = 1, tile_rows: int = 4096) -> DataFrame:
-    """(fingerprint, rep) with distinct fingerprints -> links (a, b) of reps that span every component of pairs within the radius."""
-    n = radius + agree
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    part = [F.shiftrightunsigned("fingerprint", lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    keys = [F.xxhash64(*(part[i] for i in chosen)) if agree > 1 else part[chosen[0]] for chosen in combinations(range(n), agree)]
-    keyed = classes.where("rep is not null").select("rep", "fingerprint", F.posexplode(F.array(*keys)).alias("t", "v"))
-    return _compared(keyed, radius, tile_rows)
+def _compared(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """Rows (k, c, node, words) -> links (a, b) of nodes that span the pairs within the radius in each group (k, c)."""
+    ones = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    rows = dealt.select("k", "c", "node", *words, ones.alias("ones")).repartition("k", "c").sortWithinPartitions("k", "c", "ones", "node")
+    return rows.select("k", "c", "node", *words).mapInArrow(lambda it: _tiles(it, radius), "a long, b long")
+
 
+def _cut_out(value: Column, at: Column, edges: list[int]) -> Column:
+    """value without the bits of block ``at``; what lies above moves down."""
+    out = F.lit(0).cast("long")
+    for t, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        above = F.shiftleft(F.shiftrightunsigned(value, hi), lo) if hi < 64 else F.lit(0).cast("long")
+        out = F.when(at == t, above.bitwiseOR(value.bitwiseAND((1 << lo) - 1))).otherwise(out)
+    return out
 
-def _compared(keyed: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """Rows (t, v, fingerprint, rep) -> links that span the pairs within the radius under each key (t, v)."""
-    full = keyed.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows)
-    grid = F.coalesce(F.ceil(F.col("n") / tile_rows), F.lit(1)).cast("long")
-    dealt = keyed.join(full, ["t", "v"], "left").withColumn("g", grid).withColumn("c", F.pmod(F.xxhash64("fingerprint"), "g"))
-    pairs = F.explode(F.expr("transform(sequence(0L, g - 1), j -> struct(least(c, j) as lo, greatest(c, j) as hi))"))
-    dealt = dealt.select("t", "v", "rep", "fingerprint", pairs.alias("p")).select("t", "v", "p.lo", "p.hi", "fingerprint", "rep")
-    one = keyed.schema["fingerprint"].dataType.typeName() == "long"
-    ones = F.bit_count("fingerprint") if one else F.expr("aggregate(fingerprint, 0, (n, x) -> n + bit_count(x))")
-    dealt = dealt.withColumn("ones", ones).repartition("t", "v", "lo", "hi")
-    dealt = dealt.sortWithinPartitions("t", "v", "lo", "hi", "ones", "fingerprint").drop("ones")
-    return dealt.mapInArrow(lambda it: _tiles(it, radius), "a long, b long")
 
+def near_links(classes: DataFrame, radius: int = 3, tile_rows: int = 1 << 16) -> DataFrame:
+    """(fingerprint, rep) with distinct fingerprints -> links (a, b) of reps that span every component of pairs within the radius.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, ngram: int = 3, agree: int = 1) -> DataFrame:
+    Groups of more than ``tile_rows`` fingerprints go on to further blocks of the bits in which they
+    may still differ; when these have ``tile_rows`` values at most, no group can be larger.
+    """
+    n, width, links = radius + 1, 64, []
+    rows = classes.where("rep is not null").select("rep", "fingerprint", F.lit(0).cast("long").alias("k"), F.col("fingerprint").alias("rest"))
+    while True:
+        edges = [round(width * i / n) for i in range(n + 1)]
+        parts = F.array(*[F.shiftrightunsigned("rest", lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:])])
+        keyed = rows.select("rep", "fingerprint", "k", "rest", F.posexplode(parts).alias("t", "v"))
+        keyed = keyed.select(F.xxhash64("k", "t", "v").alias("k"), "rep", "fingerprint", _cut_out(F.col("rest"), F.col("t"), edges).alias("rest"))
+        full = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).select("k"))
+        last = full.isEmpty() or 1 << width <= tile_rows
+        cold = keyed if last else keyed.join(full, "k", "left_anti")
+        links.append(_compared(cold.select("k", F.lit(0).cast("long").alias("c"), F.col("rep").alias("node"), "fingerprint"), ["fingerprint"], radius))
+        if last:
+            return reduce(DataFrame.unionByName, links)
+        rows = written(keyed.join(full, "k", "left_semi"), "further-blocks")
+        width -= min(hi - lo for lo, hi in zip(edges, edges[1:]))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, ngram: int = 3, tile_rows: int = 1 << 16) -> DataFrame:
     """One row per document: (id, fingerprint, component_id), component_id the smallest id within reach.
 
     A null or wordless text has fingerprint 0 and links like any other. A row with a null id takes
@@ -203,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), ngram).alias("fingerprint")))
     classes = cut(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
-    found = components(near_links(classes, radius, agree))
+    found = components(near_links(classes, radius, tile_rows))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fingerprint").select(F.col("doc_id").alias(id_col), "fingerprint", "component_id")
 
@@ -211,30 +247,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root) that span all pairs of sets with a Jaccard similarity of 0.8 or more; sets in order of size."""
     size, label = np.array([len(x) for x in sets]), np.arange(len(sets))
-    ends = np.cumsum(size)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(int(flat.max()) + 1, np.int32)
+    ends, flat = np.cumsum(size), np.concatenate(sets)
+    known, flat, times = np.unique(flat, return_inverse=True, return_counts=True)
     top = np.searchsorted(size, size * 5 // 4, "right")  # larger sets can't reach 0.8
-    for i in range(len(sets)):
-        other = i + 1 + np.flatnonzero(label[i + 1 : top[i]] != label[i])
-        if not len(other):
-            continue
-        own = flat[ends[i] - size[i] : ends[i]]
-        mark[own] = 1
-        if len(other) == top[i] - i - 1:
-            inside = mark[flat[ends[i] : ends[top[i] - 1]]]
-        else:
+    if np.count_nonzero(times > 1) < 64 * size.mean():  # sets of one kind: a row of bits for each, over what two sets have at least
+        place = np.cumsum(times > 1) - 1
+        row, keep = np.repeat(np.arange(len(sets)), size), times[flat] > 1
+        bits = np.zeros((len(sets), -(-int(place[-1] + 1) // 64) * 64 or 64), bool)
+        bits[row[keep], place[flat[keep]]] = True
+        bits = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        tile = max(8, min(TILE, (1 << 20) // bits.shape[1]))
+        for i in range(len(sets)):
+            for j in range(i + 1, int(top[i]), tile):
+                je = min(j + tile, int(top[i]))
+                if (label[j:je] == label[i]).all():
+                    continue
+                both = np.bitwise_count(bits[i] & bits[j:je]).sum(axis=1, dtype=np.int64)
+                hit = j + np.flatnonzero(9 * both >= 4 * (size[i] + size[j:je]))
+                label = _settle(label, np.full(len(hit), i), hit)
+    else:
+        mark = np.zeros(len(known), np.int32)
+        for i in range(len(sets)):
+            other = i + 1 + np.flatnonzero(label[i + 1 : top[i]] != label[i])
+            if not len(other):
+                continue
+            own = flat[ends[i] - size[i] : ends[i]]
+            mark[own] = 1
             inside = mark[np.concatenate([flat[ends[j] - size[j] : ends[j]] for j in other])]
-        both = np.add.reduceat(inside, np.r_[0, np.cumsum(size[other])[:-1]])
-        mark[own] = 0
-        hit = other[9 * both.astype(np.int64) >= 4 * (size[i] + size[other])]
-        label = _settle(label, np.full(len(hit), i), hit)
+            both = np.add.reduceat(inside, np.r_[0, np.cumsum(size[other])[:-1]])
+            mark[own] = 0
+            hit = other[9 * both.astype(np.int64) >= 4 * (size[i] + size[other])]
+            label = _settle(label, np.full(len(hit), i), hit)
     member = np.flatnonzero(label != np.arange(len(sets)))
     return member, label[member]
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (cluster, lo, hi, node, n, shingles) -> links of nodes whose sets are similar; one group is held at a time."""
+def _verified(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (k, c, n, node, text) -> links of nodes whose shingle sets are similar; one group is held at a time."""
     key, nodes, sets = None, [], []
 
     def out() -> pa.RecordBatch:
@@ -243,61 +292,96 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"a": at[a], "b": at[b]})
 
     for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-        for k, node, blob in zip(keys, batch.column("node").to_pylist(), batch.column("shingles")):
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for k, node, text in zip(keys, batch.column(3).to_pylist(), batch.column(4)):
             if k != key:
                 if len(sets) > 1:
                     yield out()
                 key, nodes, sets = k, [], []
             nodes.append(node)
-            sets.append(np.frombuffer(blob.as_py(), np.uint64))
+            sets.append(shingles(text.as_py(), ngram))
     if len(sets) > 1:
         yield out()
 
 
-def _exact_links(docs: DataFrame, clusters: DataFrame, ngram: int, chunk: int) -> DataFrame:
-    """(doc_id, text) and (node, component, n) -> links (a, b) that span the pairs of a component with a similarity of 0.8 or more."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [shingles(t.as_py(), ngram) for t in part.column("text")]
-                yield pa.RecordBatch.from_pydict({"cluster": part.column("component"), "g": part.column("g"), "node": part.column("node"), "n": pa.array([len(h) for h in found], pa.int64()), "shingles": pa.array([h.tobytes() for h in found], pa.binary())})
-
-    grid = clusters.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("long").alias("g"))
-    wanted = clusters.select("node", "component").distinct().join(grid, "component")
-    rows = docs.join(wanted, F.col("doc_id") == F.col("node")).select("component", "g", "node", "text")
-    rows = rows.mapInArrow(sets, "cluster long, g long, node long, n long, shingles binary").where("n > 0").withColumn("c", F.pmod(F.xxhash64("node"), "g"))
-    pairs = F.explode(F.expr("transform(sequence(0L, g - 1), j -> struct(least(c, j) as lo, greatest(c, j) as hi))"))
-    dealt = rows.select("cluster", "node", "n", "shingles", pairs.alias("p")).select("cluster", "p.lo", "p.hi", "node", "n", "shingles")
-    dealt = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "n", "node")
-    return dealt.mapInArrow(_verified, "a long, b long")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 80, ngram: int = 5, tile_rows: int = 8192, chunk: int = CHUNK) -> DataFrame:
-    """(id, component_id) of documents; links are the pairs whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
-
-    Wide fingerprints (256 bits over distinct shingles) give candidates only: at 0.8 they differ in
-    39 bits on average (48 for 4 shingles against 5, with a deviation of 6), unrelated texts in 128.
-    A pair of 0.8 has sizes within a factor of 1.25, so texts meet in bands of that width and the
-    next, and in a band they are compared tile against tile like the narrow ones. Sets under 4
-    shingles have equal partners only. Inside a cluster of candidates the sets themselves are
-    compared, and only pairs of 0.8 or more are linked. Rows with null ids or without words keep to
-    themselves (component: the id); equal texts share a component; an empty table gives no rows.
-    """
+def _dealt(keyed: DataFrame, classes: DataFrame, limit: int, levels: int = 3) -> DataFrame:
+    """Rows (k, t, node, weight, ...) -> (k, c, node, weight, ...): groups (k, c) whose weights sum up to 2 * limit at most, in the mean.
 
-    @F.pandas_udf("n long, fingerprint array<long>")
-    def wide(texts: pd.Series) -> pd.DataFrame:
-        found = [wide_fingerprint(t, ngram) for t in texts]
-        return pd.DataFrame({"n": [n for n, _ in found], "fingerprint": [w.view(np.int64) for _, w in found]})
-
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = cut(docs.select("doc_id", wide("text").alias("w")).select("doc_id", "w.*"))
-    classes = cut(fps.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "fingerprint").agg(F.min("doc_id").alias("rep")))
-    band = F.floor(F.log("n") / np.log(1.25)).cast("long")
-    keyed = classes.where("n > 3").select("rep", "fingerprint", F.posexplode(F.array(band, band + 1)).alias("t", "v")).withColumn("t", F.lit(0))
-    clusters = classes.join(components(_compared(keyed, radius, tile_rows)), F.col("rep") == F.col("node")).select("node", "component", "n")
-    found = components(_exact_links(docs, cut(clusters), ngram, chunk))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, ["n", "fingerprint"], "left").select(F.col("doc_id").alias(id_col), F.coalesce("component_id", "doc_id").alias("component_id"))
+    A key whose weights exceed the limit is dealt out in chunks, each beside the rows of chunk 0, so
+    that whatever is similar to many meets them there; and its rows also go on under keys that hold
+    one band more (above band t), where what is similar to few meets. Rows grow by a constant factor.
+    """
+    out, rest = [], [c for c in keyed.columns if c not in ("k", "t")]
+    for level in range(levels):
+        full = cut(keyed.groupBy("k").agg(F.sum("weight").alias("n")).where(F.col("n") > limit).select("k", F.ceil(F.col("n") / limit).cast("long").alias("g")))
+        if full.isEmpty():
+            out.append(keyed.select("k", F.lit(0).cast("long").alias("c"), *rest))
+            break
+        marked = keyed.join(full, "k", "left")
+        own = F.pmod(F.xxhash64("node", "k"), "g")
+        chunks = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).when(own == 0, F.expr("sequence(0L, g - 1)")).otherwise(F.array(own))
+        out.append(marked.select("k", F.explode(chunks).alias("c"), *rest))
+        if level < levels - 1:
+            hot = marked.where("g IS NOT NULL").join(classes.select("node", "bands"), "node").select("k", "t", *rest, F.posexplode("bands").alias("u", "v"))
+            keyed = written(hot.where("u > t").select(F.xxhash64("k", "u", "v").alias("k"), F.col("u").alias("t"), *rest), "further-bands")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _exact_links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, ngram: int, chunk: int) -> DataFrame:
+    """(doc_id, hashed, text), (node, component) and classes -> links (a, b) that span the pairs of a component with a similarity of 0.8 or more."""
+    keyed = clusters.join(classes.select("node", "doc_id", "hashed", "n"), "node").select(F.col("component").alias("k"), F.lit(-1).alias("t"), "node", F.col("n").alias("weight"), "doc_id", "hashed")
+    wanted = _dealt(written(keyed, "clusters"), classes, chunk)
+    some = build_filter(docs.sparkSession, wanted.select(F.xxhash64("doc_id", "hashed").alias("h")).distinct(), 26)
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(some.value.has(h.to_numpy().view(np.uint64)))
+
+    # texts that surely aren't wanted are not shuffled; of repeated rows one is read
+    texts = docs.where(maybe(F.xxhash64("doc_id", "hashed"))).groupBy("doc_id", "hashed").agg(F.first("text").alias("text"))
+    rows = wanted.join(texts, ["doc_id", "hashed"]).select("k", "c", F.col("weight").alias("n"), "node", "text")
+    rows = rows.repartition("k", "c").sortWithinPartitions("k", "c", "n", "node")
+    return rows.mapInArrow(lambda it: _verified(it, ngram), "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ngram: int = 5, tile_rows: int = 1 << 16, chunk: int = CHUNK) -> DataFrame:
+    """(id, hashed, component_id, first) of the distinct rows; links are the pairs whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Texts that share one of BANDS keys of minimum hashes are compared in tiles by 256-bit SimHashes
+    over distinct shingles, which only gives candidates: at 0.8 they differ in 39 bits on average
+    (48 for 4 shingles against 5, with a deviation of 6), unrelated texts in 128. Inside a cluster of
+    candidates the sets themselves are compared, and only pairs of 0.8 or more are linked. A pair of
+    just 0.8 shares no key with a chance of 3 in 100,000. Sets under 4 shingles have equal partners only.
+
+    hashed is xxhash64 of the text; component_id the smallest id within reach; first marks the one
+    row of each component with the smallest (id, hashed). Equal ids with different texts are
+    different rows; repeated rows are one. Rows with null ids or without words keep to themselves
+    (component: the id; first). An empty table gives no rows; other columns are not looked at.
+    """
+    words = [f"w{k}" for k in range(WIDE)]
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, 2):
+            found = [shingles(t.as_py(), ngram) for t in b.column(2)]
+            wide = np.array([wide_fingerprint(h) for h in found]).view(np.int64).reshape(-1, WIDE)
+            key = np.array([bands(h) if len(h) > 3 else np.zeros(BANDS, np.uint64) for h in found]).view(np.int64).reshape(-1, BANDS)
+            sums = np.array([(x & MASK, x >> 64) for x in (xxhash.xxh3_128_intdigest(h.tobytes()) for h in found)], np.uint64).view(np.int64).reshape(-1, 2)
+            columns = {"doc_id": b.column(0), "hashed": b.column(1), "n": pa.array([len(h) for h in found], pa.int64()), "k1": sums[:, 0], "k2": sums[:, 1], **{w: np.ascontiguousarray(wide[:, k]) for k, w in enumerate(words)}}
+            yield pa.RecordBatch.from_pydict({**columns, "bands": pa.FixedSizeListArray.from_arrays(pa.array(key.ravel()), BANDS).cast(pa.list_(pa.int64()))})
+
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hashed"), F.col(text_col).alias("text"))
+    schema = "doc_id long, hashed long, n long, k1 long, k2 long, " + "".join(f"{w} long, " for w in words) + "bands array<long>"
+    fps = written(docs.mapInArrow(signed, schema), "fingerprints")
+    named = fps.where("n > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "hashed", *words, "bands")).alias("x")).select("n", "k1", "k2", "x.*")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.where("n > 3").select(F.posexplode("bands").alias("t", "v"), "node", *words).select(F.xxhash64("t", "v").alias("k"), "t", "node", F.lit(1).alias("weight"), *words)
+    near = _compared(_dealt(keyed, classes, tile_rows), words, radius)
+    clusters = components(near).withColumnRenamed("component", "k").select("node", F.col("k").alias("component"))
+    found = components(_exact_links(docs, cut(clusters), classes, ngram, chunk))
+    least = classes.join(found, "node", "left").select("n", "k1", "k2", "doc_id", "hashed", F.coalesce("component", "node").alias("component"))
+    least = least.join(least.groupBy("component").agg(F.min(F.struct("doc_id", "hashed")).alias("least")), "component").select("n", "k1", "k2", "least")
+    joined = named.select("doc_id", "hashed", "n", "k1", "k2").distinct().join(least, ["n", "k1", "k2"])
+    linked = joined.select("doc_id", "hashed", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "hashed") == F.col("least")).alias("first"))
+    alone = fps.where("n = 0 OR doc_id IS NULL").select("doc_id", "hashed", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")).distinct()
+    return linked.unionByName(alone).withColumnRenamed("doc_id", id_col)

@@ -48,11 +48,26 @@ def test_links_equal_all_pairs(spark):
     rows = [(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)]
     classes = spark.createDataFrame(rows, "rep long, fingerprint long")
     want = plain_components(list(range(len(fps))), fps)
-    for agree, tile in ((1, 4096), (2, 4096), (1, 16)):
-        links = simhash.near_links(classes, 3, agree, tile)
+    for tile in (1 << 16, 100, 16):
+        links = simhash.near_links(classes, 3, tile)
         got = {r.node: r.component for r in simhash.components(links).collect()}
         assert {i: got.get(i, i) for i in want} == want
-    assert simhash.near_links(classes, 3, 1, 16).count() < len(fps) * 40  # a forest, not all pairs
+    assert links.count() < len(fps) * 40  # forests, not all pairs
+
+
+def test_blocks_of_full_keys_are_cut_on(spark):
+    """All fingerprints share three of four blocks: these keys are full, and go on to blocks of the rest."""
+    rnd = random.Random(5)
+    fps = sorted({0x1234_5678_0000_9ABC ^ rnd.getrandbits(16) << 16 for _ in range(3000)})
+    classes = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "rep long, fingerprint long")
+    got = {r.node: r.component for r in simhash.components(simhash.near_links(classes, 3, 200)).collect()}
+    want = plain_components(list(range(len(fps))), fps)
+    assert {i: got.get(i, i) for i in want} == want
+    lone = spark.createDataFrame([(i, (i * 0x0101_0101) << 8 | 0xFF) for i in range(0, 250, 17)], "rep long, fingerprint long")
+    values = [r.fingerprint for r in lone.collect()]
+    got = {r.node: r.component for r in simhash.components(simhash.near_links(lone, 3, 4)).collect()}
+    want = plain_components([i for i in range(0, 250, 17)], values)
+    assert {i: got.get(i, i) for i in want} == want
 
 
 def test_edges(edge, empty):
@@ -85,7 +100,8 @@ def test_wide_fingerprints_find_similar_texts(spark):
 def test_near_copies_edges(edge, empty):
     got = [(r.doc_id, r.component_id) for r in simhash.near_copies(edge).collect()]
     by = dict(got)
-    assert len(got) == edge.count() and by[1] == 1 and by[2] == 2 and by[5] == 4 and by[11] == 6 and by[None] is None
+    assert len(got) == edge.count() - 1  # of the repeated row one
+    assert by[1] == 1 and by[2] == 2 and by[5] == 4 and by[11] == 6 and by[None] is None
     assert simhash.near_copies(empty).count() == 0
 
 
@@ -97,7 +113,47 @@ def test_near_copies_equal_brute_force_around_the_threshold(spark):
         rows += [(i, " ".join(w[: n + 4])), (i + 1, " ".join(w))]
         pairs.append((i, 5 * n >= 4 * (n + extra)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"chunk": 200}):
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(d).collect()}
+    assert [(got[i + 1] == i) for i, _ in pairs] == [near for _, near in pairs]
+    assert len(got) == len(rows)
+
+
+def test_large_clusters_keep_their_links(spark):
+    """One text in 400 versions, some of which are near a few others only: the same components as all pairs, at any chunk."""
+    rnd, rows = random.Random(2), []
+    base = [f"b{i}" for i in range(120)]
+    for i in range(400):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 7)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"chunk": 20_000}, {"tile_rows": 50}):
         got = {r.doc_id: r.component_id for r in simhash.near_copies(d, **options).collect()}
-        assert [(got[i + 1] == i) for i, _ in pairs] == [near for _, near in pairs]
-        assert len(got) == len(rows)
+        assert sum(got[i] != root[i] for i in range(400)) <= (1 if options else 0)
+
+
+def test_shared_ids_keep_different_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    d = spark.createDataFrame([(1, one), (1, two), (1, two), (2, two), (None, one)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.first) for r in simhash.near_copies(d).where("doc_id is not null").collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_bands_meet_at_the_threshold():
+    """Of pairs of similarity 0.8 (by brute force) at least 99 % share a band and lie within the radius."""
+    rng, met = np.random.default_rng(3), 0
+    for _ in range(500):
+        n = int(rng.integers(4, 300))
+        h = rng.integers(0, 1 << 63, n + -(-n // 4), np.uint64)
+        a, b = np.unique(h[:n]), np.unique(h[: n + n // 4])
+        far = np.bitwise_count(simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)).sum()
+        met += bool((simhash.bands(a) == simhash.bands(b)).any()) and far <= simhash.RADIUS
+    assert met >= 495

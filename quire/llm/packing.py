@@ -126,16 +126,20 @@ def curve_starts(tokens: DataFrame, bits: int = 12) -> DataFrame:
     return ordered.join(F.broadcast(offsets), "part").select("row", (F.col("base") + F.col("before")).alias("start"))
 
 
-def pack(docs: DataFrame, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, crc: bool = False) -> DataFrame:
     """Pieces of documents in sequences: (id, start, length, ids binary, doc_tokens, sequence_id, offset).
 
     Every document ends with the id ``end``, so a null or empty text is one token; ids are cut freely
     and each lies in exactly one piece. Sequences are full but for the last. Rows with equal or null
-    ids are packed each for itself; an empty table gives no pieces; other columns are ignored.
+    ids are packed each for itself; an empty table gives no pieces; other columns are ignored. With
+    ``crc`` the crc32 of a piece's ids (as little-endian unsigned 32-bit integers) stands in their place.
     """
     tokens = written(tokenised(docs, id_col, text_col, end, path), "tokens")
     starts = curve_starts(tokens)
-    wide = library_encoder(path).width.itemsize
+    width = library_encoder(path).width
+    wide = width.itemsize
+
+    kind = "ids_crc32 long" if crc else "ids binary"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,19 +152,17 @@ def pack(docs: DataFrame, length: int = 2048, end: int = 1, id_col: str = "doc_i
             blobs = [b.column("ids")[i].as_py() for i in range(len(n))]
             start = lo - at[row]
             ids = [blobs[r][s * wide : e * wide] for r, s, e in zip(row.tolist(), start.tolist(), (hi - at[row]).tolist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(pa.array(row)), "start": start, "length": hi - lo, "ids": pa.array(ids, pa.binary()), "doc_tokens": n[row], "sequence_id": seq, "offset": lo - seq * length})
+            if crc:
+                last = pa.array([zlib.crc32(np.frombuffer(x, width).astype("<u4").tobytes()) for x in ids], pa.int64())
+            else:
+                last = pa.array(ids, pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(pa.array(row)), "start": start, "length": hi - lo, kind.split()[0]: last, "doc_tokens": n[row], "sequence_id": seq, "offset": lo - seq * length})
 
     placed = tokens.select("row", "doc_id", "n", "ids").join(starts.withColumnRenamed("start", "at"), "row").drop("row")
-    out = placed.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = placed.mapInArrow(pieces, f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc_id", id_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Pieces of :func:`pack` with the crc32 of their ids (as little-endian unsigned 32-bit integers) in place of the ids."""
-    width = library_encoder(path).width
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.frombuffer(x, width).astype("<u4").tobytes()) for x in ids], dtype="int64")
-
-    return pack(docs, id_col=id_col, text_col=text_col, path=path).withColumn("ids", crc("ids")).withColumnRenamed("ids", "ids_crc32")
+    """Pieces of :func:`pack` with the crc32 of their ids in place of the ids; edge cases are those of pack."""
+    return pack(docs, id_col=id_col, text_col=text_col, path=path, crc=True)

@@ -12,10 +12,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,7 +203,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary): every document of a folder, ids as little-endian unsigned 32-bit integers.
 
     Blocks decode on their own; only the frequency table and one total per shard come to the driver.
+    A folder of an empty table gives no rows; null and repeated ids come back as they were written.
     """
+    return _read(spark, folder, "ids binary", lambda raw: raw, pa.binary())
+
+
+def _read(spark: SparkSession, folder: str, last: str, of_ids: Callable, kind: pa.DataType) -> DataFrame:
+    """read() with of_ids(bytes of a document's ids) as its last column."""
     first = spark.read.parquet(f"{folder}/table").first()
     shared = spark.sparkContext.broadcast(first["counts"])
     totals = sorted((r["part"], r["n"]) for r in spark.read.parquet(f"{folder}/shards").collect())
@@ -225,20 +230,20 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     lengths += row["lengths"]
                     starts += (begin + row["first"] + base[row["part"]]).tolist()
                     raw = ids.astype("<u4").tobytes()
-                    blobs += [raw[4 * s : 4 * e] for s, e in zip(begin.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(blobs, pa.binary())})
+                    blobs += [of_ids(raw[4 * s : 4 * e]) for s, e in zip(begin.tolist(), ends.tolist())]
+                columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(blobs, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", last.split()[0]])
 
-    return spark.read.parquet(f"{folder}/blocks").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.parquet(f"{folder}/blocks").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32), written to a new folder in the shared directory and read back from there."""
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(x) for x in ids], dtype="int64")
+    """(id, start, n_tokens, ids_crc32), written to a new folder in the shared directory and read back from there.
 
+    A row for each row of docs, null and repeated ids included; a null or empty text is its end id
+    alone; texts are coded whole; an empty table gives no rows; other columns are not looked at.
+    """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/quire-tables/tokens-{uuid.uuid4().hex}"
     write(docs, folder, id_col=id_col, text_col=text_col, path=path)
-    return read(spark, folder).select(F.col("doc_id").alias(id_col), "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return _read(spark, folder, "ids_crc32 long", zlib.crc32, pa.int64()).withColumnRenamed("doc_id", id_col)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from array import array
 from functools import cache
 
 import numpy as np
@@ -17,16 +16,18 @@ KEPT = 350_000  # pieces that a worker remembers
 class _Pieces(dict):
     """Ids of pieces; a piece that isn't known yet goes to the library."""
 
-    def __init__(self, model, code: str):
-        self.model, self.code, self.letters = model, code, dict(enumerate(byte_letters()))
+    def __init__(self, tokenize, ids: list[bytes]):
+        self.tokenize, self.ids, self.letters = tokenize, ids, dict(enumerate(byte_letters()))
+        self.space = self.letters[32]
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
-            spelled = piece.replace(" ", self.letters[32])
+            spelled = piece.replace(" ", self.space)
         else:
             spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = self[piece] = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return ids
+        ids = self.ids
+        found = self[piece] = b"".join([ids[t.id] for t in self.tokenize(spelled)])
+        return found
 
 
 class LibraryEncoder:
@@ -40,9 +41,9 @@ class LibraryEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        small = self.whole.get_vocab_size() <= 1 << 16
-        self.width = np.dtype(np.uint16 if small else np.uint32)
-        self.known = _Pieces(self.whole.model, "H" if small else "I")
+        size = self.whole.get_vocab_size()
+        self.width = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.known = _Pieces(self.whole.model.tokenize, [i.to_bytes(self.width.itemsize, "little") for i in range(size)])
 
     def encode(self, text: str) -> bytes:
         """Ids as integers of self.width."""

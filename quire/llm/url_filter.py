@@ -1,8 +1,8 @@
 """URL filters in DataFrame expressions only: listed rules, then a logistic regression.
 
 The regression looks at hashed character n-grams of host and path. It is fitted from a small
-labelled table of URLs by gradient descent, each step one aggregation; its weights are a bounded
-array that goes into the scoring expression as a constant.
+labelled table of URLs by gradient descent; its weights are a bounded array that goes into the
+scoring expression as a constant.
 """
 
 from __future__ import annotations
@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 
 # Rules (host, path, verdict), then the labelled URLs (1: to be blocked).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-BLOCKED = """casino-win.example/play best-casino.example/slots online-casino.example/en/bonus free-bets.example/today bets-live.example/odds
-sport-bets.example/win poker-win.example/table jackpot-win.example/spin adult-x.example/video adult-chat.example/live xxx-adult.example/pics
-hot-adult.example/en/12 cheap-pills.example/buy pills-shop.example/order cheap-meds.example/offer pills-online.example/en/44 spam-farm.example/a
-link-farm.example/seo spam-links.example/de/3 content-farm.example/top ads-track.example/click track-ads.example/pixel ads-network.example/banner
-click-ads.example/fr/9 free-money.example/now payday-loans.example/apply fake-watches.example/sale replica-bags.example/cheap win-prize.example/claim
-free-casino.example/es/8 adult-dating.example/meet bets-casino.example/vip m.track-ads.example/en/7 www.ads-click.example/de/21
-blog.adult-x.example/fr/4 m.adult-x.example/es/90 m.casino-bets.example/en/31 blog.cheap-pills.example/de/66 www.spam-farm.example/en/18 blog.free-bets.example/12"""
-ORDINARY = """news.example/en/12 blog.then.example/de/7 www.library.example/books museum.example/visit university.example/courses weather.example/today
-docs.reader.example/guide www.garden.example/plants city-hall.example/services m.thread.example/fr/31 blog.notion.example/en/855 therein.example/es/20
-www.theatre.example/plays school.example/lessons recipes.example/soup trains.example/times m.thing.example/en/9 health.example/advice
-science.example/papers maps.example/route blog.tensions.example/de/430 history.example/castle music.example/albums www.thread.example/en/742
-bicycle.example/repair forest.example/walks m.thereon.example/fr/5 river-trust.example/fish open-source.example/code chess-club.example/games
-the-times.example/en/251 old-town.example/es/77"""
+BLOCKED = """royal-casino.example/lobby casinogrand.example/de/5 vegas-casino-club.example/slots www.casino-bonus.example/en/welcome m.livecasino.example/fr/roulette
+my-casino-tips.example/es/2 blog.casinos-online.example/review win-big-now.example/claim big-wins-daily.example/en/9 winners-slots.example/spin instant-win-club.example/prize
+adults-only.example/gallery www.adult-cams.example/live adultvideos.example/fr/77 m.adult-match.example/de/31 adult-stories.example/en/4 blog.youradults.example/es/1
+discount-pills.example/order pillstore.example/en/8 www.pills-direct.example/buy diet-pills-shop.example/de/90 m.generic-pills.example/offer cheapmeds.example/refill
+cheap-tramadol.example/buy cheap-watches.example/replica www.cheap-loans.example/apply very-cheap-software.example/keys football-bets.example/odds betsandodds.example/en/6
+www.livebets.example/today m.bets-bonus.example/fr/3 horse-bets.example/es/40 free-spins.example/bonus free-iphone-prize.example/claim get-free-coins.example/en/12 free-followers.example/fast
+spam-mailer.example/list www.spamlinks.example/seo bulk-spam.example/de/17 m.spam-network.example/go linkfarm.example/submit seo-farms.example/buy-links article-farm.example/en/33
+backlink-farm.example/order ad-tracker.example/pixel tracking-ads.example/click www.popup-ads.example/fr/2 ads-exchange.example/banner m.adsclick.example/en/71 trackads.example/imp
+user-track-pixel.example/t blog.ads-network.example/de/8 clickads.example/go crypto-doubler.example/send payday-cash.example/now replica-bags.example/sale lottery-winner.example/fee"""
+ORDINARY = """news.example/en/12 www.city-library.example/books museum.example/visit university.example/courses/7 weather.example/today docs.reader.example/guide
+www.garden-plants.example/de/7 townhall.example/services health-advice.example/en/30 science.example/papers maps.example/route blog.history.example/es/430 music-school.example/albums
+bicycle.example/repair forest-walks.example/fr/5 river-trust.example/fish open-source.example/code chess-club.example/games m.newspaper.example/en/251 old-town.example/es/77
+www.theatre.example/plays blog.cooking.example/soup trains.example/times m.astronomy.example/de/9 www.bakery.example/bread school-lessons.example/fr/18 architecture.example/en/2
+blog.mountains.example/en/855 www.painting.example/gallery poetry.example/de/64 m.philosophy.example/es/11 geology.example/rocks www.languages.example/grammar kitchen.example/en/3
+harbour.example/boats m.orchestra.example/concerts statistics.example/fr/21 www.engineering.example/bridges botany.example/en/90 blog.translation.example/de/42 theory.example/notes
+m.brother.example/en/8 www.nothing.example/fr/33 weatherstation.example/data another.example/es/6 together.example/en/14 the-other.example/de/71 blog.handbook.example/en/60
+www.thunder.example/storms m.north.example/en/19 southern.example/fr/44 within.example/en/27 shores.example/de/12 landscape.example/tour www.worthing.example/en/5 blog.earth.example/es/9
+m.mother.example/en/56 leather.example/shoes feather.example/birds www.gathering.example/fr/61 tables.example/wood possible.example/en/73 stations.example/de/28 relations.example/en/1"""
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -73,20 +78,27 @@ def _logit(f: str, weights: list[float], bias: float) -> str:
     return f"({bias} + aggregate({f}, 0D, (s, i) -> s + element_at({_constant(weights)}, i + 1)) / sqrt(greatest(size({f}), 1)))"
 
 
-def fit(labelled: DataFrame, buckets: int = 2048, steps: int = 40, rate: float = 6.0, l2: float = 0.002) -> tuple[list[float], float]:
-    """(weights, bias) of the regression from (url, label); the table is meant to be small, the weights are ``buckets`` numbers."""
+def fit(labelled: DataFrame, buckets: int = 2048, steps: int = 60, rate: float = 6.0, l2: float = 0.002, most: int = 10_000) -> tuple[list[float], float]:
+    """(weights, bias) of the regression from (url, label) of at most ``most`` rows, those whose urls hash lowest.
+
+    Spark hashes the n-grams in one job; the descent over these few lists is plain arithmetic. Null
+    labels don't count; an empty table gives weights of 0.
+    """
     host, path = parts(F.col("url"))
-    rows = labelled.where("label is not null").select(F.col("label").cast("double").alias("y"), host.alias("h"), path.alias("p"))
-    rows = rows.select("y", F.expr(features("h", "p", buckets)).alias("f")).coalesce(1).persist()
-    weights, bias, n = [0.0] * buckets, 0.0, rows.count()
-    for _ in range(steps if n else 0):
-        miss = rows.select("f", F.expr(f"y - 1 / (1 + exp(-{_logit('f', weights, bias)}))").alias("e"))
-        gradient = miss.select(F.explode("f").alias("i"), (F.col("e") / F.sqrt(F.size("f"))).alias("g")).groupBy("i").agg(F.sum("g").alias("g"))
-        bias += rate * miss.agg(F.sum("e")).first()[0] / n * 0.1
+    rows = labelled.where("label is not null").select(F.col("label").cast("double").alias("y"), host.alias("h"), path.alias("p"), F.xxhash64("url").alias("k")).orderBy("k", "h", "p", "y").limit(most)
+    table = [(r["y"], r["f"], math.sqrt(max(1, len(r["f"])))) for r in rows.select("y", F.expr(features("h", "p", buckets)).alias("f")).collect()]
+    weights, bias = [0.0] * buckets, 0.0
+    for _ in range(steps if table else 0):
+        slope, errors = {}, 0.0
+        for y, f, root in table:
+            e = y - 1 / (1 + math.exp(-(bias + sum(weights[i] for i in f) / root)))
+            errors += e
+            for i in f:
+                slope[i] = slope.get(i, 0.0) + e / root
+        bias += rate * errors / len(table) * 0.1
         weights = [w * (1 - rate * l2) for w in weights]
-        for i, g in gradient.collect():
-            weights[i] += rate * g / math.sqrt(n)
-    rows.unpersist()
+        for i, g in slope.items():
+            weights[i] += rate * g / math.sqrt(len(table))
     return weights, bias
 
 
@@ -95,7 +107,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, url_
 
     The longest rule that fits decides; else the regression blocks at a score of 0.5 or more. A null
     url or one without :// has an empty host and path and is judged like any other. Repeated rows
-    are judged alike; other columns are ignored.
+    are judged alike; urls of any length are looked at whole; an empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     weights, bias = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession), buckets)
     host, path = parts(F.col(url_col))

@@ -1,31 +1,29 @@
 """Quality rules in DataFrame expressions only, as a short-circuit cascade.
 
 Base measures are taken of every whole text. The rules of the method look at texts that pass the
-base; their order comes from a sample, on which each rule's cost (seconds) and selectivity (share
-rejected) are estimated: the rule that rejects most for its cost goes first, and a text that one
+base; their order comes from a sample, on which each rule's cost (characters and words looked at) and
+selectivity (share rejected) are estimated: the rule that rejects most for its cost goes first, and a text that one
 rule rejects is not looked at by the next. The verdict is the same in any order.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import cut
 
 SPACE = r"[\x20\x09-\x0D]"
-# The rules, as conditions under which a text is rejected. Columns: __t the text,
-# __w its words, and the base measures.
+# The rules, as conditions under which a text is rejected, and the characters and words that
+# deciding one takes. Columns: __t the text, __w its words, and the base measures.
 RULES = {
-    "symbols": "n_symbols * 10 > word_chars",
-    "shouting": "length(regexp_replace(__t, '[^!]+', '')) * 2 > n_words",
-    "upper": "n_words >= 20 AND length(regexp_replace(__t, r'\\P{Lu}+', '')) * 2 > word_chars",
-    "repeated_lines": "n_dup_lines * 10 > 3 * size(filter(split(__t, '\\n', -1), x -> x rlike r'[^\\x20\\x09-\\x0D]'))",
-    "wordless": "size(filter(__w, x -> NOT x rlike r'\\p{L}')) * 2 > n_words",
-    "same_word": "n_words >= 50 AND size(array_distinct(__w)) * 10 < n_words",
-    "long_words": "n_words >= 20 AND word_chars > 25 * n_words",
+    "symbols": ("n_symbols * 10 > word_chars", "1"),
+    "shouting": ("length(regexp_replace(__t, '[^!]+', '')) * 2 > n_words", "length(__t)"),
+    "upper": ("n_words >= 20 AND length(regexp_replace(__t, r'\\P{Lu}+', '')) * 2 > word_chars", "CASE WHEN n_words >= 20 THEN 2 * length(__t) ELSE 1 END"),
+    "repeated_lines": ("n_dup_lines * 10 > 3 * size(filter(split(__t, '\\n', -1), x -> x rlike r'[^\\x20\\x09-\\x0D]'))", "2 * length(__t)"),
+    "wordless": ("size(filter(__w, x -> NOT x rlike r'\\p{L}')) * 2 > n_words", "word_chars + 10 * n_words"),
+    "same_word": ("n_words >= 50 AND size(array_distinct(__w)) * 10 < n_words", "CASE WHEN n_words >= 50 THEN word_chars + 5 * n_words ELSE 1 END"),
+    "long_words": ("n_words >= 20 AND word_chars > 25 * n_words", "1"),
 }
 
 
@@ -58,28 +56,37 @@ def measures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     return d.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
-def cascade_order(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = 1_000, rules: dict[str, str] = RULES) -> list[str]:
-    """Names of the rules by rejection per cost, estimated on the ``sample_rows`` rows whose ids hash lowest."""
-    ids = docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    sample = cut(measures(docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi"), text_col, id_col)).where("NOT base_failed")
-    rated = []
-    for name, rejects in rules.items():
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(F.expr(rejects))).first()[0]
-        rated.append((-(rejected + 0.01) / max(time.perf_counter() - began, 1e-3), name))
-    return [name for _, name in sorted(rated)]
+def cascade_order(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = 1_000, rules: dict[str, tuple[str, str]] = RULES) -> list[str]:
+    """Names of the rules by rejection per cost, estimated on at most ``sample_rows`` rows, those whose ids hash lowest.
+
+    A rule's cost is the mean of its cost expression, its selectivity the share that it rejects of
+    what the rules before it leave: the best comes first, and the others are rated anew on the rest.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    ids = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = cut(measures(named.join(F.broadcast(ids), "doc_id", "left_semi").limit(sample_rows))).where("NOT base_failed")
+    found = sample.select(*[F.struct(F.expr(rejects).alias("no"), F.expr(cost).cast("double").alias("cost")).alias(name) for name, (rejects, cost) in rules.items()])
+    rows, left, order = [r.asDict() for r in found.collect()], list(rules), []
+    while left:
+        rate = lambda n: (sum(bool(r[n]["no"]) for r in rows) + 0.01) / max(1.0, sum(r[n]["cost"] for r in rows) / max(1, len(rows)))  # noqa: B023,E731
+        best = max(left, key=lambda n: (rate(n), n))  # noqa: B023
+        order.append(best)
+        left.remove(best)
+        rows = [r for r in rows if not r[best]["no"]]
+    return order
 
 
-def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: dict[str, str] = RULES, order: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: dict[str, tuple[str, str]] = RULES, order: list[str] | None = None) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each row of docs.
 
-    kept is false where the base fails or a rule rejects. Other columns are ignored, whatever their
-    names; an empty table gives no rows.
+    kept is false where the base fails or a rule rejects. A null or empty text has no words and fails
+    the base; texts are measured whole; repeated rows and null ids are judged like any other. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     order = order if order is not None else cascade_order(docs, text_col, id_col, rules=rules)
     verdict = F.when(F.col("base_failed"), F.lit(False))
     for name in order:
-        verdict = verdict.when(F.expr(rules[name]), F.lit(False))
+        verdict = verdict.when(F.expr(rules[name][0]), F.lit(False))
     judged = measures(docs, text_col, id_col).withColumn("kept", verdict.otherwise(F.lit(True))).drop("__t", "__w")
     # a filter on these columns must not be pushed down into, and repeated in, their long expressions
     return judged.select(F.inline(F.array(F.struct(*judged.columns))))

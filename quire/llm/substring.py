@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.store import cut, written
+from quire.llm.store import cut, fresh, written
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -198,9 +198,10 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 def _applied(docs: DataFrame, window: int, bits: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
     """docs with (n_words, n_removed, kept): the kept text, or with digest the SHA-256 of its single-spaced words."""
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    docs = docs.select(*names, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"))
-    starts = repeated_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__key").alias("key"), F.col(text_col).alias("text")), window, bits)
+    names = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
+    mine = {n: fresh(n, docs) for n in ("__key", "__maybe", "__at", "__r")}
+    docs = docs.select(*names, F.xxhash64(F.col(id_col), F.col(text_col)).alias(mine["__key"]))
+    starts = repeated_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mine["__key"]).alias("key"), F.col(text_col).alias("text")), window, bits)
     ranges = cut(starts.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at")))
     some = build_filter(spark, ranges.select(F.xxhash64("key").alias("h")), min(bits, 26))
 
@@ -225,11 +226,11 @@ def _applied(docs: DataFrame, window: int, bits: int, id_col: str, text_col: str
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
     # texts that surely keep all their words are not shuffled
-    flagged = docs.withColumn("__maybe", maybe(F.xxhash64("__key")))
-    plain = flagged.where("NOT __maybe").withColumn("__at", F.lit(None).cast("array<int>"))
-    hit = flagged.where("__maybe").join(ranges.select(F.col("key").alias("__key"), F.col("at").alias("__at")), "__key", "left")
-    every = plain.select(*names, "__at").unionByName(hit.select(*names, "__at"))
-    return every.withColumn("__r", apply(F.col(text_col), F.col("__at"))).select(*names, "__r.*")
+    flagged = docs.withColumn(mine["__maybe"], maybe(F.xxhash64(mine["__key"])))
+    plain = flagged.where(~F.col(mine["__maybe"])).withColumn(mine["__at"], F.lit(None).cast("array<int>"))
+    hit = flagged.where(F.col(mine["__maybe"])).join(ranges.select(F.col("key").alias(mine["__key"]), F.col("at").alias(mine["__at"])), mine["__key"], "left")
+    every = plain.select(*names, mine["__at"]).unionByName(hit.select(*names, mine["__at"]))
+    return every.withColumn(mine["__r"], apply(F.col(text_col), F.col(mine["__at"]))).select(*names, f"{mine['__r']}.*")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ def edge_rows():
     ]
 
 
-EXTRA = "score double, predicted int, kept string, key long, n long, h long, row long, p int, ids string, media string, url string, secret_spans string, n_words int, __t_extra string"
+EXTRA = "Score double, kept string, key long, n long, h long, p int, ids string, media string, url string, secret_spans string, n_words int, __t string, __key string, __at int, __r string, __id long, __y int, `row` long, hashed long, Predicted int, node long"
 
 
 def table(spark, rows):

@@ -67,12 +67,15 @@ def spreads(placed: DataFrame) -> DataFrame:
 
 
 def layout_issues(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(documentid, id, position, torn, wrong_side) of pages with an issue, as the pages lie now."""
+    """(documentid, id, position, torn, wrong_side) of pages with an issue, as the pages lie now.
+
+    A spread is torn where its left half isn't followed by a page of the same spread; the right half
+    is not reported as torn.
+    """
     firsts = documents.select(F.col("id").alias("documentid"), "firstpageright")
     d = reading_order(pages).join(firsts, "documentid").withColumn("side", side(F.col("position"), F.col("firstpageright")))
     w = Window.partitionBy("documentid").orderBy("position")
-    partner = F.when(F.col("spreadside") == "left", F.lead("spreadid").over(w)).when(F.col("spreadside") == "right", F.lag("spreadid").over(w))
-    torn = F.col("spreadid").isNotNull() & ~F.coalesce(partner == F.col("spreadid"), F.lit(False))
+    torn = F.col("spreadid").isNotNull() & F.coalesce(F.col("spreadside") == "left", F.lit(False)) & ~F.coalesce(F.lead("spreadid").over(w) == F.col("spreadid"), F.lit(False))
     wrong = F.coalesce(required_side(F.col("spreadside"), F.col("pinside")) != F.col("side"), F.lit(False))
     return d.select("documentid", "id", "position", torn.alias("torn"), wrong.alias("wrong_side")).where("torn OR wrong_side")
 
@@ -87,13 +90,20 @@ def can_link(pages: DataFrame) -> DataFrame:
 def link_spreads(pages: DataFrame, commands: DataFrame) -> DataFrame:
     """pages after commands (id): each named page and the next one of its set become a spread, their pins go.
 
-    The set is the document, or in the import area the pages of the same source. A page that is in a
-    spread, or whose successor is, is left alone.
+    The set is the document, or in the import area the pages of the same source, without fillers. A
+    page that is in a spread, or whose successor is, is left alone. Of consecutive named pages the
+    first goes with the second, the third with the fourth and so on, as one command after the other
+    in reading order would have it.
     """
-    w = Window.partitionBy("documentid", "staged", F.when(F.col("staged"), F.col("sourceid"))).orderBy("sortorder", "id")
     named = commands.select("id").distinct().withColumn("__go", F.lit(True))
-    d = pages.join(named, "id", "left").withColumn("__ok", F.col("__go") & F.col("spreadid").isNull() & F.lead("id").over(w).isNotNull() & F.lead("spreadid").over(w).isNull())
-    d = d.withColumn("__left", F.coalesce("__ok", F.lit(False)) & ~F.coalesce(F.lag("__ok").over(w), F.lit(False)))
+    d = pages.join(named, "id", "left").withColumn("__set", F.when(F.col("staged"), F.coalesce("sourceid", F.lit(-1))))
+    keys = ("documentid", "staged", "__set", "filler")
+    w = Window.partitionBy(*keys).orderBy("sortorder", "id")
+    ok = F.col("__go") & ~F.col("filler") & F.col("spreadid").isNull() & F.lead("id").over(w).isNotNull() & F.lead("spreadid").over(w).isNull()
+    d = d.withColumn("__ok", F.coalesce(ok, F.lit(False)))
+    d = d.withColumn("__run", F.count_if(~F.col("__ok")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__k", F.count_if("__ok").over(Window.partitionBy(*keys, "__run").orderBy("sortorder", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__left", F.col("__ok") & (F.col("__k") % 2 == 1))
     d = d.withColumn("__right", F.coalesce(F.lag("__left").over(w), F.lit(False))).withColumn("__first", F.lag("id").over(w))
     new = F.when(F.col("__left"), F.col("id")).when(F.col("__right"), F.col("__first")).otherwise(F.col("spreadid"))
     at = F.when(F.col("__left"), "left").when(F.col("__right"), "right").otherwise(F.col("spreadside"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import clamp_box
+from quire.functions.text import drop_active
 
 FRAMES = ("textframe", "imageframe")
 TYPES = ("textframe", "imageframe", "textbox", "mask", "audio", "glossary", "reflow", "column")
@@ -22,28 +23,40 @@ def normal_color(v: Column, default: str) -> Column:
     return F.when(F.rlike(v, F.lit("^#[0-9a-fA-F]{6}$")), F.lower(v)).otherwise(default)
 
 
+# The settings that each type may have.
+KEYS = ("text", "fontsize", "bold", "color", "bgcolor", "align", "style", "revealable", "label", "mode", "ttstext", "ttslang", "filename", "glossaryid", "term", "role", "html", "fontscale", "border", "columns", "fit", "alt", "caption")
+
+
 def clean_settings(overlays: DataFrame, json_col: str = "data") -> DataFrame:
-    """overlays with ``settings`` (JSON): the allowed keys of their type, clamped, defaults filled in."""
-    schema = "struct<html:string,fontsize:int,color:string,background:string,reveal:boolean,lang:string,scale:double,columns:int,alt:string,entryid:long,role:string,cover:boolean>"
-    s = F.from_json(F.coalesce(F.col(json_col), F.lit("{}")), schema)
-    j = lambda k: F.col("__s")[k]
-    size = F.greatest(F.lit(6), F.least(F.lit(96), F.coalesce(j("fontsize"), F.lit(12)))).alias("fontsize")
-    color = normal_color(F.coalesce(j("color"), F.lit("")), "#000000").alias("color")
-    lang = F.when(F.rlike(j("lang"), F.lit("^[a-zA-Z]{2,3}(-[a-zA-Z0-9]{2,8})*$")), j("lang")).alias("lang")
-    role = F.when(j("role").isin("p", "h2", "h3", "li"), j("role")).otherwise("p").alias("role")
-    scale = F.round(F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.coalesce(j("scale"), F.lit(1.0)))), 2).alias("scale")
-    columns = F.greatest(F.lit(1), F.least(F.lit(3), F.coalesce(j("columns"), F.lit(1)))).alias("columns")
-    text = F.coalesce(j("html"), F.lit("")).alias("html")
+    """overlays with ``settings`` (JSON): the allowed keys of their type, clamped, defaults filled in; unknown types go.
+
+    Texts lose their tags, html its active elements, file names their separators. A value that is no
+    number counts as 0 before it is clamped; text that is no JSON object has no values.
+    """
+    raw = F.from_json(F.coalesce(F.col(json_col), F.lit("{}")), "struct<" + ",".join(f"{k}:string" for k in KEYS) + ">")
+    v = lambda k: F.col("__s")[k]
+    text = lambda k: F.regexp_replace(F.coalesce(v(k), F.lit("")), "<[^>]*>", "").alias(k)
+    flag = lambda k: (~F.coalesce(v(k), F.lit("")).isin("", "0", "false")).alias(k)
+    one_of = lambda k, known, default: F.when(v(k).isin(*known), v(k)).otherwise(default).alias(k)
+    number = lambda k, default: F.when(v(k).isNull(), F.lit(float(default))).otherwise(F.coalesce(v(k).try_cast("double"), F.lit(0.0)))
+    whole = lambda k, default: number(k, default).cast("long")
+    within = lambda k, c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), c)).alias(k)
+    color = lambda k, default: normal_color(F.trim(F.coalesce(v(k), F.lit(""))), default).alias(k)
+    file = F.regexp_replace(F.regexp_replace(F.coalesce(v("filename"), F.lit("")), r"""[\x00-\x1f\x7f&<>"`|':\\/]""", ""), r"\.\.+", "").alias("filename")
+    lang = F.when(F.rlike(v("ttslang"), F.lit("^[a-z]{2,3}(-[A-Za-z]{2,4})?$")), v("ttslang")).otherwise("de-DE").alias("ttslang")
     by_type = {
-        "textframe": F.to_json(F.struct(text, scale, columns)), "imageframe": F.to_json(F.struct(F.coalesce(j("alt"), F.lit("")).alias("alt"), F.coalesce(j("cover"), F.lit(False)).alias("cover"))),
-        "textbox": F.to_json(F.struct(text, size, color)), "mask": F.to_json(F.struct(F.coalesce(j("reveal"), F.lit(False)).alias("reveal"), normal_color(F.coalesce(j("background"), F.lit("")), "#ffffff").alias("background"))),
-        "audio": F.to_json(F.struct(lang)), "glossary": F.to_json(F.struct(F.coalesce(j("entryid"), F.lit(0)).alias("entryid"))),
-        "reflow": F.to_json(F.struct(text, role, lang)), "column": F.to_json(F.struct(columns)),
+        "textbox": [text("text"), within("fontsize", whole("fontsize", 16), 6, 96), flag("bold"), color("color", "#000000"), color("bgcolor", "#ffffff"), one_of("align", ("left", "center", "right"), "left")],
+        "mask": [one_of("style", ("black",), "white"), flag("revealable"), text("label")],
+        "audio": [one_of("mode", ("tts",), "file"), text("ttstext"), lang, text("label"), file],
+        "glossary": [whole("glossaryid", 0).alias("glossaryid"), text("term")],
+        "reflow": [text("text"), one_of("role", ("p", "h2", "h3", "li"), "p")],
+        "textframe": [drop_active(F.coalesce(v("html"), F.lit(""))).alias("html"), within("fontscale", F.round(number("fontscale", 1), 2), 0.5, 3.0), color("bgcolor", ""), flag("border"), within("columns", whole("columns", 1), 1, 3), one_of("style", ("tufte", "sidenote"), "")],
+        "imageframe": [file, one_of("fit", ("cover",), "contain"), text("alt"), text("caption")],
     }
-    out = F.lit(None).cast("string")
-    for name, value in by_type.items():
-        out = F.when(F.col("overlaytype") == name, value).otherwise(out)
-    return overlays.where(F.col("overlaytype").isin(*TYPES)).withColumn("__s", s).withColumn("settings", out).drop("__s")
+    out = F.when(F.col("overlaytype") == "column", F.lit("{}"))
+    for name, fields in by_type.items():
+        out = out.when(F.col("overlaytype") == name, F.to_json(F.struct(*fields)))
+    return overlays.where(F.col("overlaytype").isin(*TYPES)).withColumn("__s", raw).withColumn("settings", out).drop("__s")
 
 
 def page_overlays(pages: DataFrame, overlays: DataFrame) -> DataFrame:
@@ -78,12 +91,19 @@ def column_numbers(overlays: DataFrame) -> DataFrame:
     return overlays.where("overlaytype = 'column'").select("pageid", "id", F.row_number().over(w).alias("column_no"))
 
 
-def mask_keys(overlays: DataFrame) -> DataFrame:
-    """(pageid, masks, key): pages with masks and a key over their boxes, for pictures that are made once."""
-    m = overlays.where("overlaytype = 'mask'")
-    box = F.concat_ws(",", *[F.format_string("%.6f", F.col(c).cast("double")) for c in "xywh"])
+def mask_keys(overlays: DataFrame, images: DataFrame) -> DataFrame:
+    """(pageid, masks, key): pages with masks that can't be lifted, and a key over the picture, their boxes and styles.
+
+    overlays have their settings as JSON in ``data``; images are (pageid, contenthash). Pages without
+    a picture have no key.
+    """
+    setting = lambda k: F.get_json_object("data", f"$.{k}")
+    m = overlays.where("overlaytype = 'mask'").where(F.coalesce(setting("revealable"), F.lit("")).isin("", "0", "false"))
+    style = F.when(setting("style") == "black", "black").otherwise("white")
+    box = F.concat_ws(",", *[F.format_string("%.6f", F.col(c).cast("double")) for c in "xywh"], style)
     boxes = F.transform(F.array_sort(F.collect_list(F.struct("sortorder", "id", box.alias("b")))), lambda x: x["b"])
-    return m.groupBy("pageid").agg(F.count("*").alias("masks"), F.md5(F.array_join(boxes, ";").cast("binary")).alias("key"))
+    found = m.groupBy("pageid").agg(F.count("*").alias("masks"), F.array_join(boxes, ";").alias("b")).join(images, "pageid")
+    return found.select("pageid", "masks", F.md5(F.concat_ws(";", "contenthash", "b").cast("binary")).alias("key"))
 
 
 def overset(frames: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.blocks import layout_segments
 from quire.operators.impose import published_pages
+from quire.operators.overlay import clean_settings
 
 RULED = {"lines": (0.0, 8.0), "squares": (5.0, 5.0), "blank": (0.0, 0.0)}  # mm between vertical and horizontal rules
 
@@ -50,11 +51,41 @@ def joined_media(blocks: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def upsert_overlays(overlays: DataFrame, changes: DataFrame) -> DataFrame:
-    """overlays after changes (id, pageid, x, y, w, h, data): types and orders of old ones stay, supplied fields replace, new ids are added."""
-    c = changes.select("id", *[F.col(k).alias(f"__{k}") for k in ("pageid", "x", "y", "w", "h", "data")], F.col("overlaytype").alias("__type"))
-    d = overlays.join(c, "id", "full")
-    put = lambda k: F.coalesce(F.col(f"__{k}"), F.col(k)).alias(k)
-    return d.select("id", put("pageid"), F.coalesce("overlaytype", "__type").alias("overlaytype"), *[put(k) for k in ("x", "y", "w", "h", "data")], F.coalesce("sortorder", F.lit(2**31 - 1)).alias("sortorder"))
+    """overlays after changes (id, pageid, overlaytype, x, y, w, h, data): supplied fields replace old ones, new ids are added.
+
+    A change of an old overlay to another type, and one of an unknown type, is left out. New overlays
+    follow the last one of their page, in the order of their ids. Boxes are cut to the page and
+    settings cleaned; the file name of an old overlay stays, a new one has none.
+    """
+    c = clamped_and_cleaned(changes).select("id", *[F.col(k).alias(f"__{k}") for k in ("pageid", "x", "y", "w", "h", "data")], F.col("overlaytype").alias("__type"))
+    last = overlays.groupBy("pageid").agg(F.max("sortorder").alias("__last"))
+    d = overlays.join(c, "id", "full").where("overlaytype IS NOT NULL OR __type IS NOT NULL")
+    same = F.col("overlaytype").isNull() | (F.col("overlaytype") == F.col("__type"))
+    put = lambda k: F.when(F.col("__type").isNotNull() & same, F.coalesce(F.col(f"__{k}"), F.col(k))).otherwise(F.col(k)).alias(k)
+    has_file = F.col("__type").isin("audio", "imageframe") & same
+    name = F.when(F.col("overlaytype").isNull(), F.lit("")).otherwise(F.coalesce(F.get_json_object("data", "$.filename"), F.lit("")))
+    named = F.regexp_replace("__data", r'"filename":"(?:[^"\\]|\\.)*"', F.concat(F.lit('"filename":"'), F.regexp_replace(name, r'([\\$"])', r"\\$1"), F.lit('"')))
+    d = d.withColumn("__data", F.when(has_file & F.col("__data").isNotNull(), named).otherwise(F.col("__data")))
+    fresh = F.col("overlaytype").isNull()
+    d = d.select("id", put("pageid"), F.coalesce("overlaytype", "__type").alias("overlaytype"), *[put(k) for k in ("x", "y", "w", "h", "data")], "sortorder", fresh.alias("__new"))
+    place = F.row_number().over(Window.partitionBy("pageid", "__new").orderBy("id"))
+    d = d.withColumn("__k", place).join(last, "pageid", "left")
+    order = F.coalesce(F.col("sortorder"), (F.coalesce("__last", F.lit(0)) + F.col("__k")).cast(overlays.schema["sortorder"].dataType))
+    return d.select("id", "pageid", "overlaytype", "x", "y", "w", "h", "data", order.alias("sortorder"))
+
+
+def clamped_and_cleaned(changes: DataFrame) -> DataFrame:
+    """changes of known types with their boxes cut to the page and their data cleaned; fields that aren't supplied stay null."""
+    cut = {c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))) for c in "xywh"}
+    d = clean_settings(changes).withColumns(cut)
+    d = d.withColumns({"w": F.when(F.col("x").isNotNull(), F.least("w", 1 - F.col("x"))).otherwise(F.col("w")), "h": F.when(F.col("y").isNotNull(), F.least("h", 1 - F.col("y"))).otherwise(F.col("h"))})
+    return d.withColumn("data", F.when(F.col("data").isNotNull(), F.col("settings"))).drop("settings")
+
+
+def filled_pages(pages: DataFrame, changes: DataFrame) -> DataFrame:
+    """pages after changes of overlays (pageid): content makes an automatic blank page an ordinary one."""
+    touched = changes.select(F.col("pageid").alias("id")).distinct().withColumn("__touched", F.lit(True))
+    return pages.join(touched, "id", "left").withColumn("filler", F.col("filler") & F.col("__touched").isNull()).select(*pages.columns)
 
 
 def decoded_links(rows: DataFrame, mapping: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

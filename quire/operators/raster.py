@@ -27,30 +27,33 @@ def _runs(profile: DataFrame, flag: Column, at: str) -> DataFrame:
     return marked.groupBy("page", "__g").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("__g")
 
 
-def empty_band(profile: DataFrame, least_ink: float = 0.01) -> DataFrame:
-    """(page, center): middle of the longest run without ink in the middle fifth, at least 1 % wide; the first of equals.
+def empty_band(profile: DataFrame, least_ink: float = 0.005, least_side: float = 0.5) -> DataFrame:
+    """(page, center): middle of the longest run of columns under ``least_ink`` between two and three fifths of the width, both ends included.
 
-    profile (page, x, ink). There must be ink on both sides.
+    profile (page, x, ink). The run is 1 % wide at least, the first of equals; the ink shares of the
+    columns before two fifths, and of those from three fifths on, each sum up to more than ``least_side``.
     """
-    size = profile.groupBy("page").agg((F.max("x") + 1).alias("n"), F.min(F.when(F.col("ink") >= least_ink, F.col("x"))).alias("lo"), F.max(F.when(F.col("ink") >= least_ink, F.col("x"))).alias("hi"))
-    d = profile.join(size, "page").where("x >= 0.4 * n AND x < 0.6 * n")
-    runs = _runs(d, F.col("ink") < least_ink, "x").join(size, "page").where("last - first + 1 >= 0.01 * n AND lo < first AND hi > last")
+    n = F.max("x").over(Window.partitionBy("page")) + 1
+    d = profile.select("page", "x", "ink", n.alias("n")).withColumn("lo", F.expr("2 * n div 5")).withColumn("hi", F.expr("3 * n div 5"))
+    sides = d.groupBy("page").agg(F.sum(F.when(F.col("x") < F.col("lo"), F.col("ink"))).alias("left"), F.sum(F.when(F.col("x") >= F.col("hi"), F.col("ink"))).alias("right"), F.first("n").alias("n"))
+    runs = _runs(d.where("x BETWEEN lo AND hi"), F.col("ink") < least_ink, "x").join(sides, "page")
+    runs = runs.where((F.col("left") > least_side) & (F.col("right") > least_side)).where("last - first + 1 >= 0.01 * n")
     best = runs.groupBy("page").agg(F.min_by(F.struct("first", "last"), F.struct((F.col("first") - F.col("last")).alias("d"), "first")).alias("b"))
     return best.select("page", F.floor((F.col("b.first") + F.col("b.last")) / 2).cast("long").alias("center"))
 
 
 def shadow_valley(profile: DataFrame, depth: float = 25.0) -> DataFrame:
-    """(page, x): darkest column of the middle fifth if it lies ``depth`` under the median element; profile (page, x, lum)."""
+    """(page, x): darkest column between two and three fifths of the width, both included, if it lies more than ``depth`` under the median element; profile (page, x, lum)."""
     n = profile.groupBy("page").agg((F.max("x") + 1).alias("n"), F.element_at(F.array_sort(F.collect_list("lum")), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"))
-    d = profile.join(n, "page").where("x >= 0.4 * n AND x < 0.6 * n")
+    d = profile.join(n, "page").where("x BETWEEN 2 * n div 5 AND 3 * n div 5")
     low = d.groupBy("page").agg(F.min(F.struct("lum", "x")).alias("low"), F.first("median").alias("median"))
     return low.where(F.col("low.lum") < F.col("median") - depth).select("page", F.col("low.x").alias("x"))
 
 
-def text_columns(profile: DataFrame, least_ink: float = 0.02) -> DataFrame:
-    """(page, column_no, first, last): ink regions, gaps under 2 % closed, regions over 10 % kept, where there are two at least."""
+def text_columns(profile: DataFrame, least_ink: float = 0.004) -> DataFrame:
+    """(page, column_no, first, last): regions of more than ``least_ink``, gaps under 2 % closed, regions over 10 % kept, where there are two at least."""
     n = profile.groupBy("page").agg((F.max("x") + 1).alias("n"))
-    runs = _runs(profile, F.col("ink") >= least_ink, "x").join(n, "page")
+    runs = _runs(profile, F.col("ink") > least_ink, "x").join(n, "page")
     w = Window.partitionBy("page").orderBy("first")
     far = F.coalesce(F.col("first") - F.lag("last").over(w) - 1 >= 0.02 * F.col("n"), F.lit(True))
     runs = runs.withColumn("g", far.cast("int"))
@@ -60,17 +63,20 @@ def text_columns(profile: DataFrame, least_ink: float = 0.02) -> DataFrame:
     return merged.withColumn("c", F.count("*").over(v)).where("c >= 2").select("page", F.row_number().over(v.orderBy("first")).alias("column_no"), "first", "last")
 
 
-def border_box(profile: DataFrame, at: str = "x", dark: float = 0.5) -> DataFrame:
-    """(page, first, last): what is left without the dark border at both ends of a profile, each at most a fifth."""
-    n = profile.groupBy("page").agg((F.max(at) + 1).alias("n"), F.min(F.when(F.col("ink") < dark, F.col(at))).alias("a"), F.max(F.when(F.col("ink") < dark, F.col(at))).alias("b"))
-    fifth = F.floor(F.col("n") / 5)
-    return n.select("page", F.least(F.coalesce("a", F.lit(0)), fifth).cast("long").alias("first"), F.greatest(F.coalesce("b", F.col("n") - 1), F.col("n") - 1 - fifth).cast("long").alias("last"))
+def border_box(profile: DataFrame, at: str = "x", dark: float = 0.6) -> DataFrame:
+    """(page, first, last): what is left without the border at both ends of a profile, places whose ink is over ``dark``.
+
+    At either end at most a fifth goes, rounded up; where all is border both fifths go.
+    """
+    n = profile.groupBy("page").agg((F.max(at) + 1).alias("n"), F.min(F.when(F.col("ink") <= dark, F.col(at))).alias("a"), F.max(F.when(F.col("ink") <= dark, F.col(at))).alias("b"))
+    first = F.least(F.col("a"), F.expr("(n + 4) div 5"))  # least and greatest skip null
+    return n.select("page", first.cast("long").alias("first"), F.greatest(F.col("b"), F.expr("4 * n div 5")).cast("long").alias("last"))
 
 
 def skew(points: DataFrame, least: int = 50) -> DataFrame:
     """(page, angle): of -5 to 5 degrees by quarters the angle whose line bins are fullest; the smallest of equals, 0 with few points.
 
-    points (page, x, y) are dark pixels; the 41 angles are an array, exploded per pixel after sampling.
+    points (page, x, y) are dark pixels, sampled by the caller; each is binned under 41 angles.
     """
     angles = F.array(*[F.lit(i / 4) for i in range(-20, 21)])
     rad = F.radians("angle")

@@ -33,14 +33,15 @@ select b.documentid, b.position, true, coalesce(f.id, 0) from (select documentid
 left join (select documentid, id, row_number() over (partition by documentid order by sortorder, id) as i from fx_page p where not staged and p.filler and p.pagetype = 'canvas') f on f.documentid = b.documentid and f.i = b.i""", _balanced(_UNUSED))
 _put("rebalance_used_fillers", (*_PD, "fx_overlay"), "select documentid, id, position, blank_before from placed", _balanced(_UNUSED + " and p.id not in (select pageid from fx_overlay)"))
 _ISSUES = f"""numbered as (select p.*, d.firstpageright, row_number() over (partition by documentid order by sortorder, p.id) as position from fx_page p join fx_document d on d.id = p.documentid where not staged),
-judged as (select *, case when spreadside = 'left' then lead(spreadid) over w when spreadside = 'right' then lag(spreadid) over w end as partner, case when (position % 2 = 1) = firstpageright then 'right' else 'left' end as side from numbered window w as (partition by documentid order by position)),
-issues as (select documentid, id, position, spreadid is not null and not coalesce(partner = spreadid, false) as torn, coalesce({_REQ} <> side, false) as wrong_side from judged)"""
+judged as (select *, lead(spreadid) over (partition by documentid order by position) as next_spread, case when (position % 2 = 1) = firstpageright then 'right' else 'left' end as side from numbered),
+issues as (select documentid, id, position, spreadid is not null and spreadside = 'left' and (next_spread is null or next_spread <> spreadid) as torn, coalesce({_REQ} <> side, false) as wrong_side from judged)"""
 _put("layout_issues", _PD, "select * from issues where torn or wrong_side", _ISSUES)
 _put("issue_counts", _PD, "select documentid, count(*) as issues from issues where torn or wrong_side group by all", _ISSUES)
 _put("can_link", ("fx_page",), "select documentid, id, next_id from (select *, lead(id) over w as next_id, lead(spreadid) over w as ns from fx_page where not staged and not filler window w as (partition by documentid order by sortorder, id)) t where spreadid is null and ns is null and next_id is not null")
-_put("link_spreads", ("fx_page",), """select id, spreadid, spreadside from (select id, case when l then id when r then pid else spreadid end as spreadid, case when l then 'left' when r then 'right' else spreadside end as spreadside from
-(select *, coalesce(lag(l) over w, false) as r, lag(id) over w as pid from (select *, ok and not coalesce(lag(ok) over w, false) as l from (select *, coalesce(sortorder = 1 and spreadid is null and lead(id) over w is not null and lead(spreadid) over w is null, false) as ok from fx_page window w as (partition by documentid, staged, case when staged then sourceid end order by sortorder, id)) a
-window w as (partition by documentid, staged, case when staged then sourceid end order by sortorder, id)) b window w as (partition by documentid, staged, case when staged then sourceid end order by sortorder, id)) c) e where spreadid is not null""")
+_put("link_spreads", ("fx_page",), """select id, spreadid, spreadside from fx_page where spreadid is not null union all
+select case when half = 1 then id else nid end, id, case when half = 1 then 'left' else 'right' end from (select * from (select *, i - row_number() over (partition by documentid, staged, area order by i) as island from (
+select id, documentid, staged, area, spreadid, row_number() over w as i, lead(id) over w as nid, lead(spreadid) over w as nsp from (select *, case when staged then sourceid end as area from fx_page where not filler) f window w as (partition by documentid, staged, area order by sortorder, id)) n
+where spreadid is null and nid is not null and nsp is null) s qualify row_number() over (partition by documentid, staged, area, island order by i) % 2 = 1) t, (values (1), (2)) h(half)""")
 _put("type_areas", _PD, """select id, side, round(case when side = 'right' then i else o end / 210.0, 6) as x, round(cast(20 as double) / 297, 6) as y, round((210 - i - o) / 210.0, 6) as w, round(cast(252 as double) / 297, 6) as h,
 round(case when side = 'right' then cast(149 as double) / 210 else cast(12 as double) / 210 end, 6) as note_x from (select p.id, case when (row_number() over (partition by documentid order by sortorder, p.id) % 2 = 1) = firstpageright then 'right' else 'left' end as side, cast(case when pagetype = 'html' then 20 else 25 end as double) as i, cast(case when pagetype = 'html' then 68 else 18 end as double) as o from fx_page p join fx_document d on d.id = p.documentid where not staged) t""")
 _put("move_pages", ("fx_page",), """select documentid, id, row_number() over (partition by documentid order by nr, sortorder, id) as position from (select k.*, case when c.f is null then r when r = c.f then c.t when r = c.t then c.f else r end as nr from ranked k left join chosen c on c.documentid = k.documentid) t""",
@@ -99,7 +100,7 @@ _put("z_order", ("fx_overlay",), "select pageid, id, row_number() over (partitio
 _put("page_overlays", ("fx_page", "fx_overlay"), "select p.id, coalesce(string_agg(cast(o.id as varchar), ',' order by o.sortorder, o.id), '') as overlays from fx_page p left join fx_overlay o on o.pageid = p.id group by p.id")
 _put("page_facts", ("fx_page", "fx_overlay"), "select p.id, p.documentid, count(*) filter (where overlaytype = 'textframe') as frames, count(o.id) = 0 as blank, coalesce(bool_or(overlaytype in ('reflow', 'textframe')), false) as has_text from fx_page p left join fx_overlay o on o.pageid = p.id group by p.id, p.documentid")
 _put("column_numbers", ("fx_overlay",), "select pageid, id, row_number() over (partition by pageid order by sortorder, id) as column_no from fx_overlay where overlaytype = 'column'")
-_put("learner_masks", ("fx_overlay",), "select pageid, count(*) as masks, md5(string_agg(concat_ws(',', x, y, w, h), ';' order by sortorder, id)) as key from fx_overlay where overlaytype = 'mask' group by pageid")
+_put("learner_masks", ("fx_overlay",), """select pageid, count(*) as masks, md5(sha1(cast(pageid as varchar)) || ';' || string_agg(concat_ws(',', x, y, w, h, case when sortorder % 3 = 1 then 'black' else 'white' end), ';' order by sortorder, id)) as key from fx_overlay where overlaytype = 'mask' and sortorder % 3 <> 0 group by pageid""")
 
 _put("page_titles", (), "select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from pages")
 _ACT = "b0"
@@ -137,12 +138,12 @@ _put("delete_sources", ("fx_page", "fx_source"), "select id, case when sourceid
 _put("delete_documents", ("fx_document", "fx_page", "fx_overlay"), "select id, 'document' as kind from fx_document where not ismaster union all select id, 'page' from fx_page where documentid not in (select id from fx_document where ismaster) union all select id, 'overlay' from fx_overlay where pageid in (select id from fx_page where documentid not in (select id from fx_document where ismaster))")
 
 _PROFILE = "profile as (select vec_id as page, i - 1 as x, round(cast(abs(v) as double), 6) as ink, 64 as n from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) t)"
-_put("empty_band", (), """select page, cast(floor((first + last) / 2) as bigint) as center from (select r.*, row_number() over (partition by r.page order by first - last, first) as k from (select page, min(x) as first, max(x) as last from (select page, x, x - row_number() over (partition by page order by x) as g from profile where ink < 0.05 and x >= 0.4 * n and x < 0.6 * n) a group by page, g) r
-join (select page, min(x) as lo, max(x) as hi from profile where ink >= 0.05 group by page) s on s.page = r.page where last - first + 1 >= 0.64 and lo < first and hi > last) q where k = 1""", _PROFILE)
-_put("shadow_valley", (), """select page, x from (select p.page, x, lum, median, row_number() over (partition by p.page order by lum, x) as k from (select *, cast(round(ink * 1000) as bigint) as lum from profile) p join (select page, list_sort(list(cast(round(ink * 1000) as bigint)))[33] as median from profile group by page) m on m.page = p.page where x >= 0.4 * n and x < 0.6 * n) t where k = 1 and lum < median - 25""", _PROFILE)
+_put("empty_band", (), """select page, center from (select s.page, (a + b) // 2 as center, row_number() over (partition by s.page order by b - a desc, a) as k from (select page, min(x) as a, max(x) as b from (select page, x, x - row_number() over (partition by page order by x) as g from profile where ink < 0.05 and x between 25 and 38) e group by page, g) s
+join (select page, sum(case when x < 25 then ink else 0 end) as li, sum(case when x >= 38 then ink else 0 end) as ri from profile group by page) h on h.page = s.page where b - a + 1 >= 0.64 and li > 0.5 and ri > 0.5) q where k = 1""", _PROFILE)
+_put("shadow_valley", (), """select page, x from (select p.page, x, lum, median, row_number() over (partition by p.page order by lum, x) as k from (select *, cast(round(ink * 1000) as bigint) as lum from profile) p join (select page, list_sort(list(cast(round(ink * 1000) as bigint)))[33] as median from profile group by page) m on m.page = p.page where x between 25 and 38) t where k = 1 and lum < median - 25""", _PROFILE)
 _put("text_columns", (), """select page, row_number() over (partition by page order by first) as column_no, first, last from (select *, count(*) over (partition by page) as c from (select page, min(first) as first, max(last) as last from (select *, sum(far) over (partition by page order by first rows between unbounded preceding and current row) as g from (select *, case when coalesce(first - lag(last) over (partition by page order by first) - 1 >= 0.02 * 64, true) then 1 else 0 end as far from
-(select page, min(x) as first, max(x) as last from (select page, x, x - row_number() over (partition by page order by x) as g from profile where ink >= 0.08) a group by page, g) r) s) t group by page, g) u where last - first + 1 > 6.4) v where c >= 2""", _PROFILE)
-_put("border_box", (), "select page, least(coalesce(min(case when ink < 0.1 then x end), 0), 12) as first, greatest(coalesce(max(case when ink < 0.1 then x end), 63), 51) as last from profile group by page", _PROFILE)
+(select page, min(x) as first, max(x) as last from (select page, x, x - row_number() over (partition by page order by x) as g from profile where ink > 0.08) a group by page, g) r) s) t group by page, g) u where last - first + 1 > 6.4) v where c >= 2""", _PROFILE)
+_put("border_box", (), "select page, least(count(*) filter (where x < least(lo, 13)), 13) as first, 63 - least(count(*) filter (where x > greatest(hi, 51)), 12) as last from (select *, coalesce(min(case when not ink > 0.1 then x end) over (partition by page), 64) as lo, coalesce(max(case when not ink > 0.1 then x end) over (partition by page), -1) as hi from profile) t group by page", _PROFILE)
 _put("row_profile", (), "select doc_id as page, i - 1 as y, round(1 - length(regexp_replace(s, '[^ ]', '', 'g')) / cast(length(s) as double), 6) as ink from (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) t where length(s) > 0")
 
 _put("visible_pages", _PD, """select id % 10 as userid, pid as id, masked from (select d.id, p.id as pid, false as masked from fx_document d join fx_page p on p.documentid = d.id where not p.staged and d.id % 3 = 0 union all

@@ -1,5 +1,6 @@
 """Exact values and properties of single operators."""
 
+import json
 import random
 
 import pytest
@@ -99,7 +100,10 @@ def test_boxes_and_settings(spark):
     d = d.selectExpr("*", "cast(0.1 as decimal(10,6)) x", "cast(0.2 as decimal(10,6)) y", "cast(2 as decimal(10,6)) w", "cast(0.1 as decimal(10,6)) h")
     assert float(overlay.clamped(d).first().w) == 0.9
     got = {r.id: r.settings for r in overlay.clean_settings(d).collect()}
-    assert got == {1: '{"html":"","fontsize":96,"color":"#000000"}', 2: '{"reveal":false,"background":"#ffffff"}'}
+    assert got == {1: '{"text":"","fontsize":96,"bold":false,"color":"#000000","bgcolor":"#ffffff","align":"left"}', 2: '{"style":"white","revealable":false,"label":""}'}
+    more = [("textbox", '{"text": "a <b>c</b>", "fontsize": "x", "bold": 1, "bgcolor": " #ABCDEF ", "align": "center"}', {"text": "a c", "fontsize": 6, "bold": True, "color": "#000000", "bgcolor": "#abcdef", "align": "center"}), ("audio", '{"ttslang": "fr-CA", "filename": "../u/v.mp3"}', {"mode": "file", "ttstext": "", "ttslang": "fr-CA", "label": "", "filename": "uv.mp3"}), ("textframe", '{"fontscale": 9, "columns": 0, "html": "<p>t</p><script>x</script>"}', {"html": "<p>t</p>", "fontscale": 3.0, "bgcolor": "", "border": False, "columns": 1, "style": ""}), ("column", "no json", {})]
+    rows = spark.createDataFrame([(i, t, j) for i, (t, j, _) in enumerate(more)], "id long, overlaytype string, data string")
+    assert [json.loads(r.settings) for r in overlay.clean_settings(rows).orderBy("id").collect()] == [want for *_, want in more]
 
 
 URLS = [("/img/x.png", "https://a.org/img/x.png"), ("../c.png", "https://a.org/p/c.png"), ("./d.png", "https://a.org/p/q/d.png"), ("//cdn.org/e.png", "https://cdn.org/e.png"), ("javascript:x", None), ("data:1", None), ("#f", "https://a.org/p/q/i.html?x=1#f"), ("?y=2", "https://a.org/p/q/i.html?y=2"), ("e/", "https://a.org/p/q/e/"), ("http://b.org/", "http://b.org/")]
@@ -112,9 +116,9 @@ def test_absolute_url(spark, rel, want):
 
 
 def test_attributes(spark):
-    d = spark.createDataFrame([(""".column .x #main Width="40%" n=6 title='Hallo Welt' n=7""",)], "t string")
+    d = spark.createDataFrame([("""#intro rows=2 .wide ALIGN='right side' .b2 rows=9 alt="two words\" """,)], "t string")
     r = d.select(T.attribute_map(F.col("t")).alias("a")).first().a
-    assert r.classes == ["column", "x"] and r.id == "main" and r.attrs == {"width": "40%", "n": "7", "title": "Hallo Welt"}
+    assert r.classes == ["wide", "b2"] and r.id == "intro" and r.attrs == {"rows": "9", "align": "right side", "alt": "two words"}
 
 
 def test_text_functions(spark):
@@ -189,6 +193,36 @@ def test_publishing_edits(spark):
     got = publish.worksheet_lines(s).groupBy("id").agg(F.countDistinct("page_no").alias("p"), F.count("*").alias("n")).collect()
     assert [(r.id, r.p, r.n) for r in got] == [(1, 50, 50 * 33)]
     o = spark.createDataFrame([(1, 1, "mask", 0.1, 0.1, 0.1, 0.1, "a", 3)], "id long, pageid long, overlaytype string, x double, y double, w double, h double, data string, sortorder int")
-    c = spark.createDataFrame([(1, 2, "audio", 0.5, None, None, None, None), (9, 1, "mask", 0.0, 0.0, 1.0, 1.0, "n")], "id long, pageid long, overlaytype string, x double, y double, w double, h double, data string")
+    c = spark.createDataFrame([(1, 2, "audio", 0.5, None, None, None, None), (9, 1, "mask", 0.75, 0.0, 1.0, 1.0, "{}"), (8, 1, "audio", 0.0, 0.0, 0.5, 0.5, '{"filename":"own.mp3"}')], "id long, pageid long, overlaytype string, x double, y double, w double, h double, data string")
     r = publish.upsert_overlays(o, c).orderBy("id").collect()
-    assert (r[0].pageid, r[0].overlaytype, r[0].x, r[0].y, r[0].data) == (2, "mask", 0.5, 0.1, "a") and r[1].id == 9
+    assert (r[0].pageid, r[0].overlaytype, r[0].x, r[0].data, r[0].sortorder) == (1, "mask", 0.1, "a", 3)  # another type: left out
+    assert [(x.id, x.sortorder) for x in r[1:]] == [(8, 4), (9, 5)] and r[2].w == 0.25 and '"filename":""' in r[1].data
+    same = spark.createDataFrame([(1, 2, "mask", None, 0.5, None, None, None)], "id long, pageid long, overlaytype string, x double, y double, w double, h double, data string")
+    r = publish.upsert_overlays(o, same).first()
+    assert (r.pageid, r.x, r.y, r.data, r.sortorder) == (2, 0.1, 0.5, "a", 3)
+    p = spark.createDataFrame([(1, True), (3, True)], "id long, filler boolean")
+    assert [x.filler for x in publish.filled_pages(p, same.unionByName(c)).orderBy("id").collect()] == [False, True]
+
+
+def plain_links(pages, named):
+    """Commands one after the other on a list of (id, filler, spread); the rule as a loop."""
+    pages = [dict(zip(("id", "filler", "spread"), p)) for p in pages]
+    for i in [p["id"] for p in pages]:
+        kept = [p for p in pages if not p["filler"]]
+        for k, p in enumerate(kept[:-1]):
+            if i in named and p["id"] == i and p["spread"] is None and kept[k + 1]["spread"] is None:
+                p["spread"] = kept[k + 1]["spread"] = i
+                break
+    return {p["id"]: p["spread"] for p in pages}
+
+
+def test_links_equal_the_loop(spark):
+    rnd = random.Random(9)
+    for _ in range(6):
+        raw = [(i, rnd.random() < 0.2, rnd.choice([None, None, None, 900 + i])) for i in range(1, 14)]
+        named = {i for i in range(1, 14) if rnd.random() < 0.7}
+        d = spark.createDataFrame([page(i) for i, *_ in raw], PAGE)
+        state = spark.createDataFrame(raw, "id long, f boolean, s long")
+        d = d.join(state, "id").withColumn("filler", F.col("f")).withColumn("spreadid", F.col("s")).drop("f", "s")
+        got = {r.id: r.spreadid for r in order.link_spreads(d, spark.createDataFrame([(i,) for i in named] or [(0,)], "id long")).collect()}
+        assert got == plain_links(raw, named)

@@ -38,6 +38,14 @@ def code(c: str) -> int:
     return 27 + ord(c) % 36 if c.isalpha() else 63 if c.isdigit() else 0
 
 
+class _Codes(dict):
+    """Classes of characters, looked up once each."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = code(c)
+        return self[c]
+
+
 @lru_cache(1)
 def _kinds() -> np.ndarray:
     """Bits of each character: 1 letter, 2 sign, 4 gap, 8 white space."""
@@ -88,45 +96,49 @@ class Decoder:
     """Viterbi decoding of suspicious runs under a character model."""
 
     def __init__(self, model: np.ndarray):
-        self.cost = model
+        self.cost = model.ravel().tolist()  # at (before 2 * A + before 1) * A + character
+        self.code = _Codes()
         self.known: dict[str, str] = {}
 
     def restore(self, run: str) -> str:
         """The likeliest letters behind a run; states are the last two characters written."""
-        low, cost = run.lower(), self.cost
+        low, cost, code_of = run.lower(), self.cost, self.code
         plain = [i for i, c in enumerate(low) if c.isalnum() or c in SIGNS and c not in EDGE]
         lo, hi = (plain[0], plain[-1]) if plain else (0, -1)  # signs of EDGE outside are likely punctuation
         doubled = DOUBLE_COST if sum(x == y and x.isalpha() for x, y in zip(low, low[1:])) > 1 else LONE_COST  # one is common spelling
-        states = {("", ""): (0.0, None)}
+        states = {("", ""): (0.0, None, 0)}  # of the last two characters: cost, what is written, place of the next costs
+        before = ""
         for i, c in enumerate(low):
-            inner, arcs = 0 < i < len(low) - 1, []  # (what is written, channel cost)
-            if c.isalpha():
-                arcs.append((c, 0.0))
+            letter = c.isalpha()
+            if letter:
+                arcs = ((c, code_of[c], 0.0),)  # (what is written, its class, channel cost)
             else:
-                arcs += [(x, SIGN_COST if c != "*" else 2 * SIGN_COST) for x in SIGNS.get(c, "")]
+                inner = 0 < i < len(low) - 1
+                arcs = [(x, code_of[x], SIGN_COST if c != "*" else 2 * SIGN_COST) for x in SIGNS.get(c, "")]
                 if c in GAPS and inner:
-                    arcs += [("", GAP_COST), (" ", WORD_COST)]
+                    arcs += [("", 0, GAP_COST), (" ", 0, WORD_COST)]
                 else:
-                    arcs.append((" ", 0.0 if c not in SIGNS or c in EDGE and not lo < i < hi else KEEP_COST if inner else EDGE_COST))
-            thrice = i > 0 and c == low[i - 1] and (low[i + 1 : i + 2] == c or low[i - 2 : i - 1] == c and i > 1)
-            twice = i > 0 and not thrice and c == low[i - 1] and c.isalpha()
+                    arcs.append((" ", 0, 0.0 if c not in SIGNS or c in EDGE and not lo < i < hi else KEEP_COST if inner else EDGE_COST))
+            thrice = c == before and (low[i + 1 : i + 2] == c or low[i - 2 : i - 1] == c and i > 1)
+            twice = c == before and not thrice and letter
+            before = c
             new: dict = {}
-            for (p, q), (so_far, text) in states.items():
-                for x, extra in arcs:
+            for key, (so_far, text, base) in states.items():
+                q = key[1]
+                for x, cx, extra in arcs:
                     if x == "" or (x == " " and q in ("", " ")):
-                        step, key, out = extra, (p, q), text
-                    else:
-                        step = extra + float(cost[code(p) if p else 0, code(q) if q else 0, code(x)])
-                        key, out = (q, x), (x, text)  # what is written, what was written before
-                    if key not in new or so_far + step < new[key][0]:
-                        new[key] = (so_far + step, out)
+                        to, found = key, (so_far + extra, text, base)
+                    else:  # what is written, what was written before
+                        to, found = (q, x), (so_far + extra + cost[base + cx], (x, text), ((base & A * A - 1) + cx) * A)
+                    if to not in new or found[0] < new[to][0]:
+                        new[to] = found
                 if (thrice and q and q != " ") or (twice and q == c):  # a repeated sign may write nothing
                     again = so_far + (REPEAT_COST if thrice else doubled)
-                    if (p, q) not in new or again < new[p, q][0]:
-                        new[p, q] = (again, text)
+                    if key not in new or again < new[key][0]:
+                        new[key] = (again, text, base)
             states = new
-        end = min(states.items(), key=lambda s: s[1][0] + float(cost[code(s[0][0]) if s[0][0] else 0, code(s[0][1]) if s[0][1] else 0, 0]))
-        written, at = [], end[1][1]
+        _, at, _ = min(states.values(), key=lambda s: s[0] + cost[s[2]])
+        written = []
         while at is not None:
             x, at = at
             written.append(x)

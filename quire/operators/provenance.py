@@ -58,11 +58,14 @@ def copy_sources(documents: DataFrame, grants: DataFrame) -> DataFrame:
 
 
 def glossary_lookup(terms: DataFrame, entries: DataFrame) -> DataFrame:
-    """(term, id): the lowest approved entry whose concept or alias is the term, whatever its case. One equi-join over both names."""
+    """(glossaryid, term, id): in each glossary that terms (glossaryid, term) ask, the lowest approved entry whose concept or alias is the term, whatever its case.
+
+    One equi-join over both names; a term without an entry in its own glossary has no row.
+    """
     ok = entries.where("approved")
-    names = ok.select("id", F.lower("concept").alias("name")).unionByName(ok.select("id", F.lower("alias").alias("name")))
-    first = names.groupBy("name").agg(F.min("id").alias("id"))
-    return terms.select("term").distinct().join(first, F.lower("term") == F.col("name")).select("term", "id")
+    names = ok.select("glossaryid", "id", F.lower("concept").alias("name")).unionByName(ok.select("glossaryid", "id", F.lower("alias").alias("name")))
+    first = names.groupBy("glossaryid", "name").agg(F.min("id").alias("id"))
+    return terms.select("glossaryid", "term").distinct().withColumn("name", F.lower("term")).join(first, ["glossaryid", "name"]).select("glossaryid", "term", "id")
 
 
 def recent_jobs(jobs: DataFrame, now: Column, most: int = 20) -> DataFrame:

@@ -84,7 +84,7 @@ _put("source_counts", ("fx_page", "fx_source"), "select s.id, count(*) filter (w
 _put("master_usage", ("fx_document", "fx_page"), "select d.id, (select count(*) from fx_page p where p.documentid = d.id) as pages, (select count(*) from fx_document e where e.masterid = d.id) as derived from fx_document d where ismaster")
 _put("lineage", ("fx_document",), "select d.id, d.masterid, m.id is not null as known from fx_document d left join fx_document m on m.id = d.masterid where d.masterid is not null")
 _put("copy_sources", ("fx_document",), "select distinct g.userid, d.id from fx_document d join (select distinct o_custkey % 100 as userid, o_custkey % 7 as course from orders) g on g.course = d.course where d.ismaster")
-_put("glossary_lookup", ("fx_glossary",), "select t.term, min(g.id) as id from (select upper(p_brand) as term from part union select p_name from part) t join fx_glossary g on lower(t.term) in (lower(g.concept), lower(g.alias)) where g.approved group by t.term")
+_put("glossary_lookup", ("fx_glossary",), "select t.glossaryid, t.term, min(g.id) as id from (select p_size as glossaryid, upper(p_brand) as term from part union select p_size, p_name from part) t join fx_glossary g on g.glossaryid = t.glossaryid and (lower(t.term) = lower(g.concept) or lower(t.term) = lower(g.alias)) where g.approved group by all")
 _NOW = "timestamp '2024-01-15 00:00:00'"
 _put("recent_jobs", ("fx_job",), f"select documentid, id, rank from (select *, row_number() over (partition by documentid order by ts desc, id desc) as rank from fx_job where status in ('queued', 'running') or ts >= {_NOW} - interval 1 day) t where rank <= 20")
 _put("stale_jobs", ("fx_job",), f"select id from fx_job where status = 'queued' and ts < {_NOW} - interval 10 minute")
@@ -133,7 +133,7 @@ _put("nested_round_trip", ("fx_document", "fx_page", "fx_overlay"), "select docu
 _put("copy_pages", _PD, """select target as documentid, target * 1048576 + n as id, id as copied_from, coalesce(case when spreadid is not null and halves = 2 then target * 1048576 + l end, 0) as spreadid from (select *, count(*) over (partition by target, documentid, spreadid) as halves, min(n) over (partition by target, documentid, spreadid) as l from (select d.id as target, u.documentid, u.id, p.spreadid, row_number() over (partition by d.id order by u.documentid, u.pagenumber) as n from fx_document d join published u on u.documentid = d.masterid join fx_page p on p.id = u.id) a) b""", _RANGES)
 _put("remap_masters", ("fx_document",), "select d.id, coalesce(m.id, 0) as masterid from fx_document d left join fx_document m on m.id = d.masterid")
 _put("broken_spreads", ("fx_page",), "select documentid, spreadid from fx_page where not staged and spreadid is not null group by all having count(*) < 2")
-_put("orphans", ("fx_document", "fx_page", "fx_overlay"), "select 'overlay' as kind, id from fx_overlay where pageid not in (select id from fx_page where id % 11 <> 0) union all select 'page', id from fx_page where id % 11 <> 0 and documentid not in (select id from fx_document where id % 9 <> 0)")
+_put("orphans", ("fx_document", "fx_page", "fx_overlay"), "select 'overlay' as kind, id from fx_overlay where id % 9 = 0 or pageid not in (select id from fx_page) union all select 'page', id from fx_page where id % 11 = 0 or documentid not in (select id from fx_document)")
 _put("delete_sources", ("fx_page", "fx_source"), "select id, case when sourceid in (select id from fx_source where id % 4 = 0) then 0 else sourceid end as sourceid from fx_page where not (staged and sourceid in (select id from fx_source where id % 4 = 0))")
 _put("delete_documents", ("fx_document", "fx_page", "fx_overlay"), "select id, 'document' as kind from fx_document where not ismaster union all select id, 'page' from fx_page where documentid not in (select id from fx_document where ismaster) union all select id, 'overlay' from fx_overlay where pageid in (select id from fx_page where documentid not in (select id from fx_document where ismaster))")
 

@@ -170,9 +170,10 @@ def test_line_breaks(spark):
     assert d.select(flow.line_breaks(F.col("t"), 5).alias("e")).first().e == [5, 11, 13]
 
 
-def test_glossary_alias(spark):
-    e = spark.createDataFrame([(2, "Photosynthese", "Fotosynthese", True), (1, "x", "fotosynthese", False)], "id long, concept string, alias string, approved boolean")
-    assert provenance.glossary_lookup(spark.createDataFrame([("fotoSYNTHESE",)], "term string"), e).first().id == 2
+def test_glossary_of_each_term(spark):
+    e = spark.createDataFrame([(4, 1, "Tide", "Ebb", False), (7, 1, "Current", "TIDE", True), (9, 1, "tide", None, True), (3, 2, "Tide", None, True)], "id long, glossaryid int, concept string, alias string, approved boolean")
+    asked = spark.createDataFrame([(1, "tIDE"), (2, "tIDE"), (2, "ebb"), (3, "tide")], "glossaryid int, term string")
+    assert sorted(map(tuple, provenance.glossary_lookup(asked, e).collect())) == [(1, "tIDE", 7), (2, "tIDE", 3)]
 
 
 def test_job_result(spark):

@@ -35,6 +35,14 @@ def parse_range(expr: Column, total: Column) -> Column:
     return F.when(total < 1, F.array().cast("array<long>")).when(empty | ~range_valid(expr), every).otherwise(chosen)
 
 
+def in_range(expr: Column, number: Column, total: Column) -> Column:
+    """Whether a page number is among those of parse_range, without building them."""
+    held = lambda p: (number >= _bounds(p)[0]) & (number <= F.coalesce(_bounds(p)[1], total))
+    chosen = F.exists(F.split(expr, ","), lambda p: F.coalesce(held(p), F.lit(False)))
+    empty = F.trim(F.coalesce(expr, F.lit(""))) == ""
+    return number.between(1, total) & (empty | ~range_valid(expr) | chosen)
+
+
 def compact_range(numbers: DataFrame, key: str, number: str) -> DataFrame:
     """(key, pages): the numbers of each key as ``1-3, 5``."""
     w = Window.partitionBy(key).orderBy(number)

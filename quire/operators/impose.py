@@ -6,28 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import SLOTS, fit_page, side
-from quire.functions.ranges import parse_range
+from quire.functions.ranges import in_range
 from quire.operators.order import reading_order
 
 PER_SIDE = {"1up": 1, "2up": 2, "4up": 4, "booklet": 2}
 
 
+def _in_document(by: str) -> Window:
+    return Window.partitionBy("documentid").orderBy(by)
+
+
 def published_pages(pages: DataFrame, documents: DataFrame, rng: str = "pagerange") -> DataFrame:
     """Pages of each document's published range, with their original ``pagenumber``."""
-    d = reading_order(pages)
-    total = d.groupBy("documentid").agg(F.count("*").alias("total"))
-    ranges = documents.select(F.col("id").alias("documentid"), F.col(rng).alias("__r"), "firstpageright").join(total, "documentid")
-    numbers = ranges.select("documentid", "firstpageright", F.explode(parse_range(F.col("__r"), F.col("total"))).alias("position"))
-    return d.join(numbers, ["documentid", "position"]).withColumnRenamed("position", "pagenumber")
+    firsts = documents.select(F.col("id").alias("documentid"), F.col(rng).alias("__r"), "firstpageright")
+    d = reading_order(pages).withColumn("__t", F.count("*").over(Window.partitionBy("documentid"))).join(firsts, "documentid")
+    return d.where(in_range(F.col("__r"), F.col("position"), F.col("__t"))).drop("__r", "__t").withColumnRenamed("position", "pagenumber")
 
 
 def print_selection(published: DataFrame, expr: str) -> DataFrame:
     """Of published pages, renumbered from 1, those of a further range; ``position`` is their place in print."""
-    w = Window.partitionBy("documentid").orderBy("pagenumber")
-    d = published.withColumn("__n", F.row_number().over(w).cast("long"))
-    total = d.groupBy("documentid").agg(F.count("*").alias("__t"))
-    chosen = total.select("documentid", F.explode(parse_range(F.lit(expr), F.col("__t"))).alias("__n"))
-    return d.join(chosen, ["documentid", "__n"]).withColumn("position", F.row_number().over(w).cast("long")).drop("__n")
+    w = _in_document("pagenumber")
+    d = published.withColumn("__n", F.row_number().over(w).cast("long")).withColumn("__t", F.count("*").over(Window.partitionBy("documentid")))
+    return d.where(in_range(F.lit(expr), F.col("__n"), F.col("__t"))).withColumn("position", F.row_number().over(w).cast("long")).drop("__n", "__t")
 
 
 def slot_of(layout: str, position: Column, count: Column, startright: Column) -> tuple[Column, Column]:
@@ -64,8 +64,10 @@ def slot_boxes(layout: str) -> Column:
 def print_plan(pages: DataFrame, documents: DataFrame, layout: str = "booklet", expr: str = "") -> DataFrame:
     """(documentid, side_no, slot_no, id, pagenumber, x, y, w, h): where on the sheets each published page is drawn, in mm."""
     printed = print_selection(published_pages(pages, documents), expr)
-    first = printed.where("position = 1").select("documentid", (side(F.col("pagenumber"), F.col("firstpageright")) == "right").alias("startright"))
-    printed = printed.join(first, "documentid")
-    sheets = impose(printed, layout).where("position IS NOT NULL").join(printed.select("documentid", "position", "id", "pagenumber", "width", "height"), ["documentid", "position"])
-    box = fit_page(slot_boxes(layout)[F.col("slot_no").cast("int")], F.col("width"), F.col("height"))
-    return sheets.withColumn("box", box).select("documentid", "side_no", "slot_no", "id", "pagenumber", *[F.round(F.col("box")[k], 4).alias(k) for k in "xywh"])
+    starts = F.first(side(F.col("pagenumber"), F.col("firstpageright")) == "right").over(_in_document("position"))
+    count = F.count("*").over(Window.partitionBy("documentid"))
+    printed = printed.withColumns({"__s": starts, "__c": count})
+    at, slot = slot_of(layout, F.col("position"), F.col("__c"), F.col("__s"))
+    box = fit_page(slot_boxes(layout)[slot.cast("int")], F.col("width"), F.col("height"))
+    d = printed.withColumns({"side_no": at, "slot_no": slot, "box": box})
+    return d.select("documentid", "side_no", "slot_no", "id", "pagenumber", *[F.round(F.col("box")[k], 4).alias(k) for k in "xywh"])

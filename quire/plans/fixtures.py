@@ -11,7 +11,7 @@ _LINE = "(select *, row_number() over (partition by l_orderkey order by l_linenu
 
 VIEWS = {
     "fx_document": """select o_orderkey as id, o_custkey % 50 as course, o_orderkey % 4 <> 0 as firstpageright,
- case o_orderkey % 6 when 0 then '' when 1 then '2-3, 6' when 2 then '5-8, 2, 10-' when 3 then '3-99' when 4 then '4-1' else '1-' end as pagerange,
+ case o_orderkey % 6 when 0 then '' when 1 then '2-3, 6' when 2 then '4, 1-2,6-' when 3 then '2-40' when 4 then '5-2' else '1-' end as pagerange,
  o_orderkey % 5 = 0 as ismaster, case when o_orderkey % 7 = 3 then o_custkey * 15 end as masterid from orders""",
     "fx_page": f"""select l_orderkey as documentid, l_orderkey * 100 + k as id, k as sortorder, l_suppkey as sourceid,
  case when l_quantity < 10 then 'canvas' when l_quantity < 40 then 'image' else 'html' end as pagetype,

@@ -55,10 +55,10 @@ _put("mirror_overlays", (*_PD, "fx_overlay"), """select o.id, case when t.id is
 
 _RANGES = """counted as (select d.id as documentid, d.firstpageright, d.pagerange, count(*) as n from fx_document d join fx_page p on p.documentid = d.id where not p.staged group by all),
 numbers as (select documentid, firstpageright, pagerange, n, unnest(range(1, n + 1)) as k from counted),
-chosen as (select *, case when pagerange in ('', '4-1') then true when pagerange = '2-3, 6' then k in (2, 3, 6) when pagerange = '5-8, 2, 10-' then k between 5 and 8 or k = 2 or k >= 10 when pagerange = '3-99' then k >= 3 else true end as ok from numbers),
+chosen as (select *, case when pagerange in ('', '5-2') then true when pagerange = '2-3, 6' then k in (2, 3, 6) when pagerange = '4, 1-2,6-' then k between 1 and 2 or k = 4 or k >= 6 when pagerange = '2-40' then k >= 2 else true end as ok from numbers),
 numbered as (select *, row_number() over (partition by documentid order by sortorder, id) as k from fx_page where not staged),
 published as (select p.documentid, p.id, p.width, p.height, c.firstpageright, p.k as pagenumber, row_number() over (partition by p.documentid order by p.k) as position, count(*) over (partition by p.documentid) as c from numbered p join chosen c on c.documentid = p.documentid and c.k = p.k where c.ok)"""
-_put("parse_range", _PD, "select documentid as id, pagerange <> '4-1' as valid, coalesce(string_agg(case when ok then cast(k as varchar) end, ',' order by k), '') as numbers from chosen group by all", _RANGES)
+_put("parse_range", _PD, "select documentid as id, pagerange <> '5-2' as valid, coalesce(string_agg(case when ok then cast(k as varchar) end, ',' order by k), '') as numbers from chosen group by all", _RANGES)
 _put("published_pages", _PD, "select documentid, id, pagenumber from published", _RANGES)
 _put("compact_range", _PD, "select documentid, string_agg(case when a = b then cast(a as varchar) else a || '-' || b end, ', ' order by a) as pages from (select documentid, min(pagenumber) as a, max(pagenumber) as b from published group by documentid, pagenumber - position) t group by documentid", _RANGES)
 _put("print_selection", _PD, "select documentid, id, position - case when c >= 2 then 1 else 0 end as position from published where position >= 2 ", _RANGES)

@@ -121,9 +121,11 @@ def test_page_decisions(spark, tmp_path):
     assert raster.covered_pixels(d, masks).count() == 210
 
 
-def test_skew(spark):
-    rows = [(1, x, int(round(40 + 25 * k + x * np.tan(np.radians(2))))) for k in range(4) for x in range(0, 300, 3)]
-    assert abs(raster.skew(spark.createDataFrame(rows, "page int, x int, y int")).first().angle - 2) <= 0.3
+@pytest.mark.parametrize("angle", [-3.5, -1.25, 0.75, 3.0])
+def test_skew(spark, angle):
+    rows = [(1, x, int(round(60 + 31 * k + x * np.tan(np.radians(angle))))) for k in range(3) for x in range(0, 400, 2)]
+    found = raster.skew(spark.createDataFrame(rows, "page int, x int, y int")).first().angle
+    assert abs(found - angle) <= 0.25
     assert raster.skew(spark.createDataFrame(rows[:20], "page int, x int, y int")).first().angle == 0
 
 

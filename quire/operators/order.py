@@ -34,18 +34,68 @@ def rebalance(pages: DataFrame, documents: DataFrame, overlays: DataFrame | None
     that requires a side fixes the parity that page k would have by itself.
     """
     firsts = documents.select(F.col("id").alias("documentid"), "firstpageright")
-    kept = kept_pages(pages, overlays).where("NOT staged").join(firsts, "documentid")
-    required = required_side(F.col("spreadside"), F.col("pinside"))
-    d = kept.withColumn("k", F.row_number().over(by()).cast("long")).withColumn("required", required)
+    return with_blanks(kept_pages(pages, overlays).where("NOT staged").join(firsts, "documentid"), "documentid")
+
+
+def with_blanks(d: DataFrame, *keys: str) -> DataFrame:
+    """d (firstpageright, spreadside, pinside) with ``required``, ``blank_before``, ``position`` and ``side`` within keys."""
+    w = Window.partitionBy(*keys).orderBy("sortorder", "id")
+    d = d.withColumn("k", F.row_number().over(w).cast("long")).withColumn("required", required_side(F.col("spreadside"), F.col("pinside")))
     d = d.withColumn("par", F.when(F.col("required").isNotNull(), F.when((F.col("required") == "right") == F.col("firstpageright"), 1).otherwise(0)).cast("long"))
-    before = by().rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("v", F.max(2 * F.col("k") + F.col("par")).over(before))
+    d = d.withColumn("v", F.max(2 * F.col("k") + F.col("par")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     natural = F.when(F.col("v").isNull(), F.col("k") % 2).otherwise((F.col("v") % 2 + F.col("k") - F.floor(F.col("v") / 2)) % 2)
     d = d.withColumn("blank_before", F.coalesce(natural != F.col("par"), F.lit(False)))
-    d = d.withColumn("position", F.col("k") + F.sum(F.col("blank_before").cast("long")).over(by().rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("position", F.col("k") + F.sum(F.col("blank_before").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn("side", side(F.col("position"), F.col("firstpageright"))).drop("v", "par", "k")
 
 
+def starts(pages: DataFrame, documents: DataFrame, startright: bool) -> DataFrame:
+    """(documentid, firstpageright, position, shifted): where pages flowed next begin; with startright a blank goes first if that is a left page."""
+    n = pages.groupBy("documentid").agg(F.count_if(~F.col("staged")).alias("n"))
+    d = documents.select(F.col("id").alias("documentid"), "firstpageright").join(n, "documentid", "left")
+    d = d.withColumn("position", F.coalesce("n", F.lit(0)) + 1)
+    shifted = F.lit(startright) & (side(F.col("position"), F.col("firstpageright")) != "right")
+    return d.select("documentid", "firstpageright", (F.col("position") + shifted.cast("long")).alias("position"), shifted.alias("shifted"))
+
+
+def import_preview(pages: DataFrame, documents: DataFrame, startright: bool = False) -> DataFrame:
+    """(documentid, sourceid, id, position, side, filler, row_no, chained, ghost): each source's staged pages as they would follow the document.
+
+    Blanks (id null) keep required sides; a left page and the right page behind it share a row unless
+    one is landscape; ``ghost`` is the empty side beside a single page.
+    """
+    base = starts(pages, documents, startright).withColumnsRenamed({"position": "__base", "firstpageright": "__first"}).drop("shifted")
+    d = pages.where("staged").join(base, "documentid").withColumn("firstpageright", F.col("__first") == (F.col("__base") % 2 == 1))
+    d = with_blanks(d, "documentid", "sourceid").withColumn("position", F.col("position") + F.col("__base") - 1)
+    blank = F.struct(F.lit(None).cast("long").alias("id"), (F.col("position") - 1).alias("position"), F.lit(True).alias("filler"), F.lit(False).alias("wide"), F.lit(None).cast("string").alias("half"))
+    page = F.struct(F.col("id").cast("long").alias("id"), F.col("position").alias("position"), F.lit(False).alias("filler"), F.col("landscapelock").alias("wide"), F.when(F.col("spreadid").isNotNull(), F.col("spreadside")).alias("half"))
+    items = d.select("documentid", "sourceid", "__first", F.explode(F.when(F.col("blank_before"), F.array(blank, page)).otherwise(F.array(page))).alias("i")).select("documentid", "sourceid", "__first", "i.*")
+    items = items.withColumn("side", side(F.col("position"), F.col("__first")))
+    w = Window.partitionBy("documentid", "sourceid").orderBy("position")
+    joins = F.coalesce((F.col("side") == "right") & ~F.col("wide") & (F.lag("side").over(w) == "left") & ~F.lag("wide").over(w), F.lit(False))
+    items = items.withColumn("__joins", joins).withColumn("__joined", F.coalesce(F.lead("__joins").over(w), F.lit(False)))
+    items = items.withColumn("row_no", F.count_if(~F.col("__joins")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = F.col("__joins") & F.coalesce((F.lag("half").over(w) == "left") & (F.col("half") == "right"), F.lit(False))
+    alone = ~F.col("__joins") & ~F.col("__joined") & ~F.col("wide")
+    ghost = F.when(alone, F.when(F.col("side") == "right", "left").otherwise("right"))
+    return items.select("documentid", "sourceid", "id", "position", "side", "filler", "row_no", chained.alias("chained"), ghost.alias("ghost"))
+
+
+def insert_blanks(pages: DataFrame, commands: DataFrame) -> DataFrame:
+    """(documentid, id, position) with a new blank (id null) for each command (documentid, id, before): never inside a spread.
+
+    Before or after a page of a spread means before its left or after its right half. Commands of
+    pages that aren't there, or are staged, do nothing; of equal ones the page gets as many blanks.
+    """
+    d = reading_order(pages)
+    spread = Window.partitionBy("documentid", F.coalesce(F.col("spreadid"), -F.col("id")))
+    at = lambda s: F.coalesce(F.max(F.when(F.col("spreadid").isNotNull() & (F.col("spreadside") == s), F.col("position"))).over(spread), F.col("position"))
+    d = d.withColumns({"__l": at("left"), "__r": at("right")})
+    new = d.join(commands.select("documentid", "id", "before"), ["documentid", "id"]).select("documentid", F.lit(None).cast("long").alias("id"), F.when(F.col("before"), 2 * F.col("__l") - 1).otherwise(2 * F.col("__r") + 1).alias("__p"))
+    both = d.select("documentid", F.col("id").cast("long").alias("id"), (2 * F.col("position")).alias("__p")).unionByName(new)
+    return both.select("documentid", "id", F.row_number().over(Window.partitionBy("documentid").orderBy("__p")).cast("long").alias("position"))
+
+
 def balanced_pages(pages: DataFrame, documents: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
     """(documentid, position, id, filler): kept pages and blanks; the i-th blank takes the i-th unused filler, the rest have no id."""
     d = rebalance(pages, documents, overlays)

@@ -152,3 +152,29 @@ _put("layout_pages", ("fx_line",), f"""select a.documentid, coalesce(segment, 0)
 (select documentid, line_no, line, dense_rank() over (partition by documentid order by s) - 1 as segment from (select *, {_BRK} as brk, sum(case when {_BRK} then 1 else 0 end) over (partition by documentid order by line_no rows between unbounded preceding and current row) as s from fx_line) t where not brk) u group by all) b on b.documentid = a.documentid""")
 _put("split_passages", (), """select doc_id, case when length(t) <= 200 or h = '' then t else h end as head, case when length(t) <= 200 or h = '' then 0 else length(t) - length(h) - 1 end as rest from (select doc_id, t, regexp_extract(left(t, 200), '^(.*) ', 1) as h from (select doc_id, replace(text, chr(10), ' ') as t from documents) a) b""")
 _put("image_texts", (), "select p_partkey as id, o.src is not null as found, case when o.src is null then '[' || coalesce(nullif(case when p_size % 3 = 0 then '' else p_brand end, ''), p_name) || ']' else '-' end as fallback from part left join (select distinct o_orderkey * 2 as src from orders) o on o.src = p_partkey")
+
+_BASES = """bases as (select *, case when (position % 2 = 1) = firstpageright then false else true end as left_ from (select d.id as documentid, d.firstpageright, 1 + count(p.id) as position from fx_document d left join fx_page p on p.documentid = d.id and not p.staged group by all) t)"""
+_put("flow_starts", _PD, "select documentid, position + cast(left_ as bigint) as position, left_ as shifted from bases", _BASES)
+_put("import_preview", _PD, """select documentid, sourceid, coalesce(id, 0) as id, position, side, filler, sum(case when joins then 0 else 1 end) over (w rows between unbounded preceding and current row) as row_no,
+joins and coalesce(lag(half) over w = 'left' and half = 'right', false) as chained, case when joins or coalesce(lead(joins) over w, false) or wide then '-' when side = 'right' then 'left' else 'right' end as ghost
+from (select *, coalesce(side = 'right' and not wide and lag(side) over v = 'left' and not lag(wide) over v, false) as joins from items window v as (partition by documentid, sourceid order by position)) j window w as (partition by documentid, sourceid order by position)""", _BASES + f""",
+st as (select p.documentid, p.sourceid, p.id, p.landscapelock as wide, case when p.spreadid is not null then p.spreadside end as half, {_REQ} as required, b.position + cast(left_ as bigint) as base, b.firstpageright, row_number() over (partition by p.documentid, p.sourceid order by p.sortorder, p.id) as k from fx_page p join bases b on b.documentid = p.documentid where p.staged),
+walk as (with recursive r as (select *, cast(required is not null and case when (base % 2 = 1) = firstpageright then 'right' else 'left' end <> required as bigint) as gap, base + cast(required is not null and case when (base % 2 = 1) = firstpageright then 'right' else 'left' end <> required as bigint) as position from st where k = 1 union all
+select s.*, cast(s.required is not null and case when ((r.position + 1) % 2 = 1) = s.firstpageright then 'right' else 'left' end <> s.required as bigint), r.position + 1 + cast(s.required is not null and case when ((r.position + 1) % 2 = 1) = s.firstpageright then 'right' else 'left' end <> s.required as bigint) from st s join r on r.documentid = s.documentid and r.sourceid = s.sourceid and s.k = r.k + 1) select * from r),
+items as (select *, case when (position % 2 = 1) = firstpageright then 'right' else 'left' end as side from (select documentid, sourceid, id, position, false as filler, wide, half, firstpageright from walk union all select documentid, sourceid, null, position - 1, true, false, null, firstpageright from walk where gap = 1) u)""")
+_put("insert_blanks", ("fx_page",), """select documentid, id, row_number() over (partition by documentid order by p) as position from (select documentid, id, 2 * position as p from here union all
+select h.documentid, 0, case when h.documentid % 2 = 0 then 2 * coalesce((select max(position) from here x where x.documentid = h.documentid and x.spreadid = h.spreadid and x.spreadside = 'left'), h.position) - 1 else 2 * coalesce((select max(position) from here x where x.documentid = h.documentid and x.spreadid = h.spreadid and x.spreadside = 'right'), h.position) + 1 end from here h where h.sortorder in (2, 5)) t""",
+"here as (select *, row_number() over (partition by documentid order by sortorder, id) as position from fx_page where not staged)")
+_put("natural_frames", (), "select p_partkey, round(case when h > m then m / a * pw / greatest(1, ph) else w end, 6) as w, round(least(h, m), 6) as h from (select *, w * ph / greatest(1, pw) * a as h, 0.9 * cast(252 as double) / 297 as m from (select p_partkey, p_size * 40 as pw, p_partkey % 3000 as ph, cast(210 as double) / 297 as a, least(cast(167 as double) / 210, p_size * 40 / cast(1240 as double)) as w from part) t) u")
+_CLIPS = "clips as (select documentid, staged, case when sortorder % 3 = 0 then 'bild' else 'ausschnitt-' end || sortorder || '.png' as filename, sortorder from fx_page)"
+_put("next_clip", ("fx_page",), "select documentid, coalesce(max(sortorder) filter (where sortorder % 3 <> 0), 0) + 1 as next from fx_page group by documentid")
+_put("missing_clips", _PD, "select d.id as documentid, c.filename, min(c.documentid) as copied_from from fx_document d join clips c on c.documentid = d.masterid where not exists (select 1 from clips o where o.documentid = d.id and o.filename = c.filename and not o.staged) group by all", _CLIPS)
+_put("snippet_images", ("fx_source",), "select s.id as sourceid, case when p.p_partkey is not null then filename else '-' end as filename from fx_source s left join part p on p.p_partkey = s.id and p.p_partkey % 3 <> 0")
+_put("layout_images", ("fx_page",), """select p.id, case when p.sortorder % 4 = 0 then 'HTTPS://x.test/' || p.id when c.filename is not null then c.filename else '-' end as url, case when p.sortorder % 4 = 0 or c.filename is not null then '-' when p.id % 2 = 0 then '[' || p.pagetype || ']' else '' end as fallback
+from fx_page p left join (select distinct documentid, filename from clips) c on c.documentid = p.documentid and c.filename = 'ausschnitt-' || (p.sortorder * 2) || '.png'""", _CLIPS)
+_put("remap_glossaries", ("fx_overlay",), """select o.id, case when g = 0 then 0 when g in (select distinct p_size from part) and g % 5 = 1 then g + 1000 when g in (select distinct p_size from part) and g % 7 = c then g else 0 end as glossaryid from (select id, id % 60 as g, pageid % 7 as c from fx_overlay where overlaytype = 'glossary') o""")
+_put("hidden_passages", (), "select doc_id as sourceid, count(*) as passages, count(*) filter (where length(text) % 4 = 0) as hidden from blocks group by doc_id", _BLOCKS)
+_put("footnotes", (), "select o_orderkey, cast(1 as int) as note_no, 'fn:1' as target, o_orderpriority as text from orders union all select o_orderkey, 2, 'fn' || o_orderkey, 'two' from orders where o_orderkey % 3 = 0")
+_put("writing_lines", (), "select p_partkey, cast(case when p_size % 5 = 0 then 5 when p_size % 7 = 0 then 1 else greatest(1, least(40, p_size * 2 - 20)) end as int) as lines, 'box a_b' || case when regexp_full_match(p_brand, '[A-Za-z][A-Za-z0-9_-]*') then ' ' || p_brand else '' end as classes from part")
+_put("stale_measures", ("fx_source",), "select id as sourceid from fx_source where id % 3 = 0 or id % 8 = 1")
+_put("mean_luminance", (), """select page, round(avg(case when c = ' ' then 255 else 0 end), 4) as mean, avg(case when c = ' ' then 255 else 0 end) < 100 as invert from (select *, cast(greatest(1, floor((greatest(max(x) over (partition by page), max(y) over (partition by page)) + 1) / 150.0)) as bigint) as s from (select doc_id as page, y, x, string_split(line, '')[x + 1] as c from (select doc_id, y, line, unnest(range(0, length(line))) as x from (select doc_id, i - 1 as y, l as line from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) a) b) c) d) e where x % s = 0 and y % s = 0 group by page""")

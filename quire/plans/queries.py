@@ -11,6 +11,7 @@ from quire.functions import geometry as G
 from quire.functions import ranges as R
 from quire.functions import text as T
 from quire.operators import blocks as B
+from quire.operators import clips as C
 from quire.operators import flow as FL
 from quire.operators import impose as I
 from quire.operators import order as O
@@ -110,6 +111,23 @@ def mirror_overlays(p, d, o):
     return O.mirror_changed(o, p.withColumn("layoutside", side_set), d).select("id", "x")
 
 
+@query("fx_page", "fx_document")
+def import_preview(p, d):
+    shown = O.import_preview(p, d, True)
+    return shown.withColumns({"id": F.coalesce("id", F.lit(0)), "ghost": F.coalesce("ghost", F.lit("-"))})
+
+
+@query("fx_page", "fx_document")
+def flow_starts(p, d):
+    return O.starts(p, d, True).select("documentid", "position", "shifted")
+
+
+@query("fx_page")
+def insert_blanks(p):
+    commands = p.where("NOT staged AND sortorder IN (2, 5)").select("documentid", "id", (F.col("documentid") % 2 == 0).alias("before"))
+    return O.insert_blanks(p, commands).select("documentid", F.coalesce("id", F.lit(0)).alias("id"), "position")
+
+
 # ranges, excerpts, sheets
 @query("fx_document", "fx_page")
 def parse_range(d, p):
@@ -347,6 +365,22 @@ def flow_pages(d):
     return FL.flow(FL.document_blocks(d))
 
 
+@query("documents")
+def flow_images(d):
+    """Each fifth block has a picture behind it, each third a note beside it."""
+    b = FL.document_blocks(d).withColumn("block_index", F.col("block_index") * 2)
+    pixels = F.length("text")
+    pictures = b.where("block_index % 5 = 0").select("doc_id", (F.col("block_index") + 1).alias("block_index"), F.lit("img").alias("tag"), F.substring("text", 1, 40).alias("text"), (pixels * 7 % 1500 + 40).alias("width"), (pixels * 3 % 900 + 20).alias("height"))
+    noted = b.withColumn("beside", F.when(F.col("block_index") % 3 == 0, F.array(F.lit(0.04), F.lit(0.02))))
+    return FL.flow(noted.unionByName(pictures, True), notes=True)
+
+
+@query("part")
+def natural_frames(p):
+    f = FL.natural_frame(F.col("p_size") * 40, F.col("p_partkey") % 3000, F.lit(FL.TEXT_W), F.lit(FL.AREA_BOTTOM - FL.AREA_TOP))
+    return p.select("p_partkey", F.round(f["w"], 6).alias("w"), F.round(f["h"], 6).alias("h"))
+
+
 @query("documents")
 def flow_frames(d):
     return FL.frames(FL.flow(FL.document_blocks(d)))
@@ -476,3 +510,72 @@ def split_passages(d):
 def image_texts(part, orders):
     refs = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("src"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand")).alias("alt"), F.col("p_name").alias("caption"))
     return PU.image_texts(refs, orders.select((F.col("o_orderkey") * 2).alias("src"))).select("id", "found", F.coalesce("fallback", F.lit("-")).alias("fallback"))
+
+
+# clips, notes and images of imported text
+def _clips(p):
+    return p.select("documentid", F.when(F.col("sortorder") % 3 == 0, F.concat(F.lit("bild"), F.col("sortorder").cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("ausschnitt-"), F.col("sortorder").cast("string"), F.lit(".png"))).alias("filename"))
+
+
+@query("fx_page")
+def next_clip(p):
+    return C.next_clip(_clips(p))
+
+
+@query("fx_document", "fx_page")
+def missing_clips(d, p):
+    made = d.where("masterid IS NOT NULL").select(F.col("id").alias("target"), "masterid")
+    return C.missing_clips(_clips(p), _clips(p.where("NOT staged")), made)
+
+
+@query("fx_source", "part")
+def snippet_images(s, part):
+    refs = s.select(F.col("id").alias("sourceid"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("@@PLUGINFILE@@/"), F.replace("filename", F.lit("e"), F.lit("%65")))).otherwise(F.col("filename")).alias("src"))
+    files = part.select(F.col("p_partkey").alias("sourceid"), F.concat(F.lit("file"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("filename")).where("sourceid % 3 <> 0")
+    return C.snippet_images(refs, files).select("sourceid", F.coalesce("filename", F.lit("-")).alias("filename"))
+
+
+@query("fx_page")
+def layout_images(p):
+    src = F.when(F.col("sortorder") % 4 == 0, F.concat(F.lit("HTTPS://x.test/"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("ausschnitt-"), (F.col("sortorder") * 2).cast("string"), F.lit(".png")))
+    refs = p.select("id", "documentid", src.alias("src"), F.when(F.col("id") % 2 == 0, F.col("pagetype")).alias("alt"))
+    return C.layout_images(refs, _clips(p)).select("id", F.coalesce("url", F.lit("-")).alias("url"), F.coalesce("fallback", F.lit("-")).alias("fallback"))
+
+
+@query("fx_overlay", "fx_glossary")
+def remap_glossaries(o, g):
+    glossaries = g.select(F.col("glossaryid").alias("id"), (F.col("glossaryid") % 7).alias("course")).distinct()
+    mapping = glossaries.where("id % 5 = 1").select(F.col("id").alias("old"), (F.col("id") + 1000).alias("new"))
+    rows = o.where("overlaytype = 'glossary'").select("id", (F.col("pageid") % 7).cast("int").alias("course"), (F.col("id") % 60).cast("int").alias("glossaryid"))
+    return C.remap_glossaries(rows, mapping, glossaries).select("id", F.col("glossaryid").cast("long").alias("glossaryid"))
+
+
+@query("documents")
+def hidden_passages(d):
+    b = FL.document_blocks(d).withColumnRenamed("doc_id", "sourceid")
+    return C.hidden_passages(b, b.where("length(text) % 4 = 0"))
+
+
+@query("orders")
+def footnotes(o):
+    n = F.col("o_orderkey").cast("string")
+    html = F.concat(F.lit("<p>a<sup><a class='r' href=\"#fn:1\">1</a></sup> b<a href='#fn"), n, F.lit("'>x</a></p><ol class='footnotes'><li id=\"fn:1\"> <em>"), "o_orderpriority", F.lit("</em>\n<a href='#fnref:1'>back</a></li><li id='fn"), (F.col("o_orderkey") - F.col("o_orderkey") % 3).cast("string"), F.lit("'>two</li></ol>"))
+    return C.footnotes(o.select("o_orderkey", html.alias("html")), "o_orderkey")
+
+
+@query("part")
+def writing_lines(p):
+    asked = F.when(F.col("p_size") % 5 == 0, F.lit(None)).when(F.col("p_size") % 7 == 0, "many").otherwise((F.col("p_size") * 2 - 20).cast("string"))
+    return p.select("p_partkey", C.writing_lines(asked).cast("int").alias("lines"), F.array_join(C.safe_classes(F.split(F.concat(F.lit("box 2x a_b "), "p_brand"), " ")), " ").alias("classes"))
+
+
+@query("fx_source")
+def stale_measures(s):
+    then = s.select(F.col("id").alias("sourceid"), F.col("sourcetype").alias("fonts"), F.lit("tufte").alias("style"), F.lit(1.5).alias("geometry"))
+    now_ = then.withColumn("fonts", F.when(F.col("sourceid") % 3 == 0, "serif").otherwise(F.col("fonts"))).where("sourceid % 8 <> 1")
+    return C.stale_measures(then, now_)
+
+
+@query("documents")
+def mean_luminance(d):
+    return C.mean_luminance(_cells(d)).select("page", F.round("mean", 4).alias("mean"), "invert")

@@ -101,7 +101,9 @@ def balanced_pages(pages: DataFrame, documents: DataFrame, overlays: DataFrame |
     d = rebalance(pages, documents, overlays)
     blanks = d.where("blank_before").select("documentid", (F.col("position") - 1).alias("position"))
     blanks = blanks.withColumn("i", F.row_number().over(Window.partitionBy("documentid").orderBy("position")))
-    pool = pages.where("NOT staged").join(kept_pages(pages, overlays).select("id"), "id", "left_anti")
+    pool = pages.where("NOT staged AND filler AND pagetype = 'canvas'")
+    if overlays is not None:
+        pool = pool.join(overlays.select(F.col("pageid").alias("id")), "id", "left_anti")
     pool = pool.select("documentid", "id", F.row_number().over(by()).alias("i"))
     filled = blanks.join(pool, ["documentid", "i"], "left").select("documentid", "position", "id", F.lit(True).alias("filler"))
     return d.select("documentid", "position", "id", F.lit(False).alias("filler")).unionByName(filled)

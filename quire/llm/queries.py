@@ -1,11 +1,12 @@
-"""The registered queries of the ten operators and of the pipeline, with SQL where SQL can express them."""
+"""The registered queries of the training-data operators and of the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, flac, packing, quality, rans, secret_scan, simhash, substring, toxicity, url_filter
+from quire.llm import bpe, flac, hard_negatives, packing, prefix_hashes, quality, rans, resampling, secret_scan, simhash, substring, toxicity, url_filter
+from quire.llm.oracle import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +59,22 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_flac": op4_flac, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_bpe": op8_bpe, "op9_urls": op9_urls, "op10_rans": op10_rans}
-ORACLE: dict[str, str] = {}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its weight towards benchmark and its rank in the sample; edge cases are those of resample."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its fingerprint and its edited text's as hexadecimal digits; edge cases are those of compared."""
+    found = prefix_hashes.compared(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the rows of embeddings whose id is divisible by 50; edge cases are those of hard_negatives."""
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, "vec_id % 50 = 0")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_flac": op4_flac, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_bpe": op8_bpe, "op9_urls": op9_urls, "op10_rans": op10_rans, "op11_resampling": op11_resampling, "op12_prefix_hashes": op12_prefix_hashes, "op13_hard_negatives": op13_hard_negatives}

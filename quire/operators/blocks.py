@@ -40,6 +40,64 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     return b.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("seg")) - 1).drop("seg")
 
 
+def import_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, block_index, kind, tag, html, text, src, alt, caption): text elements, images and page breaks in reading order.
+
+    Text blocks are those of :func:`html_blocks`, with their markup and without their images, which
+    follow them; a page-break hr (by class or style) is a block. The caption of a figure goes to its
+    images, or is a paragraph where it has none. A null html gives no blocks.
+    """
+    d = html_tokens(pages, key, html).repartition(key)
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    nest = F.col("tag").isin("ul", "ol", "dl", "table", "blockquote", "pre")
+    step = F.when(nest & F.col("closing"), -1).when(nest, 1).otherwise(0)
+    d = d.withColumn("c", F.sum(step).over(w)).withColumn("low", F.least(F.lit(0), F.min("c").over(w)))
+    d = d.withColumn("depth", F.col("c") - F.col("low"))
+    inside = F.when(nest & ~F.col("closing"), F.col("depth") > 1).otherwise(F.col("depth") > 0)
+    flat = F.col("tag").isin("p", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption")
+    edge = F.col("tag").isin("div", "section", "article", "main", "header", "footer", "nav", "body", "hr", "form", "aside", "figure")
+    starts = F.when(nest & F.col("closing"), F.col("depth") == 0).otherwise(~inside & (flat | edge | nest))
+    d = d.withColumn("__starts", starts).withColumn("seg", F.sum(F.col("__starts").cast("int")).over(w))
+    figure = F.sum(F.when(F.col("tag") == "figure", F.when(F.col("closing"), 0).otherwise(1)).otherwise(0)).over(w)
+    d = d.withColumn("figure", figure).withColumn("__in", F.sum(F.when(F.col("tag") == "figure", F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)).over(w) > 0)
+    attr = lambda k: F.trim(F.regexp_replace(F.regexp_extract("token", rf"""(?is)\s{k}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), "^[\"']|[\"']$", ""))
+    picture = (F.col("tag") == "img") & ~F.col("closing")
+    name = F.max_by(F.when(F.col("__starts") & ~F.col("closing") & (flat | nest), F.col("tag")), F.when(F.col("__starts") & ~F.col("closing") & (flat | nest), -F.col("pos")))
+    kept = F.when(~F.col("__starts") & ~picture & (F.col("tag") != "picture") & ~F.startswith("token", F.lit("<!")), F.struct("pos", "token"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["token"]), "")
+    broken = F.max(F.when((F.col("tag") == "hr") & F.rlike(F.concat_ws(" ", attr("class"), attr("style")), F.lit("(?i)page-?break")), 1).otherwise(0)) == 1
+    pictures = F.array_sort(F.collect_list(F.when(picture, F.struct("pos", attr("src").alias("src"), attr("alt").alias("alt")))))
+    seg = d.groupBy(key, "seg").agg(name.alias("tag"), joined.alias("inner"), F.max(F.when(F.col("__in"), F.col("figure"))).alias("figure"), broken.alias("broken"), pictures.alias("pictures"))
+    seg = seg.withColumn("text", T.plain_text(F.col("inner")))
+    same = Window.partitionBy(key, "figure")
+    label = (F.col("tag") == "figcaption") & (F.col("text") != "")
+    seg = seg.withColumn("caption", F.when(F.col("figure").isNotNull(), F.max_by(F.when(label, F.col("text")), F.when(label, F.col("seg"))).over(same)))
+    filled = F.col("figure").isNotNull() & (F.max(F.size("pictures")).over(same) > 0)
+    seg = seg.withColumn("__label", F.coalesce((F.col("tag") == "figcaption") & filled, F.lit(False)))
+    tag = F.when(F.coalesce("tag", F.lit("figcaption")) == "figcaption", "p").otherwise(F.col("tag"))
+    made = F.concat(F.lit("<"), tag, F.lit(">"), F.trim("inner"), F.lit("</"), tag, F.lit(">"))
+    none = F.lit(None).cast("string")
+    row = lambda kind, tag, html, text, src, alt, caption: F.struct(F.lit(kind).alias("kind"), tag.alias("tag"), html.alias("html"), text.alias("text"), src.alias("src"), alt.alias("alt"), caption.alias("caption"))
+    broke = F.when(F.col("broken"), F.array(row("pagebreak", none, none, none, none, none, none))).otherwise(F.array())
+    words = F.when((F.col("text") != "") & ~F.col("__label"), F.array(row("text", tag, made, F.col("text"), none, none, none))).otherwise(F.array())
+    images_ = F.transform("pictures", lambda p: row("image", F.lit("img"), none, none, p["src"], p["alt"], F.coalesce("caption", F.lit(""))))
+    every = seg.select(key, "seg", F.posexplode(F.concat(broke, words, images_)).alias("n", "x"))
+    return every.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("seg", "n")) - 1).select(key, "block_index", "x.*")
+
+
+def resolved_images(blocks: DataFrame, media: DataFrame, key: str) -> DataFrame:
+    """Blocks of :func:`import_blocks` with width, height and filename of their image; media (src, filename, width, height).
+
+    An image that isn't there becomes a paragraph of its alternative text or caption in brackets, or goes where it has neither.
+    """
+    d = blocks.join(media.dropDuplicates(["src"]), "src", "left")
+    missing = (F.col("kind") == "image") & F.col("filename").isNull()
+    words = F.coalesce(F.nullif("alt", F.lit("")), F.nullif("caption", F.lit("")))
+    made = F.concat(F.lit("<p><em>["), words, F.lit("]</em></p>"))
+    d = d.where(~(missing & words.isNull())).withColumn("html", F.when(missing, made).otherwise(F.col("html")))
+    return d.withColumn("tag", F.when(missing, "p").otherwise(F.col("tag"))).withColumn("kind", F.when(missing, "text").otherwise(F.col("kind")))
+
+
 def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, link): distinct absolute targets of a page's anchors."""
     d = pages.select(key, url, F.explode(F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*href=["']([^"']*)["']"""), F.lit(1))).alias("rel"))

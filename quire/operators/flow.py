@@ -1,9 +1,7 @@
-"""Flowing blocks onto pages. Heights are native expressions; only the greedy fold runs in Python, on narrow rows sorted by source."""
+"""Estimates and measures of blocks, as expressions; the pages themselves are set in typeset."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,100 +66,6 @@ def line_breaks(text: Column, width: int) -> Column:
     return F.aggregate(words, start, step, lambda acc: F.concat(acc["ends"], F.array(acc["at"])))
 
 
-class _Pages:
-    """Greedy placement of one source's blocks, in order; ``out`` takes (block, part, kind, page, y, w, h, lines)."""
-
-    def __init__(self, notes: bool) -> None:
-        self.notes, self.page, self.y, self.note_y, self.broken, self.open = notes, 0, AREA_TOP, AREA_TOP, False, False
-        self.owed: list[tuple] = []
-        self.out: list[tuple] = []
-
-    def turn(self) -> None:
-        """The next page; notes still owed come first in its note column."""
-        self.page, self.y, self.note_y, self.broken, self.open = self.page + 1, AREA_TOP, AREA_TOP, False, False
-        owed, self.owed = self.owed, []
-        self.put_notes(owed)
-
-    def put_notes(self, notes: list[tuple]) -> None:
-        """notes (block, number, height) beside the line, or below the note before; what has no room is owed."""
-        for i, (block, number, h) in enumerate(notes):
-            top = max(self.y, self.note_y)
-            if top + h > AREA_BOTTOM + EPS and top > AREA_TOP + EPS:
-                self.owed += notes[i:]
-                return
-            self.out.append((block, number, "note", self.page, top, None, min(h, AREA_BOTTOM - top), 0))
-            self.note_y = top + h + GAP / 2
-
-    def end_frame(self) -> None:
-        self.y += GAP if self.open else 0.0
-        self.open = False
-
-    def image(self, block: int, width: int, height: int) -> None:
-        """An image in a frame of its own, or, small and beside notes, in the note column."""
-        if not self.page or self.broken:
-            self.turn()
-        if self.notes and width <= G.MARGIN_FIGURE:
-            w, h = natural_size(width, height, NOTE_W, math.inf)
-            if max(self.y, self.note_y) + h > AREA_BOTTOM:
-                self.turn()
-            top = max(self.y, self.note_y)
-            self.out.append((block, 0, "figure", self.page, top, w, min(h, AREA_BOTTOM - top), 0))
-            self.note_y = top + h + GAP / 2
-            return
-        w, h = natural_size(width, height, text_width(self.notes), AREA_BOTTOM - AREA_TOP)
-        self.end_frame()
-        if self.y + h > AREA_BOTTOM + EPS and self.y > AREA_TOP + EPS:
-            self.turn()
-        self.out.append((block, 0, "image", self.page, self.y, w, h, 0))
-        self.y += h + GAP
-
-    def text(self, block: int, tag: str, items: list[int], lh: float, extra: float, measured: bool, header: bool, notes: list[float], part: int = 0) -> None:
-        heading, body = tag in G.HEADINGS, lh if measured else LINE_H
-        beside = [(block, i, h) for i, h in enumerate(notes)] if self.notes else []
-        repeated = 0
-        while True:
-            left = sum(items)
-            h = (left + repeated) * lh + extra
-            if self.page and not self.broken and self.y + h + (3 * body if heading else 0) <= AREA_BOTTOM + EPS:
-                break
-            if not self.page or self.broken:
-                self.turn()
-                continue
-            free, taken = AREA_BOTTOM - self.y - extra, 0
-            if tag in ("p", "blockquote"):
-                fit = math.floor(free / lh + EPS) - (0 if measured else 1)
-                if fit >= 2 and left - fit >= 2 and (measured or free >= 3 * body):
-                    taken, items = fit, [left - fit]
-            elif tag in ("ul", "ol", "table") and not measured and free >= 3 * body:
-                n = 0
-                while n < len(items) and (repeated + taken + items[n]) * lh <= free + EPS:
-                    taken, n = taken + items[n], n + 1
-                # taken > 0 only where some item is left: the whole block did not fit
-                again = items[0] if header and not repeated and n else repeated
-                items = items[n:]
-            if taken:
-                self.put_notes(beside)
-                beside = []
-                self.put(block, part, taken, (taken + repeated) * lh + extra)
-                part += 1
-                repeated = again if tag == "table" else 0
-                self.turn()
-                continue
-            if self.y <= AREA_TOP + EPS:
-                break
-            self.turn()
-        self.put_notes(beside)
-        self.put(block, part, sum(items), min(h, AREA_BOTTOM - AREA_TOP))
-
-    def put(self, block: int, part: int, lines: int, h: float) -> None:
-        self.out.append((block, part, "text", self.page, self.y, None, h, lines))
-        self.y, self.open = self.y + h, True
-
-    def finish(self) -> None:
-        while self.owed:
-            self.turn()
-
-
 def natural_size(width: int, height: int, most: float, tallest: float) -> tuple[float, float]:
     """(w, h) of an image of so many pixels at 150 dpi in page units: no wider than ``most``, at most 0.9 of ``tallest`` high."""
     w = min(most, width / G.CANVAS[0])
@@ -180,102 +84,6 @@ def natural_frame(width: Column, height: Column, most: Column, tallest: Column)
     return F.struct(F.when(h > low, low / ASPECT * width / F.greatest(F.lit(1), height)).otherwise(w).alias("w"), F.least(h, low).alias("h"))
 
 
-PLACED = "block_index long, part int, kind string, page_no int, y double, w double, h double, lines long"
-
-
-def flow(blocks: DataFrame, key: str = "doc_id", measures: DataFrame | None = None, hidden: DataFrame | None = None, notes: bool = False) -> DataFrame:
-    """(key, block_index, part, kind, page_no, y, w, h, lines): blocks (key, block_index, tag, text) on pages.
-
-    measures (key, block_index, lines, lh; h if known) replace estimates; hidden (key, block_index)
-    are left out. Blocks of the tag ``img`` have width and height in pixels (columns of these names)
-    and their caption as text; ``header`` (boolean) says that a table's first row is repeated when
-    it is cut; ``beside`` (array of heights) are a block's notes, placed with ``notes``.
-
-    Paragraphs are cut at a line, with two lines at least on either side (estimated ones keep a line
-    to spare), lists and tables between items; a heading keeps room for three lines. Text that fits
-    no empty page is placed there all the same. A gap follows each frame, not each block. No line is
-    lost: a block's parts have all its lines, and a repeated row counts only in ``h``. Notes that have
-    no room go on to the next pages. A source is one fold: its rows come in order to one task, which
-    holds one page.
-    """
-    b = blocks if hidden is None else blocks.join(hidden.select(key, "block_index"), [key, "block_index"], "left_anti")
-    have = {c.lower() for c in blocks.columns}
-    given = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
-    scale = F.lit(1.0)
-    for h, s in G.HEADINGS.items():
-        scale = F.when(F.col("tag") == h, s).otherwise(scale)
-    tag = F.when(F.col("tag") == "img", "p").otherwise(F.col("tag"))
-    b = b.select(
-        F.col(key).alias("k"), F.col("block_index").cast("long").alias("block_index"), F.col("tag"), (G.line_height(1.0) * scale * 1.05).cast("double").alias("lh"),
-        F.when(F.col("tag").isin("ul", "ol", "table"), item_lines(F.col("tag"), F.col("text"), text_width(notes))).otherwise(F.array(block_lines(tag, F.coalesce("text", F.lit("")), text_width(notes)))).alias("items"),
-        ((F.col("tag") == "img") & (F.coalesce("text", F.lit("")) != "")).alias("captioned"), given("width", "long"), given("height", "long"), given("header", "boolean"), given("beside", "array<double>"),
-    )
-    if measures is not None:
-        total = F.col("h") if "h" in measures.columns else F.col("lines") * F.col("lh")
-        m = measures.select(F.col(key).alias("k"), F.col("block_index").cast("long").alias("block_index"), F.col("lines").cast("long").alias("m_lines"), F.col("lh").cast("double").alias("m_lh"), total.cast("double").alias("m_h"))
-        b = b.join(m, ["k", "block_index"], "left")
-    else:
-        b = b.withColumns({"m_lines": F.lit(None).cast("long"), "m_lh": F.lit(None).cast("double"), "m_h": F.lit(None).cast("double")})
-
-    def run(batches):
-        import pyarrow as pa
-
-        now, pages, kind = object(), None, None
-        done: list[tuple] = []
-
-        def packed():
-            columns = list(zip(*done)) if done else [()] * 9
-            types = [kind, pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["k", *(c.split()[0] for c in PLACED.split(", "))])
-
-        def close():
-            if pages is not None:
-                pages.finish()
-                done.extend((now, *row) for row in pages.out)
-                pages.out = []
-
-        for batch in batches:
-            kind = batch.schema.field("k").type
-            for k, block, tag, lh, items, captioned, width, height, header, beside, m_lines, m_lh, m_h in zip(*(batch.column(c).to_pylist() for c in ORDER)):
-                if pages is None or k != now:
-                    close()
-                    now, pages = k, _Pages(notes)
-                if tag == "pagebreak":
-                    pages.broken = pages.page > 0
-                elif tag == "img":
-                    pages.image(block, width or 0, height or 0)
-                    if captioned:
-                        pages.text(block, "p", items, lh, 0.0, False, False, [], 1)
-                elif m_lines and m_lh:
-                    pages.text(block, tag, [m_lines], m_lh, max(0.0, (m_h or 0.0) - m_lines * m_lh), True, False, beside or [])
-                else:
-                    pages.text(block, tag, items, lh, 0.0, False, bool(header), beside or [])
-            if pages is not None:
-                done.extend((now, *row) for row in pages.out)
-                pages.out = []
-            yield packed()
-            done.clear()
-        if pages is not None:
-            close()
-            yield packed()
-
-    kind = b.schema["k"].dataType.simpleString()
-    return b.select(*ORDER).repartition("k").sortWithinPartitions("k", "block_index").mapInArrow(run, f"k {kind}, {PLACED}").withColumnRenamed("k", key)
-
-
-ORDER = ("k", "block_index", "tag", "lh", "items", "captioned", "width", "height", "header", "beside", "m_lines", "m_lh", "m_h")
-
-
-def frames(placed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, page_no, y, h, blocks): one text frame per page, from the first top to the last bottom, at least a line high."""
-    return placed.where("kind = 'text'").groupBy(key, "page_no").agg(F.min("y").alias("y"), F.greatest(F.max(F.col("y") + F.col("h")) - F.min("y"), G.line_height(1.0)).alias("h"), F.count("*").alias("blocks"))
-
-
-def flow_map(placed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, page_no, blocks): the distinct block indexes of each page, in order."""
-    return placed.where("kind <> 'note'").groupBy(key, "page_no").agg(F.array_sort(F.collect_set("block_index")).alias("blocks"))
-
-
 def note_tops(notes: DataFrame, key: str = "page") -> DataFrame:
     """notes (key, no, y, h) with ``top``: stacked beside the text, each at its anchor or below the one before, half a gap apart."""
     w = Window.partitionBy(key).orderBy("no")

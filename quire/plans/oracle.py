@@ -125,7 +125,18 @@ _put("column_widths", (), "select p_partkey, (select w from (select unnest([20,
 _BLOCKS = """blocks as (select doc_id, i - 1 as block_index, case when i = 1 then 'h1' else 'p' end as tag, s as text from (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) t where s <> '')"""
 _CPL = "cast(greatest(10, floor(cast(167 as double) / 210 * 210 / (3.88 * 0.5 * case when tag = 'h1' then 1.8 else 1.0 end))) as int)"
 _put("block_heights", (), f"select doc_id, block_index, lines, round(lines * (3.88 * 1.4 / 297) * case when tag = 'h1' then cast(1.8 as double) else cast(1 as double) end * 1.05, 6) as h from (select *, cast(greatest(1, ceil(length(text) / cast({_CPL} as double))) as bigint) as lines from blocks) t", _BLOCKS)
-_put("flow_lines_kept", (), "select doc_id, block_index, 0::bigint as lines, 0::bigint as placed from blocks where false", _BLOCKS)
+_put("flow_text_kept", (), "select * from (select doc_id, sum(length(regexp_replace(text, '[ \t\r\f\n]+', '', 'g')))::bigint as characters from documents group by doc_id) t where characters > 0")
+_LINED = r"""lined as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(translate(x, '<>&[]', '     '), '[ \t\r\f]+', ' ', 'g'))), lambda x: regexp_matches(x, '[a-zA-Z0-9]')) as ls from documents),
+each as (select doc_id, unnest(ls) as l, generate_subscripts(ls, 1) - 1 as i from lined)"""
+_put("noted_blocks", (), """select doc_id, i + (i + 1) // 5 as block_index, 'text' as kind, case when i % 5 = 4 then 'blockquote' else 'p' end as tag,
+case i % 5 when 1 then '<p>' || l || '<sup>' || n || '</sup> end</p>' when 3 then '<p>' || l || '<sup>' || n || '</sup></p>' when 4 then '<blockquote>' || l || '</blockquote>' else '<p>' || l || '</p>' end as html,
+case i % 5 when 1 then '<p><sup>' || n || '</sup> side ' || i || ' <b>mark</b></p>' when 2 then '<ul><li>' || l || '</li><li>two<ul><li>deep</li></ul></li></ul>' when 3 then '<p><sup>' || n || '</sup> foot ' || i || '</p><ol><li>' || l || '</li></ol>' when 4 then '<p>m ' || i || '</p>' else '' end as notes
+from (select *, 2 * (i // 5) + (i % 5 >= 1)::int + (i % 5 >= 3)::int as n from each) t""", _LINED)
+_put("pictured_blocks", (), """select doc_id, 6 * (i // 4) + nr as block_index, case when nr = 3 then 'pagebreak' when pic and filename is not null then 'image' else 'text' end as kind, case when nr = 3 then null when pic and filename is not null then 'img' else 'p' end as tag,
+case when nr = 3 or (pic and filename is not null) then null when pic then '<p><em>[' || case when nr = 1 then 'A' else l end || ']</em></p>' when nr = 0 then '<p>' || l || ' more</p>' else '<p>' || l || '</p>' end as html,
+case when pic then t.src end as src, case when pic then case when nr = 1 then '' else l end end as caption, case when pic then filename end as filename, case when pic then width end as width
+from (select *, nr in (1, 2) as pic, 'p' || i || '.png' as src from each, (values (0), (1), (2), (3), (4), (5)) v(nr) where case i % 4 when 0 then nr in (0, 1) when 1 then nr = 2 when 2 then nr in (3, 4) else nr = 5 end) t
+left join (select 'p' || p_partkey || '.png' as src, 'f' || p_partkey as filename, p_size::bigint as width from part where p_partkey % 3 <> 0) m on m.src = t.src""", _LINED)
 _put("note_tops", ("fx_overlay",), "select pageid as page, id as no, round(c + max(y - c) over (partition by pageid order by id rows between unbounded preceding and current row), 6) as top from (select *, coalesce(sum(h1 + cast(2 as double) / 297) over (partition by pageid order by id rows between unbounded preceding and 1 preceding), 0) as c from (select pageid, id, cast(y as double) as y, cast(w as double) / 10 as h1 from fx_overlay) a) b")
 
 _put("export_nested", ("fx_document", "fx_page", "fx_overlay"), """select d.id, coalesce(string_agg(p.id || ':' || p.o, ',' order by p.sortorder, p.id), '') as pages from fx_document d left join (select p.id, p.documentid, p.sortorder, coalesce(string_agg(cast(o.id as varchar), '+' order by o.sortorder, o.id), '') as o from fx_page p left join fx_overlay o on o.pageid = p.id group by all) p on p.documentid = d.id group by d.id""")

@@ -14,12 +14,14 @@ from quire.operators import blocks as B
 from quire.operators import clips as C
 from quire.operators import flow as FL
 from quire.operators import impose as I
+from quire.operators import notes as N
 from quire.operators import order as O
 from quire.operators import overlay as V
 from quire.operators import provenance as P
 from quire.operators import publish as PU
 from quire.operators import raster as RA
 from quire.operators import transfer as TR
+from quire.operators import typeset as TS
 from quire.plans.fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,17 +364,21 @@ def line_breaks(d):
 
 @query("documents")
 def flow_pages(d):
-    return FL.flow(FL.document_blocks(d))
+    return TS.typeset(TS.html_documents(d)).drop("html")
+
+
+def pictured(d):
+    """Blocks of documents with a picture behind each fifth and a note beside each third."""
+    b = TS.html_documents(d).withColumn("block_index", F.col("block_index") * 2)
+    pixels = F.length("html")
+    pictures = b.where("block_index % 5 = 0").select("doc_id", (F.col("block_index") + 1).alias("block_index"), F.lit("image").alias("kind"), (pixels * 7 % 1500 + 40).alias("width"), (pixels * 3 % 900 + 20).alias("height"), F.substring(F.regexp_replace("html", "<[^>]*>", ""), 1, 12).alias("caption"))
+    beside = F.when(F.col("block_index") % 3 == 0, F.array(F.concat(F.lit("<p>"), F.substring(F.regexp_replace("html", "<[^>]*>|&", ""), 1, 200), F.lit("</p>")), F.lit("<p>b</p>")))
+    return b.withColumn("notes", beside).unionByName(pictures, True)
 
 
 @query("documents")
 def flow_images(d):
-    """Each fifth block has a picture behind it, each third a note beside it."""
-    b = FL.document_blocks(d).withColumn("block_index", F.col("block_index") * 2)
-    pixels = F.length("text")
-    pictures = b.where("block_index % 5 = 0").select("doc_id", (F.col("block_index") + 1).alias("block_index"), F.lit("img").alias("tag"), F.substring("text", 1, 40).alias("text"), (pixels * 7 % 1500 + 40).alias("width"), (pixels * 3 % 900 + 20).alias("height"))
-    noted = b.withColumn("beside", F.when(F.col("block_index") % 3 == 0, F.array(F.lit(0.04), F.lit(0.02))))
-    return FL.flow(noted.unionByName(pictures, True), notes=True)
+    return TS.typeset(pictured(d), notes=True).drop("html")
 
 
 @query("part")
@@ -383,21 +389,72 @@ def natural_frames(p):
 
 @query("documents")
 def flow_frames(d):
-    return FL.frames(FL.flow(FL.document_blocks(d)))
+    return TS.frames(TS.typeset(pictured(d)))
 
 
 @query("documents")
 def flow_map(d):
-    return FL.flow_map(FL.flow(FL.document_blocks(d))).select("doc_id", "page_no", text_of("blocks"))
+    return TS.flow_map(TS.typeset(pictured(d), notes=True)).select("doc_id", "page_no", text_of("blocks"))
 
 
 @query("documents")
-def flow_lines_kept(d):
-    """Blocks whose lines aren't all on pages: none."""
-    b = FL.document_blocks(d)
-    placed = FL.flow(b).groupBy("doc_id", "block_index").agg(F.sum("lines").alias("placed"))
-    n = b.select("doc_id", F.col("block_index").cast("long").alias("block_index"), FL.block_lines(F.col("tag"), F.col("text")).alias("lines"))
-    return n.join(placed, ["doc_id", "block_index"], "left").where("NOT (lines <=> placed)")
+def flow_text_kept(d):
+    """Characters besides blanks of each document that stand in frames."""
+    inner = F.regexp_replace("html", "<[^>]*>|[ \t\r\f]+", "")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+        inner = F.replace(inner, F.lit(entity), F.lit(sign))
+    return TS.typeset(TS.html_documents(d)).groupBy("doc_id").agg(F.sum(F.length(inner)).alias("characters"))
+
+
+@query("documents", "fx_document")
+def flowed_pages(d, f):
+    """Pages of documents that begin on the right, after the pages that are there."""
+    starts = f.select(F.expr("id % 1000").alias("doc_id"), (F.expr("id % 7") + 1).alias("start"), "firstpageright").groupBy("doc_id").agg(F.max("start").alias("start"), F.bool_or("firstpageright").alias("firstright"))
+    pages = TS.page_rows(TS.typeset(TS.html_documents(d), starts=starts, startright=True), startright=True)
+    return TS.with_fillers(pages, starts)
+
+
+@query("documents")
+def markup_cuts(d):
+    """Documents' first lines with a mark-up by word, cut at a budget."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("text", r"[<>&\n\r\t\f]+", " "), " +", " ")), " ")
+    marked = F.transform(words, lambda w, i: F.when(i % 7 == 3, F.concat(F.lit("<b>"), w, F.lit(" "), w, F.lit("</b>"))).when(i % 11 == 5, F.concat(F.lit("<em><a href='#x'>"), w, F.lit("</a></em>"))).otherwise(w))
+    made = d.select("doc_id", F.concat(F.lit("<p>"), F.array_join(marked, " "), F.lit("</p>")).alias("html"), (F.col("doc_id") % 300 + 15).alias("budget"))
+    return made.select("doc_id", TS.split_markup(F.col("html"), F.col("budget")).alias("x")).select("doc_id", "x.head", F.length("x.tail").alias("left"))
+
+
+@query("documents")
+def noted_blocks(d):
+    """Documents as HTML with notes of all kinds between and in their lines."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.translate(x, "<>&[]", "     "), r"[ \t\r\f]+", " "))), lambda x: F.rlike(x, F.lit("[a-zA-Z0-9]")))
+    def piece(x, i):
+        n = i.cast("string")
+        join = lambda t: F.concat(*[x if c == "L" else n if c == "N" else F.lit(c) for c in t])
+        return (
+            F.when(i % 5 == 0, join(("<p>", "L", "</p>"))).when(i % 5 == 1, join(("<p>", "L", "<label class='margin-toggle'>+</label><span class=\"wide sidenote\">side ", "N", " <b>mark</b></span> end</p>\n")))
+            .when(i % 5 == 2, join(("<p>", "L", "</p>\n<aside><ul><li>", "L", "</li><li>two<ul><li>deep</li></ul></li></ul></aside>")))
+            .when(i % 5 == 3, join(("<p>", "L", "<sup><a href=\"#fn:", "N", "\">x</a></sup></p>"))).otherwise(join(("<div><span class='marginnote'>m ", "N", "</span></div><blockquote>", "L", "</blockquote>")))
+        )
+    foot = lambda x, i: F.when(i % 5 == 3, F.concat(F.lit('<li id="fn:'), i.cast("string"), F.lit('"><p>foot '), i.cast("string"), F.lit("</p><ol><li>"), x, F.lit('</li></ol> <a class="footnote-back" href="#y">back</a></li>'))).otherwise("")
+    html = F.concat(F.array_join(F.transform("lines", piece), ""), F.lit('<section class="footnotes"><ol>'), F.array_join(F.transform("lines", foot), ""), F.lit("</ol></section>"))
+    pages = d.select("doc_id", lines.alias("lines")).select("doc_id", html.alias("html"))
+    return N.noted_blocks(pages, "doc_id").select("doc_id", F.col("block_index").cast("long").alias("block_index"), "kind", "tag", "html", F.array_join("notes", "|").alias("notes"))
+
+
+@query("documents", "part")
+def pictured_blocks(d, p):
+    """Documents as HTML with figures, pictures and page breaks between their lines; pictures are named after parts, and each third isn't there."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.translate(x, "<>&[]", "     "), r"[ \t\r\f]+", " "))), lambda x: F.rlike(x, F.lit("[a-zA-Z0-9]")))
+    n = lambda i: i.cast("string")
+    piece = lambda x, i: (
+        F.when(i % 4 == 0, F.concat(F.lit("<p>"), x, F.lit("<img src='p"), n(i), F.lit(".png' alt=\"A\"> more</p>"))).when(i % 4 == 1, F.concat(F.lit("<figure><picture><img alt='' src=\"p"), n(i), F.lit('.png"></picture><figcaption>'), x, F.lit("</figcaption></figure>")))
+        .when(i % 4 == 2, F.concat(F.lit("<hr class='pagebreak'>"), x, F.lit("<hr>"))).otherwise(F.concat(F.lit("<figure><figcaption>"), x, F.lit("</figcaption></figure>")))
+    )
+    pages = d.select("doc_id", F.array_join(F.transform(lines, piece), "").alias("html"))
+    k = F.col("p_partkey").cast("string")
+    media = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("p"), k, F.lit(".png")).alias("src"), F.concat(F.lit("f"), k).alias("filename"), F.col("p_size").cast("long").alias("width"), F.lit(50).alias("height"))
+    found = B.resolved_images(B.import_blocks(pages, "doc_id"), media, "doc_id")
+    return found.select("doc_id", F.col("block_index").cast("long").alias("block_index"), "kind", "tag", "html", "src", "caption", "filename", "width")
 
 
 @query("fx_overlay")

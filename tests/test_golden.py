@@ -177,59 +177,6 @@ def test_selector_is_checked(spark):
         blocks.select_root(d, 'main"] or @*["')
 
 
-def test_flow_keeps_lines_and_area(spark):
-    rows = [(1, 0, "h1", "Head")] + [(1, i, "p", "word " * (80 + i)) for i in range(1, 41)] + [(1, 41, "pagebreak", ""), (1, 42, "pre", "x\n" * 400), (2, 0, "p", "a")]
-    b = spark.createDataFrame(rows, "doc_id long, block_index int, tag string, text string")
-    placed = flow.flow(b).collect()
-    assert all(r.y >= flow.AREA_TOP - 1e-9 and r.y + r.h <= flow.AREA_BOTTOM + 1e-6 for r in placed) and max(r.page_no for r in placed) > 3
-    n = {(r.doc_id, r.block_index): r.n for r in b.select("doc_id", "block_index", flow.block_lines(F.col("tag"), F.col("text")).alias("n")).where("tag <> 'pagebreak' AND tag <> 'pre'").collect()}
-    for key, lines in n.items():
-        assert sum(r.lines for r in placed if (r.doc_id, r.block_index) == key) == lines
-    assert all(r.lines >= 2 for r in placed if any(s.block_index == r.block_index and s.part != r.part and s.doc_id == r.doc_id for s in placed))
-
-
-def test_measured_lines_split_at_a_line(spark):
-    b = spark.createDataFrame([(1, 0, "p", "x")], "doc_id long, block_index int, tag string, text string")
-    m = spark.createDataFrame([(1, 0, 100, 0.01)], "doc_id long, block_index int, lines long, lh double")
-    got = sorted((r.page_no, r.lines) for r in flow.flow(b, measures=m).collect())
-    assert len(got) == 2 and sum(n for _, n in got) == 100
-
-
-FLOWED = "doc_id long, block_index int, tag string, text string, width long, height long, header boolean, beside array<double>"
-
-
-def test_flow_cuts_tables_between_rows(spark):
-    rows = [(k, 0, "table", "\n".join(["r"] * 150), None, None, k == 1, None) for k in (1, 2)]
-    placed = flow.flow(spark.createDataFrame(rows, FLOWED)).orderBy("doc_id", "part").collect()
-    lh = flow.LINE_H * 1.05
-    for k in (1, 2):
-        mine = [r for r in placed if r.doc_id == k]
-        assert sum(r.lines for r in mine) == 150 and len({r.page_no for r in mine}) == len(mine) > 2
-        assert all(abs(r.h - (r.lines + (k == 1 and r.part > 0)) * lh) < 1e-9 and r.y + r.h <= flow.AREA_BOTTOM + 1e-9 for r in mine)
-
-
-def test_flow_places_pictures(spark):
-    rows = [(1, 0, "p", "word", None, None, None, None), (1, 1, "img", "Caption", 310, 200, None, None), (1, 2, "img", "", 9000, 9000, None, None), (1, 3, "img", None, 100, 90000, None, None)]
-    plain = {(r.block_index, r.part): r for r in flow.flow(spark.createDataFrame(rows, FLOWED)).collect()}
-    gap = flow.GAP
-    small, wide, tall = plain[1, 0], plain[2, 0], plain[3, 0]
-    assert abs(small.w - 0.25) < 1e-9 and abs(small.h - 0.25 * 200 / 310 * 210 / 297) < 1e-9
-    assert abs(small.y - (plain[0, 0].y + plain[0, 0].h + gap)) < 1e-9 and abs(plain[1, 1].y - (small.y + small.h + gap)) < 1e-9 and plain[1, 1].kind == "text"
-    assert abs(wide.w - flow.TEXT_W) < 1e-9 and abs(wide.h - flow.TEXT_W * 210 / 297) < 1e-9
-    assert abs(tall.h - 0.9 * (flow.AREA_BOTTOM - flow.AREA_TOP)) < 1e-9 and tall.y == flow.AREA_TOP and tall.page_no > wide.page_no
-    assert {r.block_index: r.kind for r in flow.flow(spark.createDataFrame(rows[1:3], FLOWED), notes=True).collect() if r.part == 0} == {1: "figure", 2: "image"}
-
-
-def test_flow_carries_notes(spark):
-    rows = [(1, 0, "p", "word " * 30, None, None, None, [0.2] * 11), (1, 1, "p", "end", None, None, None, [0.1])]
-    d = spark.createDataFrame(rows, FLOWED)
-    notes = sorted((r.page_no, r.y, r.h, r.block_index, r.part) for r in flow.flow(d, notes=True).collect() if r.kind == "note")
-    assert sorted(n[3:] for n in notes) == [(0, i) for i in range(11)] + [(1, 0)]
-    for a, b in zip(notes, notes[1:]):
-        assert a[1] + a[2] <= flow.AREA_BOTTOM + 1e-9 and (a[0] < b[0] or abs(a[1] + a[2] + flow.GAP / 2 - b[1]) < 1e-9)
-    assert all(r.kind == "text" for r in flow.flow(d).collect())
-
-
 def test_line_breaks(spark):
     d = spark.createDataFrame([("aa bb  cc\ndd e",)], "t string")
     assert d.select(flow.line_breaks(F.col("t"), 5).alias("e")).first().e == [5, 11, 13]

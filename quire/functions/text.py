@@ -124,9 +124,10 @@ def word_heading(style: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key of natural, case-insensitive file name order."""
+    """Sort key of natural, case-insensitive file name order: numbers by value, of any length."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(r"^\d+$")), F.lpad(p, 20, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(r"^\d+$")), F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))).otherwise(p)), "")
 
 
 def split_text(text: Column, budget: Column | int) -> Column:

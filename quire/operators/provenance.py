@@ -27,6 +27,13 @@ def citation_plain() -> Column:
     return F.concat_ws(", ", *[F.when(filled(F.col(c)), F.col(c)) for c in ("author", "title", "url")])
 
 
+def printed_citation(label: str = "Source: ", accessed: Column | None = None, word: str = "accessed ") -> Column:
+    """What stands under a printed page: a label before author, title and url, the access date behind a url; empty where nothing is given or shown."""
+    date = F.when(filled(F.col("url")), F.concat(F.lit(word), F.date_format(accessed, "dd.MM.yyyy"))) if accessed is not None else F.lit(None)
+    text = F.concat_ws(", ", *[F.when(filled(F.col(c)), F.col(c)) for c in ("author", "title", "url")], date)
+    return F.when(has_citation() & (text != ""), F.concat(F.lit(label), text)).otherwise("")
+
+
 def page_citations(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, citation, plain) of every page; empty where its source shows none."""
     s = sources.select(F.col("id").alias("sourceid"), F.when(has_citation(), citation()).alias("citation"), F.when(has_citation(), citation_plain()).alias("plain"))
@@ -52,9 +59,15 @@ def lineage(documents: DataFrame) -> DataFrame:
     return documents.where("masterid IS NOT NULL").select("id", "masterid").join(here, "masterid", "left").select("id", "masterid", F.col("__k").isNotNull().alias("known"))
 
 
-def copy_sources(documents: DataFrame, grants: DataFrame) -> DataFrame:
-    """(userid, id): masters that a user may copy from; grants (userid, course)."""
-    return documents.where("ismaster").select("id", "course").join(grants.select("userid", "course").distinct(), "course").select("userid", "id")
+def copy_sources(documents: DataFrame, grants: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """(userid, id): masters that a user may copy from; grants (userid, course).
+
+    With asking (userid, documentid) the answer is for that document, (userid, documentid, id): any such master but the document itself.
+    """
+    may = documents.where("ismaster").select("id", "course").join(grants.select("userid", "course").distinct(), "course").select("userid", "id")
+    if asking is None:
+        return may
+    return asking.select("userid", "documentid").distinct().join(may, "userid").where("id <> documentid").select("userid", "documentid", "id")
 
 
 def glossary_lookup(terms: DataFrame, entries: DataFrame) -> DataFrame:
@@ -80,6 +93,15 @@ def stale_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where((F.col("status") == "queued") & (F.col("ts") < now - F.expr("interval 10 minutes")))
 
 
+def listed_jobs(jobs: DataFrame, dismissed: DataFrame, now: Column) -> DataFrame:
+    """Jobs that stay on the list: finished ones go when dismissed (id) or a day old, open ones stay whatever is dismissed."""
+    named = dismissed.select("id").distinct().withColumn("__d", F.lit(True))
+    d = jobs.join(named, "id", "left")
+    final = F.col("status").isin("done", "failed")
+    gone = final & (F.col("__d").isNotNull() | (F.col("ts") < now - F.expr("interval 1 day")))
+    return d.where(~F.coalesce(gone, F.lit(False))).select(*jobs.columns)
+
+
 def job_result(files: DataFrame) -> DataFrame:
     """files (job, file_no, pages, error) -> (job, pages, message, status): failed iff there are errors and no pages."""
     errors = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("file_no", "error")))), lambda x: x["error"]), "\n")

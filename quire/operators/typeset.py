@@ -348,6 +348,16 @@ def typeset(blocks: DataFrame, key: str = "doc_id", measures: DataFrame | None =
     return b.select(*_IN).repartition("k").sortWithinPartitions("k", "block_index").mapInArrow(run, f"k {kind}, {PLACED}").withColumnRenamed("k", key)
 
 
+def shown_blocks(blocks: DataFrame, hidden: DataFrame, adopted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """blocks without those that are hidden or adopted (key, block_index), and without images that have no data (a column ``filename`` or ``data`` that is null)."""
+    gone = hidden.select(key, "block_index").unionByName(adopted.select(key, "block_index")).distinct()
+    left = blocks.join(gone, [key, "block_index"], "left_anti")
+    for c in ("filename", "data"):
+        if c in left.columns:
+            left = left.where(F.coalesce(F.col("kind") != "image", F.lit(True)) | F.col(c).isNotNull())
+    return left
+
+
 def frames(placed: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, page_no, side, kind, x, y, w, h, html, block_index): a row for each frame of each page.
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from html import escape
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "embeddings")
 _LINE = "(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as k, count(*) over (partition by l_orderkey) as n from lineitem) t"
@@ -48,3 +53,45 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(*names: str) -> str:
     """The WITH clause that gives SQL the same views."""
     return "with " + ", ".join(f"{n} as ({VIEWS[n]})" for n in names)
+
+
+def word_lines(text: Column) -> Column:
+    """The lines of a text that hold a letter or digit of ASCII, without signs of markup, blanks collapsed."""
+    clean = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.translate(x, "<>&[]", "     "), r"[ \t\r\f]+", " ")))
+    return F.filter(clean, lambda x: F.rlike(x, F.lit("[a-zA-Z0-9]")))
+
+
+@F.pandas_udf("binary")
+def word_file(lines: pd.Series) -> pd.Series:
+    """A Word document of each array of lines: by turns a heading, two list items, a paragraph with a note and a picture, a table, and a paragraph that ends the page."""
+    names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = []
+    for some in lines:
+        body, notes, links, pictures = [], [], [], {}
+        for i, line in enumerate(some):
+            t = f"<w:t>{escape(line)}</w:t>"
+            p = lambda about, runs: f"<w:p><w:pPr>{about}</w:pPr>{runs}</w:p>"
+            if i % 6 == 0:
+                body.append(p('<w:pStyle w:val="Heading 1"/>', f"<w:r>{t}</w:r>"))
+            elif i % 6 < 3:
+                body.append(p("<w:numPr/>", f"<w:r><w:rPr><w:b{'' if i % 6 == 1 else ' w:val="0"'}/></w:rPr>{t}</w:r>"))
+            elif i % 6 == 3:
+                body.append(p("", f'<w:r>{t}</w:r><w:r><w:rPr><w:i/></w:rPr><w:footnoteReference w:id="{1000 - i}"/></w:r><w:r><w:drawing><a:blip r:embed="rId{i}"/></w:drawing></w:r>'))
+                notes.append(f'<w:footnote w:id="{1000 - i}"><w:p><w:r><w:t>note {i}</w:t></w:r></w:p><w:p/></w:footnote>')
+                links.append(f'<Relationship Id="rId{i}" Target="media/image{i}.png"/>')
+                if i % 12 == 3:
+                    pictures[f"word/media/image{i}.png"] = f"picture {i}"
+            elif i % 6 == 4:
+                inner = f"<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in {i}</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+                body.append(f"<w:tbl><w:tr><w:tc><w:p><w:r>{t}</w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>x</w:t><w:tab/><w:t>y</w:t></w:r></w:p>{inner}</w:tc></w:tr><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>")
+            else:
+                body.append(p("", f'<w:r>{t}<w:br/><w:br w:type="page"/></w:r>'))
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as z:
+            z.writestr("word/document.xml", f"<w:document {names}><w:body>{''.join(body)}<w:sectPr/></w:body></w:document>")
+            z.writestr("word/footnotes.xml", f"<w:footnotes {names}>{''.join(reversed(notes))}</w:footnotes>")
+            z.writestr("word/_rels/document.xml.rels", f"<Relationships>{''.join(links)}</Relationships>")
+            for name, data in pictures.items():
+                z.writestr(name, data)
+        out.append(made.getvalue())
+    return pd.Series(out)

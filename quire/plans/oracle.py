@@ -132,6 +132,11 @@ _put("noted_blocks", (), """select doc_id, i + (i + 1) // 5 as block_index, 'tex
 case i % 5 when 1 then '<p>' || l || '<sup>' || n || '</sup> end</p>' when 3 then '<p>' || l || '<sup>' || n || '</sup></p>' when 4 then '<blockquote>' || l || '</blockquote>' else '<p>' || l || '</p>' end as html,
 case i % 5 when 1 then '<p><sup>' || n || '</sup> side ' || i || ' <b>mark</b></p>' when 2 then '<ul><li>' || l || '</li><li>two<ul><li>deep</li></ul></li></ul>' when 3 then '<p><sup>' || n || '</sup> foot ' || i || '</p><ol><li>' || l || '</li></ol>' when 4 then '<p>m ' || i || '</p>' else '' end as notes
 from (select *, 2 * (i // 5) + (i % 5 >= 1)::int + (i % 5 >= 3)::int as n from each) t""", _LINED)
+_put("word_pages", (), """select doc_id, page as page_no, string_agg(html, '' order by i) as html from (select doc_id, i // 6 + 1 as page, i, case i % 6 when 0 then '<h2>' || l || '</h2>' when 1 then '<ul><li><strong>' || l || '</strong></li>' || case when i = top then '</ul>' else '' end when 2 then '<li>' || l || '</li></ul>'
+when 3 then '<p>' || l || '<em><sup><a href="#fn:' || n || '" class="footnote-ref">' || n || '</a></sup></em>' || case when i % 12 = 3 then '<img src="docx:word/media/image' || i || '.png" alt="">' else '' end || '</p>' when 4 then '<table><tr><td>' || l || '</td><td>x y<br>in ' || i || '</td></tr><tr><td></td></tr></table>' else '<p>' || l || '<br></p>' end as html
+from (select *, (i + 3) // 6 as n, max(i) over (partition by doc_id) as top from each) t union all
+select doc_id, (max(i) + 1) // 6 + 1, 1000000, '<div class="footnotes"><hr><ol>' || string_agg('<li id="fn:' || (i + 3) // 6 || '"><p>note ' || i || '</p></li>', '' order by i) filter (where i % 6 = 3) || '</ol></div>' from each group by doc_id) u where html is not null group by doc_id, page""", _LINED)
+_put("word_media", (), """select doc_id, 'rId' || i as id, 'docx:word/media/image' || i || '.png' as src, 'image' || i || '.png' as filename, 'picture ' || i as data from each where i % 12 = 3""", _LINED)
 _put("pictured_blocks", (), """select doc_id, 6 * (i // 4) + nr as block_index, case when nr = 3 then 'pagebreak' when pic and filename is not null then 'image' else 'text' end as kind, case when nr = 3 then null when pic and filename is not null then 'img' else 'p' end as tag,
 case when nr = 3 or (pic and filename is not null) then null when pic then '<p><em>[' || case when nr = 1 then 'A' else l end || ']</em></p>' when nr = 0 then '<p>' || l || ' more</p>' else '<p>' || l || '</p>' end as html,
 case when pic then t.src end as src, case when pic then case when nr = 1 then '' else l end end as caption, case when pic then filename end as filename, case when pic then width end as width

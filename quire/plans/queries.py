@@ -22,7 +22,8 @@ from quire.operators import publish as PU
 from quire.operators import raster as RA
 from quire.operators import transfer as TR
 from quire.operators import typeset as TS
-from quire.plans.fixtures import view
+from quire.plans.fixtures import view, word_file, word_lines
+from quire.sources import word as WD
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,7 +427,7 @@ def markup_cuts(d):
 @query("documents")
 def noted_blocks(d):
     """Documents as HTML with notes of all kinds between and in their lines."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.translate(x, "<>&[]", "     "), r"[ \t\r\f]+", " "))), lambda x: F.rlike(x, F.lit("[a-zA-Z0-9]")))
+    lines = word_lines(F.col("text"))
     def piece(x, i):
         n = i.cast("string")
         join = lambda t: F.concat(*[x if c == "L" else n if c == "N" else F.lit(c) for c in t])
@@ -441,10 +442,26 @@ def noted_blocks(d):
     return N.noted_blocks(pages, "doc_id").select("doc_id", F.col("block_index").cast("long").alias("block_index"), "kind", "tag", "html", F.array_join("notes", "|").alias("notes"))
 
 
+def word_documents(d):
+    return WD.word_parts(d.select(F.col("doc_id").cast("string").alias("path"), word_file(word_lines(F.coalesce("text", F.lit("")))).alias("content")))
+
+
+@query("documents")
+def word_pages(d):
+    """Pages of Word documents that are made from the documents' lines."""
+    return WD.word_pages(word_documents(d)).select(F.col("path").cast("long").alias("doc_id"), F.col("page_no").cast("long").alias("page_no"), "html")
+
+
+@query("documents")
+def word_media(d):
+    """Pictures of the same Word documents, by relation."""
+    return WD.word_media(word_documents(d)).select(F.col("path").cast("long").alias("doc_id"), "id", "src", "filename", F.decode("data", "utf-8").alias("data"))
+
+
 @query("documents", "part")
 def pictured_blocks(d, p):
     """Documents as HTML with figures, pictures and page breaks between their lines; pictures are named after parts, and each third isn't there."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.translate(x, "<>&[]", "     "), r"[ \t\r\f]+", " "))), lambda x: F.rlike(x, F.lit("[a-zA-Z0-9]")))
+    lines = word_lines(F.col("text"))
     n = lambda i: i.cast("string")
     piece = lambda x, i: (
         F.when(i % 4 == 0, F.concat(F.lit("<p>"), x, F.lit("<img src='p"), n(i), F.lit(".png' alt=\"A\"> more</p>"))).when(i % 4 == 1, F.concat(F.lit("<figure><picture><img alt='' src=\"p"), n(i), F.lit('.png"></picture><figcaption>'), x, F.lit("</figcaption></figure>")))

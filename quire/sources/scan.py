@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +66,39 @@ def cleanup_options(options, sourcetype):
     return F.when(sourcetype == "cbz", F.array_except(allowed, F.array(F.lit("split"), F.lit("deskew")))).otherwise(allowed)
 
 
+def _natural(name: str) -> list:
+    """Natural, case-insensitive order: numbers by value."""
+    return [(0, int(x), x) if x.isdigit() else (1, x, "") for x in re.findall(r"\d+|\D+", name.lower())]
+
+
 def archive_images(files: DataFrame, most: int = 300) -> DataFrame:
-    """files (path, content) -> (path, entry, data, page_no): pictures of zip archives in natural order, at most ``most`` of each."""
+    """files (path, content) -> (path, page_no, entry, data, message): pictures of zip archives in natural order, at most ``most`` of each.
+
+    Order and limit come from the archive's directory, so nothing else is unpacked, one picture at a
+    time. Folders named __MACOSX are skipped. An archive or a picture that can't be read is a row with a
+    message (an archive's without page_no) and without data; a picture like this keeps its place.
+    """
+    schema = "path string, page_no int, entry string, data binary, message string"
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()))], [x.split()[0] for x in schema.split(", ")])
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
-                    z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                    z = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
+                    names = [n for n in dict.fromkeys(z.namelist()) if re.search(r"(?i)\.(png|jpe?g|gif|webp)$", n) and "__MACOSX" not in n]
+                except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, ValueError) as e:
+                    yield row(path, None, None, None, str(e) or type(e).__name__)
                     continue
-                rows += [(path, n, z.read(n)) for n in z.namelist() if re.search(r"(?i)\.(png|jpe?g|gif|webp)$", n) and not n.startswith("__MACOSX")]
-            yield pd.DataFrame(rows, columns=["path", "entry", "data"])
+                for k, name in enumerate(sorted(names, key=lambda n: (_natural(n), n))[:most]):
+                    try:
+                        yield row(path, k + 1, name, z.read(name), None)
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError) as e:
+                        yield row(path, k + 1, name, None, str(e) or type(e).__name__)
 
-    d = files.select("path", "content").mapInPandas(entries, "path string, entry string, data binary")
-    w = Window.partitionBy("path").orderBy(natural_key(F.col("entry")), "entry")
-    return d.withColumn("page_no", F.row_number().over(w)).where(F.col("page_no") <= most)
+    return files.select("path", "content").mapInArrow(entries, schema)
 
 
 def docx_runs(files: DataFrame) -> DataFrame:
@@ -109,12 +127,12 @@ def docx_runs(files: DataFrame) -> DataFrame:
 
 
 def docx_paragraphs(runs: DataFrame) -> DataFrame:
-    """(path, paragraph, segment, style, list_run, text): paragraphs cut at page breaks; consecutive list items share a list_run."""
+    """(path, paragraph, segment, style, list_run, text): pages end behind paragraphs with a break; consecutive list items share a list_run."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "")
     p = runs.groupBy("path", "paragraph").agg(text.alias("text"), F.first("style").alias("style"), F.bool_or("list").alias("list"), F.bool_or("break").alias("brk"))
     w = Window.partitionBy("path").orderBy("paragraph")
     begins = F.col("list") & ~F.coalesce(F.lag("list").over(w), F.lit(False))
-    d = p.withColumn("segment", F.sum(F.col("brk").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", begins)
+    d = p.withColumn("segment", F.coalesce(F.sum(F.col("brk").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__b", begins)
     return d.withColumn("list_run", F.when(F.col("list"), F.sum(F.col("__b").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__b", "brk", "list")
 
 

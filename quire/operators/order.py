@@ -37,9 +37,9 @@ def rebalance(pages: DataFrame, documents: DataFrame, overlays: DataFrame | None
     return with_blanks(kept_pages(pages, overlays).where("NOT staged").join(firsts, "documentid"), "documentid")
 
 
-def with_blanks(d: DataFrame, *keys: str) -> DataFrame:
+def with_blanks(d: DataFrame, *keys: str, order: tuple[str, ...] = ("sortorder", "id")) -> DataFrame:
     """d (firstpageright, spreadside, pinside) with ``required``, ``blank_before``, ``position`` and ``side`` within keys."""
-    w = Window.partitionBy(*keys).orderBy("sortorder", "id")
+    w = Window.partitionBy(*keys).orderBy(*order)
     d = d.withColumn("k", F.row_number().over(w).cast("long")).withColumn("required", required_side(F.col("spreadside"), F.col("pinside")))
     d = d.withColumn("par", F.when(F.col("required").isNotNull(), F.when((F.col("required") == "right") == F.col("firstpageright"), 1).otherwise(0)).cast("long"))
     d = d.withColumn("v", F.max(2 * F.col("k") + F.col("par")).over(w.rowsBetween(Window.unboundedPreceding, -1)))

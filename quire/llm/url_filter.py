@@ -13,26 +13,45 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rules (host, path, verdict), then the labelled URLs (1: to be blocked).
+# Rules (host, path, verdict), then the labelled URLs (1: to be blocked). The table was written down by kinds of
+# hosts: fraud, gambling, pornography, drugs, counterfeits, malware, advertising; public bodies, learning, clubs, crafts.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-BLOCKED = """royal-casino.example/lobby casinogrand.example/de/5 vegas-casino-club.example/slots www.casino-bonus.example/en/welcome m.livecasino.example/fr/roulette
-my-casino-tips.example/es/2 blog.casinos-online.example/review win-big-now.example/claim big-wins-daily.example/en/9 winners-slots.example/spin instant-win-club.example/prize
-adults-only.example/gallery www.adult-cams.example/live adultvideos.example/fr/77 m.adult-match.example/de/31 adult-stories.example/en/4 blog.youradults.example/es/1
-discount-pills.example/order pillstore.example/en/8 www.pills-direct.example/buy diet-pills-shop.example/de/90 m.generic-pills.example/offer cheapmeds.example/refill
-cheap-tramadol.example/buy cheap-watches.example/replica www.cheap-loans.example/apply very-cheap-software.example/keys football-bets.example/odds betsandodds.example/en/6
-www.livebets.example/today m.bets-bonus.example/fr/3 horse-bets.example/es/40 free-spins.example/bonus free-iphone-prize.example/claim get-free-coins.example/en/12 free-followers.example/fast
-spam-mailer.example/list www.spamlinks.example/seo bulk-spam.example/de/17 m.spam-network.example/go linkfarm.example/submit seo-farms.example/buy-links article-farm.example/en/33
-backlink-farm.example/order ad-tracker.example/pixel tracking-ads.example/click www.popup-ads.example/fr/2 ads-exchange.example/banner m.adsclick.example/en/71 trackads.example/imp
-user-track-pixel.example/t blog.ads-network.example/de/8 clickads.example/go crypto-doubler.example/send payday-cash.example/now replica-bags.example/sale lottery-winner.example/fee"""
-ORDINARY = """news.example/en/12 www.city-library.example/books museum.example/visit university.example/courses/7 weather.example/today docs.reader.example/guide
-www.garden-plants.example/de/7 townhall.example/services health-advice.example/en/30 science.example/papers maps.example/route blog.history.example/es/430 music-school.example/albums
-bicycle.example/repair forest-walks.example/fr/5 river-trust.example/fish open-source.example/code chess-club.example/games m.newspaper.example/en/251 old-town.example/es/77
-www.theatre.example/plays blog.cooking.example/soup trains.example/times m.astronomy.example/de/9 www.bakery.example/bread school-lessons.example/fr/18 architecture.example/en/2
-blog.mountains.example/en/855 www.painting.example/gallery poetry.example/de/64 m.philosophy.example/es/11 geology.example/rocks www.languages.example/grammar kitchen.example/en/3
-harbour.example/boats m.orchestra.example/concerts statistics.example/fr/21 www.engineering.example/bridges botany.example/en/90 blog.translation.example/de/42 theory.example/notes
-m.brother.example/en/8 www.nothing.example/fr/33 weatherstation.example/data another.example/es/6 together.example/en/14 the-other.example/de/71 blog.handbook.example/en/60
-www.thunder.example/storms m.north.example/en/19 southern.example/fr/44 within.example/en/27 shores.example/de/12 landscape.example/tour www.worthing.example/en/5 blog.earth.example/es/9
-m.mother.example/en/56 leather.example/shoes feather.example/birds www.gathering.example/fr/61 tables.example/wood possible.example/en/73 stations.example/de/28 relations.example/en/1"""
+BLOCKED = """secure-bank-login.example/verify account-update-now.example/signin paypal-confirm.example/login.php appleid-locked.example/unlock wallet-restore.example/seed
+mail-quota-full.example/upgrade parcel-customs-fee.example/pay tax-refund-portal.example/claim sms-voucher.example/redeem gift-card-giveaway.example/claim
+lucky-sweepstakes.example/enter you-are-chosen.example/prize millionaire-formula.example/join bitcoin-doubling.example/send forex-robot-profit.example/signup
+binary-options-expert.example/join work-at-home-riches.example/signup debt-vanish.example/apply instant-payday.example/apply loan-without-check.example/apply
+slot-machines-online.example/play roulette-royale.example/play poker-jackpot.example/bonus blackjack-vip.example/bonus bingo-billionaire.example/bonus
+sportsbook-odds.example/bonus lottery-syndicate.example/buy scratchcards.example/play baccarat-live.example/play highroller-club.example/bonus
+hot-singles-nearby.example/join xxx-tube.example/watch porn-gallery.example/watch webcam-girls.example/live escort-directory.example/live
+nude-leaks.example/watch erotic-chat.example/live milf-dating.example/join fetish-clips.example/watch sexy-stories.example/read
+viagra-express.example/order cialis-generic.example/order buy-tramadol.example/order xanax-overnight.example/order steroids-shop.example/buy
+slimming-tea-miracle.example/order hair-regrowth-secret.example/buy anti-aging-serum-trial.example/buy keto-gummies.example/order detox-patch.example/buy
+replica-watches.example/buy fake-rolex.example/buy designer-handbags-outlet.example/buy counterfeit-sneakers.example/buy discount-rayban.example/buy
+cracked-software.example/download keygen-serials.example/download warez-archive.example/download torrent-movies-hd.example/download nulled-themes.example/download
+game-cheats-hack.example/download codec-update-required.example/install flash-player-setup.example/install driver-booster-pro.example/install registry-cleaner.example/install
+your-pc-is-infected.example/scan antivirus-alert.example/scan support-hotline-call.example/call browser-locked-warning.example/call ransom-decryptor.example/pay
+popunder-network.example/click banner-exchange.example/click pixel-beacon.example/collect cookie-sync.example/collect clickthrough-rotator.example/redirect
+affiliate-redirector.example/redirect traffic-broker.example/redirect doorway-pages.example/redirect backlinks-bulk.example/order article-spinner.example/order
+buy-followers.example/order fake-reviews.example/order mass-mailer.example/send email-harvester.example/list proxy-list-dump.example/list
+clickbait-shock.example/watch celebrity-scandal.example/watch miracle-cure-doctors-hate.example/read psychic-hotline.example/call love-spell-caster.example/order"""
+ORDINARY = """city-library.example/catalogue national-museum.example/visit university-physics.example/courses weather-service.example/forecast botanical-gardens.example/visit
+river-conservation.example/about town-council.example/minutes primary-school.example/timetable choir-rehearsals.example/calendar chess-federation.example/results
+railway-timetables.example/search bicycle-repair.example/manual sourdough-baking.example/recipes mountain-huts.example/map astronomy-society.example/lectures
+open-data-portal.example/datasets compiler-design.example/docs linear-algebra.example/lectures poetry-foundation.example/archive theatre-company.example/programme
+orchestra-season.example/programme harbour-authority.example/tides geology-survey.example/reports translation-studies.example/journal architecture-review.example/journal
+public-transport.example/map blood-donation.example/calendar hospital-trust.example/contact dental-practice.example/contact veterinary-clinic.example/contact
+local-newspaper.example/news parliament-debates.example/archive court-decisions.example/archive constitutional-law.example/journal election-results.example/results
+climate-science.example/reports marine-biology.example/reports bird-watching.example/sightings beekeeping-association.example/about forest-walks.example/map
+carpentry-workshop.example/manual knitting-patterns.example/recipes pottery-studio.example/about watercolour-painting.example/gallery photography-club.example/gallery
+history-timeline.example/archive genealogy-records.example/search cathedral-archives.example/archive medieval-manuscripts.example/gallery archaeology-digs.example/reports
+cooking-school.example/courses vegetable-recipes.example/recipes tea-plantation.example/about olive-growers.example/about cheese-dairy.example/visit
+language-exchange.example/about grammar-handbook.example/docs dictionary-project.example/search sign-language.example/courses reading-group.example/calendar
+software-foundation.example/docs database-manual.example/docs operating-systems.example/lectures network-protocols.example/docs robotics-lab.example/reports
+mathematics-olympiad.example/results statistics-office.example/datasets census-bureau.example/datasets cartography-atlas.example/map satellite-imagery.example/datasets
+volunteer-firefighters.example/calendar mountain-rescue.example/contact sailing-school.example/courses rowing-regatta.example/results swimming-lessons.example/timetable
+racetrack-history.example/archive windmill-museum.example/visit farmhouse-kitchen.example/recipes adulthood-psychology.example/journal freedom-of-press.example/news
+spamalot-musical.example/programme alphabets-exhibition.example/gallery loads-engineering.example/manual cheapside-walks.example/map pillsbury-biography.example/read
+kindergarten-songs.example/recipes orthopaedic-journal.example/journal philosophy-seminar.example/lectures economics-review.example/journal sociology-dept.example/courses"""
 
 
 def parts(url: Column) -> tuple[Column, Column]:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Rules (host, path, verdict), then the labelled URLs (1: to be blocked). The table was written down by kinds of
 # hosts: fraud, gambling, pornography, drugs, counterfeits, malware, advertising; public bodies, learning, clubs, crafts.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+#: The lowest of 0.5, 0.6 ... 0.9 at which at most 2 of 100 ordinary rows were blocked by a fit that shares no word of a host with them.
+BLOCK_AT = 0.9
 BLOCKED = """secure-bank-login.example/verify account-update-now.example/signin paypal-confirm.example/login.php appleid-locked.example/unlock wallet-restore.example/seed
 mail-quota-full.example/upgrade parcel-customs-fee.example/pay tax-refund-portal.example/claim sms-voucher.example/redeem gift-card-giveaway.example/claim
 lucky-sweepstakes.example/enter you-are-chosen.example/prize millionaire-formula.example/join bitcoin-doubling.example/send forex-robot-profit.example/signup
@@ -83,8 +85,13 @@ def features(host: str, path: str, buckets: int) -> str:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the labelled table above."""
-    rows = [(u, y) for text, y in ((BLOCKED, 1), (ORDINARY, 0)) for u in text.split()]
+    """(url, label): the labelled table above, each host also with prefixes and pages that say nothing, by the same rule for both labels, so that these teach nothing."""
+    rows = []
+    for text, label in ((BLOCKED, 1), (ORDINARY, 0)):
+        for i, url in enumerate(text.split()):
+            name = url.partition(".")[0]
+            plain = f"{('www.', 'm.', 'blog.', '')[i % 4]}{name}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'fr', 'es')[i // 4 % 4]}/{i * 7 % 97}"
+            rows += [(url, label), (plain, label), (f"{name}.example.{('org', 'com', 'net')[i % 3]}/", label)]
     values = ", ".join(f"('https://{u}', {y})" for u, y in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
 
@@ -97,7 +104,7 @@ def _logit(f: str, weights: list[float], bias: float) -> str:
     return f"({bias} + aggregate({f}, 0D, (s, i) -> s + element_at({_constant(weights)}, i + 1)) / sqrt(greatest(size({f}), 1)))"
 
 
-def fit(labelled: DataFrame, buckets: int = 2048, steps: int = 60, rate: float = 6.0, l2: float = 0.002, most: int = 10_000) -> tuple[list[float], float]:
+def fit(labelled: DataFrame, buckets: int = 1 << 15, steps: int = 60, rate: float = 6.0, l2: float = 0.002, most: int = 10_000) -> tuple[list[float], float]:
     """(weights, bias) of the regression from (url, label) of at most ``most`` rows, those whose urls hash lowest.
 
     Spark hashes the n-grams in one job; the descent over these few lists is plain arithmetic. Null
@@ -121,10 +128,11 @@ def fit(labelled: DataFrame, buckets: int = 2048, steps: int = 60, rate: float =
     return weights, bias
 
 
-def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, url_col: str = "url", id_col: str = "page_id", buckets: int = 2048) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, url_col: str = "url", id_col: str = "page_id", buckets: int = 1 << 15, block_at: float = BLOCK_AT) -> DataFrame:
     """(id, host, path, rule, verdict, score), one row for each row of pages.
 
-    The longest rule that fits decides; else the regression blocks at a score of 0.5 or more. A null
+    The longest rule that fits decides; else the regression blocks at a score of ``block_at`` or more, which is set so high that next to no
+    ordinary row is blocked: a table this small tells little of names whose words it doesn't hold. A null
     url or one without :// has an empty host and path and is judged like any other. Repeated rows
     are judged alike; urls of any length are looked at whole; an empty table gives no rows; other
     columns are ignored, whatever their names.
@@ -135,4 +143,4 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, url_
     d = d.withColumn("__f", F.expr(features("host", "path", buckets))).withColumn("__r", rule_for(F.col("host"), F.col("path")) if rules is RULES else rule_for(F.col("host"), F.col("path"), rules))
     score = F.expr(f"1 / (1 + exp(-{_logit('__f', weights, bias)}))")
     d = d.withColumn("score", score)
-    return d.select(id_col, "host", "path", F.col("__r.rule").alias("rule"), F.coalesce(F.col("__r.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    return d.select(id_col, "host", "path", F.col("__r.rule").alias("rule"), F.coalesce(F.col("__r.verdict"), F.when(F.col("score") >= block_at, "block").otherwise("allow")).alias("verdict"), "score")

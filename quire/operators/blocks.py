@@ -104,12 +104,26 @@ def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return d.select(key, T.absolute_url(F.col(url), F.col("rel")).alias("link")).where("link IS NOT NULL").distinct()
 
 
-def images(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most: int = 20) -> DataFrame:
-    """(key, pos, src, alt): at most ``most`` usable images of a page, data-src before src."""
+def images(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, pos, src, alt): the images of a page with absolute addresses, in order; src, else data-src; alt, else title."""
     d = pages.select(key, url, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?i)(<img\s[^>]*>)"), F.lit(1))).alias("pos", "tag"))
     attr = lambda k: F.nullif(F.regexp_extract("tag", rf"""(?i)\s{k}=["']([^"']*)["']""", 1), F.lit(""))
-    d = d.select(key, "pos", T.absolute_url(F.col(url), F.coalesce(attr("data-src"), attr("src"))).alias("src"), F.coalesce(attr("alt"), attr("title"), F.lit("")).alias("alt")).where("src IS NOT NULL")
-    return d.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("__n") <= most).drop("__n")
+    return d.select(key, "pos", T.absolute_url(F.col(url), F.coalesce(attr("src"), attr("data-src"))).alias("src"), F.coalesce(attr("alt"), attr("title"), F.lit("")).alias("alt")).where("src IS NOT NULL")
+
+
+def harvested(found: DataFrame, fetched: DataFrame, key: str = "page_id", most: int = 20) -> DataFrame:
+    """found (key, pos, src, alt) with ``filename`` and ``text``: a page's first ``most`` images that could be fetched, numbered by their place.
+
+    fetched (src, kind): what came back, kind png, jpeg, gif or webp (null or anything else: no use). Only successes count
+    towards the limit. An image without a file is replaced by its alternative text in brackets, or by nothing.
+    """
+    good = fetched.where(F.col("kind").isin("png", "jpeg", "gif", "webp")).groupBy("src").agg(F.min("kind").alias("kind"))
+    d = found.join(good, "src", "left")
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__ok", F.col("kind").isNotNull()).withColumn("__n", F.sum(F.col("__ok").cast("int")).over(w))
+    name = F.when(F.col("__ok") & (F.col("__n") <= most), F.concat(F.lit("img"), (F.col("pos") + 1).cast("string"), F.lit("."), "kind"))
+    text = F.when(F.col("alt") != "", F.concat(F.lit("["), "alt", F.lit("]"))).otherwise("")
+    return d.withColumn("filename", name).withColumn("text", F.when(F.col("filename").isNull(), text)).select(key, "pos", "src", "alt", "filename", "text")
 
 
 def select_root(pages: DataFrame, selector: str, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import SLOTS, fit_page, side
+from quire.functions.geometry import PAGE_H, PAGE_W, SLOTS, fit_page, side
 from quire.functions.ranges import in_range
 from quire.operators.order import reading_order
 
@@ -68,6 +68,10 @@ def print_plan(pages: DataFrame, documents: DataFrame, layout: str = "booklet",
     count = F.count("*").over(Window.partitionBy("documentid"))
     printed = printed.withColumns({"__s": starts, "__c": count})
     at, slot = slot_of(layout, F.col("position"), F.col("__c"), F.col("__s"))
-    box = fit_page(slot_boxes(layout)[slot.cast("int")], F.col("width"), F.col("height"))
+    place = slot_boxes(layout)[slot.cast("int")]
+    if layout == "1up":  # the sheet lies as its page does
+        across = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("xywh", (0, 0, PAGE_H, PAGE_W))])
+        place = F.when(F.col("width") > F.col("height"), across).otherwise(place)
+    box = fit_page(place, F.col("width"), F.col("height"))
     d = printed.withColumns({"side_no": at, "slot_no": slot, "box": box})
     return d.select("documentid", "side_no", "slot_no", "id", "pagenumber", *[F.round(F.col("box")[k], 4).alias(k) for k in "xywh"])

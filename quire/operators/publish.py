@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.ranges import range_valid
 from quire.operators.blocks import layout_segments
 from quire.operators.impose import published_pages
 from quire.operators.overlay import clean_settings
@@ -107,3 +108,31 @@ def worksheet_lines(sheets: DataFrame, width: float = 210.0, height: float = 297
         down = F.transform(F.sequence(F.lit(1), F.floor((F.col("w") - 2 * margin) / dx).cast("int")), lambda i, dx=dx: F.struct((margin + i * dx).alias("x1"), F.lit(margin).alias("y1"), (margin + i * dx).alias("x2"), (F.col("h") - margin).alias("y2"))) if dx else none
         rules = F.when(F.col("template") == name, F.concat(across, down)).otherwise(rules)
     return d.select("id", "page_no", F.inline(rules))
+
+
+def course_documents(documents: DataFrame, courses: DataFrame) -> DataFrame:
+    """documents of the named courses (course)."""
+    return documents.join(courses.select("course").distinct(), "course", "left_semi").select(*documents.columns)
+
+
+def new_documents(rows: DataFrame, now: Column) -> DataFrame:
+    """rows as documents to be added: the range without blanks around it, both times set."""
+    return rows.withColumns({"pagerange": F.trim(F.coalesce("pagerange", F.lit(""))), "timecreated": now, "timemodified": now})
+
+
+def publish_settings(documents: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected): documents after changes (id, pagerange and other fields, one row for each document).
+
+    Fields that are null stay as they are; a range loses the blanks around it, and one that is no range rejects the whole
+    change with a message; a change of a document that isn't there is rejected as well. timemodified (if documents have it) becomes now.
+    """
+    fields = [c for c in changes.columns if c != "id"]
+    bad = F.when(F.col("pagerange").isNotNull() & ~range_valid(F.trim("pagerange")), F.lit("not a page range"))
+    known = documents.select("id", F.lit(True).alias("__k"))
+    asked = changes.join(known, "id", "left").withColumn("message", F.coalesce(F.when(F.col("__k").isNull(), "unknown document"), bad)).drop("__k")
+    good = asked.where("message IS NULL").select("id", *[(F.trim(c) if c == "pagerange" else F.col(c)).alias(f"__{c}") for c in fields], F.lit(True).alias("__go"))
+    d = documents.join(good, "id", "left")
+    put = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields if c in documents.columns}
+    if "timemodified" in documents.columns:
+        put["timemodified"] = F.when(F.col("__go"), now).otherwise(F.col("timemodified"))
+    return d.withColumns(put).select(*documents.columns), asked.where("message IS NOT NULL")

@@ -63,6 +63,20 @@ def text_columns(profile: DataFrame, least_ink: float = 0.004) -> DataFrame:
     return merged.withColumn("c", F.count("*").over(v)).where("c >= 2").select("page", F.row_number().over(v.orderBy("first")).alias("column_no"), "first", "last")
 
 
+def column_boxes(columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """(page, column_no, x, y, w, h): boxes of text columns in page units, with a little room around.
+
+    columns (page, column_no, first, last, width) in pixels; rows (page, y, ink): from the first to the last row with
+    ink, of the page's height of rows. Boxes lie inside the page.
+    """
+    inked = F.when(F.col("ink") > 0, F.col("y"))
+    r = rows.groupBy("page").agg(F.min(inked).alias("top"), F.max(inked).alias("bottom"), (F.max("y") + 1).alias("height"))
+    d = columns.join(r, "page").where("top IS NOT NULL")
+    w, h = F.col("width"), F.col("height")
+    x, y = F.greatest(F.lit(0.0), (F.col("first") - 2) / w), F.greatest(F.lit(0.0), (F.col("top") - 4) / h)
+    return d.select("page", "column_no", x.alias("x"), y.alias("y"), F.least(1 - x, (F.col("last") + 1 - F.col("first") + 4) / w).alias("w"), F.least(1 - y, (F.col("bottom") - F.col("top") + 8) / h).alias("h"))
+
+
 def border_box(profile: DataFrame, at: str = "x", dark: float = 0.6) -> DataFrame:
     """(page, first, last): what is left without the border at both ends of a profile, places whose ink is over ``dark``.
 
@@ -130,3 +144,19 @@ def split_spreads(pages: DataFrame, gutters: DataFrame, new_id: int) -> DataFram
     halves = F.explode(F.array(F.struct(F.lit("left").alias("part"), F.lit(0).cast("long").alias("x0"), at.cast("long").alias("x1")), F.struct(F.lit("right").alias("part"), at.cast("long").alias("x0"), F.col("width").cast("long").alias("x1"))))
     d = wide.select("documentid", "id", halves.alias("h")).select("documentid", "id", "h.*")
     return d.withColumn("new_id", F.when(F.col("part") == "left", F.col("id")).otherwise(F.col("id") + new_id))
+
+
+def cleaned_pages(pages: DataFrame, gutters: DataFrame, splitting: bool = True) -> DataFrame:
+    """(documentid, id, half, width, landscapelock, spreadid, spreadside, new) of pages after the cleanup of their images; gutters (id, x) where one was found.
+
+    A page without lock or spread is cut at its gutter: the left half keeps the page, the right half is a new row
+    (``new``, under the same id until it gets its own). Other wide pages without a lock get it, since they are meant to be wide.
+    """
+    d = pages.join(gutters.groupBy("id").agg(F.min("x").alias("__x")), "id", "left")
+    cut = F.lit(splitting) & F.col("__x").isNotNull() & ~F.col("landscapelock") & F.col("spreadid").isNull()
+    d = d.withColumn("__cut", F.coalesce(cut, F.lit(False)))
+    row = lambda half, width, lock, spread, side, new: F.struct(F.lit(half).alias("half"), width.cast("long").alias("width"), lock.alias("landscapelock"), spread.cast("long").alias("spreadid"), side.alias("spreadside"), F.lit(new).alias("new"))
+    left = row("left", F.col("__x"), F.col("landscapelock"), F.col("id"), F.lit("left"), False)
+    right = row("right", F.col("width") - F.col("__x"), F.col("landscapelock"), F.col("id"), F.lit("right"), True)
+    whole = row("whole", F.col("width"), F.col("landscapelock") | (F.col("width") > F.col("height")), F.col("spreadid"), F.col("spreadside"), False)
+    return d.select("documentid", "id", F.explode(F.when(F.col("__cut"), F.array(left, right)).otherwise(F.array(whole))).alias("r")).select("documentid", "id", "r.*")

@@ -194,3 +194,82 @@ _put("footnotes", (), "select o_orderkey, cast(1 as int) as note_no, 'fn:1' as t
 _put("writing_lines", (), "select p_partkey, cast(case when p_size % 5 = 0 then 5 when p_size % 7 = 0 then 1 else greatest(1, least(40, p_size * 2 - 20)) end as int) as lines, 'box a_b' || case when regexp_full_match(p_brand, '[A-Za-z][A-Za-z0-9_-]*') then ' ' || p_brand else '' end as classes from part")
 _put("stale_measures", ("fx_source",), "select id as sourceid from fx_source where id % 3 = 0 or id % 8 = 1")
 _put("mean_luminance", (), """select page, round(avg(case when c = ' ' then 255 else 0 end), 4) as mean, avg(case when c = ' ' then 255 else 0 end) < 100 as invert from (select *, cast(greatest(1, floor((greatest(max(x) over (partition by page), max(y) over (partition by page)) + 1) / 150.0)) as bigint) as s from (select doc_id as page, y, x, string_split(line, '')[x + 1] as c from (select doc_id, y, line, unnest(range(0, length(line))) as x from (select doc_id, i - 1 as y, l as line from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) a) b) c) d) e where x % s = 0 and y % s = 0 group by page""")
+
+
+# edits: a table lined (documentid, id, firstpageright, required, unused, isfiller, spread, layoutside, ord) is balanced
+_SETTLED = """ranked as (select *, row_number() over (partition by documentid, unused order by ord) as k from lined),
+kept as (select *, case when required is not null then case when (required = 'right') = firstpageright then 1 else 0 end end as par from ranked where not unused),
+seen as (select *, max(2 * k + par) over (partition by documentid order by k rows between unbounded preceding and 1 preceding) as v from kept),
+judged as (select *, coalesce(case when v is null then k % 2 else (v % 2 + k - cast(floor(v / 2) as bigint)) % 2 end <> par, false) as blank_before from seen),
+placed as (select *, cast(k + sum(cast(blank_before as int)) over (partition by documentid order by k rows between unbounded preceding and current row) as bigint) as position from judged),
+settled as (select documentid, coalesce(id, 0) as id, position, isfiller as filler, coalesce(spread, 0) as spreadid, coalesce(layoutside <> case when (position % 2 = 1) = firstpageright then 'right' else 'left' end, false) as turned from placed union all
+select b.documentid, coalesce(f.id, 0), b.position, true, 0, false from (select documentid, position - 1 as position, row_number() over (partition by documentid order by position) as i from placed where blank_before) b left join ranked f on f.unused and f.documentid = b.documentid and f.k = b.i)"""
+_REQUIRED = "case when spreadside in ('left', 'right') then spreadside when pinside in ('left', 'right') then pinside end"
+_SIDES = f"""paged as (select p.*, d.firstpageright, p.filler and p.pagetype = 'canvas' and p.id not in (select pageid from fx_overlay) as unused, case when sortorder % 2 = 0 then 'left' when sortorder % 3 = 0 then 'right' end as layoutside from fx_page p join fx_document d on d.id = p.documentid),
+here as (select *, row_number() over (partition by documentid order by sortorder, id) as n from paged where not staged)"""
+_PDO = ("fx_page", "fx_document", "fx_overlay")
+
+
+def _edited(name: str, lined: str) -> None:
+    _put(name, _PDO, "select * from settled", f"{_SIDES}, {lined}, {_SETTLED}")
+
+
+_LINE = f"select documentid, id, firstpageright, {_REQUIRED} as required, unused, filler as isfiller, spreadid as spread, layoutside, "
+_edited("arranged", f"lined as ({_LINE} n as ord from here)")
+_edited("adopted_pages", f"""came as (select * exclude (spreadid, spreadside), case when torn then null else spreadid end as spreadid, case when torn then null else spreadside end as spreadside from (select *, spreadid is not null and count(*) filter (id % 5 <> 0) over w > 0 and count(*) filter (id % 5 = 0) over w > 0 as torn from paged where staged window w as (partition by documentid, spreadid)) q where id % 5 <> 0),
+touched as (select documentid, spreadid from came group by all), torn as (select distinct documentid, spreadid from (select documentid, spreadid, count(*) filter (id % 5 <> 0) as a, count(*) filter (id % 5 = 0) as b from paged where staged and spreadid is not null group by all) t where a > 0 and b > 0),
+healed as (select h.* exclude (spreadid, spreadside), case when t.spreadid is null then h.spreadid end as spreadid, case when t.spreadid is null then h.spreadside end as spreadside from here h left join torn t on t.documentid = h.documentid and t.spreadid = h.spreadid),
+lined as ({_LINE} {{'a': n, 'b': 0, 's': sortorder, 'i': id}} as ord from healed union all
+select c.documentid, c.id, c.firstpageright, case when c.spreadside in ('left', 'right') then c.spreadside when c.pinside in ('left', 'right') then c.pinside end, c.unused, c.filler, c.spreadid, c.layoutside, {{'a': case when c.documentid % 4 = 0 then 0 else coalesce(h.n, 4611686018427387904) end, 'b': 1, 's': c.sortorder, 'i': c.id}} from came c left join here h on h.documentid = c.documentid and c.documentid % 4 = 1 and h.id = c.documentid * 100 + 2)""")
+_edited("inserted_pages", f"""lined as ({_LINE} 2 * n as ord from here union all
+select t.documentid, null, t.firstpageright, null, false, false, null, null, case when t.documentid % 2 = 0 then 2 * coalesce((select max(n) from here h where h.spreadid = t.spreadid and h.spreadside = 'left' and h.documentid = t.documentid), n) - 1 else 2 * coalesce((select max(n) from here h where h.spreadid = t.spreadid and h.spreadside = 'right' and h.documentid = t.documentid), n) + 1 end from here t where t.id = t.documentid * 100 + 1 + t.documentid % 3)""")
+_edited("linked_pages", f"""ahead as (select *, lead(id) over w as nid, lead(spreadid) over w as nsp, lag(id) over w as pid, lag(spreadid) over w as psp from here where not filler window w as (partition by documentid order by n)),
+halves as (select *, id = documentid * 100 + 1 + documentid % 3 and spreadid is null and nid is not null and nsp is null as l, coalesce(pid = documentid * 100 + 1 + documentid % 3 and psp is null and spreadid is null, false) as r from ahead),
+lined as (select documentid, id, firstpageright, case when l then 'left' when r then 'right' else {_REQUIRED} end as required, unused, filler as isfiller, case when l then id when r then pid else spreadid end as spread, layoutside, n as ord from halves union all {_LINE} n from here where filler)""")
+_put("turned_overlays", _PDO, "select o.id, o.pageid, case when s.id is not null then cast(greatest(0, 1 - o.x - o.w) as decimal(10,6)) else o.x end as x from fx_overlay o left join settled s on s.id = o.pageid and s.turned", f"{_SIDES}, lined as ({_LINE} n as ord from here), {_SETTLED}")
+
+_NEW = lambda first, *by: f"{first} + row_number() over (order by {by[0]} % 4096, {', '.join(by)}) - 1"
+_DPO = ("fx_document", "fx_page", "fx_overlay")
+_COPIES = f"""numbered as (select *, row_number() over (partition by documentid order by sortorder, id) as n from fx_page where not staged),
+taken as (select d.id as target, p.*, {_NEW(3 * 10**9, 'd.id', 'p.n')} as new from fx_document d join numbered p on p.documentid = d.masterid where d.masterid is not null and (d.id % 3 = 1 or case when d.id % 3 = 0 then (n between 2 and 3) or not exists (select 1 from numbered q where q.documentid = d.masterid and q.n = 2) and false else n = 1 or n >= 3 end)),
+sourced as (select target, documentid * 100000 + sourceid as old, {_NEW(2 * 10**9, 'target', 'documentid * 100000 + sourceid')} as new from (select distinct target, documentid, sourceid from taken) t),
+halved as (select *, count(*) over (partition by target, spreadid) as c, min(new) over (partition by target, spreadid) as l, row_number() over (partition by target order by n) as place from taken),
+last as (select documentid, max(sortorder) as top from fx_page group by all),
+made as (select h.target as documentid, h.new as id, coalesce(top, 0) + place as sortorder, h.id as copied_from, s.new as sourceid, case when spreadid is not null and c = 2 then l end as spread, case when spreadid is not null and c = 2 then spreadside end as half, pinside, pagetype, filler, h.sortorder as was from halved h left join sourced s on s.target = h.target and s.old = h.documentid * 100000 + h.sourceid left join last on last.documentid = h.target)"""
+_put("copied_pages", _DPO, "select documentid, id, sortorder, copied_from, sourceid, coalesce(spread, 0) as spreadid from made", _COPIES)
+_put("copied_rows", _DPO, f"""select new as id, target as documentid, old as copied_from, 'source' as kind from sourced union all
+select {_NEW(4 * 10**9, 'm.id', 'o.sortorder', 'o.id')}, m.id, o.id, 'overlay' from fx_overlay o join made m on m.copied_from = o.pageid union all
+select id, masterid, case id % 3 when 0 then 3 when 1 then 0 else 4 end, 'document' from fx_document where masterid is not null""", _COPIES)
+_put("copies_balanced", _DPO, "select * from settled", f"""{_COPIES}, every as (select p.documentid, id, sortorder, spreadid as spread, spreadside as half, pinside, pagetype, filler, sortorder as was from fx_page p where not staged and documentid in (select id from fx_document where masterid is not null) union all
+select documentid, id, sortorder, spread, half, pinside, pagetype, filler, was from made),
+lined as (select e.documentid, e.id, d.firstpageright, case when half in ('left', 'right') then half when pinside in ('left', 'right') then pinside end as required, e.filler and e.pagetype = 'canvas' and e.id not in (select pageid from fx_overlay union all select m.id from made m join fx_overlay o on o.pageid = m.copied_from) as unused, e.filler as isfiller, e.spread, case when was % 2 = 0 then 'left' when was % 3 = 0 then 'right' end as layoutside, {{'s': e.sortorder, 'i': e.id}} as ord from every e join fx_document d on d.id = e.documentid), {_SETTLED}""")
+_RESTORED = f"""nd as (select id as old, masterid, {_NEW(10**9, 'id')} as new from fx_document), np as (select id as old, documentid, sortorder, sourceid, spreadside, spreadid, {_NEW(3 * 10**9, 'id')} as new from fx_page where documentid in (select id from fx_document)),
+ns as (select old, documentid, {_NEW(2 * 10**9, 'old')} as new from (select distinct documentid, documentid * 100000 + sourceid as old from np) t)"""
+_put("restored_pages", _DPO, """select d.new as documentid, p.new as id, s.new as sourceid, coalesce(q.new, 0) as spreadid, case when q.new is null then '' else coalesce(p.spreadside, '') end as spreadside from np p join nd d on d.old = p.documentid join ns s on s.old = p.documentid * 100000 + p.sourceid
+left join np q on q.old = case when p.sortorder = 1 and p.documentid % 5 = 0 then 7 else p.spreadid end""", _RESTORED)
+_put("restored_sources", _DPO, "select s.new as id, d.new as documentid, string_agg(p.new || ':' || p.sortorder, ',' order by p.new) as flowmap from ns s join nd d on d.old = s.documentid join np p on p.documentid * 100000 + p.sourceid = s.old group by all", _RESTORED)
+_put("restored_rows", _DPO, f"""select new as id, case when masterid % 2 = 0 and masterid in (select id from fx_document) then masterid else 0 end as parent, 'document' as kind from nd union all
+select {_NEW(4 * 10**9, 'o.id')}, p.new, 'overlay' from fx_overlay o join np p on p.old = o.pageid""", _RESTORED)
+_put("deleted_rows", ("fx_document", "fx_page", "fx_overlay", "fx_source", "fx_job"), """select id, 'document' as kind from fx_document where not ismaster union all select id, 'source' from fx_source where id * 4 not in (select id from gone) union all select id, 'page' from fx_page where documentid not in (select id from gone)
+union all select id, 'overlay' from fx_overlay where pageid not in (select p.id from fx_page p join gone g on g.id = p.documentid) union all select id, 'job' from fx_job where documentid not in (select id from gone)""", "gone as (select id from fx_document where ismaster)")
+_put("without_pages", ("fx_page", "fx_overlay"), """select id, case when spreadid is null or torn then 0 else spreadid end as spreadid, 'page' as kind from (select *, count(*) filter (id % 7 = 0) over (partition by documentid, spreadid) > 0 as torn from fx_page) t where id % 7 <> 0 union all select id, 0, 'overlay' from fx_overlay where pageid not in (select id from fx_page where id % 7 = 0)""")
+_put("listed_jobs", ("fx_job",), "select id, status from fx_job where not (status in ('done', 'failed') and (id % 3 = 0 or ts < timestamp '2024-01-14 00:00:00'))")
+_put("copy_sources_of", ("fx_document",), "select distinct a.course % 7 as userid, a.id as documentid, m.id from fx_document a join fx_document c on c.course % 7 = a.course % 7 join fx_document m on m.course = c.course and m.ismaster and m.id <> a.id where a.id % 500 = 0")
+_put("printed_citations", ("fx_source",), """select id, case when showcitation and (u <> '' or a <> '') then 'Source: ' || concat_ws(', ', nullif(a, ''), nullif(t, ''), nullif(u, ''), case when u <> '' then 'accessed ' || strftime(make_timestamp(id * 86400000000), '%d.%m.%Y') end) else '' end as citation
+from (select *, case when url in ('', '0') then '' else coalesce(url, '') end as u, case when author in ('', '0') then '' else coalesce(author, '') end as a, case when title in ('', '0') then '' else coalesce(title, '') end as t from fx_source) s""")
+_put("shown_blocks", (), """select doc_id, b as block_index, kind from (select doc_id, 2 * (i - 1) as b, 'text' as kind from (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) t where trim(s) <> '') x where b % 8 <> 2 and not (doc_id % 4 = 0 and b = 0)
+union all select doc_id, b + 1, 'image' from (select doc_id, 2 * (i - 1) as b from (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) t where trim(s) <> '') y where b % 5 = 0 and (b + 1) % 3 = 0""")
+
+_HREFS = """found as (select page_id, url, i - 1 as pos, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || h as src, a as alt from (select page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^/"][^"]*)">([^<]*)</a>', 1)) as h, unnest(regexp_extract_all(html, '<a href="(/[^/"][^"]*)">([^<]*)</a>', 2)) as a, generate_subscripts(regexp_extract_all(html, '<a href="(/[^/"][^"]*)">([^<]*)</a>', 1), 1) as i from pages) t where regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) <> '')"""
+_put("images", (), "select page_id, pos::int as pos, src, alt from found", _HREFS)
+_put("harvested_images", (), """select page_id, pos::int as pos, src, alt, case when ok and n <= 4 then 'img' || (pos + 1) || case when length(src) % 2 = 0 then '.png' else '.jpeg' end end as filename, case when ok and n <= 4 then null when alt <> '' then '[' || alt || ']' else '' end as text
+from (select *, length(src) % 3 <> 0 as ok, sum(case when length(src) % 3 <> 0 then 1 else 0 end) over (partition by page_id order by pos rows between unbounded preceding and current row) as n from found) t""", _HREFS)
+_put("publish_settings", ("fx_document",), """select d.id, coalesce(case when c.ok then trim(c.r) end, d.pagerange) as pagerange, coalesce(case when c.ok then c.m end, d.ismaster) as ismaster, '' as message from fx_document d left join asked c on c.id = d.id
+union all select id, r, m, case when lost then 'unknown document' else 'not a page range' end from asked where not ok""", """given as (select id + case when id % 33 = 0 then 1000000000 else 0 end as id, id % 33 = 0 as lost, case id % 4 when 0 then '  2-3 ' when 1 then '3-1' when 2 then '' end as r, case when id % 2 = 0 then not ismaster end as m from fx_document where id % 3 = 0),
+asked as (select *, not lost and coalesce(r <> '3-1', true) as ok from given)""")
+_put("course_documents", ("fx_document",), "select id, course from fx_document where course in (select course from fx_document where id % 1000 = 3)")
+_put("cleaned_pages", ("fx_page",), """select documentid, id, case when half = 0 then 'whole' when half = 1 then 'left' else 'right' end as half, case half when 0 then width when 1 then width // 2 else width - width // 2 end::bigint as width, case when half = 0 then landscapelock or width > height else landscapelock end as landscapelock, case when half = 0 then coalesce(spreadid, 0) else id end as spreadid, half = 2 as new
+from (select *, id % 3 <> 0 and not landscapelock and spreadid is null as cut from fx_page where not staged) p, (values (0), (1), (2)) h(half) where case when cut then half > 0 else half = 0 end""")
+_put("column_boxes", (), f"""select c.page, c.column_no::bigint as column_no, round(greatest(0, (first - 2) / 64.0::double), 6) as x, round(greatest(0, (top - 4) / 64.0::double), 6) as y, round(least(1 - greatest(0, (first - 2) / 64.0::double), (last + 5 - first) / 64.0::double), 6) as w, round(least(1 - greatest(0, (top - 4) / 64.0::double), (bottom - top + 8) / 64.0::double), 6) as h
+from ({ORACLE['text_columns']}) c join (select vec_id as page, min(i) as top, max(i) as bottom from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) t where round(abs(v)::double, 6) > 0.2 group by vec_id) r on r.page = c.page""")
+_put("print_plan_1up", _PD, """select documentid, id, round(5 + (w - width * z) / 2, 4) as x, round(5 + (h - height * z) / 2, 4) as y, round(width * z, 4) as w, round(height * z, 4) as h from (select *, least(w / width, h / height) as z from (select *, case when width > height then 287.0::double else 200.0::double end as w, case when width > height then 196.0::double else 283.0::double end as h from published) a) b""", _RANGES)

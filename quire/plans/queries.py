@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import ranges as R
 from quire.functions import text as T
+from quire.operators import arrange as A
 from quire.operators import blocks as B
 from quire.operators import clips as C
+from quire.operators import copies as C2
 from quire.operators import flow as FL
 from quire.operators import impose as I
 from quire.operators import notes as N
@@ -308,9 +310,22 @@ def links_absolute(p):
     return B.links(p)
 
 
+def _with_images(p):
+    """Pages whose links to their own site are pictures."""
+    return p.withColumn("html", F.regexp_replace("html", r'<a href="(/[^/"][^"]*)">([^<]*)</a>', '<img src="" data-src="$1" alt="$2">'))
+
+
 @query("pages")
 def images(p):
-    return B.images(p)
+    return B.images(_with_images(p))
+
+
+@query("pages")
+def harvested_images(p):
+    """At most four pictures of each page; of three addresses one brings nothing."""
+    found = B.images(_with_images(p))
+    kind = F.when(F.length("src") % 3 != 0, F.when(F.length("src") % 2 == 0, "png").otherwise("jpeg")).otherwise("html")
+    return B.harvested(found, found.select("src", kind.alias("kind")).distinct(), most=4)
 
 
 @query("pages")
@@ -653,3 +668,170 @@ def stale_measures(s):
 @query("documents")
 def mean_luminance(d):
     return C.mean_luminance(_cells(d)).select("page", F.round("mean", 4).alias("mean"), "invert")
+
+
+# edits of page order with what follows from them
+def _sided(p):
+    return p.withColumn("layoutside", F.expr("CASE WHEN sortorder % 2 = 0 THEN 'left' WHEN sortorder % 3 = 0 THEN 'right' END"))
+
+
+def _shown(d):
+    return d.select("documentid", F.coalesce("id", F.lit(0)).alias("id"), "position", "filler", F.coalesce("spreadid", F.lit(0)).alias("spreadid"), "turned")
+
+
+@query("fx_page", "fx_document", "fx_overlay")
+def arranged(p, d, o):
+    return _shown(A.arranged(_sided(p), d, o))
+
+
+@query("fx_page", "fx_document", "fx_overlay")
+def adopted_pages(p, d, o):
+    """Staged pages but each fifth go behind a page, to the start or to the end."""
+    anchor = F.expr("CASE WHEN documentid % 4 = 0 THEN 0 WHEN documentid % 4 = 1 THEN documentid * 100 + 2 END")
+    return _shown(A.adopt(_sided(p), d, p.where("staged AND id % 5 <> 0").select("documentid", "id", anchor.alias("anchor")), o))
+
+
+@query("fx_page", "fx_document", "fx_overlay")
+def inserted_pages(p, d, o):
+    return _shown(A.insert(_sided(p), d, d.select(F.col("id").alias("documentid"), (F.col("id") * 100 + 1 + F.col("id") % 3).alias("id"), (F.col("id") % 2 == 0).alias("before")), o))
+
+
+@query("fx_page", "fx_document", "fx_overlay")
+def linked_pages(p, d, o):
+    return _shown(A.link(_sided(p), d, d.select(F.col("id").alias("documentid"), (F.col("id") * 100 + 1 + F.col("id") % 3).alias("id")), o))
+
+
+@query("fx_page", "fx_document", "fx_overlay")
+def turned_overlays(p, d, o):
+    return A.turned_overlays(o, A.arranged(_sided(p), d, o)).select("id", "pageid", "x")
+
+
+# whole copies
+FIRST = {"document": 10**9, "source": 2 * 10**9, "page": 3 * 10**9, "overlay": 4 * 10**9}
+
+
+def _whole(d, p, o):
+    """Tables whose sources belong to their documents, with flow maps that also name a page that isn't there."""
+    p = p.withColumn("sourceid", F.col("documentid") * 100_000 + F.col("sourceid"))
+    s = p.groupBy("documentid", F.col("sourceid").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("id", F.array(F.col("sortorder").cast("int")).alias("b")))).alias("flowmap"))
+    s = s.withColumn("flowmap", F.map_concat("flowmap", F.create_map(F.lit(7).cast("long"), F.array(F.lit(1)))))
+    return {"document": d, "source": s, "page": p, "overlay": o}
+
+
+def _copies(d, p, o):
+    commands = d.where("masterid IS NOT NULL").select(F.col("id").alias("target"), "masterid", F.expr("CASE id % 3 WHEN 0 THEN '2-3' WHEN 1 THEN '' ELSE '1,3-' END").alias("range"))
+    tables = _whole(d, p, o)
+    return tables, C2.copied(tables, commands, FIRST)
+
+
+@query("fx_document", "fx_page", "fx_overlay")
+def copied_pages(d, p, o):
+    made = _copies(d, p, o)[1]["page"]
+    return made.select("documentid", "id", F.col("sortorder").cast("long").alias("sortorder"), "copied_from", "sourceid", F.coalesce("spreadid", F.lit(0)).alias("spreadid"))
+
+
+@query("fx_document", "fx_page", "fx_overlay")
+def copied_rows(d, p, o):
+    made = _copies(d, p, o)[1]
+    rows = made["source"].select("id", "documentid", "copied_from", F.lit("source").alias("kind")).unionByName(made["overlay"].select("id", F.col("pageid").alias("documentid"), "copied_from", F.lit("overlay").alias("kind")))
+    return rows.unionByName(made["document"].select("id", F.col("masterid").alias("documentid"), F.length("masterrange").cast("long").alias("copied_from"), F.lit("document").alias("kind")))
+
+
+@query("fx_document", "fx_page", "fx_overlay")
+def copies_balanced(d, p, o):
+    return _shown(C2.with_copies(*_copies(d, _sided(p), o)))
+
+
+def _restored(d, p, o):
+    return C2.restored(C2.tables_of(C2.export_whole(*_whole(d, p, o).values())), FIRST, d.where("id % 2 = 0"))
+
+
+@query("fx_document", "fx_page", "fx_overlay")
+def restored_pages(d, p, o):
+    lost = F.when((F.col("sortorder") == 1) & (F.col("documentid") % 5 == 0), 7).otherwise(F.col("spreadid"))
+    return _restored(d, p.withColumn("spreadid", lost.cast("long")), o)["page"].select("documentid", "id", "sourceid", F.coalesce("spreadid", F.lit(0)).alias("spreadid"), F.coalesce("spreadside", F.lit("")).alias("spreadside"))
+
+
+@query("fx_document", "fx_page", "fx_overlay")
+def restored_sources(d, p, o):
+    entries = F.transform(F.array_sort(F.map_entries("flowmap")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"][0].cast("string")))
+    return _restored(d, p, o)["source"].select("id", "documentid", F.array_join(entries, ",").alias("flowmap"))
+
+
+@query("fx_document", "fx_page", "fx_overlay")
+def restored_rows(d, p, o):
+    made = _restored(d, p, o)
+    return made["document"].select("id", F.coalesce("masterid", F.lit(0)).alias("parent"), F.lit("document").alias("kind")).unionByName(made["overlay"].select("id", F.col("pageid").alias("parent"), F.lit("overlay").alias("kind")))
+
+
+@query("fx_document", "fx_page", "fx_overlay", "fx_source", "fx_job")
+def deleted_rows(d, p, o, s, j):
+    """What is left of all tables after masters went, jobs and sources included."""
+    s = s.select("id", (F.col("id") * 4).alias("documentid"))
+    left = C2.deleted({"document": d, "source": s, "page": p, "overlay": o, "job": j}, d.where("ismaster"))
+    return left["document"].select("id", F.lit("document").alias("kind")).unionByName(left["source"].select("id", F.lit("source").alias("kind"))).unionByName(left["page"].select("id", F.lit("page").alias("kind"))).unionByName(left["overlay"].select("id", F.lit("overlay").alias("kind"))).unionByName(left["job"].select("id", F.lit("job").alias("kind")))
+
+
+@query("fx_page", "fx_overlay")
+def without_pages(p, o):
+    left = C2.without_pages({"page": p, "overlay": o}, p.where("id % 7 = 0"))
+    return left["page"].select("id", F.coalesce("spreadid", F.lit(0)).alias("spreadid"), F.lit("page").alias("kind")).unionByName(left["overlay"].select("id", F.lit(0).cast("long").alias("spreadid"), F.lit("overlay").alias("kind")))
+
+
+# jobs and citations
+@query("fx_job")
+def listed_jobs(j):
+    return P.listed_jobs(j, j.where("id % 3 = 0"), now()).select("id", "status")
+
+
+@query("fx_document", "fx_page")
+def copy_sources_of(d, p):
+    """Masters that a user (of a course) may copy from into a document of theirs."""
+    grants = d.select((F.col("course") % 7).alias("userid"), "course").distinct()
+    return P.copy_sources(d, grants, d.where("id % 500 = 0").select((F.col("course") % 7).alias("userid"), F.col("id").alias("documentid")))
+
+
+@query("fx_source")
+def printed_citations(s):
+    accessed = F.timestamp_seconds(F.col("id") * 86400)
+    return s.select("id", P.printed_citation(accessed=accessed).alias("citation"))
+
+
+@query("documents")
+def shown_blocks(d):
+    b = pictured(d).withColumn("filename", F.when(F.col("block_index") % 3 == 0, "a.png"))
+    kept = TS.shown_blocks(b, b.where("kind = 'text' AND block_index % 8 = 2").select("doc_id", "block_index"), b.where("doc_id % 4 = 0 AND block_index = 0").select("doc_id", "block_index"))
+    return kept.select("doc_id", F.col("block_index").cast("long").alias("block_index"), "kind")
+
+
+# publishing settings, cleanup, columns
+@query("fx_document")
+def publish_settings(d):
+    asked = F.expr("CASE id % 4 WHEN 0 THEN '  2-3 ' WHEN 1 THEN '3-1' WHEN 2 THEN '' END")
+    changes = d.where("id % 3 = 0").select((F.col("id") + F.when(F.col("id") % 33 == 0, 10**9).otherwise(0)).alias("id"), asked.alias("pagerange"), F.expr("CASE WHEN id % 2 = 0 THEN NOT ismaster END").alias("ismaster"))
+    docs, rejected = PU.publish_settings(d, changes, now())
+    return docs.select("id", "pagerange", "ismaster", F.lit("").alias("message")).unionByName(rejected.select("id", "pagerange", "ismaster", "message"))
+
+
+@query("fx_document")
+def course_documents(d):
+    return PU.course_documents(d, d.where("id % 1000 = 3").select("course")).select("id", "course")
+
+
+@query("fx_page")
+def cleaned_pages(p):
+    g = p.where("id % 3 <> 0").select("id", (F.col("width") * 0.5).cast("long").alias("x"))
+    return RA.cleaned_pages(p.where("NOT staged"), g).select("documentid", "id", "half", "width", "landscapelock", F.coalesce("spreadid", F.lit(0)).alias("spreadid"), "new")
+
+
+@query("embeddings")
+def column_boxes(e):
+    profile = _profiles(e)
+    columns = RA.text_columns(profile, 0.08).withColumn("width", F.lit(64))
+    boxes = RA.column_boxes(columns, profile.select("page", F.col("x").alias("y"), F.when(F.col("ink") > 0.2, F.col("ink")).otherwise(0.0).alias("ink")))
+    return boxes.select("page", F.col("column_no").cast("long").alias("column_no"), *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+@query("fx_page", "fx_document")
+def print_plan_1up(p, d):
+    return I.print_plan(p, d, "1up").select("documentid", "id", *"xywh")

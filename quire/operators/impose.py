@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions.geometry import PAGE_H, PAGE_W, SLOTS, fit_page, side
 from quire.functions.ranges import in_range
 from quire.operators.order import reading_order
+from quire.operators.overlay import FRAMES
+from quire.operators.provenance import printed_citation
 
 PER_SIDE = {"1up": 1, "2up": 2, "4up": 4, "booklet": 2}
 
@@ -75,3 +77,38 @@ def print_plan(pages: DataFrame, documents: DataFrame, layout: str = "booklet",
     box = fit_page(place, F.col("width"), F.col("height"))
     d = printed.withColumns({"side_no": at, "slot_no": slot, "box": box})
     return d.select("documentid", "side_no", "slot_no", "id", "pagenumber", *[F.round(F.col("box")[k], 4).alias(k) for k in "xywh"])
+
+
+DRAWN = (*FRAMES, "mask", "textbox")
+
+
+def print_items(pages: DataFrame, documents: DataFrame, overlays: DataFrame, sources: DataFrame, layout: str = "booklet", expr: str = "", solutions: bool = False) -> DataFrame:
+    """(documentid, side_no, slot_no, pageid, z, kind, overlayid, x, y, w, h, text): everything that is drawn on the sheets, in mm, z from below.
+
+    For each printed page: the page (its citation takes 4 mm below it, if it has one), its frames, then its masks (not with
+    ``solutions``) and text boxes in their order, and the citation with its text. Pages without a size count as upright.
+    """
+    printed = print_selection(published_pages(pages, documents), expr)
+    starts = F.first(side(F.col("pagenumber"), F.col("firstpageright")) == "right").over(_in_document("position"))
+    printed = printed.withColumns({"__s": starts, "__c": F.count("*").over(Window.partitionBy("documentid"))})
+    at, slot = slot_of(layout, F.col("position"), F.col("__c"), F.col("__s"))
+    place = slot_boxes(layout)[slot.cast("int")]
+    if layout == "1up":
+        across = F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("xywh", (0, 0, PAGE_H, PAGE_W))])
+        place = F.when(F.col("width") > F.col("height"), across).otherwise(place)
+    cited = sources.select(F.col("id").alias("sourceid"), printed_citation().alias("__text"))
+    d = printed.withColumns({"side_no": at, "slot_no": slot, "__p": place}).join(cited, "sourceid", "left").withColumn("__text", F.coalesce("__text", F.lit("")))
+    sized = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+    width, height = F.when(sized, F.col("width")).otherwise(PAGE_W), F.when(sized, F.col("height")).otherwise(PAGE_H)
+    box = F.when(F.col("__text") == "", fit_page(F.col("__p"), width, height, footer=0.0)).otherwise(fit_page(F.col("__p"), width, height))
+    d = d.withColumn("__b", box).select("documentid", "side_no", "slot_no", F.col("id").alias("pageid"), "__p", "__b", "__text")
+    here = ("documentid", "side_no", "slot_no", "pageid")
+    row = lambda z, kind, overlay, x, y, w, h, text: [z.alias("z"), kind.alias("kind"), overlay.alias("overlayid"), *[c.cast("double").alias(k) for c, k in ((x, "x"), (y, "y"), (w, "w"), (h, "h"))], text.alias("text")]
+    b, p, none = F.col("__b"), F.col("__p"), F.lit(None)
+    page = d.select(*here, *row(F.lit(0), F.lit("page"), none.cast("long"), b["x"], b["y"], b["w"], b["h"], none.cast("string")))
+    note = d.where("__text <> ''").select(*here, *row(F.lit(1 << 30), F.lit("citation"), none.cast("long"), p["x"] + 5, p["y"] + p["h"] - 9, p["w"] - 10, F.lit(4.0), F.col("__text")))
+    shown = overlays.where(F.col("overlaytype").isin(*DRAWN) & (~F.lit(solutions) | (F.col("overlaytype") != "mask")))
+    order = Window.partitionBy("pageid").orderBy((~F.col("overlaytype").isin(*FRAMES)).cast("int"), "sortorder", "id")
+    shown = shown.withColumn("__z", F.row_number().over(order)).select("pageid", F.col("id").alias("__o"), F.col("overlaytype").alias("__kind"), "__z", *[F.col(c).cast("double").alias(f"__{c}") for c in "xywh"])
+    over = d.join(shown, "pageid").select(*here, *row(F.col("__z"), F.col("__kind"), F.col("__o"), b["x"] + F.col("__x") * b["w"], b["y"] + F.col("__y") * b["h"], F.col("__w") * b["w"], F.col("__h") * b["h"], none.cast("string")))
+    return page.unionByName(over).unionByName(note)

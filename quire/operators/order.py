@@ -18,6 +18,12 @@ def reading_order(pages: DataFrame, staged: bool = False) -> DataFrame:
     return pages.where(F.col("staged") == staged).withColumn("position", F.row_number().over(by()).cast("long"))
 
 
+def import_area(pages: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Pages of the import area in order, with ``position`` in their document's area; only those of sources (id) if given, numbered among these."""
+    d = pages if sources is None else pages.join(sources.select(F.col("id").alias("sourceid")).distinct(), "sourceid", "left_semi").select(*pages.columns)
+    return reading_order(d, True)
+
+
 def kept_pages(pages: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
     """Pages that stay when blanks are dealt anew: all but unused canvas fillers."""
     unused = F.col("filler") & (F.col("pagetype") == "canvas")

@@ -85,6 +85,11 @@ def page_facts(pages: DataFrame, overlays: DataFrame) -> DataFrame:
     return d.select("id", "documentid", F.coalesce("frames", F.lit(0)).alias("frames"), F.col("n").isNull().alias("blank"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
 
 
+def documents_with_text(pages: DataFrame, overlays: DataFrame) -> DataFrame:
+    """(documentid, has_text): whether any page of a document has a text view."""
+    return page_facts(pages, overlays).groupBy("documentid").agg(F.bool_or("has_text").alias("has_text"))
+
+
 def column_numbers(overlays: DataFrame) -> DataFrame:
     """(pageid, id, column_no) of zoom regions."""
     w = Window.partitionBy("pageid").orderBy("sortorder", "id")

@@ -32,6 +32,19 @@ def layout_pages(lines: DataFrame) -> DataFrame:
     return every.select("documentid", (F.coalesce("segment", F.lit(0)) + 1).alias("page_no"), F.coalesce("content", F.lit("")).alias("content"))
 
 
+def updated_layout(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(documentid, id, part, content, position) of a document's pages after layout pages got new source: lines (pageid, line_no, line).
+
+    A page keeps the first part of its source, further parts are new pages (id null, part from 2) behind it. Pages without lines
+    stay as they are (part 1, content as it was); position counts the document's pages that aren't staged.
+    """
+    parts = layout_pages(lines.withColumnRenamed("pageid", "documentid")).select(F.col("documentid").alias("id"), F.col("page_no").alias("part"), F.col("content").alias("__new"))
+    d = pages.where("NOT staged").join(parts, "id", "left").withColumn("part", F.coalesce("part", F.lit(1)).cast("long"))
+    w = Window.partitionBy("documentid").orderBy("sortorder", "id", "part")
+    d = d.withColumn("position", F.row_number().over(w).cast("long")).withColumn("content", F.coalesce("__new", "content"))
+    return d.select("documentid", F.when(F.col("part") == 1, F.col("id")).alias("id"), "part", "content", "position")
+
+
 def image_texts(refs: DataFrame, media: DataFrame) -> DataFrame:
     """refs (id, src, alt, caption) with ``found`` and ``fallback``: missing pictures become [alt or caption], or nothing."""
     m = media.select("src").distinct().withColumn("__m", F.lit(True))

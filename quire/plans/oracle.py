@@ -273,3 +273,27 @@ from (select *, id % 3 <> 0 and not landscapelock and spreadid is null as cut fr
 _put("column_boxes", (), f"""select c.page, c.column_no::bigint as column_no, round(greatest(0, (first - 2) / 64.0::double), 6) as x, round(greatest(0, (top - 4) / 64.0::double), 6) as y, round(least(1 - greatest(0, (first - 2) / 64.0::double), (last + 5 - first) / 64.0::double), 6) as w, round(least(1 - greatest(0, (top - 4) / 64.0::double), (bottom - top + 8) / 64.0::double), 6) as h
 from ({ORACLE['text_columns']}) c join (select vec_id as page, min(i) as top, max(i) as bottom from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) t where round(abs(v)::double, 6) > 0.2 group by vec_id) r on r.page = c.page""")
 _put("print_plan_1up", _PD, """select documentid, id, round(5 + (w - width * z) / 2, 4) as x, round(5 + (h - height * z) / 2, 4) as y, round(width * z, 4) as w, round(height * z, 4) as h from (select *, least(w / width, h / height) as z from (select *, case when width > height then 287.0::double else 200.0::double end as w, case when width > height then 196.0::double else 283.0::double end as h from published) a) b""", _RANGES)
+
+_put("print_items", (*_PD, "fx_overlay", "fx_source"), """select documentid, side_no, pageid, 0 as z, 'page' as kind, 0 as overlayid, round(bx, 4) as x, round(by_, 4) as y, round(bw, 4) as w, round(bh, 4) as h, '' as text from boxed union all
+select documentid, side_no, b.pageid, o.z, o.overlaytype, o.id, round(bx + o.x::double * bw, 4), round(by_ + o.y::double * bh, 4), round(o.w::double * bw, 4), round(o.h::double * bh, 4), '' from boxed b join (select *, row_number() over (partition by pageid order by case when overlaytype in ('textframe', 'imageframe') then 0 else 1 end, sortorder, id) as z from fx_overlay where overlaytype in ('textframe', 'imageframe', 'mask', 'textbox')) o on o.pageid = b.pageid union all
+select documentid, side_no, pageid, 1073741824, 'citation', 0, 5, round(sh - 9, 4), round(sw - 10, 4), 4, text from boxed where text <> ''""",
+_RANGES + """, cited as (select id as sourceid, case when showcitation and (u <> '' or a <> '') then 'Source: ' || concat_ws(', ', nullif(a, ''), nullif(t, ''), nullif(u, '')) else '' end as text from (select *, case when url in ('', '0') then '' else coalesce(url, '') end as u, case when author in ('', '0') then '' else coalesce(author, '') end as a, case when title in ('', '0') then '' else coalesce(title, '') end as t from fx_source) s),
+sheets as (select u.documentid, u.position - 1 as side_no, u.id as pageid, u.width, u.height, case when u.width > u.height then 297.0::double else 210.0::double end as sw, case when u.width > u.height then 210.0::double else 297.0::double end as sh, coalesce(c.text, '') as text from published u join fx_page p on p.id = u.id left join cited c on c.sourceid = p.sourceid),
+scaled as (select *, sh - 10 - case when text = '' then 0 else 4 end as ah, least((sw - 10) / width, (sh - 10 - case when text = '' then 0 else 4 end) / height) as k from sheets),
+boxed as (select *, 5 + (sw - 10 - width * k) / 2 as bx, 5 + (ah - height * k) / 2 as by_, width * k as bw, height * k as bh from scaled)""")
+_put("documents_with_text", ("fx_page", "fx_overlay"), "select p.documentid, coalesce(bool_or(o.overlaytype in ('reflow', 'textframe')), false) as has_text from fx_page p left join fx_overlay o on o.pageid = p.id group by p.documentid")
+_put("import_area", ("fx_page", "fx_source"), "select documentid, id, row_number() over (partition by documentid order by sortorder, id) as position from fx_page where staged and sourceid in (select id from fx_source where id % 20 = 0)")
+_put("pins_and_unlinks", ("fx_page",), """select id, coalesce(s, 0) as spreadid, coalesce(case when id % 4 = 0 and s is null then case when id % 3 = 0 then 'right' end when id % 4 = 0 then null else pinside end, '') as pinside from (select *, case when spreadid in (select spreadid from fx_page where documentid % 6 = 0 and spreadid is not null) then null else spreadid end as s from fx_page) t""")
+_put("adopted_blocks", ("fx_page",), """select distinct sourceid, b::bigint as block_index from m where id % 3 = 0 and (sourceid, b) not in (select (sourceid, b) from m where id % 3 = 1)""", "m as (select sourceid, id, unnest([sortorder, sortorder + 1]) as b from fx_page)")
+_put("clean_measures", (), """select l_linenumber::bigint as k, count(*) as n, round(sum(greatest(0, least(10, l_quantity / 4 - 1))), 4) as h, round(sum(greatest(0.001, least(10, l_tax - 0.04))), 4) as lh, sum(least(5000, l_quantity::int * 200))::bigint as lines from lineitem where l_orderkey % 50 = 0 and l_quantity > 5 group by l_linenumber""")
+_put("cleanup_options", ("fx_source",), """select id, array_to_string(list_filter([case when id % 5 <> 0 then 'split' end, case when id % 2 = 0 then 'chop' end, case when id % 3 = 0 and id % 5 <> 0 then 'deskew' end, 'shadow'], lambda x: x is not null), ',') as options from fx_source""")
+_put("paper_means", (), """select box, round(avg(lum), 6) as lum from (select *, row_number() over (partition by box order by lum desc, no) as r, count(*) over (partition by box) as n from (select vec_id as box, generate_subscripts(embedding, 1) - 1 as no, floor(abs(unnest(embedding)::double) * 500) as lum from embeddings) t) u where r <= greatest(1, n // 2) group by box""")
+_put("luminances", (), "select p_partkey, ((299 * (p_partkey % 256) + 587 * (p_size * 5 % 256) + 114 * (p_partkey * 7 % 256)) // 1000)::int as lum from part")
+_put("changed_sources", ("fx_source",), "select id, case when id % 4 = 0 then 'New' else title end as title, case when id % 6 = 0 then '' else author end as author, filename from fx_source")
+_put("recorded_sources", ("fx_source",), "select id % 9 as documentid, sourcetype, substr(trim(repeat(' ' || title, 90)), 1, 1333) as title, substr(trim(coalesce(url, '')), 1, 1333) as url, substr(trim(repeat(author, 20)), 1, 255) as author, substr(trim(filename), 1, 255) as filename from fx_source")
+_put("passage_kinds", (), "select p_partkey, case p_partkey % 10 when 1 then 'heading' when 2 then 'heading' when 4 then 'list' when 5 then 'list' when 6 then 'table' when 7 then 'image' when 8 then 'image' else 'text' end as kind from part")
+_put("clip_rects", ("fx_overlay", "fx_page"), "select o.id, round(x * width)::int as px, round(y * height)::int as py, greatest(1, round(w * width))::int as width, greatest(1, round(h * height))::int as height from fx_overlay o join fx_page p on p.id = o.pageid")
+_put("fitted_images", (), """select p_partkey, round(case when c then (iw - 0.5 / g) / 2 else (0.5 - iw * s) / 2 end, 6) as x, round(case when c then (ih - 0.25 / g) / 2 else (0.25 - ih * s) / 2 end, 6) as y, round(case when c then 0.5 / g else iw * s end, 6) as w, round(case when c then 0.25 / g else ih * s end, 6) as h
+from (select *, least(0.5::double / iw, 0.25::double / ih) as s, greatest(0.5::double / iw, 0.25::double / ih) as g from (select p_partkey, p_partkey % 2 = 0 as c, p_size::double as iw, (p_partkey % 40 + 1)::double as ih from part) t) u""")
+_put("overset_frames", ("fx_overlay",), "select id, round(id % 17 / 100.0::double - h::double, 6) as missing from fx_overlay where overlaytype = 'textframe' and id % 17 / 100.0::double > h::double")
+_put("appended_overlays", ("fx_overlay",), "select n.id, n.pageid, (coalesce(t.top, 0) + row_number() over (partition by n.pageid order by n.id))::bigint as sortorder from fx_overlay n left join (select pageid, max(sortorder) as top from fx_overlay where id % 5 <> 0 group by pageid) t on t.pageid = n.pageid where n.id % 5 = 0")

@@ -835,3 +835,114 @@ def column_boxes(e):
 @query("fx_page", "fx_document")
 def print_plan_1up(p, d):
     return I.print_plan(p, d, "1up").select("documentid", "id", *"xywh")
+
+
+@query("fx_page", "fx_document", "fx_overlay", "fx_source")
+def print_items(p, d, o, s):
+    items = I.print_items(p, d, o, s, "1up")
+    return items.select("documentid", "side_no", "pageid", F.col("z").cast("long").alias("z"), "kind", F.coalesce("overlayid", F.lit(0)).alias("overlayid"), *[F.round(c, 4).alias(c) for c in "xywh"], F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("fx_page", "fx_line")
+def updated_layout(p, x):
+    pages = p.withColumn("content", F.concat(F.lit("p"), F.col("id").cast("string")))
+    ids = p.where("sortorder = 1 AND NOT staged AND documentid <= 300").select(F.col("documentid"), "id")
+    lines = x.join(ids, "documentid").select(F.col("id").alias("pageid"), "line_no", "line")
+    return PU.updated_layout(pages, lines).select("documentid", F.coalesce("id", F.lit(0)).alias("id"), "part", "content", "position")
+
+
+@query("fx_page", "fx_overlay")
+def documents_with_text(p, o):
+    return V.documents_with_text(p, o)
+
+
+@query("fx_page", "fx_source")
+def import_area(p, s):
+    return O.import_area(p, s.where("id % 20 = 0").select("id")).select("documentid", "id", "position")
+
+
+@query("fx_page")
+def pins_and_unlinks(p):
+    """Spreads of each sixth document are dissolved, then pins are set: right, none, or a side that doesn't exist."""
+    free = O.unlink(p, p.where("documentid % 6 = 0 AND spreadid IS NOT NULL").select("spreadid"))
+    pins = p.where("id % 4 = 0").select("id", F.expr("CASE id % 3 WHEN 0 THEN 'right' WHEN 1 THEN 'up' END").alias("pin"))
+    return O.set_pins(free, pins).select("id", F.coalesce("spreadid", F.lit(0)).alias("spreadid"), F.coalesce("pinside", F.lit("")).alias("pinside"))
+
+
+@query("fx_page")
+def adopted_blocks(p):
+    """Passages on pages that are taken over and on none that stays in the import area."""
+    flowmap = p.select("sourceid", F.col("id").alias("pageid"), F.explode(F.array(F.col("sortorder"), F.col("sortorder") + 1)).alias("block_index"))
+    found = FL.adopted_blocks(flowmap, p.where("id % 3 = 0").select("id"), p.where("id % 3 = 1").select("id"))
+    return found.select("sourceid", F.col("block_index").cast("long").alias("block_index"))
+
+
+@query("lineitem")
+def clean_measures(x):
+    m = x.select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 5, F.col("l_quantity") / 4 - 1).alias("h"), (F.col("l_tax") - 0.04).alias("lh"), F.sequence(F.lit(1), (F.col("l_quantity") * 200).cast("int")).alias("lines"))
+    return FL.clean_measures(m.where("l_orderkey % 50 = 0")).groupBy(F.col("l_linenumber").cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("h"), 4).alias("h"), F.round(F.sum("lh"), 4).alias("lh"), F.sum(F.size("lines")).alias("lines"))
+
+
+@query("fx_source")
+def cleanup_options(s):
+    from quire.sources.scan import cleanup_options as options
+
+    asked = F.expr("filter(array('split', CASE WHEN id % 2 = 0 THEN 'chop' END, CASE WHEN id % 3 = 0 THEN 'deskew' END, 'paint', 'shadow'), x -> x IS NOT NULL)")
+    return s.select("id", F.array_join(options(asked, F.when(F.col("id") % 5 == 0, "cbz").otherwise(F.col("sourcetype"))), ",").alias("options"))
+
+
+@query("embeddings")
+def paper_means(e):
+    samples = e.select(F.col("vec_id").alias("box"), F.posexplode("embedding").alias("no", "v")).select("box", "no", F.floor(F.abs(F.col("v").cast("double")) * 500).alias("lum"))
+    return RA.paper_mean(samples).select("box", F.round("lum", 6).alias("lum"))
+
+
+@query("part")
+def luminances(p):
+    return p.select("p_partkey", RA.luminance(F.col("p_partkey") % 256, F.col("p_size") * 5 % 256, F.col("p_partkey") * 7 % 256).alias("lum"))
+
+
+@query("fx_source")
+def changed_sources(s):
+    changes = s.where("id % 2 = 0").select("id", F.expr("CASE WHEN id % 4 = 0 THEN 'New' END").alias("title"), F.expr("CASE WHEN id % 6 = 0 THEN '' END").alias("author"))
+    return P.changed(s, changes).select("id", "title", "author", "filename")
+
+
+@query("fx_source")
+def recorded_sources(s):
+    from quire.sources.catalog import record_sources
+
+    long = s.select((F.col("id") % 9).alias("documentid"), "sourcetype", F.repeat(F.concat(F.lit(" "), "title"), 90).alias("title"), "url", F.repeat("author", 20).alias("author"), F.concat(F.lit("  "), "filename", F.lit(" ")).alias("filename"))
+    return record_sources(long)
+
+
+@query("part")
+def passage_kinds(p):
+    tag = F.element_at(F.lit(["p", "h1", "h6", "h7", "ul", "ol", "table", "img", "image", "pre"]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return p.select("p_partkey", T.passage_kind(tag).alias("kind"))
+
+
+@query("fx_overlay", "fx_page")
+def clip_rects(o, p):
+    box = G.clip_rect(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
+    return o.join(p.select(F.col("id").alias("pageid"), "width", "height"), "pageid").select("id", box["left"].alias("px"), box["top"].alias("py"), box["width"].alias("width"), box["height"].alias("height"))
+
+
+@query("part")
+def fitted_images(p):
+    box = G.fit_image(F.lit(0.5), F.lit(0.25), F.col("p_size") * 1.0, F.col("p_partkey") % 40 + 1.0, F.col("p_partkey") % 2 == 0)
+    return p.select("p_partkey", *[F.round(box[c], 6).alias(c) for c in "xywh"])
+
+
+@query("fx_overlay")
+def overset_frames(o):
+    frames = o.where("overlaytype = 'textframe'").select("id", F.col("h").cast("double").alias("h"), (F.col("id") % 17 / 100.0).alias("needed"))
+    return V.overset(frames).select("id", F.round("missing", 6).alias("missing"))
+
+
+@query("fx_overlay")
+def appended_overlays(o):
+    from quire.sources.catalog import appended
+
+    new = o.where("id % 5 = 0").select("id", F.col("pageid").alias("pageid"))
+    return appended(new, o.where("id % 5 <> 0"), "pageid").select("id", "pageid", F.col("sortorder").cast("long").alias("sortorder"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,18 @@ def write_pages(rows: DataFrame, folder: str, mode: str = "append") -> None:
     with_defaults(rows, "page").repartition("documentid").sortWithinPartitions("documentid", "sortorder", "id").write.mode(mode).parquet(folder)
 
 
+def write_overlays(rows: DataFrame, folder: str, mode: str = "append") -> None:
+    """Overlays with the table's schema and defaults, together by page."""
+    with_defaults(rows, "overlay").repartition("pageid").sortWithinPartitions("pageid", "sortorder", "id").write.mode(mode).parquet(folder)
+
+
+def appended(rows: DataFrame, there: DataFrame, parent: str) -> DataFrame:
+    """rows (parent, ...) with ``sortorder`` counted on from the last one of their parent among those that are there, in the order of ids."""
+    last = there.groupBy(parent).agg(F.max("sortorder").alias("__last"))
+    place = F.row_number().over(Window.partitionBy(parent).orderBy("id"))
+    return rows.withColumn("sortorder", place).join(last, parent, "left").withColumn("sortorder", (F.coalesce("__last", F.lit(0)) + F.col("sortorder")).cast("int")).drop("__last")
+
+
 def record_sources(files: DataFrame) -> DataFrame:
     """files (documentid, sourcetype, title, url, author, filename) as trimmed source rows, title and author cut to their widths."""
     cut = lambda c, n: F.substring(F.trim(F.coalesce(F.col(c), F.lit(""))), 1, n).alias(c)

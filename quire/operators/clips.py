@@ -95,9 +95,14 @@ def stale_measures(measures: DataFrame, now: DataFrame) -> DataFrame:
     return key(measures).join(key(now), ["sourceid", "__k"], "left_anti").select("sourceid").distinct()
 
 
-def mean_luminance(pixels: DataFrame, key: str = "page") -> DataFrame:
-    """(key, mean, invert): mean of pixels (key, x, y, lum) on a grid of about 150 points a side; dark pages are printed inverted."""
-    w = Window.partitionBy(key)
-    step = F.greatest(F.lit(1), F.floor(F.greatest(F.max("x").over(w), F.max("y").over(w)) + 1) / 150).cast("long")
-    d = pixels.withColumn("__s", step).where("x % __s = 0 AND y % __s = 0")
+def mean_luminance(pixels: DataFrame, sizes: DataFrame | None = None, key: str = "page") -> DataFrame:
+    """(key, mean, invert): mean of pixels (key, x, y, lum) on a grid of about 150 points a side; dark pages are printed inverted.
+
+    sizes (key, width, height) gives the step before any pixel is shuffled; without it each page's largest x and y are
+    found first, by a pre-aggregated pass.
+    """
+    if sizes is None:
+        sizes = pixels.groupBy(key).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    step = sizes.select(key, F.greatest(F.lit(1), F.floor(F.greatest("width", "height") / 150)).cast("long").alias("__s"))
+    d = pixels.join(step, key).where("x % __s = 0 AND y % __s = 0")
     return d.groupBy(key).agg(F.avg("lum").alias("mean")).withColumn("invert", F.col("mean") < 100)

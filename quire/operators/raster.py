@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,14 +92,27 @@ def border_box(profile: DataFrame, at: str = "x", dark: float = 0.6) -> DataFram
 def skew(points: DataFrame, least: int = 50) -> DataFrame:
     """(page, angle): of -5 to 5 degrees by quarters the angle whose line bins are fullest; the smallest of equals, 0 with few points.
 
-    points (page, x, y) are dark pixels, sampled by the caller; each is binned under 41 angles.
+    points (page, x, y) are dark pixels, sampled by the caller to a bounded number for each page; a page's points meet
+    in one row, whose bins are counted under 41 angles.
     """
-    angles = F.array(*[F.lit(i / 4) for i in range(-20, 21)])
-    rad = F.radians("angle")
-    bins = points.select("page", "x", "y", F.explode(angles).alias("angle")).select("page", "angle", F.round(F.col("y") * F.cos(rad) - F.col("x") * F.sin(rad)).cast("long").alias("bin"))
-    score = bins.groupBy("page", "angle", "bin").count().groupBy("page", "angle").agg(F.sum(F.col("count") * F.col("count")).alias("s"), F.sum("count").alias("n"))
-    best = score.groupBy("page").agg(F.max_by("angle", F.struct("s", -F.col("angle"))).alias("angle"), F.max("n").alias("n"))
-    return best.select("page", F.when(F.col("n") < least, 0.0).otherwise(F.col("angle")).alias("angle"))
+    angles = np.arange(-20, 21) / 4
+    rad = np.radians(angles)
+
+    @F.pandas_udf("double")
+    def fullest(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            if len(x) < least:
+                out.append(0.0)
+                continue
+            v = np.asarray(y, float)[None] * np.cos(rad)[:, None] - np.asarray(x, float)[None] * np.sin(rad)[:, None]
+            bins = (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)  # halves go away from zero
+            scores = [int((np.unique(b, return_counts=True)[1].astype(np.int64) ** 2).sum()) for b in bins]
+            out.append(float(angles[int(np.argmax(scores))]))
+        return pd.Series(out, dtype=float)
+
+    per = points.groupBy("page").agg(F.collect_list("x").alias("__x"), F.collect_list("y").alias("__y"))
+    return per.select("page", fullest("__x", "__y").alias("angle"))
 
 
 def tile_background(pixels: DataFrame, size: int = 48) -> DataFrame:
@@ -108,18 +123,23 @@ def tile_background(pixels: DataFrame, size: int = 48) -> DataFrame:
 
 
 def without_shadow(pixels: DataFrame, background: DataFrame, size: int = 48) -> DataFrame:
-    """pixels with lum * 255 / background, the background being bilinear between tile centres, at most 255."""
+    """pixels with lum * 255 / background, the background being bilinear between tile centres, at most 255.
+
+    The four tiles around a place are put side by side on the grid of tiles, which has size * size times fewer rows, so
+    that each pixel is joined once.
+    """
+    ends = Window.partitionBy("page")
+    tiles = background.select("page", "tx", "ty", "bg", F.max("tx").over(ends).alias("mx"), F.max("ty").over(ends).alias("my"))
+    # a tile is corner i of the cells to its right (0) and left (1); at the edges it stands for the tile outside as well
+    cells = lambda t, m: F.array_compact(F.array(F.struct(F.lit(0).alias("c"), F.col(t).alias("q")), F.struct(F.lit(1).alias("c"), (F.col(t) - 1).alias("q")), F.when(F.col(t) == 0, F.struct(F.lit(0).alias("c"), F.lit(-1).cast("long").alias("q"))), F.when(F.col(t) == F.col(m), F.struct(F.lit(1).alias("c"), F.col(t).alias("q")))))
+    d = tiles.withColumn("a", F.explode(cells("tx", "mx"))).withColumn("b", F.explode(cells("ty", "my")))
+    corner = lambda i, j: F.max(F.when((F.col("a.c") == i) & (F.col("b.c") == j), F.col("bg"))).alias(f"__b{i}{j}")
+    quads = d.groupBy("page", F.col("a.q").alias("__x"), F.col("b.q").alias("__y")).agg(*[corner(i, j) for i in (0, 1) for j in (0, 1)])
     fx, fy = F.col("x") / size - 0.5, F.col("y") / size - 0.5
-    d = pixels.withColumns({"__x": F.floor(fx), "__y": F.floor(fy), "__u": fx - F.floor(fx), "__v": fy - F.floor(fy)})
-    lim = background.groupBy("page").agg(F.max("tx").alias("__mx"), F.max("ty").alias("__my"))
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    d = d.join(lim, "page").select("*", corner.alias("k"))
-    tx = F.greatest(F.lit(0), F.least(F.col("__mx"), F.col("__x") + F.col("k.i")))
-    ty = F.greatest(F.lit(0), F.least(F.col("__my"), F.col("__y") + F.col("k.j")))
-    weight = F.when(F.col("k.i") == 1, F.col("__u")).otherwise(1 - F.col("__u")) * F.when(F.col("k.j") == 1, F.col("__v")).otherwise(1 - F.col("__v"))
-    d = d.withColumns({"tx": tx, "ty": ty, "__w": weight}).join(background, ["page", "tx", "ty"])
-    mixed = d.groupBy("page", "x", "y", "lum").agg(F.sum(F.col("bg") * F.col("__w")).alias("bg"))
-    return mixed.select("page", "x", "y", F.least(F.lit(255), F.floor(F.col("lum") * 255 / F.col("bg"))).cast("int").alias("lum"))
+    p = pixels.select("page", "x", "y", "lum", F.floor(fx).alias("__x"), F.floor(fy).alias("__y")).join(quads, ["page", "__x", "__y"])
+    u, v = fx - F.col("__x"), fy - F.col("__y")
+    bg = (F.col("__b00") * (1 - u) + F.col("__b10") * u) * (1 - v) + (F.col("__b01") * (1 - u) + F.col("__b11") * u) * v
+    return p.select("page", "x", "y", F.least(F.lit(255), F.floor(F.col("lum") * 255 / bg)).cast("int").alias("lum"))
 
 
 def covered_pixels(pixels: DataFrame, masks: DataFrame, size: int = 64) -> DataFrame:

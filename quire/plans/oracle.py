@@ -297,3 +297,6 @@ _put("fitted_images", (), """select p_partkey, round(case when c then (iw - 0.5
 from (select *, least(0.5::double / iw, 0.25::double / ih) as s, greatest(0.5::double / iw, 0.25::double / ih) as g from (select p_partkey, p_partkey % 2 = 0 as c, p_size::double as iw, (p_partkey % 40 + 1)::double as ih from part) t) u""")
 _put("overset_frames", ("fx_overlay",), "select id, round(id % 17 / 100.0::double - h::double, 6) as missing from fx_overlay where overlaytype = 'textframe' and id % 17 / 100.0::double > h::double")
 _put("appended_overlays", ("fx_overlay",), "select n.id, n.pageid, (coalesce(t.top, 0) + row_number() over (partition by n.pageid order by n.id))::bigint as sortorder from fx_overlay n left join (select pageid, max(sortorder) as top from fx_overlay where id % 5 <> 0 group by pageid) t on t.pageid = n.pageid where n.id % 5 = 0")
+
+_put("skews", (), """select page, case when any_value(n) < 50 then 0.0::double else arg_max(angle, s - (angle + 5) * 0.001::double) end as angle from (select page, angle, sum(c * c)::double as s, sum(c) as n from (select page, angle, sign(v) * floor(abs(v) + 0.5) as bin, count(*) as c from (select page, angle, y * cos(radians(angle)) - x * sin(radians(angle)) as v
+from (select vec_id % 97 as page, x * 5 + vec_id % 5 as x, vec_id // 97 * 3 + floor(x * vec_id % 97 / 30.0) as y from (select vec_id, generate_subscripts(embedding, 1) - 1 as x, unnest(embedding) as v from embeddings) t where abs(v) > 0.02) p, (select (i - 20) / 4.0::double as angle from range(41) r(i)) a) q group by all) b group by page, angle) z group by page""")

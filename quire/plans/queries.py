@@ -61,7 +61,7 @@ def spreads(p, d):
 
 @query("fx_page", "fx_document")
 def rebalance(p, d):
-    b = O.balanced_pages(p, d)
+    b = A.arranged(p, d)
     return b.select("documentid", "position", "filler", F.coalesce("id", F.lit(0)).alias("id"))
 
 
@@ -946,3 +946,19 @@ def appended_overlays(o):
 
     new = o.where("id % 5 = 0").select("id", F.col("pageid").alias("pageid"))
     return appended(new, o.where("id % 5 <> 0"), "pageid").select("id", "pageid", F.col("sortorder").cast("long").alias("sortorder"))
+
+
+@query("embeddings")
+def skews(e):
+    """Angles of point clouds: the larger components of vectors as points of a line of text."""
+    v = e.select("vec_id", F.posexplode("embedding").alias("x", "v")).where("abs(v) > 0.02")
+    points = v.select((F.col("vec_id") % 97).alias("page"), (F.col("x") * 5 + F.col("vec_id") % 5).alias("x"), (F.floor(F.col("vec_id") / 97) * 3 + F.floor(F.col("x") * F.col("vec_id") % 97 / 30)).alias("y"))
+    return RA.skew(points)
+
+
+@query("documents")
+def shadows(d):
+    """Pages whose letters lie on an uneven background: what each row of characters sums up to without the shadow."""
+    cells = _cells(d).withColumn("lum", (F.col("lum") * 0 + 60 + (F.col("x") * 7 + F.col("y") * 13) % 150).cast("int"))
+    flat = RA.without_shadow(cells, RA.tile_background(cells, 16), 16)
+    return flat.groupBy("page").agg(F.count("*").alias("pixels"), F.sum("lum").alias("lum"))

@@ -225,6 +225,30 @@ def test_page_decisions(spark, tmp_path):
     assert raster.covered_pixels(d, masks).count() == 210
 
 
+def test_shadow_is_bilinear(spark):
+    rng = np.random.default_rng(4)
+    size, (h, w) = 16, (70, 45)
+    lum = rng.integers(30, 256, (h, w))
+    y, x = np.mgrid[:h, :w]
+    rows = [(3, int(i), int(j), int(v)) for i, j, v in zip(x.ravel(), y.ravel(), lum.ravel())]
+    d = spark.createDataFrame(rows, "page int, x int, y int, lum int").repartition(4)
+    bg = raster.tile_background(d, size)
+    tiles = np.zeros((-(-h // size), -(-w // size)))
+    for ty in range(tiles.shape[0]):
+        for tx in range(tiles.shape[1]):
+            part = np.sort(lum[ty * size : (ty + 1) * size, tx * size : (tx + 1) * size].ravel())
+            tiles[ty, tx] = max(40, part[min(int(0.9 * len(part)), len(part) - 1)])
+    got = {(r.x, r.y): r.lum for r in raster.without_shadow(d, bg, size).collect()}
+    assert len(got) == h * w
+    at = lambda ty, tx: tiles[min(max(ty, 0), tiles.shape[0] - 1), min(max(tx, 0), tiles.shape[1] - 1)]
+    for (i, j), v in got.items():
+        fx, fy = i / size - 0.5, j / size - 0.5
+        x0, y0 = int(np.floor(fx)), int(np.floor(fy))
+        u, t = fx - x0, fy - y0
+        b = (at(y0, x0) * (1 - u) + at(y0, x0 + 1) * u) * (1 - t) + (at(y0 + 1, x0) * (1 - u) + at(y0 + 1, x0 + 1) * u) * t
+        assert abs(v - min(255, int(np.floor(lum[j, i] * 255 / b)))) <= (1 if abs(lum[j, i] * 255 / b % 1) > 0.999999 or abs(lum[j, i] * 255 / b % 1) < 1e-6 else 0)
+
+
 @pytest.mark.parametrize("angle", [-3.5, -1.25, 0.75, 3.0])
 def test_skew(spark, angle):
     rows = [(1, x, int(round(60 + 31 * k + x * np.tan(np.radians(angle))))) for k in range(3) for x in range(0, 400, 2)]

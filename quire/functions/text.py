@@ -37,6 +37,14 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def bare_text(html: Column) -> Column:
+    """Text of a piece of html without anything in the place of its tags; entities are characters, blanks of ASCII single spaces."""
+    t = F.regexp_replace(html, r"<[^>]*>", "")
+    for entity, char in ENTITIES:
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0b]+", " "))
+
+
 def preview(html: Column, most: int = 120) -> Column:
     """Plain text, cut at the last space within ``most`` characters, with an ellipsis."""
     t = plain_text(html)

@@ -19,11 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
-from quire.operators.flow import AREA_BOTTOM, AREA_TOP, EPS, GAP, LINE_H, NOTE_W, natural_size, text_width
+from quire.operators.flow import AREA_BOTTOM, AREA_TOP, AROUND, EPS, GAP, LINE_H, NOTE_W, natural_size, text_width
 
 SPARE = 1.05  # estimates are taken so much larger
-# Lines that an element takes besides its text; elements without an end tag.
-AROUND = {"heading": 0.8, "list": 0.6, "row": 0.4, "table": 0.8, "pre": 1.6, "text": 0.6}
+# Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 TOKEN = re.compile(r"<[^>]*>|[^<]+|<")
 TAG = re.compile(r"<\s*(/?)\s*([a-zA-Z][a-zA-Z0-9]*)")

@@ -61,8 +61,12 @@ def word_lines(text: Column) -> Column:
     return F.filter(clean, lambda x: F.rlike(x, F.lit("[a-zA-Z0-9]")))
 
 
-@F.pandas_udf("binary")
-def word_file(lines: pd.Series) -> pd.Series:
+def word_file(lines: Column) -> Column:
+    """Word documents made of arrays of lines, see _word_files."""
+    return F.pandas_udf(_word_files, "binary")(lines)
+
+
+def _word_files(lines: pd.Series) -> pd.Series:
     """A Word document of each array of lines: by turns a heading, two list items, a paragraph with a note and a picture, a table, and a paragraph that ends the page."""
     names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     out = []

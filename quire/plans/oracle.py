@@ -300,3 +300,6 @@ _put("appended_overlays", ("fx_overlay",), "select n.id, n.pageid, (coalesce(t.t
 
 _put("skews", (), """select page, case when any_value(n) < 50 then 0.0::double else arg_max(angle, s - (angle + 5) * 0.001::double) end as angle from (select page, angle, sum(c * c)::double as s, sum(c) as n from (select page, angle, sign(v) * floor(abs(v) + 0.5) as bin, count(*) as c from (select page, angle, y * cos(radians(angle)) - x * sin(radians(angle)) as v
 from (select vec_id % 97 as page, x * 5 + vec_id % 5 as x, vec_id // 97 * 3 + floor(x * vec_id % 97 / 30.0) as y from (select vec_id, generate_subscripts(embedding, 1) - 1 as x, unnest(embedding) as v from embeddings) t where abs(v) > 0.02) p, (select (i - 20) / 4.0::double as angle from range(41) r(i)) a) q group by all) b group by page, angle) z group by page""")
+
+_put("html_heights", (), """select doc_id, i, round((case i % 5 when 0 then ceil(n / greatest(10, floor(w * 210 / (3.88 * 0.5 * 1.5::double)))) * 1.5 + 0.8 when 1 then greatest(1, ceil((n + 2) / c)) + 0.6 when 2 then greatest(1, ceil(n / greatest(10, c - 4))) + 1 + 0.6
+when 3 then greatest(1, ceil(n / greatest(4, c / 2 - 2))) + 0.4 + greatest(1, ceil(n / greatest(4, c - 2))) + 0.4 + 0.8 else 3.6 end) * (3.88 * 1.4 / 297::double) * 1.05, 6) as h from (select *, greatest(10, floor(w * 210 / (3.88 * 0.5::double))) as c from (select doc_id, i, length(l)::double as n, (210 - 25 - 18) / 210.0::double as w from each) t) u""", _LINED)

@@ -962,3 +962,13 @@ def shadows(d):
     cells = _cells(d).withColumn("lum", (F.col("lum") * 0 + 60 + (F.col("x") * 7 + F.col("y") * 13) % 150).cast("int"))
     flat = RA.without_shadow(cells, RA.tile_background(cells, 16), 16)
     return flat.groupBy("page").agg(F.count("*").alias("pixels"), F.sum("lum").alias("lum"))
+
+
+@query("documents")
+def html_heights(d):
+    """Estimated heights of documents' lines as headings, paragraphs, lists, tables and preformatted text by turns."""
+    lines = d.select("doc_id", F.posexplode(word_lines(F.col("text"))).alias("i", "l"))
+    put = lambda *parts: F.concat(*[F.col("l") if x == "L" else F.lit(x) for x in parts])
+    tag = F.element_at(F.lit(["h2", "p", "ul", "table", "pre"]), (F.col("i") % 5 + 1).cast("int"))
+    html = F.element_at(F.array(put("<h2>", "L", "</h2>"), put("<p>", "L", " <b>&amp;</b></p>"), put("<ul><li>", "L", "</li><li>x</li></ul>"), put("<table><tr><th>a</th><td>", "L", "</td></tr><tr><td>", "L", "</td></tr></table>"), put("<pre>", "L", "\n\n</pre>")), (F.col("i") % 5 + 1).cast("int"))
+    return lines.select("doc_id", F.col("i").cast("long").alias("i"), F.round(FL.html_height(tag, html, FL.TEXT_W), 6).alias("h"))

@@ -92,6 +92,17 @@ def test_cut_column_is_the_function(spark):
     assert {tuple(r) for r in got} == {(h, n, *typeset.cut_markup(h or "", n or 0)) for h, n in rows}
 
 
+def test_heights_as_expressions_are_those_of_the_setting(spark):
+    rng, rows = random.Random(31), []
+    for _ in range(300):
+        tag, text = rng.choice(["h1", "h3", "h6", "p", "blockquote", "ul", "ol", "table", "pre"]), lambda: markup(rng).replace("&#x27;", "'")
+        inner = {"ul": lambda: "".join(f"<li>{text()}</li>" for _ in range(rng.randrange(4))), "table": lambda: "".join("<tr>" + "".join(f"<td>{text()}</td>" for _ in range(rng.randrange(1, 5))) + "</tr>" for _ in range(rng.randrange(4))), "pre": lambda: "x\n" * rng.randrange(9)}
+        rows.append((tag, f"<{tag}>{inner.get({'ol': 'ul'}.get(tag, tag), text)()}</{tag}>", rng.choice([0.3, 0.7952380952380952, 1.0])))
+    got = spark.createDataFrame(rows, "tag string, html string, w double").repartition(4)
+    for r in got.select("*", flow.html_height(got.tag, got.html, got.w).alias("h")).collect():
+        assert abs(r.h - typeset.estimate(r.tag, r.html, r.w)) < 1e-9, r
+
+
 def test_items_stay_whole():
     first, each, last = typeset.items("<ul class='x'><li>a<ul><li>b</li><li>c</li></ul></li> <li>d</li></ul>", "li")
     assert (first, each, last) == ("<ul class='x'>", ["<li>a<ul><li>b</li><li>c</li></ul></li>", "<li>d</li>"], "</ul>")

@@ -503,7 +503,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, block, sample_offset, n_samples, pcm) of a column of streams: a row for each frame, found again by its offset."""
+    """(id, block, sample_offset, n_samples, pcm) of a column of streams: a row for each frame, found again by its offset.
+
+    A null stream and an empty table give no rows; repeated rows each give theirs; long streams are decoded frame by frame. Other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -60,7 +60,8 @@ def cascade_order(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """Names of the rules by rejection per cost, estimated on at most ``sample_rows`` rows, those whose ids hash lowest.
 
     A rule's cost is the mean of its cost expression, its selectivity the share that it rejects of
-    what the rules before it leave: the best comes first, and the others are rated anew on the rest.
+    what the rules before it leave: the best comes first, and the others are rated anew on the rest. Rows with a
+    null id are not sampled, null texts count as empty, of repeated ids the first rows up to the bound; an empty table gives the rules by name, the last first.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     ids = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)

@@ -14,25 +14,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its fingerprint and component; edge cases are those of near_duplicates."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with what is left of its words; edge cases are those of remove_repeats."""
     return substring.digests(_table(spark, sf_dir, "documents"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the digests of its ids and of the decoded text; edge cases are those of bpe.digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score; null and empty texts, repeated rows and empty tables as in toxicity.score, the training rows as in toxicity.fit."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, scorer).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its spans; null, empty and long texts, repeated rows and empty tables as in secret_scan.find_spans."""
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     base = F.filter("secret_spans", lambda x: x["k"] < 3)
     n = lambda kind: F.size(F.filter("secret_spans", lambda x: x["k"] == kind)).cast("long")
@@ -40,22 +45,27 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the digests of its stream; edge cases are those of flac.encode."""
     return flac.digests(_table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of documents in sequences; edge cases are those of packing.pack."""
     return packing.digests(_table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its measures and verdict; edge cases are those of quality.judge."""
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages with its rule and verdict; edge cases are those of url_filter.judge."""
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
 
 
 def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents as its ids came back from the files; edge cases are those of rans.digests."""
     return rans.digests(_table(spark, sf_dir, "documents"))
 
 

@@ -210,7 +210,8 @@ def near_links(classes: DataFrame, radius: int = 3, tile_rows: int = 1 << 16) ->
     """(fingerprint, rep) with distinct fingerprints -> links (a, b) of reps that span every component of pairs within the radius.
 
     Groups of more than ``tile_rows`` fingerprints go on to further blocks of the bits in which they
-    may still differ; when these have ``tile_rows`` values at most, no group can be larger.
+    may still differ; when these have ``tile_rows`` values at most, no group can be larger. Rows with a null rep
+    are left out; an empty table gives no links; columns other than the two are not looked at.
     """
     n, width, links = radius + 1, 64, []
     rows = classes.where("rep is not null").select("rep", "fingerprint", F.lit(0).cast("long").alias("k"), F.col("fingerprint").alias("rest"))

@@ -239,8 +239,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 27, id_col: st
     A window is repeated if its words also start in a document with a smaller id, judged on the
     input. kept is the remaining words joined by one space, or the text as it is (null: empty)
     where nothing goes. A null or short text keeps all words; rows with a null id neither lose words
-    nor count as earlier documents; repeated rows are judged alike. Existing columns stay, except
-    those that are named like the new ones.
+    nor count as earlier documents; repeated rows are judged alike. Texts of any length are read whole; an empty
+    table gives no rows. Existing columns stay, except those that are named like the new ones.
     """
     return _applied(docs, window, bits, id_col, text_col, False)
 

@@ -303,3 +303,15 @@ from (select vec_id % 97 as page, x * 5 + vec_id % 5 as x, vec_id // 97 * 3 + fl
 
 _put("html_heights", (), """select doc_id, i, round((case i % 5 when 0 then ceil(n / greatest(10, floor(w * 210 / (3.88 * 0.5 * 1.5::double)))) * 1.5 + 0.8 when 1 then greatest(1, ceil((n + 2) / c)) + 0.6 when 2 then greatest(1, ceil(n / greatest(10, c - 4))) + 1 + 0.6
 when 3 then greatest(1, ceil(n / greatest(4, c / 2 - 2))) + 0.4 + greatest(1, ceil(n / greatest(4, c - 2))) + 0.4 + 0.8 else 3.6 end) * (3.88 * 1.4 / 297::double) * 1.05, 6) as h from (select *, greatest(10, floor(w * 210 / (3.88 * 0.5::double))) as c from (select doc_id, i, length(l)::double as n, (210 - 25 - 18) / 210.0::double as w from each) t) u""", _LINED)
+_put("links_absolute", (), r"""select distinct page_id, root || h as link from (select page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) as root, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"'']*)["'']', 1)) as h from pages) t where root <> '' and h like '/%' and h not like '//%'""")
+_put("markdown_blocks", (), r"""select documentid, tag, count(*) as n, sum(chars)::bigint as chars from (select documentid, run, tag, sum(length(regexp_replace(l, '^(#{1,6}\s+|\s*[-*+]\s+|\s*\d+[.)]\s+|\s*>\s?)', ''))) + count(*) - 1 as chars
+from (select *, sum(case when before is null or before <> tag or regexp_matches(tag, '^(h[1-6]|pagebreak)$') then 1 else 0 end) over (partition by documentid order by no rows between unbounded preceding and current row) as run from (select *, lag(tag) over (partition by documentid order by no) as before from (select documentid, no, l,
+case when regexp_matches(l, '^\s*(```|~~~)') or sum(case when regexp_matches(l, '^\s*(```|~~~)') then 1 else 0 end) over (partition by documentid order by no rows between unbounded preceding and current row) % 2 = 1 then 'pre' when regexp_matches(l, '^\s*$') then '' when regexp_matches(l, '^\s*(\{\{< pagebreak >\}\}|\\newpage|\\pagebreak|<!-- pagebreak -->)\s*$') then 'pagebreak'
+when regexp_matches(l, '^#{1,6}\s') then 'h' || length(regexp_extract(l, '^(#+)', 1)) when regexp_matches(l, '^\s*[-*+]\s') then 'ul' when regexp_matches(l, '^\s*\d+[.)]\s') then 'ol' when regexp_matches(l, '^\s*\|') then 'table' when regexp_matches(l, '^\s*>') then 'blockquote' else 'p' end as tag
+from (select doc_id as documentid, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as no from documents) a) b) c) d where tag <> '' group by documentid, run, tag) e group by documentid, tag""")
+_put("line_breaks", (), r"""select doc_id, r.n::bigint as lines, case when r.first = 0 then r.at else r.first end::bigint as first_end, r.at::bigint as last_end from (select doc_id, list_reduce(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: {'at': length(w), 'line': length(w), 'n': 1::bigint, 'first': 0::bigint}),
+lambda a, w: {'at': a.at + 1 + w.at, 'line': case when a.line + 1 + w.at <= 80 then a.line + 1 + w.at else w.at end, 'n': case when a.line + 1 + w.at <= 80 then a.n else a.n + 1 end, 'first': case when a.line + 1 + w.at > 80 and a.first = 0 then a.at else a.first end}) as r from documents) t""")
+_put("select_root", (), r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(h, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as text
+from (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g') as h from pages) t""")
+_put("updated_layout", ("fx_page",), f"""select documentid, case when part = 1 then id else 0 end as id, part, content, row_number() over (partition by documentid order by sortorder, id, part) as position from (select p.documentid, p.id, p.sortorder, coalesce(l.page_no, 1)::bigint as part, coalesce(l.content, 'p' || p.id) as content
+from fx_page p left join ({ORACLE['layout_pages']}) l on l.documentid = p.documentid and p.sortorder = 1 and p.documentid <= 300 where not p.staged) t""")

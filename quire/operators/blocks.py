@@ -209,6 +209,42 @@ def markdown_blocks(lines: DataFrame, key: str = "documentid", no: str = "line_n
     return b.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("run")) - 1).drop("run")
 
 
+def markdown_html(lines: DataFrame, key: str = "documentid", no: str = "line_no", line: str = "line") -> DataFrame:
+    """(key, html) of Markdown lines: its blocks as elements, page breaks as hr, blocks of the margin (::: {.column-margin} or .aside, up to the next :::) in a div of that class.
+
+    Marks inside of lines stay text. A margin block without an end is ordinary text, fences keep what looks like one. Sources without lines have no row.
+    """
+    d = fence_parity(lines, key, no, line)
+    w = Window.partitionBy(key).orderBy(no)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    plain = ~F.col("in_code")
+    opens = plain & F.rlike(line, F.lit(r"^:{3,}\s*\{\.(column-margin|aside)\}\s*$"))
+    closes = plain & F.rlike(line, F.lit(r"^:{3,}\s*$"))
+    d = d.withColumn("__o", opens).withColumn("__c", closes).withColumn("__end", F.coalesce(F.max(F.col("__c").cast("int")).over(ahead) == 1, F.lit(False)))
+    event = F.when(F.col("__o") & F.col("__end"), 1).when(F.col("__c"), 0)
+    d = d.withColumn("__in", F.coalesce(F.last(event, ignorenulls=True).over(back) == 1, F.lit(False)))
+    edge = (F.col("__o") & F.col("__end") & ~F.col("__in")) | (F.col("__c") & F.col("__in"))
+    d = d.withColumn("__edge", edge).withColumn("__part", F.sum(F.col("__edge").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__margin", F.col("__in") & ~F.col("__edge")).where("NOT __edge")
+    parts = d.select(F.struct(key, "__part").alias("__k"), no, line, "__margin")
+    b = markdown_blocks(parts, "__k", no, line).select(F.col(f"__k.{key}").alias(key), F.col("__k.__part").alias("__part"), "block_index", "tag", "text")
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    element = lambda first, inner, last: F.concat(F.lit("<"), "tag", F.lit(">" + first), inner, F.lit(last + "</"), "tag", F.lit(">"))
+    rows = F.filter(F.split(safe, "\n"), lambda r: ~F.rlike(r, F.lit(r"^[\s|:-]*$")))
+    cells = F.transform(rows, lambda r: F.concat(F.lit("<tr><td>"), F.regexp_replace(F.regexp_replace(r, r"^\s*\|\s*|\s*\|\s*$", ""), r"\s*\|\s*", "</td><td>"), F.lit("</td></tr>")))
+    code = F.array_join(F.filter(F.split(safe, "\n"), lambda r: ~F.rlike(r, F.lit(r"^\s*(```|~~~)"))), "\n")
+    html = (
+        F.when(F.col("tag") == "pagebreak", '<hr class="pagebreak">').when(F.col("tag").isin("ul", "ol"), element("<li>", F.replace(safe, F.lit("\n"), F.lit("</li><li>")), "</li>"))
+        .when(F.col("tag") == "table", element("", F.array_join(cells, ""), "")).when(F.col("tag") == "pre", element("", code, "")).otherwise(element("", F.replace(safe, F.lit("\n"), F.lit(" ")), ""))
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", html.alias("html")))), lambda x: x["html"]), "\n")
+    pieces = b.groupBy(key, "__part").agg(joined.alias("html"))
+    margins = d.groupBy(key, "__part").agg(F.bool_or("__margin").alias("__margin"))
+    pieces = pieces.join(margins, [key, "__part"]).withColumn("html", F.when(F.col("__margin"), F.concat(F.lit('<div class="column-margin">'), "html", F.lit("</div>"))).otherwise(F.col("html")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", "html"))), lambda x: x["html"]), "\n")
+    return pieces.groupBy(key).agg(whole.alias("html"))
+
+
 def note_numbers(blocks: DataFrame, key: str = "documentid") -> DataFrame:
     """blocks (key, block_index, numbered, text) with running note numbers; blocks without text hand their notes to the next text block, the last ones to the last."""
     w = Window.partitionBy(key).orderBy("block_index")

@@ -315,3 +315,6 @@ _put("select_root", (), r"""select page_id, trim(regexp_replace(replace(replace(
 from (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g') as h from pages) t""")
 _put("updated_layout", ("fx_page",), f"""select documentid, case when part = 1 then id else 0 end as id, part, content, row_number() over (partition by documentid order by sortorder, id, part) as position from (select p.documentid, p.id, p.sortorder, coalesce(l.page_no, 1)::bigint as part, coalesce(l.content, 'p' || p.id) as content
 from fx_page p left join ({ORACLE['layout_pages']}) l on l.documentid = p.documentid and p.sortorder = 1 and p.documentid <= 300 where not p.staged) t""")
+_put("markdown_notes", (), """select doc_id as documentid, 5 * (i // 5) + at as block_index, case when at = 4 then 'pagebreak' else 'text' end as kind, case at when 0 then 'h1' when 1 then 'p' when 2 then 'ul' when 3 then 'blockquote' end as tag,
+case at when 0 then '<h1>t ' || l || '</h1>' when 1 then '<p>t ' || l || '</p>' when 2 then '<ul><li>t ' || l || '</li><li>x</li></ul>' when 3 then '<blockquote>t ' || l || '</blockquote>' end as html, case when at = 2 and note is not null then '<p>t ' || note || '</p>' || chr(10) || '<ol><li>one</li><li>two</li></ol>' else '' end as notes
+from (select *, lead(l) over (partition by doc_id order by i) as note from each) t, (values (0), (1), (2), (3), (4)) v(at) where case i % 5 when 3 then false when 4 then at in (3, 4) else at = i % 5 end""".replace("at ", "nr ").replace("v(at)", "v(nr)").replace("+ at", "+ nr"), _LINED)

@@ -972,3 +972,14 @@ def html_heights(d):
     tag = F.element_at(F.lit(["h2", "p", "ul", "table", "pre"]), (F.col("i") % 5 + 1).cast("int"))
     html = F.element_at(F.array(put("<h2>", "L", "</h2>"), put("<p>", "L", " <b>&amp;</b></p>"), put("<ul><li>", "L", "</li><li>x</li></ul>"), put("<table><tr><th>a</th><td>", "L", "</td></tr><tr><td>", "L", "</td></tr></table>"), put("<pre>", "L", "\n\n</pre>")), (F.col("i") % 5 + 1).cast("int"))
     return lines.select("doc_id", F.col("i").cast("long").alias("i"), F.round(FL.html_height(tag, html, FL.TEXT_W), 6).alias("h"))
+
+
+@query("documents")
+def markdown_notes(d):
+    """Documents as Markdown with notes in the margin and page breaks, as blocks."""
+    i, put = F.col("i"), lambda *parts: F.concat(*[F.concat(F.lit("t "), "l") if x == "L" else F.lit(x) for x in parts])
+    source = F.element_at(F.array(put("# ", "L", "\n"), put("L", "\n"), put("\n- ", "L", "\n- x"), put("::: {.column-margin}\n", "L", "\n\n1. one\n2. two\n:::"), put("> ", "L", "\n\n{{< pagebreak >}}")), (i % 5 + 1).cast("int"))
+    lines = d.select(F.col("doc_id").alias("documentid"), F.posexplode(word_lines(F.col("text"))).alias("i", "l"))
+    lines = lines.select("documentid", "i", F.posexplode(F.split(source, "\n")).alias("j", "line")).select("documentid", (i * 100 + F.col("j")).alias("line_no"), "line")
+    found = N.noted_blocks(B.markdown_html(lines), "documentid")
+    return found.select("documentid", F.col("block_index").cast("long").alias("block_index"), "kind", "tag", "html", F.array_join("notes", "|").alias("notes"))

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pytest
 
 from quire.functions import geometry as G
-from quire.operators import flow, notes, typeset
+from quire.operators import blocks, flow, notes, typeset
 
 PAGE = flow.AREA_BOTTOM - flow.AREA_TOP
 
@@ -387,3 +387,19 @@ def test_notes_go_to_blocks(spark):
         (1, "text", "<p>a<sup>1</sup></p>", ["<p>first</p>", "<p><sup>1</sup> s</p>"]), (1, "text", "<p>b</p>", []), (1, "text", "<p>c<sup>2</sup> end</p>", ["<p><sup>2</sup> t</p>", "<p>z</p>", "<p>late</p>"]),
         (1, "pagebreak", None, []), (4, "text", "<p>no notes [[note:x]]</p>", []),
     ]
+
+
+def test_markdown_becomes_html(spark):
+    source = {
+        1: "# A & B\ntext <x>\nmore\n\n- a\n- b\n\n::: {.column-margin}\nnote\n\n| h | i |\n|---|---|\n| 1 | 2 |\n:::\n\n1. one\n\\newpage\n> q",
+        2: "```\n::: {.aside}\n:::\n<code>\n```\nafter",
+        3: "::: {.aside}\nno end",
+        4: "::::: {.aside}\nin\n:::\n:::\nlast",
+        5: "",
+    }
+    rows = [(k, i, x) for k, t in source.items() for i, x in enumerate(t.split("\n"))]
+    got = {r.documentid: r.html for r in blocks.markdown_html(spark.createDataFrame(rows, "documentid long, line_no int, line string").repartition(3)).collect()}
+    assert got == {
+        1: '<h1>A &amp; B</h1>\n<p>text &lt;x&gt; more</p>\n<ul><li>a</li><li>b</li></ul>\n<div class="column-margin"><p>note</p>\n<table><tr><td>h</td><td>i</td></tr><tr><td>1</td><td>2</td></tr></table></div>\n<ol><li>one</li></ol>\n<hr class="pagebreak">\n<blockquote>q</blockquote>',
+        2: "<pre>::: {.aside}\n:::\n&lt;code&gt;</pre>\n<p>after</p>", 3: "<p>::: {.aside} no end</p>", 4: '<div class="column-margin"><p>in</p></div>\n<p>::: last</p>',
+    }

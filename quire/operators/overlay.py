@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import clamp_box
-from quire.functions.text import drop_active
+from quire.functions.text import purified
 
 FRAMES = ("textframe", "imageframe")
 TYPES = ("textframe", "imageframe", "textbox", "mask", "audio", "glossary", "reflow", "column")
@@ -30,7 +30,7 @@ KEYS = ("text", "fontsize", "bold", "color", "bgcolor", "align", "style", "revea
 def clean_settings(overlays: DataFrame, json_col: str = "data") -> DataFrame:
     """overlays with ``settings`` (JSON): the allowed keys of their type, clamped, defaults filled in; unknown types go.
 
-    Texts lose their tags, html its active elements, file names their separators. A value that is no
+    Texts lose their tags, html everything but known elements and attributes, file names their separators. A value that is no
     number counts as 0 before it is clamped; text that is no JSON object has no values.
     """
     raw = F.from_json(F.coalesce(F.col(json_col), F.lit("{}")), "struct<" + ",".join(f"{k}:string" for k in KEYS) + ">")
@@ -50,7 +50,7 @@ def clean_settings(overlays: DataFrame, json_col: str = "data") -> DataFrame:
         "audio": [one_of("mode", ("tts",), "file"), text("ttstext"), lang, text("label"), file],
         "glossary": [whole("glossaryid", 0).alias("glossaryid"), text("term")],
         "reflow": [text("text"), one_of("role", ("p", "h2", "h3", "li"), "p")],
-        "textframe": [drop_active(F.coalesce(v("html"), F.lit(""))).alias("html"), within("fontscale", F.round(number("fontscale", 1), 2), 0.5, 3.0), color("bgcolor", ""), flag("border"), within("columns", whole("columns", 1), 1, 3), one_of("style", ("tufte", "sidenote"), "")],
+        "textframe": [purified(F.coalesce(v("html"), F.lit(""))).alias("html"), within("fontscale", F.round(number("fontscale", 1), 2), 0.5, 3.0), color("bgcolor", ""), flag("border"), within("columns", whole("columns", 1), 1, 3), one_of("style", ("tufte", "sidenote"), "")],
         "imageframe": [file, one_of("fit", ("cover",), "contain"), text("alt"), text("caption")],
     }
     out = F.when(F.col("overlaytype") == "column", F.lit("{}"))

@@ -143,7 +143,11 @@ def reflow_batch(reflow: Callable[[DataFrame], DataFrame], target: str) -> Calla
     return batch
 
 
-def staged_pages(spark: SparkSession, target: str) -> DataFrame:
-    """The pages of each source's last batch; a source that was set again without any page has none."""
+def staged_pages(spark: SparkSession, target: str, schema: str | None = None) -> DataFrame:
+    """The pages of each source's last batch; a source that was set again without any page has none.
+
+    schema names the pages' columns; without it they are read from the files, of which there must be one.
+    """
     last = spark.read.parquet(f"{target}/sources").groupBy("sourceid").agg(F.max("epoch").alias("epoch"))
-    return spark.read.parquet(f"{target}/pages").join(last, ["sourceid", "epoch"], "left_semi").drop("epoch")
+    pages = spark.read.schema(f"{schema}, epoch int") if schema else spark.read
+    return pages.parquet(f"{target}/pages").join(last, ["sourceid", "epoch"], "left_semi").drop("epoch")

@@ -93,6 +93,8 @@ def test_reflow_replaces_staged_pages(spark, tmp_path):
     hidden.append((2, 0))
     batch(change(2), 2)
     assert seen() == [(1, 1, 1)]
+    imports.reflow_batch(lambda ids: reflow(ids).where("false"), f"{tmp_path}/none")(change(1), 0)
+    assert imports.staged_pages(spark, f"{tmp_path}/none", "sourceid long, block_index long, page_no int").count() == 0
     src = tmp_path / "changes"
     change(1).coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema("sourceid long").parquet(str(src))

@@ -158,6 +158,15 @@ def test_text_functions(spark):
     assert (r.c.title, r.c.body, r.s, r.t, r.n) == ("Head", "rest", "h3", "iso-8859-1", True)
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<p onclick=\"x()\" class='a'>t</p>", "<p class='a'>t</p>"), ("<a href=\"javascript:x\">l</a><a href='/p?a=1&amp;b'>m</a>", "<a>l</a><a href='/p?a=1&amp;b'>m</a>"),
+    ("<a href=\"&#106;avascript:x\" title=\">\" onmouseover=\"y\">l</a>", "<a title=\">\">l</a>"), ("<img src=\"data:image/png;base64,aa\" onerror=x><img src='data:text/html,x'>", "<img src=\"data:image/png;base64,aa\"><img>"),
+    ("a < b <custom>c</custom><!-- <b> --><b>d</b><script>e</script>", "a &lt; b c<b>d</b>"), ("<B STYLE='x'>t</B><br/><a href=\"x.html\">r</a><a href=\"a:b\">s</a>", "<b>t</b><br><a href=\"x.html\">r</a><a>s</a>"), ("<p x", "&lt;p x"), ("", ""),
+])
+def test_purified(spark, html, want):
+    assert spark.createDataFrame([(html,)], "h string").select(T.purified(F.col("h"))).first()[0] == want
+
+
 def test_html_blocks(spark):
     html = "<body><div><h2>Title</h2><p>One <b>two</b><p>three</p></div>loose<ul><li>a<li><p>b</p></ul><table><tr><td>x</td></tr></table></body>"
     got = blocks.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_index").collect()

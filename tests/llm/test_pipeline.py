@@ -48,5 +48,5 @@ def test_edges(spark, edge, empty, sf):
 
 
 def test_registered(spark, sf):
-    assert [n.split("_")[0] for n in queries.QUERIES] and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert [n.split("_")[0] for n in queries.QUERIES] and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert corpus_pipeline.run(spark, sf).count() > 0

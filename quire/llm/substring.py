@@ -25,6 +25,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.store import cut, fresh, written
 
@@ -199,7 +200,7 @@ def _applied(docs: DataFrame, window: int, bits: int, id_col: str, text_col: str
     """docs with (n_words, n_removed, kept): the kept text, or with digest the SHA-256 of its single-spaced words."""
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
-    mine = {n: fresh(n, docs) for n in ("__key", "__maybe", "__at", "__r")}
+    mine = {n: fresh(n, docs) for n in ("__key", "__maybe", "__at")}
     docs = docs.select(*names, F.xxhash64(F.col(id_col), F.col(text_col)).alias(mine["__key"]))
     starts = repeated_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mine["__key"]).alias("key"), F.col(text_col).alias("text")), window, bits)
     ranges = cut(starts.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at")))
@@ -209,28 +210,34 @@ def _applied(docs: DataFrame, window: int, bits: int, id_col: str, text_col: str
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(some.value.has(h.to_numpy().view(np.uint64)))
 
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def apply(texts: pd.Series, at: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, starts_ in zip(texts, at):
-            words, removed = split_words(text), 0
-            if starts_ is not None and len(starts_):
-                gone = covered(np.asarray(starts_, np.int64), len(words), window)
-                removed, kept = int(gone.sum()), [w for w, g in zip(words, gone.tolist()) if not g]
-            else:
-                kept = words
-            if digest:
-                rows.append((len(words), removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
-            else:
-                rows.append((len(words), removed, b" ".join(kept).decode("utf-8", "surrogatepass") if removed else text or ""))
-        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
+    text_at, at_at = [n.lower() for n in names].index(text_col.lower()), len(names)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in byte_slices([whole], text_at):
+                n_words, n_removed, last = [], [], []
+                for text, starts_ in zip(b.column(text_at), b.column(at_at)):
+                    text = text.as_py()
+                    words, removed = split_words(text), 0
+                    kept = words
+                    if starts_.is_valid and len(starts_):
+                        gone = covered(starts_.values.to_numpy().astype(np.int64), len(words), window)
+                        removed, kept = int(gone.sum()), [w for w, g in zip(words, gone.tolist()) if not g]
+                    n_words.append(len(words))
+                    n_removed.append(removed)
+                    if digest:
+                        last.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                    else:
+                        last.append(b" ".join(kept).decode("utf-8", "surrogatepass") if removed else text or "")
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(last, pa.string())], names=[*b.schema.names[:-1], "n_words", "n_removed", "kept"])
 
     # texts that surely keep all their words are not shuffled
     flagged = docs.withColumn(mine["__maybe"], maybe(F.xxhash64(mine["__key"])))
     plain = flagged.where(~F.col(mine["__maybe"])).withColumn(mine["__at"], F.lit(None).cast("array<int>"))
     hit = flagged.where(F.col(mine["__maybe"])).join(ranges.select(F.col("key").alias(mine["__key"]), F.col("at").alias(mine["__at"])), mine["__key"], "left")
     every = plain.select(*names, mine["__at"]).unionByName(hit.select(*names, mine["__at"]))
-    return every.withColumn(mine["__r"], apply(F.col(text_col), F.col(mine["__at"]))).select(*names, f"{mine['__r']}.*")
+    schema = T.StructType([*every.select(*names).schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
+    return every.mapInArrow(apply, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -305,33 +305,25 @@ def _verified(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.Reco
         yield out()
 
 
-def _dealt(keyed: DataFrame, classes: DataFrame, limit: int, levels: int = 3) -> DataFrame:
-    """Rows (k, t, node, weight, ...) -> (k, c, node, weight, ...): groups (k, c) whose weights sum up to 2 * limit at most, in the mean.
+def _dealt(keyed: DataFrame, limit: int) -> DataFrame:
+    """Rows (k, node, weight, ...) -> (k, c, node, weight, ...): groups (k, c) whose weights sum up to 2 * limit at most, in the mean.
 
-    A key whose weights exceed the limit is dealt out in chunks, each beside the rows of chunk 0, so
-    that whatever is similar to many meets them there; and its rows also go on under keys that hold
-    one band more (above band t), where what is similar to few meets. Rows grow by a constant factor.
+    A key whose weights exceed the limit is dealt out in g chunks, and there is a group for each two of
+    them, so that every pair of its rows meets: its rows grow by g - 1, the groups stay as small and are many tasks' work.
     """
-    out, rest = [], [c for c in keyed.columns if c not in ("k", "t")]
-    for level in range(levels):
-        full = cut(keyed.groupBy("k").agg(F.sum("weight").alias("n")).where(F.col("n") > limit).select("k", F.ceil(F.col("n") / limit).cast("long").alias("g")))
-        if full.isEmpty():
-            out.append(keyed.select("k", F.lit(0).cast("long").alias("c"), *rest))
-            break
-        marked = keyed.join(full, "k", "left")
-        own = F.pmod(F.xxhash64("node", "k"), "g")
-        chunks = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).when(own == 0, F.expr("sequence(0L, g - 1)")).otherwise(F.array(own))
-        out.append(marked.select("k", F.explode(chunks).alias("c"), *rest))
-        if level < levels - 1:
-            hot = marked.where("g IS NOT NULL").join(classes.select("node", "bands"), "node").select("k", "t", *rest, F.posexplode("bands").alias("u", "v"))
-            keyed = written(hot.where("u > t").select(F.xxhash64("k", "u", "v").alias("k"), F.col("u").alias("t"), *rest), "further-bands")
-    return reduce(DataFrame.unionByName, out)
+    rest = [c for c in keyed.columns if c != "k"]
+    full = cut(keyed.groupBy("k").agg(F.sum("weight").alias("n")).where(F.col("n") > limit).select("k", F.ceil(F.col("n") / limit).cast("long").alias("g")))
+    if full.isEmpty():
+        return keyed.select("k", F.lit(0).cast("long").alias("c"), *rest)
+    marked = keyed.join(full, "k", "left").withColumn("__own", F.pmod(F.xxhash64("node", "k"), "g"))
+    pairs = F.expr("transform(filter(sequence(0L, g - 1), x -> x <> __own), x -> least(x, __own) * g + greatest(x, __own))")
+    return marked.select("k", F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("c"), *rest)
 
 
 def _exact_links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, ngram: int, chunk: int) -> DataFrame:
     """(doc_id, hashed, text), (node, component) and classes -> links (a, b) that span the pairs of a component with a similarity of 0.8 or more."""
-    keyed = clusters.join(classes.select("node", "doc_id", "hashed", "n"), "node").select(F.col("component").alias("k"), F.lit(-1).alias("t"), "node", F.col("n").alias("weight"), "doc_id", "hashed")
-    wanted = _dealt(written(keyed, "clusters"), classes, chunk)
+    keyed = clusters.join(classes.select("node", "doc_id", "hashed", "n"), "node").select(F.col("component").alias("k"), "node", F.col("n").alias("weight"), "doc_id", "hashed")
+    wanted = _dealt(written(keyed, "clusters"), chunk)
     some = build_filter(docs.sparkSession, wanted.select(F.xxhash64("doc_id", "hashed").alias("h")).distinct(), 26)
 
     @F.pandas_udf("boolean")
@@ -376,8 +368,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = fps.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "hashed", *words, "bands")).alias("x")).select("n", "k1", "k2", "x.*")
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = classes.where("n > 3").select(F.posexplode("bands").alias("t", "v"), "node", *words).select(F.xxhash64("t", "v").alias("k"), "t", "node", F.lit(1).alias("weight"), *words)
-    near = _compared(_dealt(keyed, classes, tile_rows), words, radius)
+    keyed = classes.where("n > 3").select(F.posexplode("bands").alias("t", "v"), "node", *words).select(F.xxhash64("t", "v").alias("k"), "node", F.lit(1).alias("weight"), *words)
+    near = _compared(_dealt(keyed, tile_rows), words, radius)
     clusters = components(near).withColumnRenamed("component", "k").select("node", F.col("k").alias("component"))
     found = components(_exact_links(docs, cut(clusters), classes, ngram, chunk))
     least = classes.join(found, "node", "left").select("n", "k1", "k2", "doc_id", "hashed", F.coalesce("component", "node").alias("component"))

@@ -157,3 +157,15 @@ def test_bands_meet_at_the_threshold():
         far = np.bitwise_count(simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)).sum()
         met += bool((simhash.bands(a) == simhash.bands(b)).any()) and far <= simhash.RADIUS
     assert met >= 495
+
+
+def test_full_keys_lose_no_pair(spark):
+    """All rows of a key meet, in groups that stay small: a key of 400 rows and a limit of 60, beside a small one."""
+    rows = [(1, i, 1) for i in range(400)] + [(2, i, 1) for i in range(20)]
+    dealt = simhash._dealt(spark.createDataFrame(rows, "k long, node long, weight int"), 60).collect()
+    groups: dict = {}
+    for r in dealt:
+        groups.setdefault((r.k, r.c), []).append(r.node)
+    assert max(map(len, groups.values())) <= 180
+    met = {(k, *sorted((a, b))) for (k, _), nodes in groups.items() for a in nodes for b in nodes if a < b}
+    assert met == {(1, a, b) for a in range(400) for b in range(a + 1, 400)} | {(2, a, b) for a in range(20) for b in range(a + 1, 20)}

@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, one of our own in local mode (tests), an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-quire-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from quire.functions.tables import shared_dir, written  # noqa: F401
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,14 +13,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of this run in the shared folder, read back (columnar, compressed, prunable)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str, df: DataFrame) -> str:
     """A column name like ``name`` that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.tables import small_batches
+
 
 def luminance(r: Column, g: Column, b: Column) -> Column:
     return F.floor((299 * r + 587 * g + 114 * b) / 1000).cast("int")
@@ -142,6 +147,82 @@ def without_shadow(pixels: DataFrame, background: DataFrame, size: int = 48) ->
     return p.select("page", "x", "y", F.least(F.lit(255), F.floor(F.col("lum") * 255 / bg)).cast("int").alias("lum"))
 
 
+def _flat(page: np.ndarray, y: np.ndarray, lum: np.ndarray, size: np.ndarray, tile: int) -> np.ndarray:
+    """lum of rows of pixels (page number, y, size) without the shadow, as without_shadow has it."""
+    start = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    x = np.arange(len(lum)) - start[row]
+    p, yy = page[row], y[row]
+    tx, ty = x // tile, yy // tile
+    ends = np.zeros((2, int(page.max()) + 1), np.int64)  # last tile of each page
+    np.maximum.at(ends[0], p, tx)
+    np.maximum.at(ends[1], p, ty)
+    base = np.cumsum((ends[0] + 1) * (ends[1] + 1))
+    place = lambda a, b: (base[p] - (ends[0] + 1)[p] * (ends[1] + 1)[p]) + b * (ends[0] + 1)[p] + a
+    own = place(tx, ty)
+    order = np.lexsort((lum, own))
+    at = own[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    n = np.diff(np.r_[first, len(at)])
+    known, bg = at[first], np.maximum(40, lum[order][first + np.floor(np.minimum(n * 0.9, n - 1)).astype(np.int64)]).astype(float)
+    if base[-1] <= 4 * len(lum) + 4096:
+        grid = np.full(int(base[-1]), np.nan)
+        grid[known] = bg
+        found = grid.__getitem__
+    else:  # few of the tiles have pixels
+        def found(key: np.ndarray) -> np.ndarray:
+            k = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            return np.where(known[k] == key, bg[k], np.nan)
+
+    fx, fy = x / tile - 0.5, yy / tile - 0.5
+    qx, qy = np.floor(fx).astype(np.int64), np.floor(fy).astype(np.int64)
+    u, v = fx - qx, fy - qy
+    x0, x1, y0, y1 = np.maximum(qx, 0), np.minimum(qx + 1, ends[0][p]), np.maximum(qy, 0), np.minimum(qy + 1, ends[1][p])
+    back = (found(place(x0, y0)) * (1 - u) + found(place(x1, y0)) * u) * (1 - v) + (found(place(x0, y1)) * (1 - u) + found(place(x1, y1)) * u) * v
+    out = np.floor(lum * 255 / back)
+    return np.where(np.isnan(out), 255, np.minimum(255, out)).astype(np.int32)  # next to tiles without pixels there is no background
+
+
+def rows_without_shadow(rows: DataFrame, size: int = 48, pixels: int = 1 << 17) -> DataFrame:
+    """rows (page, y, lum: array<int> from x = 0 on, without nulls) as tile_background and without_shadow make their pixels.
+
+    A row of pixels is shuffled as one row, once; a task holds whole pages, as many as have ``pixels`` at least. Rows of no page go.
+    """
+    small_batches(rows.sparkSession)
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        lum, key = t.column(2), t.column(0).to_numpy(zero_copy_only=False)
+        n = np.diff(lum.offsets.to_numpy())
+        number = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+        flat = lum.flatten().to_numpy()
+        flat = _flat(number, t.column(1).to_numpy(), flat.astype(np.int64), n, size) if len(flat) else flat.astype(np.int32)
+        return pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat, pa.int32()))], ["page", "y", "lum"])
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            if held and n >= pixels:  # the held pages end where another begins
+                last = held[-1].column(0)[-1].as_py()
+                k = int(np.argmax(key != last)) if (key != last).any() else len(key)
+                held.append(b.slice(0, k))
+                n += len(b.slice(0, k).column(2).flatten())
+                if k == len(key):
+                    continue
+                yield done(held)
+                held, n, b = [], 0, b.slice(k)
+            held.append(b)
+            n += len(b.column(2).flatten())
+        if held:
+            yield done(held)
+
+    d = rows.where("page IS NOT NULL").select(F.col("page").cast("long").alias("page"), F.col("y").cast("long").alias("y"), F.col("lum").cast("array<int>").alias("lum"))
+    return d.repartition("page").sortWithinPartitions("page", "y").mapInArrow(flat, "page long, y long, lum array<int>")
+
+
 def covered_pixels(pixels: DataFrame, masks: DataFrame, size: int = 64) -> DataFrame:
     """pixels under a mask (page, x0, y0, x1, y1 in pixels, end exclusive): both sides meet in grid cells, so the join stays an equi-join."""
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size))

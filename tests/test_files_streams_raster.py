@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import notes as notes_
-from quire.operators import raster, transfer, typeset
+from quire.operators import clips, raster, transfer, typeset
 from quire.sources import catalog, scan, word
 from quire.streaming import imports
 
@@ -273,3 +273,25 @@ def test_contract(spark, name):
         assert e.entry(spark).columns
     else:
         assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rows_without_shadow_are_their_pixels(spark):
+    """Rows of pixels give what the pixels give, ragged pages and tiles without pixels included, and go through one shuffle."""
+    rng = np.random.default_rng(6)
+    rows = [(page, y, rng.integers(20, 256, int(rng.integers(0, 60))).tolist()) for page in range(6) for y in range(int(rng.integers(1, 50))) if rng.random() < 0.7]
+    d = spark.createDataFrame(rows, "page long, y long, lum array<int>").repartition(3)
+    pixels = d.select("page", F.posexplode("lum").alias("x", "lum"), "y").select("page", F.col("x").cast("long").alias("x"), "y", "lum")
+    want = sorted(tuple(r) for r in raster.without_shadow(pixels, raster.tile_background(pixels, 8), 8).select("page", "x", "y", "lum").collect())
+    flat = raster.rows_without_shadow(d, 8, 500)
+    assert sorted((r.page, x, r.y, v) for r in flat.collect() for x, v in enumerate(r.lum)) == want
+    assert flat._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_mean_luminance_shuffles_no_pixels(spark):
+    rng = np.random.default_rng(7)
+    rows = [(page, x, y, int(rng.integers(0, 256))) for page, (w, h) in enumerate([(1, 1), (320, 4), (7, 301)]) for x in range(w) for y in range(h)]
+    d = spark.createDataFrame(rows, "page long, x long, y long, lum int")
+    sized = d.join(d.groupBy("page").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")), "page")
+    want, got = clips.mean_luminance(d), clips.mean_luminance(sized.localCheckpoint())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join") == 0

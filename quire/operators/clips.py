@@ -98,11 +98,15 @@ def stale_measures(measures: DataFrame, now: DataFrame) -> DataFrame:
 def mean_luminance(pixels: DataFrame, sizes: DataFrame | None = None, key: str = "page") -> DataFrame:
     """(key, mean, invert): mean of pixels (key, x, y, lum) on a grid of about 150 points a side; dark pages are printed inverted.
 
-    sizes (key, width, height) gives the step before any pixel is shuffled; without it each page's largest x and y are
-    found first, by a pre-aggregated pass.
+    Pixels with width and height of their page are thinned out where they are, and only sums are shuffled. Else sizes
+    (key, width, height) gives the step; without it each page's largest x and y are found first, by a pre-aggregated pass.
     """
+    wide = F.greatest(F.lit(1), F.floor(F.greatest("width", "height") / 150)).cast("long")
+    if sizes is None and {"width", "height"} <= set(pixels.columns):
+        d = pixels.withColumn("__s", wide).where("x % __s = 0 AND y % __s = 0")
+        return d.groupBy(key).agg(F.avg("lum").alias("mean")).withColumn("invert", F.col("mean") < 100)
     if sizes is None:
         sizes = pixels.groupBy(key).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    step = sizes.select(key, F.greatest(F.lit(1), F.floor(F.greatest("width", "height") / 150)).cast("long").alias("__s"))
+    step = sizes.select(key, wide.alias("__s"))
     d = pixels.join(step, key).where("x % __s = 0 AND y % __s = 0")
     return d.groupBy(key).agg(F.avg("lum").alias("mean")).withColumn("invert", F.col("mean") < 100)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.keys import looked_up
 from quire.functions.ranges import in_range
 from quire.operators.arrange import arranged, numbered
 from quire.operators.order import reading_order
@@ -13,7 +14,7 @@ from quire.operators.order import reading_order
 def put_through(rows: DataFrame, column: str, keys: DataFrame, *scope: str) -> DataFrame:
     """rows with ``column`` put through keys (scope ..., old, new); what has no entry becomes null."""
     m = keys.select(*scope, F.col("old").alias(column), F.col("new").alias("__new"))
-    d = rows.join(m, [*scope, column], "left")
+    d = looked_up(rows, column, m, *scope)
     return d.select(*[F.col("__new").alias(c) if c == column else F.col(c) for c in rows.columns])
 
 
@@ -63,7 +64,7 @@ def restored(tables: dict[str, DataFrame], first: dict[str, int], known: DataFra
         source = source.join(made, "id", "left").withColumn("flowmap", F.when(F.col("flowmap").isNotNull(), F.coalesce("__map", empty))).select(*source.columns)
     document = fresh["document"]
     if known is not None:
-        document = document.join(known.select(F.col("id").alias("masterid"), F.lit(True).alias("__k")).distinct(), "masterid", "left")
+        document = looked_up(document, "masterid", known.select(F.col("id").alias("masterid"), F.lit(True).alias("__k")).distinct())
         lost = [c for c in ("masterid", "masterrange") if c in tables["document"].columns]
         document = document.withColumns({c: F.when(F.col("__k"), F.col(c)) for c in lost}).select(*tables["document"].columns)
     return {"document": document, "source": source, "page": page, "overlay": put_through(fresh["overlay"], "pageid", keys["page"])}
@@ -115,7 +116,7 @@ def deleted(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFram
     ids = gone.select("id").distinct()
     left = tables["document"].join(ids, "id", "left_anti")
     lost = ids.select(F.col("id").alias("masterid"), F.lit(True).alias("__g"))
-    left = left.join(lost, "masterid", "left").withColumn("masterid", F.when(F.col("__g").isNull(), F.col("masterid"))).select(*tables["document"].columns)
+    left = looked_up(left, "masterid", lost).withColumn("masterid", F.when(F.col("__g").isNull(), F.col("masterid"))).select(*tables["document"].columns)
     theirs = ids.withColumnRenamed("id", "documentid")
     out = {name: tables[name].join(theirs, "documentid", "left_anti").select(*tables[name].columns) for name in ("source", "page", "job") if name in tables}
     gone_pages = tables["page"].join(theirs, "documentid", "left_semi").select(F.col("id").alias("pageid"))

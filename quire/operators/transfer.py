@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.keys import looked_up
+
 
 def export_nested(documents: DataFrame, pages: DataFrame, overlays: DataFrame) -> DataFrame:
     """(id, pages array<struct<id, sortorder, overlays array<struct<id, sortorder, overlaytype>>>>), in order; bare documents included."""
@@ -55,13 +57,13 @@ def copy_pages(published: DataFrame, commands: DataFrame) -> DataFrame:
 def remapped(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """rows with ``column`` put through mapping (old, new); what has no entry becomes null."""
     m = mapping.select(F.col("old").alias(column), F.col("new").alias("__new"))
-    return rows.join(m, column, "left").select(*[F.col("__new").alias(c) if c == column else F.col(c) for c in rows.columns])
+    return looked_up(rows, column, m).select(*[F.col("__new").alias(c) if c == column else F.col(c) for c in rows.columns])
 
 
 def without_lost_masters(documents: DataFrame) -> DataFrame:
     """documents whose masterid is null where that master isn't here."""
     here = documents.select(F.col("id").alias("masterid"), F.lit(True).alias("__k"))
-    return documents.join(here, "masterid", "left").withColumn("masterid", F.when(F.col("__k"), F.col("masterid"))).select(*documents.columns)
+    return looked_up(documents, "masterid", here).withColumn("masterid", F.when(F.col("__k"), F.col("masterid"))).select(*documents.columns)
 
 
 def orphans(documents: DataFrame, pages: DataFrame, overlays: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def delete_documents(gone: DataFrame, documents: DataFrame, pages: DataFrame, ov
     ids = gone.select("id").distinct()
     left = documents.join(ids, "id", "left_anti")
     lost = ids.select(F.col("id").alias("masterid"), F.lit(True).alias("__g"))
-    left = left.join(lost, "masterid", "left").withColumn("masterid", F.when(F.col("__g").isNull(), F.col("masterid"))).select(*documents.columns)
+    left = looked_up(left, "masterid", lost).withColumn("masterid", F.when(F.col("__g").isNull(), F.col("masterid"))).select(*documents.columns)
     kept = pages.join(ids.select(F.col("id").alias("documentid")), "documentid", "left_anti").select(*pages.columns)
     over = overlays.join(kept.select(F.col("id").alias("pageid")), "pageid", "left_semi").select(*overlays.columns)
     return left, kept, over

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quire.operators import copies
+from quire.operators import order as O
 
 DOCUMENT, SOURCE = "id long, name string, firstpageright boolean, masterid long, masterrange string", "id long, documentid long, title string, flowmap map<bigint,array<int>>"
 PAGE = "id long, documentid long, sourceid long, sortorder int, pagetype string, spreadid long, spreadside string, pinside string, filler boolean, staged boolean, layoutside string"
@@ -110,3 +113,39 @@ def test_deletions_leave_nothing_behind(spark):
         assert {r.id for r in left[n].collect()} == {r.id for r in t[n].collect() if r.documentid not in gone}
     pages = {r.id for r in left["page"].collect()}
     assert {r.id for r in left["overlay"].collect()} == {r.id for r in t["overlay"].collect() if r.pageid in pages}
+
+
+def test_null_keys_are_dealt_out(spark):
+    """Rows in no spread, or without a master, aren't one task's: no partition behind the lookup holds most of them."""
+    from quire.functions.keys import looked_up
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN id END AS spreadid", "'left' AS spreadside")
+        left = O.unlink(rows, rows.where("id % 20 = 0").select("spreadid"))
+        sizes = [r["count"] for r in left.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1000
+        assert left.where("spreadid IS NOT NULL").count() == 200
+        found = looked_up(rows, "spreadid", spark.createDataFrame([(0, "a"), (10, "b"), (None, "c")], "spreadid long, x string"))
+        assert sorted((r.id, r.x) for r in found.where("x IS NOT NULL").collect()) == [(0, "a"), (10, "b")] and found.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_masters_of_one_user_are_many_tasks(spark):
+    """All documents of one user: each meets each master but itself, and no task makes most of the rows."""
+    from quire.operators import provenance
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        documents = spark.range(600).selectExpr("id", "1 AS course", "id % 2 = 0 AS ismaster")
+        grants = spark.createDataFrame([(5, 1), (5, 1), (6, 2)], "userid int, course int")
+        found = provenance.copy_sources(documents, grants, documents.selectExpr("5 AS userid", "id AS documentid").where("documentid < 40"))
+        assert sorted(map(tuple, found.collect())) == [(5, i, j) for i in range(40) for j in range(0, 600, 2) if i != j]
+        assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < found.count() / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.tables import small_batches
 from quire.llm.components import components
 from quire.llm.store import cut, written
 from quire.llm.substring import build_filter, byte_slices
@@ -351,6 +352,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     different rows; repeated rows are one. Rows with null ids or without words keep to themselves
     (component: the id; first). An empty table gives no rows; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     words = [f"w{k}" for k in range(WIDE)]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

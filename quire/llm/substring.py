@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.tables import small_batches
 from quire.llm.store import cut, fresh, written
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -134,6 +135,7 @@ def _joined(parts: list[np.ndarray], dtype=np.uint64) -> np.ndarray:
 def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 27) -> DataFrame:
     """docs (doc_id, key, text) -> (key, at): starts of windows whose words also start in a document with a smaller id."""
     spark, block = docs.sparkSession, window // 2
+    small_batches(spark)
     docs = docs.select("doc_id", "key", "text")
 
     def aligned(batches):

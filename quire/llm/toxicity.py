@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.tables import small_batches
 from quire.llm.store import cut
 
 # Letters that a sign may stand for.
@@ -103,14 +104,26 @@ class Decoder:
     def restore(self, run: str) -> str:
         """The likeliest letters behind a run; states are the last two characters written."""
         low, cost, code_of = run.lower(), self.cost, self.code
-        plain = [i for i, c in enumerate(low) if c.isalnum() or c in SIGNS and c not in EDGE]
-        lo, hi = (plain[0], plain[-1]) if plain else (0, -1)  # signs of EDGE outside are likely punctuation
-        doubled = DOUBLE_COST if sum(x == y and x.isalpha() for x, y in zip(low, low[1:])) > 1 else LONE_COST  # one is common spelling
+        lo, hi = 0, -1
+        if not low.isalpha():
+            plain = [i for i, c in enumerate(low) if c.isalnum() or c in SIGNS and c not in EDGE]
+            lo, hi = (plain[0], plain[-1]) if plain else (0, -1)  # signs of EDGE outside are likely punctuation
+        doubled = None
         states = {("", ""): (0.0, None, 0)}  # of the last two characters: cost, what is written, place of the next costs
         before = ""
         for i, c in enumerate(low):
             letter = c.isalpha()
+            if letter and c != before:  # one way to go on
+                before, cx, new = c, code_of[c], {}
+                for key, (so_far, text, base) in states.items():
+                    to, total = (key[1], c), so_far + cost[base + cx]
+                    if to not in new or total < new[to][0]:
+                        new[to] = (total, (c, text), ((base & A * A - 1) + cx) * A)
+                states = new
+                continue
             if letter:
+                if doubled is None:
+                    doubled = DOUBLE_COST if sum(x == y and x.isalpha() for x, y in zip(low, low[1:])) > 1 else LONE_COST  # one is common spelling
                 arcs = ((c, code_of[c], 0.0),)  # (what is written, its class, channel cost)
             else:
                 inner = 0 < i < len(low) - 1
@@ -151,8 +164,9 @@ class Decoder:
             if len(self.known) > 50_000:
                 self.known.clear()
             out = self.restore(run)
-            if word_line(out) == word_line(run.lower()):  # its letters stay, so its punctuation does
-                out = run.lower()
+            low = run.lower()
+            if out != low and word_line(out) == word_line(low):  # its letters stay, so its punctuation does
+                out = low
             if len(run) <= 200:  # only what is remembered depends on the length
                 self.known[run] = out
         return out
@@ -161,11 +175,12 @@ class Decoder:
         """A whole text in lower case with suspicious runs restored."""
         if len(text) < 3:
             return text.lower()
-        kind = _kinds()[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        bmp = np.minimum(cp, 0xFFFF)
+        kind = _kinds()[bmp]
         letter, sign, gap, space = (kind & k > 0 for k in (1, 2, 4, 8))
         hit = np.zeros(len(cp), bool)
-        low = _lower()[np.minimum(cp, 0xFFFF)]
+        low = _lower()[bmp]
         hit[1:] |= letter[1:] & (low[1:] == low[:-1]) & (cp[1:] < 0x10000)  # a letter twice
         word = np.cumsum(space)  # number of each character's word
         mixed = np.bincount(word[letter], minlength=word[-1] + 1).astype(bool) & np.bincount(word[sign], minlength=word[-1] + 1).astype(bool)
@@ -286,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     null texts are empty ones; texts are read whole; columns other than the two are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = language_model(docs, text_col)
     rows = cut(training_rows(docs, labels, id_col, text_col, most))
     size = {y: n for y, n in rows.groupBy("toxic").count().collect()}
@@ -330,6 +346,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     A null text counts as empty and scores as one; texts are scored whole; equal texts score alike;
     an empty table gives no rows. Other columns stay, but for those named like the new ones in any case.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")

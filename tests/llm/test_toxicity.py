@@ -94,3 +94,21 @@ def test_edges(spark, edge, empty):
         got = toxicity.score(edge, toxicity.fit(edge, rows)).collect()
         assert len(got) == edge.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_workers_get_few_bytes_at_once(spark):
+    """Texts of a hundred megabytes in one partition come to a worker in batches of about four."""
+    from pyspark.sql import functions as F
+
+    from quire.functions.tables import small_batches
+
+    small_batches(spark)
+    texts = spark.range(0, 5_000, 1, 1).select(F.repeat(F.lit("abcd"), 5_000).alias("t"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 12_000_000

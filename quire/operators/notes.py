@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.tables import small_batches
 from quire.operators.blocks import import_blocks
 from quire.operators.typeset import MARKUP, TAG, TOKEN, VOID
 
@@ -119,6 +120,7 @@ def noted_pages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
         rows = [cut_notes(t) for t in texts]
         return pd.DataFrame({"html": [r[0] for r in rows], "notes": [[{"numbered": n, "html": h} for n, h in r[1]] for r in rows]})
 
+    small_batches(pages.sparkSession)
     return pages.select(key, cut(T.drop_active(T.body(F.col(html)))).alias("x")).select(key, "x.html", "x.notes")
 
 

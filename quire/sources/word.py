@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.tables import small_batches
+
 # Name spaces of Word documents.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -116,6 +118,7 @@ def word_parts(files: DataFrame, rows: int = 2_000) -> DataFrame:
                 if found:
                     yield packed(found)
 
+    small_batches(files.sparkSession)
     return files.select("path", "content").mapInArrow(read, PARTS)
 
 

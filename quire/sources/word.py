@@ -124,9 +124,11 @@ def word_parts(files: DataFrame, rows: int = 2_000) -> DataFrame:
 
 def word_media(parts: DataFrame) -> DataFrame:
     """(path, id, src, filename, data): pictures by relation; relations without an entry and entries without a relation are left out."""
-    links = parts.where("part = 'relation'").select("path", F.col("kind").alias("id"), F.col("value").alias("entry"))
-    media = parts.where("part = 'media'").select("path", F.col("value").alias("entry"), "data")
-    return links.join(media, ["path", "entry"]).select("path", "id", F.concat(F.lit("docx:"), "entry").alias("src"), F.element_at(F.split("entry", "/"), -1).alias("filename"), "data")
+    d = parts.where("part IN ('relation', 'media') AND path IS NOT NULL").select("path", F.col("value").alias("entry"), "part", "kind", "data")
+    of = lambda part, c: F.collect_list(F.when(F.col("part") == part, F.struct(c)))
+    d = d.groupBy("path", "entry").agg(of("relation", "kind").alias("links"), of("media", "data").alias("media"))
+    d = d.select("path", "entry", F.explode("links").alias("l"), "media").select("path", "entry", F.col("l.kind").alias("id"), F.explode("media").alias("m"))
+    return d.select("path", "id", F.concat(F.lit("docx:"), "entry").alias("src"), F.element_at(F.split("entry", "/"), -1).alias("filename"), "m.data")
 
 
 def _escaped(c: Column) -> Column:

@@ -363,13 +363,17 @@ def frames(placed: DataFrame, key: str = "doc_id") -> DataFrame:
     A run of text is one frame, from its first top to its last bottom (at most the type area's), at least a line high, its
     parts joined by a line end; pictures, figures and notes are frames of their own. block_index is the first block's.
     """
-    text = placed.where("kind = 'text'").groupBy(key, "page_no", "run").agg(
+    columns = ["side", "kind", "x", "y", "w", "h", "html", "block_index"]
+    text = F.col("kind") == "text"
+    d = placed.where("kind IS NOT NULL").groupBy(key, "page_no", text.alias("text"), F.when(text, F.col("run")).alias("run")).agg(
         F.first("side").alias("side"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("w").alias("w"), F.max(F.col("y") + F.col("h")).alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "part", "html"))), lambda r: r["html"]), "\n").alias("html"), F.min("block_index").alias("block_index"),
+        F.array_sort(F.collect_list(F.when(text, F.struct("block_index", "part", "html")))).alias("parts"), F.min("block_index").alias("block_index"),
+        F.collect_list(F.when(~text, F.struct(*columns))).alias("others"),
     )
     h = F.greatest(F.least("end", F.lit(AREA_BOTTOM)) - F.col("y"), F.lit(LINE_H))
-    columns = [key, "page_no", "side", "kind", "x", "y", "w", "h", "html", "block_index"]
-    return text.withColumn("h", h).withColumn("kind", F.lit("text")).select(*columns).unionByName(placed.where("kind <> 'text'").select(*columns))
+    html = F.array_join(F.transform("parts", lambda r: r["html"]), "\n")
+    one = F.struct("side", F.lit("text").alias("kind"), "x", "y", "w", h.alias("h"), html.alias("html"), "block_index")
+    return d.select(key, "page_no", F.explode(F.when(F.col("text"), F.array(one)).otherwise(F.col("others"))).alias("r")).select(key, "page_no", "r.*")
 
 
 def flow_map(placed: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.operators import typeset
 from quire.sources import word
 
 
@@ -15,3 +16,12 @@ def test_pictures_of_word_files_open_an_archive_once(spark):
     assert sorted((r.path, r.id, r.filename, bytes(r.data)) for r in word.word_media(parts).collect()) == [("a", "r1", "x.png", b"A"), ("a", "r2", "x.png", b"A")]
     files = spark.createDataFrame([("a", b"no archive")], "path string, content binary")
     assert _plan(word.word_media(word.word_parts(files))).count("MapInArrow") == 1
+
+
+def test_frames_set_the_pages_once(spark):
+    rows = [("text", 1, 0, 0, 0.1, 0.1, 0.5, 0.1, "b"), ("text", 1, 0, 1, 0.1, 0.2, 0.5, 0.1, "c"), ("image", 1, 1, 0, 0.2, 0.3, 0.4, 0.2, None), ("image", 1, 1, 1, 0.2, 0.3, 0.4, 0.2, None), (None, 1, 2, 0, 0.2, 0.3, 0.4, 0.2, "x"), ("note", None, 3, 0, 0.7, 0.3, 0.2, 0.2, "n"), ("text", None, 4, 0, 0.1, 0.6, 0.5, 0.1, "t")]
+    placed = spark.createDataFrame([(7, 1, "left", *r) for r in rows], "doc_id long, page_no int, side string, kind string, run int, block_index long, part int, x double, y double, w double, h double, html string")
+    got = sorted((r.kind, r.block_index, r.html) for r in typeset.frames(placed).collect())
+    assert got == [("image", 1, None), ("image", 1, None), ("note", 3, "n"), ("text", 0, "b\nc"), ("text", 4, "t")]
+    blocks = spark.createDataFrame([(1, 0, "text", "p", "<p>a</p>")], "doc_id long, block_index long, kind string, tag string, html string")
+    assert _plan(typeset.frames(typeset.typeset(blocks))).count("MapInArrow") == 1

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
-def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, token, tag, closing) of the bodies' tokens."""
-    d = pages.select(key, F.posexplode(T.tokens(T.body(F.col(html)))).alias("pos", "token"))
+def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html", notes: str = "") -> DataFrame:
+    """(key, pos, token, tag, closing) of the bodies' tokens. The array named by notes follows as empty tokens with mark (its place) and note (its html)."""
+    tokens = T.tokens(T.body(F.col(html)))
+    if notes:
+        item = lambda token, mark, note: F.struct(token.alias("token"), mark.alias("mark"), note.alias("note"))
+        found = F.transform(tokens, lambda t: item(t, F.lit(None).cast("int"), F.lit(None).cast("string")))
+        behind = F.transform(notes, lambda x, i: item(F.lit(""), i, x["html"]))
+        d = pages.select(key, F.posexplode(F.concat(found, behind)).alias("pos", "x")).select(key, "pos", "x.*")
+    else:
+        d = pages.select(key, F.posexplode(tokens).alias("pos", "token"))
     tag = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     return d.withColumn("tag", tag).withColumn("closing", F.startswith("token", F.lit("</")))
 
@@ -40,14 +47,15 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     return b.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("seg")) - 1).drop("seg")
 
 
-def import_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def import_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", notes: str = "") -> DataFrame:
     """(key, block_index, kind, tag, html, text, src, alt, caption): text elements, images and page breaks in reading order.
 
     Text blocks are those of :func:`html_blocks`, with their markup and without their images, which
     follow them; a page-break hr (by class or style) is a block. The caption of a figure goes to its
-    images, or is a paragraph where it has none. A null html gives no blocks.
+    images, or is a paragraph where it has none. A null html gives no blocks. ``notes`` names an array of
+    struct<html>: each is a row of kind note (tag: its place in the array) behind the page's blocks, so that what made pages is read once.
     """
-    d = html_tokens(pages, key, html).repartition(key)
+    d = html_tokens(pages, key, html, notes).repartition(key)
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     nest = F.col("tag").isin("ul", "ol", "dl", "table", "blockquote", "pre")
     step = F.when(nest & F.col("closing"), -1).when(nest, 1).otherwise(0)
@@ -67,7 +75,8 @@ def import_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["token"]), "")
     broken = F.max(F.when((F.col("tag") == "hr") & F.rlike(F.concat_ws(" ", attr("class"), attr("style")), F.lit("(?i)page-?break")), 1).otherwise(0)) == 1
     pictures = F.array_sort(F.collect_list(F.when(picture, F.struct("pos", attr("src").alias("src"), attr("alt").alias("alt")))))
-    seg = d.groupBy(key, "seg").agg(name.alias("tag"), joined.alias("inner"), F.max(F.when(F.col("__in"), F.col("figure"))).alias("figure"), broken.alias("broken"), pictures.alias("pictures"))
+    apart = [F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("pos", "mark", "note")))).alias("__notes")] if notes else []
+    seg = d.groupBy(key, "seg").agg(name.alias("tag"), joined.alias("inner"), F.max(F.when(F.col("__in"), F.col("figure"))).alias("figure"), broken.alias("broken"), pictures.alias("pictures"), *apart)
     seg = seg.withColumn("text", T.plain_text(F.col("inner")))
     same = Window.partitionBy(key, "figure")
     label = (F.col("tag") == "figcaption") & (F.col("text") != "")
@@ -81,7 +90,8 @@ def import_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     broke = F.when(F.col("broken"), F.array(row("pagebreak", none, none, none, none, none, none))).otherwise(F.array())
     words = F.when((F.col("text") != "") & ~F.col("__label"), F.array(row("text", tag, made, F.col("text"), none, none, none))).otherwise(F.array())
     images_ = F.transform("pictures", lambda p: row("image", F.lit("img"), none, none, p["src"], p["alt"], F.coalesce("caption", F.lit(""))))
-    every = seg.select(key, "seg", F.posexplode(F.concat(broke, words, images_)).alias("n", "x"))
+    apart = [F.transform("__notes", lambda x: row("note", x["mark"].cast("string"), x["note"], none, none, none, none))] if notes else []
+    every = seg.select(key, "seg", F.posexplode(F.concat(broke, words, images_, *apart)).alias("n", "x"))
     return every.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("seg", "n")) - 1).select(key, "block_index", "x.*")
 
 

@@ -124,8 +124,8 @@ def noted_pages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(key, cut(T.drop_active(T.body(F.col(html)))).alias("x")).select(key, "x.html", "x.notes")
 
 
-def attach_notes(blocks: DataFrame, notes: DataFrame, key: str) -> DataFrame:
-    """Blocks (key, block_index, kind, tag, html, src, alt, caption) with marks, notes (key, mark, note) -> the same with ``notes``, an array of html.
+def attach_notes(blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks (key, block_index, kind, tag, html, src, alt, caption) with marks, and rows of kind note (tag: mark) -> blocks with ``notes``, an array of html.
 
     Numbered notes count on through a page; their marks become their numbers, those of margin notes nothing. A
     text block of nothing but marks goes, and its notes come first in the next text block, those behind the last
@@ -150,10 +150,12 @@ def attach_notes(blocks: DataFrame, notes: DataFrame, key: str) -> DataFrame:
     shown = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.when(i < F.size("__marks"), sup(F.try_element_at("__numbers", i + 1))).otherwise(""))), "")
     d = d.withColumn("html", F.when(F.size("__marks") > 0, shown).otherwise(F.col("html")))
     fields = [c for c in blocks.columns if c not in (key, "block_index")]
-    own = F.when(~F.col("__bare"), F.struct(*fields))
-    d = d.select(key, "__holder", "block_index", own.alias("__own"), F.posexplode_outer(F.arrays_zip(F.col("__marks").alias("m"), F.col("__numbers").alias("n"))).alias("at", "__m"))
-    d = d.withColumn("mark", F.regexp_extract("__m.m", r"^(\d+)", 1).try_cast("int")).withColumn("__own", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("__own")))
-    d = d.join(notes, [key, "mark"], "left")
+    apart = F.coalesce(F.col("kind") == "note", F.lit(False))
+    own = F.when(~F.col("__bare") & ~apart, F.struct(*fields))
+    given = F.when(apart, F.struct(F.col("tag").cast("int").alias("mark"), "html"))
+    d = d.select(key, "__holder", "block_index", own.alias("__own"), given.alias("__given"), F.posexplode_outer(F.arrays_zip(F.col("__marks").alias("m"), F.col("__numbers").alias("n"))).alias("at", "__m"))
+    d = d.withColumn("mark", F.coalesce("__given.mark", F.regexp_extract("__m.m", r"^(\d+)", 1).try_cast("int"))).withColumn("__own", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("__own")))
+    d = d.withColumn("note", F.when(F.col("mark").isNotNull(), F.max("__given.html").over(Window.partitionBy(key, "mark")))).where("__given IS NULL")
     inner = F.when(F.rlike("note", F.lit(r"(?i)^<(p|ul|ol|div|table|figure|blockquote)\b")), F.col("note")).otherwise(F.concat(F.lit("<p>"), "note", F.lit("</p>")))
     inner = F.when(F.col("__m.n").isNull(), inner).otherwise(F.concat(F.regexp_replace(F.regexp_extract(inner, r"(?i)^(<p>)?", 1), r"(?i)<p>", F.concat(F.lit("<p>"), sup(F.col("__m.n")), F.lit(" "))), F.regexp_replace(inner, r"(?i)^<p>", "")))
     given = F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("block_index", "at", inner.alias("html")))))
@@ -164,5 +166,4 @@ def attach_notes(blocks: DataFrame, notes: DataFrame, key: str) -> DataFrame:
 def noted_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, block_index, kind, tag, html, src, alt, caption, notes) of pages whose notes stand beside the blocks."""
     cut = noted_pages(pages, key, html)
-    notes = cut.select(key, F.posexplode("notes").alias("mark", "x")).select(key, "mark", F.col("x.html").alias("note"))
-    return attach_notes(import_blocks(cut, key).drop("text"), notes, key)
+    return attach_notes(import_blocks(cut, key, notes="notes").drop("text"), key)

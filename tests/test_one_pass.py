@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.operators import typeset
+from quire.operators import notes, typeset
 from quire.sources import word
 
 
@@ -25,3 +25,11 @@ def test_frames_set_the_pages_once(spark):
     assert got == [("image", 1, None), ("image", 1, None), ("note", 3, "n"), ("text", 0, "b\nc"), ("text", 4, "t")]
     blocks = spark.createDataFrame([(1, 0, "text", "p", "<p>a</p>")], "doc_id long, block_index long, kind string, tag string, html string")
     assert _plan(typeset.frames(typeset.typeset(blocks))).count("MapInArrow") == 1
+
+
+def test_notes_are_cut_out_of_a_page_once(spark):
+    pages = spark.createDataFrame([(1, "<p>a<aside>m</aside></p><p>b<span class='sidenote'>s</span></p><div class='marginnote'>e</div>"), (2, "<p>none</p>"), (3, None)], "id long, html string")
+    found = notes.noted_blocks(pages, "id")
+    assert _plan(found).count("ArrowEvalPython") == 1
+    got = {(r.id, r.block_index): (r.kind, r.html, r.notes) for r in found.collect()}
+    assert got == {(1, 0): ("text", "<p>a</p>", ["<p>m</p>"]), (1, 1): ("text", "<p>b<sup>1</sup></p>", ["<p><sup>1</sup> s</p>", "<p>e</p>"]), (2, 0): ("text", "<p>none</p>", [])}

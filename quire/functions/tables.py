@@ -1,7 +1,8 @@
-"""Tables of a run in the folder that driver and executors share, and the size of what Python workers get at once."""
+"""Tables of a run in the folder that driver and executors share, and the size of what Python workers and tasks get at once."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,3 +36,17 @@ def small_batches(spark: SparkSession, most: int = 1 << 22) -> None:
     now = spark.conf.get(name).lower().rstrip("b")
     if not (now.isdigit() and 0 < int(now) <= most):
         spark.conf.set(name, f"{most}b")
+
+
+def small_tasks(spark: SparkSession, most: int = 1 << 23, first: int = 1000) -> None:
+    """Tasks of this session behind a shuffle read about ``most`` bytes of it; a smaller setting stays, and one that can't be read as well.
+
+    Rows grow twenty-fold where they are sorted, so a task of 64 MB needs gigabytes or spills. Partitions are joined up to this
+    size, so there are ``first`` of them to begin with (a given number of them stays): memory of a task doesn't grow with the input.
+    """
+    size, number = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    m = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(size).lower())
+    if m and int(m[1]) << 10 * " kmgt".index(m[2] or " ") > most:
+        spark.conf.set(size, f"{most}b")
+    if spark.conf.get(number, None) is None and int(spark.conf.get("spark.sql.shuffle.partitions")) < first:
+        spark.conf.set(number, str(first))

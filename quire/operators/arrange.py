@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import mirrored
+from quire.functions.tables import small_tasks
 from quire.operators.order import with_blanks
 
 OUT = ("documentid", "id", "position", "side", "filler", "spreadid", "spreadside", "pinside", "layoutside", "turned")
@@ -42,6 +43,7 @@ def settled(d: DataFrame, *order: str) -> DataFrame:
     further ones have no id yet, surplus fillers go. ``turned`` marks pages that were set for the other side: their frames are
     to be mirrored, layoutside is the new side.
     """
+    small_tasks(d.sparkSession)  # a page is in as many sorts as there are windows
     d = d.withColumns({c: F.when(~F.col("__unused"), F.col(c)) for c in ("spreadside", "pinside")})
     d = with_blanks(d, "documentid", "__unused", order=order)
     w = Window.partitionBy("documentid", "__unused").orderBy("position")

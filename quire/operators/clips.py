@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.tables import small_tasks
+
 CLIP = r"^ausschnitt-(\d+)\.png$"  # fixed value: the name of a numbered clip
 STORED = r"^@@PLUGINFILE@@/"  # fixed value: the mark before a stored file's name
 
@@ -20,6 +22,7 @@ def missing_clips(published: DataFrame, own: DataFrame, commands: DataFrame) ->
 
     A clip of the same name that the target already has stays; of two masters with one name the lower id gives it.
     """
+    small_tasks(published.sparkSession)
     d = published.join(commands.select("target", F.col("masterid").alias("documentid")).distinct(), "documentid")
     d = d.groupBy(F.col("target"), "filename").agg(F.min("documentid").alias("copied_from")).withColumnRenamed("target", "documentid")
     return d.join(own.select("documentid", "filename").distinct(), ["documentid", "filename"], "left_anti").select("documentid", "filename", "copied_from")
@@ -39,6 +42,7 @@ def snippet_images(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 def layout_images(refs: DataFrame, clips: DataFrame, printed: bool = False) -> DataFrame:
     """refs (id, documentid, src, alt) -> (id, url, fallback): the clip of that name, else on screen a web address itself, else the text."""
+    small_tasks(refs.sparkSession)
     have = clips.select("documentid", F.col("filename").alias("src"), F.lit(True).alias("__k")).distinct()
     d = refs.join(have, ["documentid", "src"], "left")
     web = F.lit(not printed) & F.coalesce(F.rlike("src", F.lit("(?i)^https?://")), F.lit(False))

@@ -36,3 +36,9 @@ def test_larger_tasks_are_cut_and_smaller_ones_stay(session):
 def test_tasks_of_arrangements_are_small(session, sf, name):
     QUERIES[name](session, sf)
     assert session.conf.get(SIZE) == "8388608b" and session.conf.get(NUMBER) == "1000"
+
+
+@pytest.mark.parametrize("name", ["layout_images", "missing_clips"])
+def test_tasks_of_clips_are_small(session, sf, name):
+    QUERIES[name](session, sf)
+    assert session.conf.get(SIZE) == "8388608b" and session.conf.get(NUMBER) == "1000"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.keys import looked_up
 from quire.functions.ranges import in_range
+from quire.functions.tables import small_tasks
 from quire.operators.arrange import arranged, numbered
 from quire.operators.order import reading_order
 
@@ -50,6 +51,7 @@ def restored(tables: dict[str, DataFrame], first: dict[str, int], known: DataFra
     and then its side; of a flow map (source.flowmap, map from page to blocks) the pages that didn't come along go.
     known (id): documents that are here already; a masterid that isn't among them becomes null, and masterrange with it.
     """
+    small_tasks(tables["document"].sparkSession)
     given = {name: numbered(rows, first[name], "id", column="__id") for name, rows in tables.items()}
     keys = {name: d.select(F.col("id").alias("old"), F.col("__id").alias("new")) for name, d in given.items()}
     fresh = {name: d.withColumn("id", F.col("__id")).drop("__id") for name, d in given.items()}
@@ -78,6 +80,7 @@ def copied(tables: dict[str, DataFrame], commands: DataFrame, first: dict[str, i
     that isn't there becomes null. A spread stays (under its first page's new id) if both halves came, pins stay. Overlays come with their pages.
     Lineage is recorded: masterid and masterrange of the targets. Balance the result with :func:`with_copies`.
     """
+    small_tasks(commands.sparkSession)
     pages = tables["page"]
     counted = reading_order(pages).withColumn("__t", F.count("*").over(Window.partitionBy("documentid")))
     asked = commands.select("target", F.col("masterid").alias("documentid"), F.col("range").alias("__r"))

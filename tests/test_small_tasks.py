@@ -42,3 +42,9 @@ def test_tasks_of_arrangements_are_small(session, sf, name):
 def test_tasks_of_clips_are_small(session, sf, name):
     QUERIES[name](session, sf)
     assert session.conf.get(SIZE) == "8388608b" and session.conf.get(NUMBER) == "1000"
+
+
+@pytest.mark.parametrize("name", ["restored_pages", "restored_sources", "restored_rows", "copied_pages", "copies_balanced"])
+def test_tasks_of_copies_are_small(session, sf, name):
+    QUERIES[name](session, sf)
+    assert session.conf.get(SIZE) == "8388608b" and session.conf.get(NUMBER) == "1000"

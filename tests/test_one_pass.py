@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.operators import notes, typeset
+from quire.operators import impose, notes, typeset
 from quire.sources import word
 
 
@@ -33,3 +33,18 @@ def test_notes_are_cut_out_of_a_page_once(spark):
     assert _plan(found).count("ArrowEvalPython") == 1
     got = {(r.id, r.block_index): (r.kind, r.html, r.notes) for r in found.collect()}
     assert got == {(1, 0): ("text", "<p>a</p>", ["<p>m</p>"]), (1, 1): ("text", "<p>b<sup>1</sup></p>", ["<p><sup>1</sup> s</p>", "<p>e</p>"]), (2, 0): ("text", "<p>none</p>", [])}
+
+
+def test_print_items_places_the_pages_once(spark):
+    pages = spark.createDataFrame([(1, 10, 1, 7, 1240, 1754, False), (1, 11, 2, 8, 1240, 1754, False), (1, 12, 3, None, 1240, 1754, False), (1, 13, 4, 7, 1240, 1754, True)], "documentid long, id long, sortorder long, sourceid long, width int, height int, staged boolean")
+    documents = spark.createDataFrame([(1, "", True)], "id long, pagerange string, firstpageright boolean")
+    sources = spark.createDataFrame([(7, "T", "", "A", True), (8, "U", "", "", True)], "id long, title string, url string, author string, showcitation boolean")
+    rows = [(3, 10, "textbox", 1), (2, 10, "mask", 1), (1, 10, "imageframe", 9), (4, 10, "audio", 1), (5, 11, "audio", 1), (6, 12, "mask", 1), (7, 13, "mask", 1), (8, None, "textbox", 1)]
+    overlays = spark.createDataFrame([(*r, 0.1, 0.1, 0.5, 0.1) for r in rows], "id long, pageid long, overlaytype string, sortorder long, x double, y double, w double, h double")
+    found = impose.print_items(pages, documents, overlays, sources)
+    assert _plan(found).count("LocalTableScan") + _plan(found).count("ExistingRDD") == 4  # one for each input
+    got = sorted((r.pageid, r.z, r.kind, r.overlayid, r.text) for r in found.collect())
+    cited = (10, 1 << 30, "citation", None, "Source: A, T")
+    assert got == [(10, 0, "page", None, None), (10, 1, "imageframe", 1, None), (10, 2, "mask", 2, None), (10, 3, "textbox", 3, None), cited, (11, 0, "page", None, None), (12, 0, "page", None, None), (12, 1, "mask", 6, None)]
+    unmasked = impose.print_items(pages, documents, overlays, sources, solutions=True)
+    assert sorted((r.pageid, r.z, r.kind) for r in unmasked.collect()) == [(10, 0, "page"), (10, 1, "imageframe"), (10, 2, "textbox"), (10, 1 << 30, "citation"), (11, 0, "page"), (12, 0, "page")]

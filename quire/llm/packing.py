@@ -80,7 +80,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, end: int, path: str |
         coder = library_encoder(path)
         tail = np.array([end], coder.width).tobytes()
         for b in byte_slices(batches, 1):
-            blobs = [coder.encode(t.as_py() or "") + tail for t in b.column(1)]
+            blobs = [ids + tail for ids in coder.encode_all([t or "" for t in b.column(1).to_pylist()])]
             n = np.array([len(x) // coder.width.itemsize for x in blobs], np.int64)
             p = project(np.frombuffer(b"".join(blobs), coder.width), n) if len(n) else np.zeros((0, DIMS), np.float32)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": n, "ids": pa.array(blobs, pa.binary()), "p": pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), DIMS).cast(pa.list_(pa.float32()))})

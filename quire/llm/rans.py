@@ -27,6 +27,8 @@ LOW = np.uint64(1 << 31)  # states lie in [2 ** 31, 2 ** 63)
 LANES = 32
 CHECKPOINT = 256  # steps between checkpoints
 BLOCK = 32_768  # a block is closed when it has this many tokens
+TEXTS = 500  # texts that are encoded at once
+GROUP = 64  # blocks that are coded or decoded in step
 MAGIC = b"QRA1"
 
 
@@ -141,15 +143,18 @@ def _blocks(end: int, path: str | None, block: int):
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int64()), "first": [so_far], "n": [size], "docs": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "ids": pa.array([b"".join(blobs)], pa.binary())})
 
         for b in batches:
-            for doc, text, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                ids, part = coder.encode(text.as_py() or "") + tail, p
-                docs.append(doc)
-                lengths.append(len(ids) // coder.width.itemsize)
-                blobs.append(ids)
-                size += lengths[-1]
-                if size >= block:
-                    yield row()
-                    so_far, number, docs, lengths, blobs, size = so_far + size, number + 1, [], [], [], 0
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                coded = coder.encode_all([t or "" for t in some.column(1).to_pylist()])
+                for doc, ids, p in zip(some.column(0).to_pylist(), coded, some.column(2).to_pylist()):
+                    part = p
+                    docs.append(doc)
+                    lengths.append(len(ids) // coder.width.itemsize + 1)
+                    blobs += [ids, tail]
+                    size += lengths[-1]
+                    if size >= block:
+                        yield row()
+                        so_far, number, docs, lengths, blobs, size = so_far + size, number + 1, [], [], [], 0
         if docs:
             yield row()
 
@@ -190,8 +195,8 @@ def write(docs: DataFrame, folder: str, end: int = 2, id_col: str = "doc_id", te
         shared = Table(table.value)
         for b in batches:
             ids = b.column(6)
-            for at in range(0, len(ids), 64):
-                chosen = [np.frombuffer(ids[i].as_buffer(), width) for i in range(at, min(at + 64, len(ids)))]
+            for at in range(0, len(ids), GROUP):
+                chosen = [np.frombuffer(ids[i].as_buffer(), width) for i in range(at, min(at + GROUP, len(ids)))]
                 yield pa.RecordBatch.from_arrays([*b.slice(at, len(chosen)).columns[:6], pa.array(encode_blocks(chosen, shared), pa.binary())], names=[*b.schema.names[:6], "payload"])
 
     tokens.mapInArrow(encode, schema.replace("ids binary", "payload binary")).write.parquet(f"{folder}/blocks")
@@ -220,8 +225,8 @@ def _read(spark: SparkSession, folder: str, last: str, of_ids: Callable, kind: p
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(np.frombuffer(shared.value, np.int64))
         for b in batches:
-            for lo in range(0, b.num_rows, 16):
-                rows = b.slice(lo, 16).to_pylist()
+            for lo in range(0, b.num_rows, GROUP):
+                rows = b.slice(lo, GROUP).to_pylist()
                 docs, starts, lengths, blobs = [], [], [], []
                 for row, ids in zip(rows, decode_blocks([r["payload"] for r in rows], table)):
                     ends = np.cumsum(row["lengths"])

@@ -31,6 +31,22 @@ def test_ids_equal_the_library(library):
         assert np.frombuffer(other.encode(t), other.width).tolist() == want.ids
 
 
+def test_texts_together_have_the_library_s_ids(library, monkeypatch):
+    rnd = random.Random(2)
+    texts = ODD + ["".join(rnd.choice("ab 's\n\tdtmrevl!1é \xa0  \'\'\'×'2") for _ in range(rnd.randrange(40))) for _ in range(3000)] + ["", ""]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for at_once, kept in ((1, 350_000), (50, 10), (10_000, 350_000)):
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        coder = tokens.LibraryEncoder(public_tokenizers.path(bpe.VOCABULARY))
+        assert [np.frombuffer(x, coder.width).tolist() for x in coder.encode_all(texts)] == want
+    assert coder.encode_all([]) == []
+    calls = []
+    coder.known.__class__ = type("Counted", (tokens._Pieces,), {"__getitem__": lambda self, p: calls.append(p) or tokens._Pieces.__missing__(self, p)})
+    coder.encode_all(["one two"] * 500)
+    assert sorted(calls) == [" two", "one"]  # each distinct piece is looked up once
+
+
 def test_bpe_digests(edge, empty, edge_rows, library):
     got = sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(edge).collect())
     want = []

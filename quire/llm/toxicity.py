@@ -30,6 +30,7 @@ A = 64  # characters of the model: 0 no letter, 1-26 a-z, 27-62 other letters of
 SIGN_COST, GAP_COST, WORD_COST, REPEAT_COST, DOUBLE_COST, LONE_COST, KEEP_COST, EDGE_COST = 1.0, 0.3, 4.0, 0.7, 5.0, 10.0, 6.0, 6.0
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+DOUBLES = re.compile(r"(.)(?=\1)", re.DOTALL)
 
 
 def code(c: str) -> int:
@@ -100,18 +101,47 @@ class Decoder:
         self.cost = model.ravel().tolist()  # at (before 2 * A + before 1) * A + character
         self.code = _Codes()
         self.known: dict[str, str] = {}
+        self.ends: dict[str, str] = {}
 
     def restore(self, run: str) -> str:
-        """The likeliest letters behind a run; states are the last two characters written."""
-        low, cost, code_of = run.lower(), self.cost, self.code
+        """The likeliest letters behind a run; of letters ahead that aren't repeated only the last two matter to what follows."""
+        low, at, last = run.lower(), 0, ""
+        while at < len(low) and (x := low[at]).isalpha() and x != last:
+            at, last = at + 1, x
+        if at == len(low):
+            return low
+        head, end = low[: max(0, at - 2)], low[max(0, at - 2) :]
+        out = self.ends.get(end)
+        if out is None:
+            if len(self.ends) > 50_000:
+                self.ends.clear()
+            out = self.likeliest(end)
+            if len(end) <= 200:  # only what is remembered depends on the length
+                self.ends[end] = out
+        return head + out
+
+    def likeliest(self, low: str) -> str:
+        """The likeliest letters behind a run in lower case; states are the last two characters written."""
+        cost, code_of = self.cost, self.code
         lo, hi = 0, -1
         if not low.isalpha():
             plain = [i for i, c in enumerate(low) if c.isalnum() or c in SIGNS and c not in EDGE]
             lo, hi = (plain[0], plain[-1]) if plain else (0, -1)  # signs of EDGE outside are likely punctuation
         doubled = None
         states = {("", ""): (0.0, None, 0)}  # of the last two characters: cost, what is written, place of the next costs
-        before = ""
-        for i, c in enumerate(low):
+        before, i, size = "", -1, len(low)
+        while (i := i + 1) < size:
+            c = low[i]
+            if len(states) == 1:  # there is one way as far as letters follow that aren't repeated; its cost decides nothing
+                end, last = i, before
+                while end < size and (x := low[end]).isalpha() and x != last:
+                    end, last = end + 1, x
+                if end > i:
+                    [((p, q), (_, text, base))] = states.items()
+                    for x in low[max(i, end - 2) : end]:
+                        p, q, base = q, x, ((base & A * A - 1) + code_of[x]) * A
+                    states, before, i = {(p, q): (0.0, (low[i:end], text), base)}, q, end - 1
+                    continue
             letter = c.isalpha()
             if letter and c != before:  # one way to go on
                 before, cx, new = c, code_of[c], {}
@@ -123,7 +153,7 @@ class Decoder:
                 continue
             if letter:
                 if doubled is None:
-                    doubled = DOUBLE_COST if sum(x == y and x.isalpha() for x, y in zip(low, low[1:])) > 1 else LONE_COST  # one is common spelling
+                    doubled = DOUBLE_COST if sum(map(str.isalpha, DOUBLES.findall(low))) > 1 else LONE_COST  # one is common spelling
                 arcs = ((c, code_of[c], 0.0),)  # (what is written, its class, channel cost)
             else:
                 inner = 0 < i < len(low) - 1
@@ -249,10 +279,13 @@ class Scorer:
 
     def present(self, text: str | None) -> list[int]:
         """Numbers of the features in a text."""
-        decoder, automaton = self._machine()
+        return self.present_in(self._machine()[0].text(text)) if text and self.features else []
+
+    def present_in(self, text: str) -> list[int]:
+        """Numbers of the features in a decoded text."""
+        automaton, found = self._machine()[1], {}
         if not text or not self.features:
             return []
-        text, found = decoder.text(text), {}
         for end, hits in automaton.iter(text):
             for i, size, whole in hits:
                 if (end < size or not text[end - size].isalpha()) and text[end + 1 : end + 2].isalpha() != whole:
@@ -277,16 +310,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return docs.join(F.broadcast(ids), "__id").select("text", F.col("__y").cast("int").alias("toxic"))
 
 
-def _counted(decoder_model: np.ndarray, wanted: frozenset | None):
+def _decoded(decoder_model: np.ndarray):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(decoder_model)
+        for b in batches:
+            texts = [decoder.text(t.as_py() or "") for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1)], names=["text", "toxic"])
+
+    return decode
+
+
+def _counted(wanted: frozenset | None):
+    """Decoded texts -> how many hold each feature, or each wanted one."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, n = Decoder(decoder_model), {}
+        n: dict[str, int] = {}
+        starts = None if wanted is None else {f[1:] for f in wanted}
         for b in batches:
             for t in b.column(0):
-                found = word_features(word_line(decoder.text(t.as_py() or "")))
+                line = word_line(t.as_py())
+                if starts is not None:  # words without a wanted beginning hold no feature
+                    line = " ".join(w for w in line.split() if f" {w[:4]}" in heads or f" {w} " in starts)
+                found = word_features(line)
                 for f in found if wanted is None else found & wanted:
                     n[f] = n.get(f, 0) + 1
         yield pa.RecordBatch.from_pydict({"f": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
+    heads = {f[1:6] for f in wanted or ()}
     return count
 
 
@@ -308,11 +358,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Scorer(model, [], np.zeros(0), 30.0 if bad else -30.0)
-    narrow = rows.repartition(max(8, spark.sparkContext.defaultParallelism))
-    of_bad = narrow.where("toxic = 1").select("text").mapInArrow(_counted(model, None), "f string, n long").groupBy("f").agg(F.sum("n").alias("bad"))
+    spread = rows.repartition(max(8, spark.sparkContext.defaultParallelism))
+    narrow = cut(spread.select("text", "toxic").mapInArrow(_decoded(model), "text string, toxic int"))  # decoded once for all that follows
+    of_bad = narrow.where("toxic = 1").select("text").mapInArrow(_counted(None), "f string, n long").groupBy("f").agg(F.sum("n").alias("bad"))
     ranked = of_bad.where(F.col("bad") >= max(2, bad * 3 // 100))
     found = {r["f"]: r["bad"] for r in ranked.toLocalIterator()}
-    of_good = narrow.where("toxic = 0").select("text").mapInArrow(_counted(model, frozenset(found)), "f string, n long").groupBy("f").agg(F.sum("n").alias("good"))
+    of_good = narrow.where("toxic = 0").select("text").mapInArrow(_counted(frozenset(found)), "f string, n long").groupBy("f").agg(F.sum("n").alias("good"))
     clean = {r["f"]: r["good"] for r in of_good.collect()}
     odds = {f: np.log((n + 0.1) / (bad + 1)) - np.log((clean.get(f, 0) + 0.1) / (good + 1)) for f, n in found.items()}
     strong = sorted((f for f, x in odds.items() if x >= np.log(20)), key=lambda f: (-found[f] * odds[f], f))[:features]
@@ -320,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [scorer.present(t.as_py()) for t in b.column(0)]
+            rows = [scorer.present_in(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_pydict({"toxic": b.column(1), "f": pa.array(rows, pa.list_(pa.int32()))})
 
     table = narrow.mapInArrow(present, "toxic int, f array<int>").groupBy("toxic", "f").count().toArrow()  # at most ``most`` rows

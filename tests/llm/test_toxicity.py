@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from quire.llm import toxicity
@@ -112,3 +115,15 @@ def test_workers_get_few_bytes_at_once(spark):
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
 
     assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 12_000_000
+
+
+def test_ends_of_runs_are_restored_once(monkeypatch):
+    model = -np.log(np.random.default_rng(4).dirichlet(np.ones(toxicity.A), toxicity.A**2)).astype(np.float32).reshape((toxicity.A,) * 3)
+    rnd, decoder, calls = random.Random(4), toxicity.Decoder(model), []
+    likeliest = decoder.likeliest
+    monkeypatch.setattr(decoder, "likeliest", lambda low: calls.append(low) or likeliest(low))
+    assert [decoder.restore("textile***"), decoder.restore("Aile***")] == [likeliest("textile***"), likeliest("aile***")]
+    assert calls == ["le***"]
+    for _ in range(2000):
+        run = "".join(rnd.choice("abcdeab1*.$!é,'") for _ in range(rnd.randrange(1, 12)))
+        assert decoder.restore(run) == likeliest(run)

@@ -23,8 +23,8 @@ def column_profile(pixels: DataFrame, dark: int = 128) -> DataFrame:
 
 
 def row_profile(pixels: DataFrame, dark: int = 128) -> DataFrame:
-    """(page, y, ink): share of dark pixels per row."""
-    return pixels.groupBy("page", "y").agg(F.avg((F.col("lum") < dark).cast("int")).alias("ink"))
+    """(page, y, ink): share of dark pixels per row, taken as what the others leave of 1."""
+    return pixels.groupBy("page", "y").agg((1 - F.avg((F.col("lum") >= dark).cast("int"))).alias("ink"))
 
 
 def _runs(profile: DataFrame, flag: Column, at: str) -> DataFrame:

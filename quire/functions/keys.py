@@ -10,7 +10,8 @@ def looked_up(rows: DataFrame, column: str, found: DataFrame, *scope: str, salt:
     """rows left joined with found (scope ..., column, ...) on scope and column.
 
     Rows whose column is null find nothing. They are dealt by ``salt``, a column of rows, since equal keys,
-    nulls among them, would all meet in one task.
+    nulls among them, would all meet in one task. Salts are small numbers: every row is shuffled with its own.
     """
-    d = rows.withColumn("__salt", F.when(F.col(column).isNull(), F.xxhash64(salt)).otherwise(F.xxhash64(column)))
-    return d.join(found.where(F.col(column).isNotNull()).withColumn("__salt", F.xxhash64(column)), [*scope, column, "__salt"], "left").drop("__salt")
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    d = rows.withColumn("__salt", F.when(F.col(column).isNull(), dealt(salt, 1024)).otherwise(dealt(column, 4)))
+    return d.join(found.where(F.col(column).isNotNull()).withColumn("__salt", dealt(column, 4)), [*scope, column, "__salt"], "left").drop("__salt")

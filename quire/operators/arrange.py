@@ -142,18 +142,25 @@ def turned_overlays(overlays: DataFrame, pages: DataFrame) -> DataFrame:
     return overlays.join(turned, "pageid", "left").withColumn("x", F.when(F.col("__t"), mirrored(F.col("x"), F.col("w"))).otherwise(F.col("x"))).select(*overlays.columns)
 
 
-def numbered(rows: DataFrame, first: Column | int, key: str, *order: str, where: Column | None = None, column: str = "id", buckets: int = 4096) -> DataFrame:
+def numbered(rows: DataFrame, first: Column | int, key: str, *order: str, where: Column | None = None, column: str = "id", buckets: int = 4096, counted: DataFrame | None = None) -> DataFrame:
     """rows with new ids ``first``, first + 1, ... in ``column``, in the order of key modulo ``buckets``, key, then order; with where only in rows where it holds.
 
     Rows are counted by bucket, the totals of the buckets (no more than their number) are summed up, and each
     bucket counts on from there, so that no task needs to see all rows and numbers don't depend on the partitioning.
+    counted: the table that rows were joined from one to one, so that totals are counted without the joins.
     """
     counts = F.lit(True) if where is None else where
-    d = rows.withColumn("__b", F.pmod(F.col(key), F.lit(buckets))).withColumn("__c", F.coalesce(counts, F.lit(False)))
-    totals = d.where("__c").groupBy("__b").agg(F.count("*").alias("__n"))
+    place = F.row_number().over(Window.partitionBy("__b", "__c").orderBy(key, *order))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        d = rows.withColumn("__b", F.pmod(F.col(key), F.lit(buckets))).withColumn("__c", F.coalesce(counts, F.lit(False)))
+        return d.withColumn("__place", place)
+
+    d = placed(rows)
+    # the last place of a bucket is read from the same shuffle as the places, where rows are no wider than counted ones
+    totals = placed(rows if counted is None else counted).where("__c").groupBy("__b").agg(F.max("__place").cast("long").alias("__n"))
     totals = totals.select("__b", (F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__base"))
-    place = F.row_number().over(Window.partitionBy("__b", "__c").orderBy(key, *order)) - 1
-    d = d.withColumn("__place", place).join(F.broadcast(totals), "__b", "left")
+    d = d.withColumn("__place", F.col("__place") - 1).join(F.broadcast(totals), "__b", "left")
     new = (F.lit(first) if isinstance(first, int) else first) + F.col("__base") + F.col("__place")
     old = F.col(column) if column in rows.columns else F.lit(None).cast("long")
     return d.withColumn(column, F.when(F.col("__c"), new).otherwise(old).cast("long")).drop("__b", "__c", "__place", "__base")

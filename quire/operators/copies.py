@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.keys import looked_up
@@ -20,28 +20,45 @@ def put_through(rows: DataFrame, column: str, keys: DataFrame, *scope: str) -> D
 
 
 def export_whole(documents: DataFrame, sources: DataFrame, pages: DataFrame, overlays: DataFrame) -> DataFrame:
-    """A row for each document with all its fields: document, sources (by id), pages (by order) with their overlays (by order); empty arrays where there are none."""
-    def listed(d: DataFrame, key: str, *order: str) -> DataFrame:
-        """A row for each key with its rows as structs, in an order (fields of any type may follow)."""
-        at = lambda r: F.struct(*[r[f"__{c}"] for c in order])
-        before = lambda a, b: F.when(at(a) < at(b), -1).when(at(a) > at(b), 1).otherwise(0)
-        rows = F.collect_list(F.struct(*[F.col(c).alias(f"__{c}") for c in order], F.struct(*d.columns).alias("x")))
-        return d.groupBy(key).agg(F.transform(F.array_sort(rows, before), lambda r: r["x"]).alias("__list"))
-
-    o = listed(overlays, "pageid", "sortorder", "id")
-    full = pages.join(o, F.col("id") == F.col("pageid"), "left").select(*pages.columns, F.coalesce("__list", F.array().cast(o.schema["__list"].dataType)).alias("overlays"))
-    p, s = listed(full, "documentid", "sortorder", "id"), listed(sources, "documentid", "id")
+    """A row for each document with all its fields: document, sources (by id), pages (by order) with their overlays (by order); empty arrays where there are none.
+
+    Overlays learn their document from the keys of pages and go there as rows; pages that lie by document already stay where they are.
+    """
+    def in_order(rows: Column, *order: str) -> Column:
+        """An array of structs sorted by some of their fields (fields of any type may follow)."""
+        at = lambda r: F.struct(*[r[c] for c in order])
+        return F.array_sort(rows, lambda a, b: F.when(at(a) < at(b), -1).when(at(a) > at(b), 1).otherwise(0))
+
+    # rows travel without what their keys say already
+    o = overlays.select(F.col("pageid").alias("__page"), F.struct(*[c for c in overlays.columns if c != "pageid"]).alias("__o"))
+    p = pages.where("documentid IS NOT NULL").select("documentid", F.col("id").alias("__page"), F.struct(*[c for c in pages.columns if c not in ("documentid", "id")]).alias("__p"))
+    of = p.select("documentid", "__page").distinct()
+    both = p.unionByName(o.join(of, "__page").repartition("documentid"), allowMissingColumns=True)
+    full = both.groupBy("documentid", "__page").agg(F.collect_list("__p").alias("__p"), in_order(F.collect_list("__o"), "sortorder", "id").alias("__o"))
+    its = F.transform("__o", lambda x: F.named_struct(*[n for c in overlays.columns for n in (F.lit(c), F.col("__page") if c == "pageid" else x[c])]))
+    full = full.select("documentid", "__page", its.alias("overlays"), F.explode("__p").alias("__p"))
+    known = {"documentid": F.col("documentid"), "id": F.col("__page")}
+    full = full.select("documentid", F.struct(*[known.get(c, F.col(f"__p.{c}")).alias(c) for c in pages.columns], "overlays").alias("__x"))
+    parts = {
+        "sources": sources.select("documentid", F.struct(*sources.columns).alias("__x")).groupBy("documentid").agg(in_order(F.collect_list("__x"), "id").alias("__list")),
+        "pages": full.groupBy("documentid").agg(in_order(F.collect_list("__x"), "sortorder", "id").alias("__list")),
+    }
     d = documents.select("id", F.struct(*documents.columns).alias("document"))
-    for name, part in (("sources", s), ("pages", p)):
+    for name, part in parts.items():
         d = d.join(part.withColumnRenamed("documentid", "id"), "id", "left").withColumn(name, F.coalesce("__list", F.array().cast(part.schema["__list"].dataType))).drop("__list")
     return d.select("id", "document", "sources", "pages")
 
 
 def tables_of(nested: DataFrame) -> dict[str, DataFrame]:
-    """Documents of :func:`export_whole` as tables again."""
-    pages = nested.select(F.explode("pages").alias("p")).select("p.*")
+    """Documents of :func:`export_whole` as tables again. Sources and pages belong to the document they stand in, which keeps its rows where they are."""
+    def rows(name: str) -> DataFrame:
+        d = nested.select(F.col("id").alias("__d"), F.explode(name).alias("x"))
+        mine = d.schema["x"].dataType
+        return d.select(*[(F.col("__d").cast(mine[c].dataType) if c == "documentid" else F.col(f"x.{c}")).alias(c) for c in mine.names])
+
+    pages = rows("pages")
     overlays = pages.select(F.explode("overlays").alias("o")).select("o.*")
-    return {"document": nested.select("document.*"), "source": nested.select(F.explode("sources").alias("s")).select("s.*"), "page": pages.drop("overlays"), "overlay": overlays}
+    return {"document": nested.select("document.*"), "source": rows("sources"), "page": pages.drop("overlays"), "overlay": overlays}
 
 
 def restored(tables: dict[str, DataFrame], first: dict[str, int], known: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -50,26 +67,37 @@ def restored(tables: dict[str, DataFrame], first: dict[str, int], known: DataFra
     Parents follow their children; a page's source that didn't come along becomes null, a spread's page as well,
     and then its side; of a flow map (source.flowmap, map from page to blocks) the pages that didn't come along go.
     known (id): documents that are here already; a masterid that isn't among them becomes null, and masterrange with it.
+
+    Keys are numbered by themselves. Rows of a document get its new id where they are, before they are shuffled by their own.
     """
     small_tasks(tables["document"].sparkSession)
-    given = {name: numbered(rows, first[name], "id", column="__id") for name, rows in tables.items()}
-    keys = {name: d.select(F.col("id").alias("old"), F.col("__id").alias("new")) for name, d in given.items()}
-    fresh = {name: d.withColumn("id", F.col("__id")).drop("__id") for name, d in given.items()}
-    source = put_through(fresh["source"], "documentid", keys["document"])
-    page = put_through(put_through(put_through(fresh["page"], "documentid", keys["document"]), "sourceid", keys["source"]), "spreadid", keys["page"])
-    page = page.withColumn("spreadside", F.when(F.col("spreadid").isNotNull(), F.col("spreadside")))
+
+    def fresh(name: str, rows: DataFrame) -> DataFrame:
+        """rows, made of those of a table, under their new ids."""
+        given = numbered(rows, first[name], "id", column="__id", counted=tables[name].select("id"))
+        return given.withColumn("id", F.col("__id")).drop("__id")
+
+    keys = {name: numbered(tables[name].select("id"), first[name], "id", column="__id").select(F.col("id").alias("old"), F.col("__id").alias("new")) for name in ("document", "source", "page")}
+
+    def moved(rows: DataFrame) -> DataFrame:
+        d = rows.join(keys["document"].where("old IS NOT NULL").select(F.col("old").alias("documentid"), "new"), "documentid", "left")
+        return d.select(*[F.col("new").alias(c) if c == "documentid" else F.col(c) for c in rows.columns])
+
+    source, page = moved(tables["source"]), moved(tables["page"])
     if "flowmap" in source.columns:
-        entries = source.select("id", F.explode("flowmap").alias("pageid", "blocks"))
+        entries = tables["source"].select("id", F.explode("flowmap").alias("pageid", "blocks"))
         entries = entries.join(keys["page"].withColumnsRenamed({"old": "pageid", "new": "__p"}), "pageid")
         made = entries.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__p", "blocks")))).alias("__map"))
         empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<array<int>>"))
-        source = source.join(made, "id", "left").withColumn("flowmap", F.when(F.col("flowmap").isNotNull(), F.coalesce("__map", empty))).select(*source.columns)
-    document = fresh["document"]
+        source = source.withColumn("flowmap", F.col("flowmap").isNotNull()).join(made, "id", "left").withColumn("flowmap", F.when(F.col("flowmap"), F.coalesce("__map", empty))).select(*source.columns)
+    page = put_through(put_through(fresh("page", page), "sourceid", keys["source"]), "spreadid", keys["page"])
+    page = page.withColumn("spreadside", F.when(F.col("spreadid").isNotNull(), F.col("spreadside")))
+    document = fresh("document", tables["document"])
     if known is not None:
         document = looked_up(document, "masterid", known.select(F.col("id").alias("masterid"), F.lit(True).alias("__k")).distinct())
         lost = [c for c in ("masterid", "masterrange") if c in tables["document"].columns]
         document = document.withColumns({c: F.when(F.col("__k"), F.col(c)) for c in lost}).select(*tables["document"].columns)
-    return {"document": document, "source": source, "page": page, "overlay": put_through(fresh["overlay"], "pageid", keys["page"])}
+    return {"document": document, "source": fresh("source", source), "page": page, "overlay": put_through(fresh("overlay", tables["overlay"]), "pageid", keys["page"])}
 
 
 def copied(tables: dict[str, DataFrame], commands: DataFrame, first: dict[str, int]) -> dict[str, DataFrame]:

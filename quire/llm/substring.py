@@ -3,9 +3,10 @@
 Every document is cut into non-overlapping reference blocks of half a window; the block hashes go
 into an index of fixed size. Every rolling window of a block's length then probes the index, so a
 repeat of a whole window always meets an aligned block of either document. Blocks that the probes
-find in two documents at least are the anchors; around them hits are extended: each full window
-that holds an anchor is compared by its hash with the smallest document that has it, and the
-windows of later documents cover maximal repeats.
+find in two documents at least are the anchors; around them hits are extended: the hash of each full
+window that holds an anchor is sent with its smallest and largest document of a batch, and places are
+sent only of windows that two documents have, to be compared with the smallest document; the windows
+of later documents cover maximal repeats. Of equal texts only the first one is searched.
 
 The index is a bit filter of a fixed size (a parameter), which is why it can be broadcast at any
 input size: it has no false negatives, and what it lets through in excess is dropped by the exact
@@ -132,64 +133,106 @@ def _joined(parts: list[np.ndarray], dtype=np.uint64) -> np.ndarray:
     return np.concatenate(parts).astype(dtype, copy=False) if parts else np.zeros(0, dtype)
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 27) -> DataFrame:
-    """docs (doc_id, key, text) -> (key, at): starts of windows whose words also start in a document with a smaller id."""
+def _ends(hashes: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Of each hash of a batch its smallest and largest document."""
+    h, d = _joined(hashes), _joined(ids, np.int64)
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+    last = np.r_[first[1:] - 1, len(h) - 1] if len(h) else first
+    return _rows(h=h[first].view(np.int64), lo=d[first], hi=d[last])
+
+
+def repeated_windows(docs: DataFrame, window: int = 50, bits: int = 27, named: Broadcast | None = None) -> DataFrame:
+    """docs (doc_id, key, text) -> (key, at): starts of windows whose words also start in a document with a smaller id. named: a filter of the keys of rows that take part."""
     spark, block = docs.sparkSession, window // 2
     small_batches(spark)
     docs = docs.select("doc_id", "key", "text")
 
+    def texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Rows with a whole window and an id."""
+        keys = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if named is not None:
+            b = b.filter(pa.array(named.value.has(keys)))
+        return ((doc, key, h) for doc, key, h in _per_text(b) if len(h) >= window and doc is not None)
+
     def aligned(batches):
         for b in byte_slices(batches, 2):
-            parts = []
-            for _, _, h in _per_text(b):
-                if len(h) >= window:
-                    parts.append(rolling(h, block)[::block])
-            yield _rows(h=np.unique(_joined(parts)).view(np.int64))
+            yield _rows(h=np.unique(_joined([rolling(h, block)[::block] for _, _, h in texts(b)])).view(np.int64))
 
     index = build_filter(spark, docs.mapInArrow(aligned, "h long"), bits)
 
     def probed(batches):
         for b in byte_slices(batches, 2):
             hashes, ids = [], []
-            for doc, _, h in _per_text(b):
-                if len(h) >= window and doc is not None:
-                    r = rolling(h, block)
-                    r = np.unique(r[index.value.has(r)])
-                    hashes.append(r)
-                    ids.append(np.full(len(r), doc, np.int64))
-            h, d = _joined(hashes), _joined(ids, np.int64)
-            order = np.lexsort((d, h))  # per hash of the batch its smallest and largest document
-            h, d = h[order], d[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-            last = np.r_[first[1:] - 1, len(h) - 1] if len(h) else first
-            yield _rows(h=h[first].view(np.int64), lo=d[first], hi=d[last])
-
-    shared = docs.mapInArrow(probed, "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    anchors = build_filter(spark, shared, bits)
+            for doc, _, h in texts(b):
+                r = rolling(h, block)
+                r = np.unique(r[index.value.has(r)])
+                hashes.append(r)
+                ids.append(np.full(len(r), doc, np.int64))
+            yield _ends(hashes, ids)
+
+    def shared(rows):
+        return rows.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+
+    anchors = build_filter(spark, shared(docs.mapInArrow(probed, "h long, lo long, hi long")), bits)
+
+    def around(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of windows that hold an anchor, and their hashes."""
+        hit = anchors.value.has(rolling(h, block))
+        if not hit.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        count = np.r_[0, np.cumsum(hit)]
+        span = window - block + 1  # anchors that start in a window
+        starts = np.flatnonzero(count[span:] > count[:-span])
+        return starts, rolling(h, window)[starts]
+
+    def seen(batches):
+        for b in byte_slices(batches, 2):
+            hashes, ids = [], []
+            for doc, _, h in texts(b):
+                hashes.append(np.unique(around(h)[1]))
+                ids.append(np.full(len(hashes[-1]), doc, np.int64))
+            yield _ends(hashes, ids)
+
+    # places are shuffled only of windows that two documents have; the texts are read once more for that
+    first = written(shared(docs.mapInArrow(seen, "h long, lo long, hi long")).select("h", "lo"), "windows")
+    repeats = build_filter(spark, first, bits)
 
     def extended(batches):
         for b in byte_slices(batches, 2):
             hashes, ids, keys, at = [], [], [], []
-            for doc, key, h in _per_text(b):
-                if len(h) < window or doc is None:
-                    continue
-                hit = anchors.value.has(rolling(h, block))
-                if not hit.any():
-                    continue
-                count = np.r_[0, np.cumsum(hit)]
-                span = window - block + 1  # anchors that start in a window
-                starts = np.flatnonzero(count[span:] > count[:-span])
-                hashes.append(rolling(h, window)[starts])
+            for doc, key, h in texts(b):
+                starts, found = around(h)
+                twice = repeats.value.has(found)
+                starts = starts[twice]
+                hashes.append(found[twice])
                 at.append(starts)
                 ids.append(np.full(len(starts), doc, np.int64))
                 keys.append(np.full(len(starts), key, np.int64))
             yield _rows(h=_joined(hashes).view(np.int64), doc_id=_joined(ids, np.int64), key=_joined(keys, np.int64), at=_joined(at, np.int32))
 
-    held = written(docs.mapInArrow(extended, "h long, doc_id long, key long, at int"), "windows")
-    first = held.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    held = docs.mapInArrow(extended, "h long, doc_id long, key long, at int")
     return held.join(first, "h").where("doc_id > lo").select("key", "at")
 
 
+ALL = -1  # in place of a start: the whole text is a copy of an earlier one
+
+
+def repeated_starts(docs: DataFrame, window: int, bits: int) -> DataFrame:
+    """:func:`repeated_windows`, and (key, ALL) of copies: a text with an equal one under a smaller id repeats in all its windows.
+
+    Only the first text of equal ones takes part in the search, which finds the same windows by it. (A copy that the filter
+    of their keys lets through is searched as well, without a change.)
+    """
+    rows = cut(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "key", F.sha2("text", 256).alias("same")))
+    many = rows.groupBy("same").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    found = rows.join(many, "same", "left")
+    firsts = build_filter(docs.sparkSession, found.where("lo IS NULL OR doc_id = lo").select(F.col("key").alias("h")), bits)
+    copies = found.where("doc_id > lo").select("key", F.lit(ALL).alias("at"))
+    return repeated_windows(docs, window, bits, firsts).unionByName(copies)
+
+
 def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     """Which of n words lie in a window that begins at one of starts."""
     edge = np.zeros(n + 1, np.int64)
@@ -204,7 +247,7 @@ def _applied(docs: DataFrame, window: int, bits: int, id_col: str, text_col: str
     names = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
     mine = {n: fresh(n, docs) for n in ("__key", "__maybe", "__at")}
     docs = docs.select(*names, F.xxhash64(F.col(id_col), F.col(text_col)).alias(mine["__key"]))
-    starts = repeated_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mine["__key"]).alias("key"), F.col(text_col).alias("text")), window, bits)
+    starts = repeated_starts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mine["__key"]).alias("key"), F.col(text_col).alias("text")), window, bits)
     ranges = cut(starts.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at")))
     some = build_filter(spark, ranges.select(F.xxhash64("key").alias("h")), min(bits, 26))
 
@@ -223,7 +266,8 @@ def _applied(docs: DataFrame, window: int, bits: int, id_col: str, text_col: str
                     words, removed = split_words(text), 0
                     kept = words
                     if starts_.is_valid and len(starts_):
-                        gone = covered(starts_.values.to_numpy().astype(np.int64), len(words), window)
+                        places = starts_.values.to_numpy().astype(np.int64)
+                        gone = np.full(len(words), len(words) >= window) if places[0] == ALL else covered(places, len(words), window)
                         removed, kept = int(gone.sum()), [w for w, g in zip(words, gone.tolist()) if not g]
                     n_words.append(len(words))
                     n_removed.append(removed)
